@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, near_dedup, quality
+from tidemark.llm import ann, decontaminate, line_dedup, near_dedup, packing, quality
 from tidemark.llm.common import table
 
 
@@ -82,15 +82,45 @@ FROM d LEFT JOIN n USING (doc_id) JOIN k ON k.a = d.doc_id
 """
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+OP6_SQL = r"""
+WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(generate_series(1, len(q.e)), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b)) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, cut at powers of two of at most 2048 tokens."""
+    import public_tokenizers
+
+    packed = packing.pack(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False
+    )
+    return packed.withColumnRenamed("_id", "doc_id")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op5_near_dedup": op5_near_dedup,
+    "op6_nearest": op6_nearest,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": OP1_SQL,
     "op3_line_dedup": line_dedup.ORACLE,
     "op5_near_dedup": OP5_SQL,
+    "op6_nearest": OP6_SQL,
 }
