@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontaminate, line_dedup, near_dedup, packing, quality
+from tidemark.llm import ann, decontaminate, html_extract, line_dedup, near_dedup, packing, quality, warc
 from tidemark.llm.common import table
 
 
@@ -99,6 +99,35 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages as read back from the WARC files that they were written to."""
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return found.select(
+        F.col("name").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        F.col("refers_to_name").cast("long").alias("refers_to"),
+    )
+
+
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h FROM p),
+b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(generate_series(0, 31), lambda k:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (1 + 10 * (k // 8))::INT, 10))::BIGINT >> (35 - 5 * (k % 8))::INT) & 31)::INT + 1, 1)), '') AS payload_digest FROM h),
+f AS (SELECT payload_digest, payload_bytes, min(page_id) AS first FROM b GROUP BY 1, 2)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b JOIN f USING (payload_digest, payload_bytes)
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents, cut at powers of two of at most 2048 tokens."""
     import public_tokenizers
@@ -115,6 +144,8 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_nearest": op6_nearest,
+    "op7_html": op7_html,
+    "op8_warc": op8_warc,
     "op10_packing": op10_packing,
 }
 
@@ -123,4 +154,5 @@ ORACLE_SQL = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op5_near_dedup": OP5_SQL,
     "op6_nearest": OP6_SQL,
+    "op8_warc": OP8_SQL,
 }
