@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontaminate, html_extract, line_dedup, near_dedup, packing, quality, warc
+from tidemark.llm import ann, decontaminate, html_extract, line_dedup, lm_score, near_dedup, packing, quality, warc
 from tidemark.llm.common import table
 
 
@@ -128,6 +128,13 @@ FROM b JOIN f USING (payload_digest, payload_bytes)
 """
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean log score of every document under the trigram counts of all other documents."""
+    found = lm_score.score(table(spark, sf_dir, "documents"))
+    mean = F.round(F.coalesce(F.try_divide("log_score", "n_words"), F.lit(0.0)), 6)
+    return found.select(F.col("_id").alias("doc_id"), "n_words", "n_unseen", mean.alias("mean_log_score"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents, cut at powers of two of at most 2048 tokens."""
     import public_tokenizers
@@ -146,6 +153,7 @@ QUERIES = {
     "op6_nearest": op6_nearest,
     "op7_html": op7_html,
     "op8_warc": op8_warc,
+    "op9_lm_score": op9_lm_score,
     "op10_packing": op10_packing,
 }
 
@@ -155,4 +163,5 @@ ORACLE_SQL = {
     "op5_near_dedup": OP5_SQL,
     "op6_nearest": OP6_SQL,
     "op8_warc": OP8_SQL,
+    "op9_lm_score": lm_score.ORACLE,
 }
