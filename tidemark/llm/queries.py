@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontaminate, html_extract, line_dedup, lm_score, near_dedup, packing, quality, warc
+from tidemark.llm import ann, decontaminate, html_extract, line_dedup, lm_score, near_dedup, packing, pii, quality, warc
 from tidemark.llm.common import table
 
 
@@ -60,6 +60,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "n_chunks", "n_removed", "removed_lines", "removed_chars")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: what the rules find, and all spans."""
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(pii.of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near-duplicates of every document; the smallest id of each is kept."""
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -149,6 +161,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op4_pii": op4_pii,
     "op5_near_dedup": op5_near_dedup,
     "op6_nearest": op6_nearest,
     "op7_html": op7_html,
