@@ -31,8 +31,9 @@ from tidemark.llm.components import components
 SHINGLE = 5
 TREES, LEVELS, BRANCHES = 8, 4, 2
 #: Documents that one task compares exhaustively, and their shingles in all.
-NODE_ROWS, NODE_SHINGLES = 1024, 4_000_000
+NODE_ROWS, NODE_SHINGLES = 2048, 2_000_000
 
+_ROWS = 256
 _SLOTS = 1 + BRANCHES * (LEVELS - 1)
 _ODD = np.random.RandomState(20).randint(0, 2**63, (2, TREES * _SLOTS + 16), np.int64).astype(np.uint64) | np.uint64(1)
 
@@ -196,13 +197,16 @@ def _linked(counts: np.ndarray, values: np.ndarray, of: np.ndarray, percent: int
     code, row = column[code[kept]], of[kept]
     order = np.argsort(code, kind="stable")
     code, row = code[order], row[order]
-    for start in range(0, int(often.sum()), 4096):
-        a, b = np.searchsorted(code, (start, start + 4096))
-        m = np.zeros((n, 4096), np.float32)
+    width = 1024
+    for start in range(0, int(often.sum()), width):
+        a, b = np.searchsorted(code, (start, start + width))
+        m = np.zeros((n, width), np.float32)
         m[row[a:b], code[a:b] - start] = 1
         shared += m @ m.T
-    both = np.rint(shared).astype(np.int64)
-    linked = 100 * both >= percent * (counts[:, None] + counts[None, :] - both)
+    linked = np.empty((n, n), bool)
+    for a in range(0, n, _ROWS):  # by rows, for the memory
+        both = np.rint(shared[a : a + _ROWS]).astype(np.int64)
+        linked[a : a + _ROWS] = 100 * both >= percent * (counts[a : a + _ROWS, None] + counts[None, :] - both)
     np.fill_diagonal(linked, True)
     return linked
 
@@ -220,7 +224,8 @@ def _links(nodes: DataFrame, of_id: T.DataType, percent: int) -> DataFrame:
         linked = _linked(counts, values, np.repeat(np.arange(len(counts)), counts), percent)
         label = np.arange(len(counts))
         while True:
-            new = np.where(linked, label[None, :], len(label)).min(axis=1)
+            rows = range(0, len(label), _ROWS)
+            new = np.concatenate([np.where(linked[r : r + _ROWS], label[None, :], len(label)).min(axis=1) for r in rows])
             new = new[new]
             if (new == label).all():
                 break
