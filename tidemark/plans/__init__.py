@@ -1,0 +1,10 @@
+"""Registered queries over the ledger, each with the SQL that checks it."""
+
+from tidemark.plans import accounting, matching
+
+_MODULES = (accounting, matching)
+QUERIES: dict = {}
+ORACLE: dict = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLE |= _m.ORACLE
