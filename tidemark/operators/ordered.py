@@ -137,7 +137,8 @@ def effective_rule(facts: DataFrame, rules: DataFrame, on: str, ts: str = "ts",
         F.array_sort(F.collect_list(F.struct("effective_from", "effective_to", "rate", "exponent"))).alias("_rules")
     )
     small = F.broadcast(of)
-    out = facts.join(small, on, "left").crossJoin(F.broadcast(of.where(F.col(on) == default).select(F.col("_rules").alias("_rest"))))
+    rest = F.broadcast(of.where(F.col(on) == default).select(F.col(on).alias("_default"), F.col("_rules").alias("_rest")))
+    out = facts.join(small, on, "left").withColumn("_default", F.lit(default)).join(rest, "_default", "left").drop("_default")
 
     def live(r: Column) -> Column:
         return (r["effective_from"] <= F.col(ts)) & (r["effective_to"].isNull() | (F.col(ts) < r["effective_to"]))

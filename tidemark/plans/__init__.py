@@ -1,8 +1,8 @@
 """Registered queries over the ledger, each with the SQL that checks it."""
 
-from tidemark.plans import accounting, matching
+from tidemark.plans import accounting, behaviour, matching, simulate
 
-_MODULES = (accounting, matching)
+_MODULES = (accounting, matching, behaviour, simulate)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in _MODULES:
