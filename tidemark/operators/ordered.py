@@ -37,7 +37,7 @@ def running_positions(stream: DataFrame, keys: list[str]) -> DataFrame:
     """
     delta = F.expr("CASE kind WHEN 'add' THEN shares WHEN 'remove' THEN -shares ELSE 0 END")
     out = stream.withColumn("_seg", F.sum(F.expr("CASE kind WHEN 'reset' THEN 1 ELSE 0 END")).over(upto(keys)))
-    out = out.withColumn("qty", F.round(F.sum(delta).over(upto([*keys, "_seg"])), 6))
+    out = out.withColumn("qty", F.round(F.sum(delta).over(upto([*keys, "_seg"])), 8))
     out = out.withColumn("qty_before", F.coalesce(F.lag("qty").over(_ordered(keys)), F.lit(0.0)))
     partial = (F.col("kind") == "remove") & (F.col("qty_before") > 0) & (F.col("qty") > EPSILON)
     out = out.withColumn("_a", F.when(F.col("kind") == "add", 1.0).when(partial, F.col("qty") / F.col("qty_before")).otherwise(0.0))
@@ -177,13 +177,13 @@ def sessions(df: DataFrame, keys: list[str], gap: int, ts: str = "ts", tie: str
 def nearest_rank(value: str, q: float) -> Column:
     """Aggregate: the value at index floor((n - 1) * q) of the sorted values; no interpolation."""
     ordered = F.array_sort(F.collect_list(value))
-    return F.try_element_at(ordered, (F.floor((F.count(value) - 1) * F.lit(q)) + 1).cast("int"))
+    return F.get(ordered, F.floor((F.count(value) - 1) * F.lit(q)).cast("int"))
 
 
 def rounded_rank(value: str, q: float) -> Column:
     """Aggregate: the value at index round((n - 1) * q), half to even."""
     ordered = F.array_sort(F.collect_list(value))
-    return F.try_element_at(ordered, (F.bround((F.count(value) - 1) * F.lit(q), 0) + 1).cast("int"))
+    return F.get(ordered, F.bround((F.count(value) - 1) * F.lit(q), 0).cast("int"))
 
 
 def weighted_percentiles(df: DataFrame, keys: list[str], value: str, weight: str, qs: dict[str, float]) -> DataFrame:

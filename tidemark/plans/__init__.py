@@ -1,8 +1,9 @@
 """Registered queries over the ledger, each with the SQL that checks it."""
 
-from tidemark.plans import accounting, behaviour, matching, simulate
+from tidemark.plans import accounting, behaviour, ingest, matching, simulate
+from tidemark.streaming import flows
 
-_MODULES = (accounting, matching, behaviour, simulate)
+_MODULES = (ingest, accounting, matching, behaviour, simulate, flows)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in _MODULES:

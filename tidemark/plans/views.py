@@ -36,7 +36,7 @@ _KEY = "PARTITION BY wallet, token_id ORDER BY ts, id"
 #: Running quantity and cost of every (wallet, token), as ``running_positions`` has them.
 POSITIONS = f"""
 p1 AS (SELECT *, sum(CASE kind WHEN 'reset' THEN 1 ELSE 0 END) OVER ({_KEY} ROWS UNBOUNDED PRECEDING) AS seg FROM moves),
-p2 AS (SELECT *, round(sum(CASE kind WHEN 'add' THEN shares WHEN 'remove' THEN -shares ELSE 0 END) OVER (PARTITION BY wallet, token_id, seg ORDER BY ts, id ROWS UNBOUNDED PRECEDING), 6) AS qty FROM p1),
+p2 AS (SELECT *, round(sum(CASE kind WHEN 'add' THEN shares WHEN 'remove' THEN -shares ELSE 0 END) OVER (PARTITION BY wallet, token_id, seg ORDER BY ts, id ROWS UNBOUNDED PRECEDING), 8) AS qty FROM p1),
 p3 AS (SELECT *, coalesce(lag(qty) OVER ({_KEY}), 0) AS qty_before FROM p2),
 p4 AS (SELECT *, CASE WHEN kind = 'add' THEN 1.0 WHEN kind = 'remove' AND qty_before > 0 AND qty > 1e-6 THEN qty / qty_before ELSE 0.0 END::DOUBLE AS a FROM p3),
 p5 AS (SELECT *, sum(CASE WHEN a = 0 THEN 1 ELSE 0 END) OVER ({_KEY} ROWS UNBOUNDED PRECEDING) AS g FROM p4),
