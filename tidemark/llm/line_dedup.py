@@ -1,10 +1,11 @@
 """Removal of repeated passages by content-defined chunks of lines; DataFrame functions only.
 
-A document is cut after a line where the rolling hash over the hashes of that line and the one before it is divisible by
-``divisor``, so the same run of lines gets the same cuts wherever it stands. A line of ``long_words`` words or more is a
-passage by itself: cuts stand before and after it. Chunks that can be removed have at least two lines or are such a long
-line. Their 64-bit hashes are counted over the whole corpus; only chunks whose hash occurs again are compared byte by
-byte, by grouping on their text. The occurrence in the smallest (doc_id, text hash, chunk number) stays.
+A rolling hash runs over the hashes of each two lines in a row. A document is cut after a line where this hash is
+smaller than at the lines beside it, so the same run of lines gets the same cuts wherever it stands, and chunks have two
+lines at least. A line of ``long_words`` words or more is a passage by itself: cuts stand before and after it. Chunks
+that can be removed have at least two lines or are such a long line. Their 64-bit hashes are counted over the whole
+corpus; only chunks whose hash occurs again are compared byte by byte, by grouping on their text. The occurrence in the
+smallest (doc_id, text hash, chunk number) stays.
 
 The plan never gathers a group: counts and minima are combined before the shuffle, and hot chunks meet only in
 sort-merge joins that adaptive execution can split.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
-DIVISOR, LONG_WORDS = 3, 50
+LONG_WORDS = 50
 
 
 def _let(value, use):
@@ -37,15 +38,18 @@ def _lines(text):
     )
 
 
-def _ends(lines, divisor: int, long_words: int):
+def _ends(lines, long_words: int):
     """Indexes (from 0) of the lines that end a chunk."""
     last = F.size(lines) - 1
 
-    def ends(i):
+    def rolled(i):
         before = F.when(i > 0, F.get(lines, i - 1)["hash"]).otherwise(F.lit(0))
-        rolled = (before * 31 + F.get(lines, i)["hash"]) % F.lit(1 << 32)
+        return (before * 31 + F.get(lines, i)["hash"]) % F.lit(1 << 32)
+
+    def ends(i):
         long = (F.get(lines, i)["words"] >= long_words) | (F.get(lines, F.least(i + 1, last))["words"] >= long_words)
-        return (i == last) | long | (rolled % divisor == 0)
+        least = (i > 0) & (rolled(i) < rolled(i - 1)) & (rolled(i) <= rolled(i + 1))
+        return (i == last) | long | least
 
     return F.filter(F.sequence(F.lit(0), last), ends)
 
@@ -64,11 +68,11 @@ def _chunks(lines, ends, long_words: int):
     return F.transform(ends, chunk)
 
 
-def chunks_of(text, divisor: int = DIVISOR, long_words: int = LONG_WORDS):
+def chunks_of(text, long_words: int = LONG_WORDS):
     """Array of chunks (text, lines, able) of a text column. A null text has null, an empty one has one chunk."""
 
     def of_lines(lines):
-        return _let(_ends(lines, divisor, long_words), lambda ends: _chunks(lines, ends, long_words))
+        return _let(_ends(lines, long_words), lambda ends: _chunks(lines, ends, long_words))
 
     return _let(_lines(text), of_lines)
 
@@ -77,7 +81,6 @@ def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    divisor: int = DIVISOR,
     long_words: int = LONG_WORDS,
 ) -> DataFrame:
     """``docs`` with the text without repeated chunks, and ``n_chunks``, ``n_removed``, ``removed_lines``, ``removed_chars``.
@@ -90,7 +93,7 @@ def dedup_lines(
     base = docs.withColumn("_h", F.xxhash64(F.col(text_col)))
     texts = base.select(F.col(id_col).alias("_id"), "_h", F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
 
-    chunks = chunks_of(F.col("_text"), divisor, long_words)
+    chunks = chunks_of(F.col("_text"), long_words)
     able = texts.select("_id", "_h", F.posexplode_outer(chunks).alias("_k", "_c")).where("_c.able")
     marks = cut(able.select("_id", "_h", "_k", F.xxhash64("_c.text").alias("_ch")))
     again = marks.groupBy("_ch").count().where("count > 1").select("_ch")
@@ -123,7 +126,7 @@ def dedup_lines(
             lines.alias("lines"),
         )
 
-    out = out.withColumn("_out", _let(chunks_of(F.col(text_col), divisor, long_words), rebuilt))
+    out = out.withColumn("_out", _let(chunks_of(F.col(text_col), long_words), rebuilt))
     removed = {
         "n_chunks": F.coalesce("_out.n", F.lit(0)),
         "n_removed": F.size("_gone").cast("long"),
@@ -138,9 +141,10 @@ ORACLE = r"""
 WITH d AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d),
 h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS hash, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM l),
+g AS (SELECT *, (coalesce(lag(hash) OVER (PARTITION BY r ORDER BY i), 0) * 31 + hash) % 4294967296 AS rolled FROM h),
 e AS (SELECT *, CASE WHEN lead(i) OVER w IS NULL OR words >= {long} OR coalesce(lead(words) OVER w, 0) >= {long}
-        OR ((coalesce(lag(hash) OVER w, 0) * 31 + hash) % 4294967296) % {divisor} = 0 THEN 1 ELSE 0 END AS ends
-      FROM h WINDOW w AS (PARTITION BY r ORDER BY i)),
+        OR coalesce(rolled < lag(rolled) OVER w AND rolled <= lead(rolled) OVER w, false) THEN 1 ELSE 0 END AS ends
+      FROM g WINDOW w AS (PARTITION BY r ORDER BY i)),
 k AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
 c AS (SELECT doc_id, r, k, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n, (count(*) >= 2 OR max(words) >= {long}) AS able FROM k GROUP BY 1, 2, 3),
 m AS (SELECT *, row_number() OVER (PARTITION BY t, able ORDER BY doc_id, k) > 1 AND able AS gone FROM c)
@@ -148,4 +152,4 @@ SELECT d.doc_id, coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (NOT gone), '
        count(*) FILTER (gone)::BIGINT AS n_removed, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS removed_lines,
        (max(length(d.text)) - length(coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (NOT gone), '')))::BIGINT AS removed_chars
 FROM d JOIN m USING (r) GROUP BY d.r, d.doc_id
-""".format(long=LONG_WORDS, divisor=DIVISOR)
+""".format(long=LONG_WORDS)
