@@ -3,7 +3,7 @@
 Documents are dealt to segments of a few million characters. A segment's distinct n-grams of all orders, with their
 counts, go to the count tables: hash partitions whose number grows with the corpus, each of which adds up the counts of
 its n-grams. The totals are joined back to the segment that asked for them, the segment's n-grams are scored, and the
-scores are summed for each document. An n-gram is named by the first ``40 + log2(partitions)`` bits of its hash, and is
+scores are summed for each document. An n-gram is named by the first ``48 + log2(partitions)`` bits of its hash, and is
 sent once for a segment however often it occurs there, so a very common n-gram is no hot key.
 
 Counts leave out the document that is scored, so a text is never its own evidence.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_REST = np.uint64(40)
+_REST = 48  # bits of a name within its partition
 _ODD = np.random.RandomState(9).randint(0, 2**63, 16, np.int64).astype(np.uint64) | np.uint64(1)
 
 
@@ -34,6 +34,9 @@ class _WordHashes(dict):
         return value
 
 
+_HASHES = _WordHashes()  # for all segments that a worker sees
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -44,32 +47,33 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def _grams(texts: list, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grams(texts: list, order: int, kept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names of the n-grams that end at each word (a row for each order, 0 where there is none), each word's document
     and its place in it."""
     words = [_words(t) for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     total = int(sizes.sum())
-    h = np.fromiter(map(_WordHashes().__getitem__, chain.from_iterable(words)), np.uint64, total)
+    h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), np.uint64, total)
     doc = np.repeat(np.arange(len(words)), sizes)
     place = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = np.zeros((order, total), np.uint64)
     run = np.zeros(total, np.uint64)
     for n in range(order):
         run[n:] += h[: total - n] * _ODD[n]
-        out[n] = np.where(place >= n, (_mixed(run + _ODD[8 + n]) >> np.uint64(24 - bits)) | np.uint64(1), np.uint64(0))
+        name = np.maximum(_mixed(run + _ODD[8 + n]) >> np.uint64(64 - kept), np.uint64(1))
+        out[n] = np.where(place >= n, name, np.uint64(0))
     return out, doc, place
 
 
 def _planes(rest: np.ndarray) -> bytes:
-    """Sorted 40-bit numbers as five planes of bytes, the highest first: the first planes compress to almost nothing."""
-    return np.ascontiguousarray(rest.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].T).tobytes()
+    """Sorted 48-bit numbers as six planes of bytes, the highest first: the first planes compress to almost nothing."""
+    return np.ascontiguousarray(rest.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes()
 
 
 def _from_planes(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(5, -1)
+    planes = np.frombuffer(raw, np.uint8).reshape(6, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, 3:] = planes.T
+    out[:, 2:] = planes.T
     return out.view(">u8").ravel().astype(np.uint64)
 
 
@@ -106,21 +110,23 @@ def score(
     chars, corpus = _sizes(own)
     segments = max(1, math.ceil(chars / segment_chars))
     bits = min(24, max(0, math.ceil(math.log2(max(1, chars * order / 6 / 4_000_000)))))
+    rest = min(_REST, 64 - bits)
+    kept = bits + rest
     dealt = own.withColumn("_segment", F.pmod(F.xxhash64("_id", "_text"), F.lit(segments)).cast("int"))
 
     def ask(table: pa.Table) -> pa.Table:
-        grams, _, _ = _grams(table.column("_text").to_pylist(), order, bits)
+        grams, _, _ = _grams(table.column("_text").to_pylist(), order, kept)
         names, counts = np.unique(grams[grams > 0], return_counts=True)
-        bucket = (names >> _REST).astype(np.int64)
+        bucket = (names >> np.uint64(rest)).astype(np.int64)
         found, starts = np.unique(bucket, return_index=True)
         edges = np.append(starts, len(names))
-        rest = names & np.uint64(2**40 - 1)
+        inside = names & np.uint64(2**rest - 1)
         parts = list(zip(edges, edges[1:]))
         return pa.table(
             {
                 "_bucket": pa.array(found.astype(np.int32)),
                 "_segment": pa.array([table.column("_segment")[0].as_py()] * len(found), pa.int32()),
-                "_names": pa.array([_planes(rest[a:b]) for a, b in parts], pa.binary()),
+                "_names": pa.array([_planes(inside[a:b]) for a, b in parts], pa.binary()),
                 "_counts": pa.array([counts[a:b].astype("<u4").tobytes() for a, b in parts], pa.binary()),
             }
         )
@@ -149,31 +155,32 @@ def score(
     )
 
     def sum_up(table: pa.Table, answer: pa.Table) -> pa.Table:
-        grams, doc, place = _grams(table.column("_text").to_pylist(), order, bits)
+        grams, doc, place = _grams(table.column("_text").to_pylist(), order, kept)
         sizes = np.bincount(doc, minlength=len(table))
         total = np.zeros(len(doc))
         unseen = np.zeros(len(doc), bool)
         if len(doc):
             answer = answer.sort_by("_bucket")
             totals = np.concatenate([np.frombuffer(x, "<u8") for x in answer.column("_totals").to_pylist()]).astype(np.float64)
-            names = np.unique(grams[grams > 0])
-            seen = np.zeros(grams.shape)
-            for n in range(order):
-                real = grams[n] > 0
-                if real.any():
-                    pair = np.stack([doc[real].astype(np.uint64), grams[n][real]])
-                    _, code, mine = np.unique(_mixed(pair[0] * _ODD[15] + pair[1]), return_inverse=True, return_counts=True)
-                    seen[n, real] = totals[np.searchsorted(names, grams[n][real])] - mine[code]
+            real = np.flatnonzero(grams.ravel() > 0)
+            # one stable sort puts equal n-grams together, and within them those of each document
+            real = real[np.argsort(grams.ravel()[real], kind="stable")]
+            name, owner = grams.ravel()[real], doc[real % len(doc)]
+            fresh = np.append(True, name[1:] != name[:-1])
+            mine = np.cumsum(fresh | np.append(True, owner[1:] != owner[:-1])) - 1
+            seen = np.zeros(grams.size)
+            seen[real] = totals[np.cumsum(fresh) - 1] - np.bincount(mine)[mine]
+            seen = seen.reshape(grams.shape)
             others = np.maximum(corpus - sizes[doc], 1).astype(np.float64)
             top = np.minimum(place + 1, order)
             total = top * math.log(backoff) - np.log(others)
             unseen = seen[0] <= 0
             for n in range(order):
-                use = seen[n] > 0
                 if n:  # the context is the shorter n-gram that ends one word before
                     below = np.append(1.0, seen[n - 1][:-1])
                 else:
                     below = others
+                use = (seen[n] > 0) & (below > 0)  # a context that only a clash of names could have left out
                 value = np.log(np.where(use, seen[n], 1)) - np.log(np.where(use, below, 1)) + (top - n - 1) * math.log(backoff)
                 total = np.where(use, value, total)
         return pa.table(
