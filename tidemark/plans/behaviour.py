@@ -188,6 +188,19 @@ def fingerprint_features(spark, sf_dir):
     return w.select("wallet", "scope", F.explode(tall).alias("f")).select("wallet", "scope", "f.*")
 
 
+def fingerprint_daily_features(spark, sf_dir):
+    """Features from the daily tables: bond share of exposure, unrealized profit at the end, stale share, time to the close."""
+    x = A.exposures_daily(spark, sf_dir)
+    size = F.abs("bond") + F.abs("directional")
+    x = x.groupBy("wallet", "day").agg(F.sum(F.abs("bond")).alias("b"), F.sum(size).alias("s"))
+    x = x.where("s > 0").groupBy("wallet").agg(F.avg(F.col("b") / F.col("s")).alias("bond_inventory_ratio"))
+    e = A.daily_equity(spark, sf_dir).groupBy("wallet").agg(F.max_by("unrealized", "day").alias("unrealized_pnl"), F.avg("stale_share").alias("stale_mark_share"))
+    ep = O.episodes(A.positions(spark, sf_dir), KEY).join(F.broadcast(A.token_prices(spark)), "token_id").where("open_ts <= closed_ts")
+    ep = ep.groupBy("wallet").agg(F.percentile(F.col("closed_ts") - F.col("open_ts"), 0.5).alias("time_to_close"))
+    out = e.join(x, "wallet", "left").join(ep, "wallet", "left")
+    return out.select("wallet", r4(F.col("bond_inventory_ratio") + 1e-9, "bond_inventory_ratio"), r4("unrealized_pnl"), r4(F.col("stale_mark_share") + 1e-9, "stale_mark_share"), r4("time_to_close", "time_to_close_s"))
+
+
 def entry_price_distribution(spark, sf_dir):
     """Share of a wallet's buys in each price decile."""
     b = ledger(spark, sf_dir).where("side = 'BUY'").groupBy("wallet", scalars.price_bucket(F.col("price")).alias("decile")).agg(F.count("*").alias("n"))
@@ -362,7 +375,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fee_estimates, fee_attribution, fee_coverage, enrichment_match, enrichment_resolution, enrichment_coverage, reconciliation_facts,
-        wallet_trust, top_discrepancies, portfolio_value_check, fingerprint_features, entry_price_distribution, resolution_calibration,
+        wallet_trust, top_discrepancies, portfolio_value_check, fingerprint_features, fingerprint_daily_features, entry_price_distribution, resolution_calibration,
         detector_scores, rule_grid_metrics, rule_promotion, rule_candidates, watchlist, wallet_alerts, closed_cycle_score,
         lifecycle_rollup, wallets_in_both, ledger_page, token_cooccurrence, activity_pivot, activity_rank_correlation,
         rolling_fill_means, equity_week_change,
@@ -423,6 +436,9 @@ count(*) FILTER (role IS NULL) AS n_unknown, round(sum(notional), 4) + 0 AS noti
     "top_discrepancies": sql("SELECT wallet, token_id, reason, diff FROM facts WHERE status <> 'pass' ORDER BY diff DESC, wallet, token_id LIMIT 20", POSITIONS, A._LAST, A._PRICES, _FACTS),
     "portfolio_value_check": sql("SELECT wallet, round(l, 4) + 0 AS local, round(v, 4) + 0 AS venue, coalesce(abs(l - v) / nullif(abs(v), 0), 1) <= 0.02 AS within_band FROM (SELECT wallet, sum(coalesce(local, 0)) AS l, sum(coalesce(venue, 0)) AS v FROM facts GROUP BY 1)", POSITIONS, A._LAST, A._PRICES, _FACTS),
     "fingerprint_features": sql("SELECT * FROM features", POSITIONS, A._EPISODES, _FEES, _FINGER),
+    "fingerprint_daily_features": "WITH eq AS (" + A.ORACLE["daily_equity"] + "), ex AS (" + A.ORACLE["exposures_daily"] + "), ep AS (" + sql("SELECT wallet, median(closed_ts - open_ts) AS t FROM episodes JOIN prices USING (token_id) WHERE open_ts <= closed_ts GROUP BY 1", POSITIONS, A._EPISODES, A._PRICES) + """)
+SELECT wallet, round(ratio + 1e-9, 4) + 0 AS bond_inventory_ratio, round(u, 4) + 0 AS unrealized_pnl, round(st + 1e-9, 4) + 0 AS stale_mark_share, round(t, 4) + 0 AS time_to_close_s
+FROM (SELECT wallet, arg_max(unrealized, day) AS u, avg(stale_share) AS st FROM eq GROUP BY 1) LEFT JOIN (SELECT wallet, avg(b / s) AS ratio FROM (SELECT wallet, day, sum(abs(bond)) AS b, sum(abs(bond) + abs(directional)) AS s FROM ex GROUP BY 1, 2) WHERE s > 0 GROUP BY 1) USING (wallet) LEFT JOIN ep USING (wallet)""",
     "entry_price_distribution": sql("SELECT wallet, least(floor(price * 10), 9)::BIGINT AS decile, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY wallet), 4) AS share FROM ledger WHERE side = 'BUY' GROUP BY 1, 2"),
     "resolution_calibration": sql("SELECT decile, count(*) AS n, round(avg(res_price), 4) AS win_rate, (decile + 0.5) / 10 AS implied, round(avg(res_price) - (decile + 0.5) / 10, 4) + 0 AS edge FROM (SELECT least(floor(price * 10), 9)::BIGINT AS decile, res_price FROM ledger JOIN prices USING (token_id) WHERE side = 'BUY') GROUP BY 1", A._PRICES).replace("(decile + 0.5) / 10", "(decile + 0.5::DOUBLE) / 10"),
     "detector_scores": sql("""SELECT wallet, scope, detector, round(s / nullif(w, 0), 4) AS score, round(w / a, 4) AS confidence, n_signals FROM (SELECT wallet, scope, detector, sum(CASE WHEN value IS NOT NULL THEN greatest(0, least(1, CASE WHEN half IS NOT NULL THEN value / (value + half) ELSE value END)) * weight ELSE 0 END) AS s,
