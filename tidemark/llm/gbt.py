@@ -54,7 +54,7 @@ def fit(
     ridge: float = 1.0,
 ) -> Trees:
     """Fit by Newton boosting of the logistic loss. No rows, or rows of one class, give a constant score."""
-    x = np.asarray(x, np.float64).reshape(len(y), -1)
+    x = np.asarray(x, np.float64)
     y = np.asarray(y, np.float64)
     rate_1 = np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98)
     base = float(np.log(rate_1 / (1 - rate_1)))
