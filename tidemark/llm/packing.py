@@ -4,15 +4,16 @@ A document of n tokens becomes ``n // limit`` pieces of the limit and one piece
 first. Every piece is a sequence of its own, its length is a power of two, and sequences of one length share a bucket,
 so a batch needs no padding and no sequence crosses documents. The work is one pass without a shuffle.
 
-Tokens come from the given ``tokenizers`` file. A text is cut where the file's byte-level pre-tokenizer always cuts
-(before a space or line feed that stands alone between other characters), and the ids of each cut are remembered, so
-common words are looked up and only new ones go through the model.
+Tokens come from the given ``tokenizers`` file. Its byte-level pre-tokenizer always cuts before a single space that is
+followed by another character, and between a letter or digit and a punctuation mark; so the ids of words are remembered
+and joined, and only new words go through the model.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,28 +24,72 @@ from pyspark.sql import types as T
 
 LIMIT, END = 2048, 1
 _CUTS = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)")
+_SPACES = re.compile(r" \s| \Z")
+_MARKS = re.compile(r"(.*[^\W_])([.,;:!?#$%&*|]+)\Z", re.S)
+
+
+def _letters() -> dict[int, int]:
+    """Byte-level names: printable Latin-1 bytes stand for themselves, the others for the characters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + n for n, b in enumerate(hidden)}
 
 
 class Encoder(dict):
-    """Ids of pieces of text as little-endian 32-bit bytes, remembered for at most ``most`` pieces."""
+    """Ids of words, each with a space before it, as little-endian 32-bit bytes; at most ``most`` are remembered."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.most, self.tokenizer = most, Tokenizer.from_file(path)  # the parts below belong to it
         self.cut, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.letters, self.bare = _letters(), {}
+        probe = "\u00e9\u03a9\u4e2d\U00010400a"
+        self.plain = self.cut.pre_tokenize_str(f" {probe}") == [(self.name(f" {probe}"), (0, len(probe) + 1))]
+
+    def name(self, text: str) -> str:
+        return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece that begins and ends at cuts."""
+        if self.plain and (piece.isalpha() or piece[:1] == " " and piece[1:].isalpha()):  # one part
+            parts = [self.name(piece)]
+        else:
+            parts = [part for part, _ in self.cut.pre_tokenize_str(piece)]
+        return array("I", [token.id for part in parts for token in self.model.tokenize(part)]).tobytes()
+
+    def again(self, piece: str) -> bytes:
+        """As ``piece``, remembered: for marks and the first words of lines."""
+        value = self.bare.get(piece)
+        if value is None:
+            if len(self.bare) >= self.most // 5:
+                self.bare.clear()
+            value = self.bare[piece] = self.piece(piece)
+        return value
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = [token.id for part, _ in self.cut.pre_tokenize_str(piece) for token in self.model.tokenize(part)]
-        value = np.array(ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = value
+        if marks := _MARKS.match(word):
+            value = self[marks[1]] + self.again(marks[2])
+        elif "\n" in word and (lines := word.split("\n")) == word.split():  # single line feeds, no other white space
+            value = self[lines[0]] + b"".join(self.again("\n") + self.again(x) for x in lines[1:])
+        else:
+            value = self.piece(" " + word)
+        if len(word) <= 64:
+            self[word] = value
         return value
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _CUTS.split(text))) if text else b""
+        if not text:
+            return b""
+        if _SPACES.search(text):  # runs of white space: cut at single spaces only
+            return b"".join(self[p[1:]] if p[:1] == " " and p[1:2].strip() else self.piece(p) for p in _CUTS.split(text))
+        first, *rest = text.split(" ")
+        return b"".join([self.piece(first) if first else b"", *map(self.__getitem__, rest)])
+
+
+_ENCODERS: dict[str, Encoder] = {}  # one for each tokenizer file, for all tasks of a worker
 
 
 def pieces(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
@@ -82,7 +127,7 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, Encoder(tokenizer_path))
         for batch in batches:
             rows: list[tuple] = []
             own: list[np.ndarray] = []
