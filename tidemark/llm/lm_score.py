@@ -4,7 +4,8 @@ Documents are dealt to segments of a few million characters. A segment's distinc
 counts, go to the count tables: hash partitions whose number grows with the corpus, each of which adds up the counts of
 its n-grams. The totals are joined back to the segment that asked for them, the segment's n-grams are scored, and the
 scores are summed for each document. An n-gram is named by the first ``48 + log2(partitions)`` bits of its hash, and is
-sent once for a segment however often it occurs there, so a very common n-gram is no hot key.
+sent once for a segment however often it occurs there, so a very common n-gram is no hot key. Names travel sorted, as
+compressed differences.
 
 Counts leave out the document that is scored, so a text is never its own evidence.
 """
@@ -18,6 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,13 +67,14 @@ def _grams(texts: list, order: int, kept: int) -> tuple[np.ndarray, np.ndarray,
     return out, doc, place
 
 
-def _planes(rest: np.ndarray) -> bytes:
-    """Sorted 48-bit numbers as six planes of bytes, the highest first: the first planes compress to almost nothing."""
-    return np.ascontiguousarray(rest.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes()
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers below 2**48 as planes of bytes, the highest first, compressed: planes of small numbers cost nothing."""
+    planes = np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(6, -1)
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(6, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, 2:] = planes.T
     return out.view(">u8").ravel().astype(np.uint64)
@@ -126,22 +129,22 @@ def score(
             {
                 "_bucket": pa.array(found.astype(np.int32)),
                 "_segment": pa.array([table.column("_segment")[0].as_py()] * len(found), pa.int32()),
-                "_names": pa.array([_planes(inside[a:b]) for a, b in parts], pa.binary()),
-                "_counts": pa.array([counts[a:b].astype("<u4").tobytes() for a, b in parts], pa.binary()),
+                "_names": pa.array([_packed(np.diff(inside[a:b], prepend=np.uint64(0))) for a, b in parts], pa.binary()),
+                "_counts": pa.array([_packed(counts[a:b]) for a, b in parts], pa.binary()),
             }
         )
 
     def add_up(table: pa.Table) -> pa.Table:
-        names = [_from_planes(x) for x in table.column("_names").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("_counts").to_pylist()])
+        names = [np.cumsum(_unpacked(x)) for x in table.column("_names").to_pylist()]
+        counts = np.concatenate([_unpacked(x) for x in table.column("_counts").to_pylist()])
         _, code = np.unique(np.concatenate(names), return_inverse=True)
-        totals = np.bincount(code, counts)[code].astype("<u8")
+        totals = np.bincount(code, counts)[code].astype(np.uint64)
         edges = np.append(0, np.cumsum([len(x) for x in names]))
         return pa.table(
             {
                 "_bucket": table.column("_bucket"),
                 "_segment": table.column("_segment"),
-                "_totals": pa.array([totals[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
+                "_totals": pa.array([_packed(totals[a:b]) for a, b in zip(edges, edges[1:])], pa.binary()),
             }
         )
 
@@ -161,7 +164,7 @@ def score(
         unseen = np.zeros(len(doc), bool)
         if len(doc):
             answer = answer.sort_by("_bucket")
-            totals = np.concatenate([np.frombuffer(x, "<u8") for x in answer.column("_totals").to_pylist()]).astype(np.float64)
+            totals = np.concatenate([_unpacked(x) for x in answer.column("_totals").to_pylist()]).astype(np.float64)
             real = np.flatnonzero(grams.ravel() > 0)
             # one stable sort puts equal n-grams together, and within them those of each document
             real = real[np.argsort(grams.ravel()[real], kind="stable")]
