@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, line_dedup, near_dedup, packing, quality
 from tidemark.llm.common import ready, table
 
+#: Similarity in percent from which documents are near-duplicates of each other in this job.
+NEAR_PERCENT = 80
 #: Ids of removed documents are broadcast up to this number; beyond it the documents are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -44,7 +46,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates."""
-    found = near_dedup.near_duplicates(docs)
+    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT)
     return _without(docs, found.where("_id != component_id").select(F.col("_id").alias("doc_id")))
 
 

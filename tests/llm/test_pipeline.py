@@ -36,6 +36,33 @@ def test_stages_on_odd_rows(spark):
             assert out.count() >= 0, name
 
 
+def _shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+
+def test_near_copies_from_four_fifths_on_go(spark):
+    docs = []
+    for g in range(30):
+        w = [f"g{g}w{k}" for k in range(104)]  # 100 shingles; each changed word inside takes 5 of them
+        docs.append((3 * g, " ".join(w)))
+        changed = {k: f"new{g}x{k}" for k in (20, 50)}  # 90 of 110 shingles shared: 0.818
+        docs.append((3 * g + 1, " ".join(changed.get(k, x) for k, x in enumerate(w))))
+        changed = {k: f"far{g}x{k}" for k in (10, 40, 70)}  # 85 of 115 shared: 0.739
+        docs.append((3 * g + 2, " ".join(changed.get(k, x) for k, x in enumerate(w))))
+    sets = {i: _shingles(t) for i, t in docs}
+    group = {i: i for i in sets}
+    for i in sets:
+        for k in sets:
+            if i < k and 100 * len(sets[i] & sets[k]) >= 80 * len(sets[i] | sets[k]):
+                a, b = group[i], group[k]
+                group = {x: min(a, b) if y in (a, b) else y for x, y in group.items()}
+    want = sorted(i for i in sets if group[i] == i)
+    assert len(want) == 60
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, DIR).collect()) == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
