@@ -37,10 +37,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand elsewhere before; ``n_chars`` follows the text."""
-    done = line_dedup.dedup_lines(docs)
-    done = done.where((F.col("n_removed") == 0) | (F.trim("text") != "") | F.col("text").isNull())
+    done = line_dedup.dedup_lines(docs, passages=True)
+    done = done.where((F.col("removed_lines") == 0) | (F.trim("text") != "") | F.col("text").isNull())
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(docs.columns)
 
 

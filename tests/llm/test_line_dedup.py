@@ -61,3 +61,43 @@ def test_nulls_repeats_and_long_lines(spark):
     # the row without an id sorts first and keeps the passage; equal rows get the same result
     assert texts == sorted([(-1, f"z\n{long}"), (1, "a"), (2, "b\nc"), (2, "b\nc"), (3, None), (4, ""), (5, "")], key=repr)
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_passages_of_two_to_six_short_lines(spark):
+    docs, kept = [], {}
+    for n in range(2, 7):
+        for g in range(6):  # 60 words or more in lines of under 50; blank lines beside some
+            passage = "\n".join(" ".join(f"p{n}g{g}l{k}w{w}" for w in range(120 // n if n > 2 else 40)) for k in range(n))
+            for c in range(4):
+                i = len(docs)
+                gap = "\n\n" if c % 2 else "\n"
+                own = [f"own {i} a\nown {i} b", f"own {i} c\nown {i} d"]
+                docs.append((i, own[0] + gap + passage + gap + own[1]))
+                kept[i] = (passage, c == 0, own)
+    short = "few words\nof two lines"
+    docs += [(900 + i, f"x {i}\n{short}\nu {i}\nv {i}") for i in range(3)] + [(990, None), (991, ""), (None, "z\n" + kept[0][0])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in L.dedup_lines(df, passages=True).collect()}
+    first = got[None].text
+    for i, (passage, stays, own) in kept.items():
+        left = got[i].text
+        lines = set(passage.split("\n")) & set(left.split("\n"))
+        assert all(part in left for part in own)
+        if passage in first:  # the row without an id sorts first
+            assert not lines
+        else:
+            assert passage in left if stays else not lines, (i, left)
+        assert got[i].removed_chars == len(dict(docs)[i]) - len(left)
+        assert got[i].removed_lines == dict(docs)[i].count("\n") - left.count("\n")
+    assert got[990].text is None and got[991].text == ""
+    plain = {r.doc_id: r.text for r in L.dedup_lines(df).collect()}
+    assert any(set(p.split("\n")) & set(plain[i].split("\n")) for i, (p, stays, _) in kept.items() if not stays)
+
+
+def test_repeats_within_a_text_leave_one(spark):
+    line = "a b c d e f"
+    docs = [(1, "\n".join([line] * 40)), (2, "\n".join([line] * 40)), (2, "\n".join([line] * 40)), (3, "one line")]
+    out = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), passages=True).collect()
+    texts = sorted((r.doc_id, r.text) for r in out)
+    assert line in texts[0][1] and texts[0][1].count(line) <= 3
+    assert texts[1:] == [(2, ""), (2, ""), (3, "one line")]

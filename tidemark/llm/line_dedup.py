@@ -7,6 +7,10 @@ that can be removed have at least two lines or are such a long line. Their 64-bi
 corpus; only chunks whose hash occurs again are compared byte by byte, by grouping on their text. The occurrence in the
 smallest (doc_id, text hash, chunk number) stays.
 
+A passage of a few short lines often has no chunk that its own text fixes. ``passages`` therefore also removes runs of
+lines whose every two lines in a row stand before elsewhere, of ``long_words`` words or more: such a run is bounded by
+its own ends, whatever the lines beside it. Pairs of lines are compared by 128 bits of hash.
+
 The plan never gathers a group: counts and minima are combined before the shuffle, and hot chunks meet only in
 sort-merge joins that adaptive execution can split.
 """
@@ -77,17 +81,77 @@ def chunks_of(text, long_words: int = LONG_WORDS):
     return _let(_lines(text), of_lines)
 
 
+def _pairs_again(texts: DataFrame) -> DataFrame:
+    """For each text with pairs of lines that occur again: numbers of those that stand before (``_later``) and of the others (``_early``)."""
+
+    def pairs(lines):
+        def pair(i):
+            a, b = F.get(lines, i), F.get(lines, i + 1)
+            return F.struct(i.alias("k"), F.xxhash64(a, b).alias("p"), F.xxhash64(b, F.lit(1), a).alias("q"))
+
+        return F.when(F.size(lines) > 1, F.transform(F.sequence(F.lit(0), F.size(lines) - 2), pair))
+
+    key = F.struct(F.col("_id"), F.col("_h"), F.col("_k"))
+    marks = texts.select("_id", "_h", F.explode(_let(F.split("_text", "\n", -1), pairs)).alias("_c"))
+    marks = cut(marks.select("_id", "_h", F.col("_c.k").alias("_k"), F.col("_c.p").alias("_p"), F.col("_c.q").alias("_q")))
+    first = marks.groupBy("_p", "_q").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where("_first != _last")
+    later = key != F.col("_first")
+    found = marks.join(first.select("_p", "_q", "_first"), ["_p", "_q"]).groupBy("_id", "_h")
+    found = found.agg(F.collect_set(F.when(later, F.col("_k"))).alias("_later"), F.collect_set(F.when(~later, F.col("_k"))).alias("_early"))
+    return found.where(F.size("_later") > 0).withColumn("_later", F.array_sort("_later"))
+
+
+def _kept_between(lines, later, early, long_words: int):
+    """``lines`` without the runs of pairs ``later`` (sorted) of enough words; lines of a pair in ``early`` without a blank line stay."""
+    none = F.array().cast("array<int>")
+
+    def words(a, b):
+        of = F.transform(F.slice(lines, a + 1, b - a + 1), lambda x: F.when(F.trim(x["line"]) == "", 0).otherwise(x["words"]))
+        return F.aggregate(of, F.lit(0), lambda n, x: n + x)
+
+    starts = F.filter(later, lambda x, j: (j == 0) | (F.get(later, j - 1) != x - 1))
+    ends = F.filter(later, lambda x, j: (j == F.size(later) - 1) | (F.coalesce(F.get(later, j + 1), F.lit(-1)) != x + 1))
+
+    def stays(k):
+        both = [F.coalesce(F.trim(F.get(lines, i)["line"]) != "", F.lit(False)) for i in (k, k + 1)]
+        return (F.array_contains(early, k) & both[0] & both[1]).cast("int")
+
+    def run(a, b):  # of lines; the words are those of the whole run
+        return F.struct(
+            (a + stays(a - 1)).alias("a"),
+            (b + 1 - stays(b + 1)).alias("b"),
+            words(a, b + 1).alias("words"),
+        )
+
+    runs = F.filter(F.zip_with(starts, ends, run), lambda r: (r["words"] >= long_words) & (r["a"] <= r["b"]))
+
+    def between(runs):
+        def piece(j):
+            start = F.when(j > 0, F.get(runs, j - 1)["b"] + 1).otherwise(F.lit(0))
+            end = F.when(j < F.size(runs), F.get(runs, j)["a"]).otherwise(F.size(lines))
+            return F.slice(lines, start + 1, F.greatest(end - start, F.lit(0)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), piece))
+
+    return F.when(F.size(F.coalesce(later, none)) > 0, _let(runs, between)).otherwise(lines)
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     long_words: int = LONG_WORDS,
+    passages: bool = False,
 ) -> DataFrame:
     """``docs`` with the text without repeated chunks, and ``n_chunks``, ``n_removed``, ``removed_lines``, ``removed_chars``.
 
     Chunks repeated within one document count too. Rows that repeat both id and text are one document: each of them
     gets that document's result. A null id sorts before all others. Null texts stay null; a text of which nothing is
     left becomes empty. Other columns are kept as they are; the four result columns replace columns of these names.
+
+    With ``passages``, repeated runs of lines go too, also where chunks miss them. The first occurrence of a pair of
+    lines (without a blank one) that occurs again stays whole, and every line that goes stands before. ``n_removed`` counts the chunks that
+    went whole as such; ``removed_lines`` and ``removed_chars`` count all that went.
     """
     key = F.struct(F.col("_id"), F.col("_h"), F.col("_k"))
     base = docs.withColumn("_h", F.xxhash64(F.col(text_col)))
@@ -110,11 +174,16 @@ def dedup_lines(
     first = held.groupBy("_t").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where("_first != _last")
     gone = held.join(first.select("_t", "_first"), "_t").where(key != F.col("_first"))
     gone = gone.groupBy("_id", "_h").agg(F.collect_set("_k").alias("_gone"))
+    if passages:
+        gone = gone.withColumns({"_later": F.array().cast("array<int>"), "_early": F.array().cast("array<int>")})
+        runs = _pairs_again(texts).withColumn("_gone", F.array().cast("array<int>"))
+        every = gone.unionByName(runs).groupBy("_id", "_h")  # a row of each at most
+        gone = every.agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("_gone", "_later", "_early")))
 
     same = [F.col(f"a.{id_col}").eqNullSafe(F.col("b._id")), F.col("a._h") == F.col("b._h")]
     made = ["n_chunks", "n_removed", "removed_lines", "removed_chars"]
     plain = base.drop(*(c for c in made if c != text_col and c != id_col))
-    out = plain.alias("a").join(gone.alias("b"), same, "left").select("a.*", "b._gone")
+    out = plain.alias("a").join(gone.alias("b"), same, "left").select("a.*", *(f"b.{c}" for c in gone.columns[2:]))
     out = out.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
 
     def rebuilt(chunks):
@@ -126,7 +195,31 @@ def dedup_lines(
             lines.alias("lines"),
         )
 
-    out = out.withColumn("_out", _let(chunks_of(F.col(text_col), long_words), rebuilt))
+    def of_lines(chunks):
+        """As ``rebuilt``, with the runs of lines taken out too."""
+
+        def of_chunk(c, k):
+            gone = F.array_contains(F.col("_gone"), k)
+            return F.transform(
+                F.split(c["text"], "\n", -1),
+                lambda x: F.struct(x.alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"), gone.alias("gone")),
+            )
+
+        def taken(lines):
+            left = F.filter(_kept_between(lines, F.col("_later"), F.col("_early"), long_words), lambda x: ~x["gone"])
+
+            def counted(left):
+                return F.struct(
+                    F.array_join(F.transform(left, lambda x: x["line"]), "\n").alias("text"),
+                    F.size(chunks).cast("long").alias("n"),
+                    (F.size(lines) - F.size(left)).cast("long").alias("lines"),
+                )
+
+            return _let(left, counted)
+
+        return _let(F.flatten(F.transform(chunks, of_chunk)), taken)
+
+    out = out.withColumn("_out", _let(chunks_of(F.col(text_col), long_words), of_lines if passages else rebuilt))
     removed = {
         "n_chunks": F.coalesce("_out.n", F.lit(0)),
         "n_removed": F.size("_gone").cast("long"),
@@ -134,7 +227,7 @@ def dedup_lines(
         "removed_chars": F.coalesce(F.length(text_col) - F.length("_out.text"), F.lit(0)).cast("long"),
         text_col: F.when(F.col(text_col).isNotNull(), F.col("_out.text")),
     }
-    return out.withColumns(removed).drop("_h", "_gone", "_out")
+    return out.withColumns(removed).drop("_h", "_gone", "_later", "_early", "_out")
 
 
 ORACLE = r"""
