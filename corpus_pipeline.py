@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from tidemark.llm.common import ready, table
+from tidemark.llm.common import cut, ready, table
 
 #: Similarity in percent from which documents are near-duplicates of each other in this job.
 NEAR_PERCENT = 80
@@ -21,11 +21,16 @@ NEAR_PERCENT = 80
 BROADCAST_IDS = 500_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` whose id is not among ``ids``; null ids stay."""
-    ids = ids.select("doc_id").distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key ``_row`` of each row, for ids that are null or repeated. The same in each scan of written files."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
+def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """``keyed`` without the given rows, and without the key."""
+    rows = rows.select("_row").distinct()
+    few = rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return keyed.join(F.broadcast(rows) if few else rows, "_row", "left_anti").drop("_row")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,15 +50,23 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT)
-    return _without(docs, found.where("_id != component_id").select(F.col("_id").alias("doc_id")))
+    """The document with the smallest id of each group of near-duplicates; one without an id only if none has an id."""
+    keyed = _keyed(docs)
+    found = near_dedup.near_duplicates(keyed, id_col="_row", percent=NEAR_PERCENT)
+    found = cut(found.select(F.col("_id").alias("_row"), F.col("component_id").alias("_group")))
+    others = found.where("_row != _group")
+    heads = others.select("_group").distinct().select(F.col("_group").alias("_row"), "_group")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    members = others.unionByName(heads).join(keyed.select("_row", "doc_id"), "_row").withColumn("_rank", rank)
+    best = members.groupBy("_group").agg(F.min("_rank").alias("_best"))
+    return _without(keyed, members.join(best, "_group").where("_rank._row != _best._row"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an occurrence of a ten-word window of the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("n_hit > 0 and doc_id is not null").select("doc_id"))
+    keyed = _keyed(docs)
+    found = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="_row")
+    return _without(keyed, found.where("n_hit > 0").select(F.col("doc_id").alias("_row")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

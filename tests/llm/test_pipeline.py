@@ -63,6 +63,22 @@ def test_near_copies_from_four_fifths_on_go(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, DIR).collect()) == want
 
 
+def test_rows_with_null_and_repeated_ids(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    near = " ".join(f"near{k}" for k in range(60))
+    hit = "so said " + spark.read.parquet(f"{DIR}/benchmark.parquet").where("item_id is not null").first().text + " and more"
+    rows = [(None, near), (None, near), (7, near), (7, near), (5, "clean one of id five"), (5, near), (None, "only one"), (8, None), (8, None)]
+    path = str(tmp_path / "near")
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema).repartition(3).write.parquet(path)
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(path), DIR).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted([(5, near), (5, "clean one of id five"), (None, "only one"), (8, None), (8, None)], key=repr)
+    rows = [(None, hit), (None, "clean"), (1, hit), (1, "clean too"), (2, None)]
+    path = str(tmp_path / "hits")
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema).repartition(3).write.parquet(path)
+    out = corpus_pipeline.drop_contaminated(spark, spark.read.parquet(path), DIR).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted([(None, "clean"), (1, "clean too"), (2, None)], key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
