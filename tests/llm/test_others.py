@@ -61,6 +61,24 @@ def test_page_text(spark):
     assert [(r.page_id, r.n_chars) for r in out] == [(1, len(text)), (2, 0), (2, 0)]
 
 
+def test_page_text_in_wrappers():
+    body = "<h1>Head</h1><p>First, of the article, with commas.</p><p>" + "Long, plain text. " * 30 + "</p>"
+    want = "Head\nFirst, of the article, with commas.\n" + " ".join("Long, plain text. ".split() * 30)
+    nav = '<nav><a href="/">Home</a></nav><div class="main-sidebar"><p>Aside, from, it.</p></div><div id="site-footer">Foot, of it.</div>'
+    for wrap in (
+        'div class="content-sidebar-wrap"', 'div class="layout has-sidebar"', 'div class="elementor-widget-container"', 'div class="notice-board"',
+        "form method=post action=./x.aspx id=aspnetForm", 'div class="widget"', 'section data-title="The hidden valley"', 'div data-url="/hidden-gems"',
+        "div aria-label='Hidden costs'", 'div data-hidden="false"', 'div data-class="ad" data-style="display:none"', "div title=hidden",
+    ):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"):
+            page = f"<html><body>{nav}<{wrap}>{inner}</{wrap.split()[0]}></body></html>"
+            assert html_extract.extract(page)[0] == want, (wrap, inner[:9])
+    parts = "".join(f'<div class="elementor-widget-container"><p>{t}</p></div>' for t in ["Part, " * 40] * 4)
+    assert html_extract.extract(f"<body>{nav}{parts}</body>")[0].count("Part,") == 160
+    readers = '<section id="comments">' + '<article class="comment"><p>I, too, think so, and say it at length, again.</p></article>' * 30 + "</section>"
+    assert html_extract.extract(f"<body><div class='story'>{body}</div>{readers}<p hidden>Gone</p><form>Mail <input></form></body>")[0] == want
+
+
 def test_arc_versions_become_warc():
     block = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\nbody\n\nhttp://not.a.header 1 2 3 4\n"
     for version in "12":

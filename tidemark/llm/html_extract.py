@@ -4,7 +4,8 @@ A page becomes a tree of elements and a list of blocks of text. Every block pass
 to its parent, half of them to the grandparent, less to those above; a container's points are discounted by the share of
 its text that stands in links. The best container, or the article around it, is kept with those of its siblings that
 score well. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out
-by their tags, roles, classes and ids wherever they stand.
+by their tags, roles, classes and ids wherever they stand, but never an element that alone holds the page's article or
+main, or most of the text outside links.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import types as T
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_ATTRIBUTES = frozenset("class id role hidden aria-hidden style".split())
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
@@ -33,14 +35,18 @@ _LEFT_OUT_TAGS = frozenset("nav footer aside form button select dialog menu head
 _LEFT_OUT_ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split()
 )
-#: Words of classes and ids that mark what is not the article.
-_LEFT_OUT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|newsletter|"
+#: Words that mark what is not the article: a class or an id that consists of them, of words of place and of numbers.
+_LEFT_OUT_WORD = (
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|newsletter|"
     r"subscri\w+|signup|login|sidebar\w*|rail|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|siteheader|"
     r"comments?|commentlist|disqus\w*|respond|replies|reactions|shar(?:e|ing)|social|related|recommended|popup|modal|"
-    r"overlay|widget|pagination|pager|skip|toolbar|disclaimer)(?:$|[\s_-]|\d)",
-    re.I,
+    r"overlay|widget|pagination|pager|skip|toolbar|disclaimer)"
+)
+_PLACE_WORD = r"(?:site|page|main|header|top|bottom|left|right|global|primary|secondary|area|bar|block|box|body|items?|links?|lists?|buttons?|posts?|section|slot|unit)"
+_LEFT_OUT_WORDS = re.compile(
+    rf"(?<!\S)[_-]*(?:(?:{_PLACE_WORD}|\d+)[_-]+)*{_LEFT_OUT_WORD}\d*(?:[_-]+(?:{_LEFT_OUT_WORD}|{_PLACE_WORD}|\d+)\d*)*[_-]*(?!\S)".replace(r"\w", "[^\\W_]"), re.I
 )
+_OF_READERS = re.compile(r"(?<![^\W_])(?:comments?|commentlist|disqus\w*|respond|replies|reactions)(?![^\W\d_])", re.I)
 _GOOD_WORDS = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
 _CLOSED_BY = {  # a start tag of the key ends an open element of these
     "li": {"li"},
@@ -56,11 +62,15 @@ _START_SCORES = {"article": 25, "main": 25, "section": 5, "div": 5, "pre": 3, "t
 
 
 class _Page:
-    """Elements as parallel lists, and blocks (text, element, link characters, left out)."""
+    """Elements as parallel lists, and blocks (text, element, link characters, left out).
+
+    ``out`` is 0 for elements that are not marked to be left out, 1 for those marked by words or as a form, and 2 for
+    the others. While a page is read, a block has its innermost element in place of whether it is left out.
+    """
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.out, self.words = ["#root"], [-1], [False], [""]
-        self.blocks: list[tuple[str, int, int, bool]] = []
+        self.tag, self.parent, self.out, self.words = ["#root"], [-1], [0], [""]
+        self.blocks: list[tuple[str, int, int, int]] = []
         self.title = ""
         self.stack = [0]
         self.run: list[str] = []
@@ -73,7 +83,7 @@ class _Page:
                 at = self.stack[-1]
                 while self.tag[at] in _INLINE:
                     at = self.parent[at]
-                self.blocks.append((text, at, self.linked, self.out[self.stack[-1]]))
+                self.blocks.append((text, at, self.linked, self.stack[-1]))
             self.run, self.linked = [], 0
 
     def pop_to(self, depth: int) -> None:
@@ -94,19 +104,25 @@ class _Page:
         found = {}
         if attributes.strip(" /\n\t\r"):
             for m in _ATTRIBUTE.finditer(attributes):
-                found.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+                if (name := m[1].lower()) in _ATTRIBUTES:
+                    found.setdefault(name, (m[2] or "").strip("\"'"))
         words = f"{found.get('class', '')} {found.get('id', '')}"
         up = self.stack[-1]
-        out = (
-            self.out[up]
-            or tag in _LEFT_OUT_TAGS
-            or found.get("role", "").lower() in _LEFT_OUT_ROLES
+        out = 0
+        if (
+            tag in _LEFT_OUT_TAGS
+            and tag != "form"
+            or found.get("role", "").lower() in _LEFT_OUT_ROLES - {"form"}
             or "hidden" in found
             or found.get("aria-hidden", "").lower() == "true"
             or "display:none" in found.get("style", "").replace(" ", "").lower()
-            or tag not in ("html", "body", "article", "main") and bool(_LEFT_OUT_WORDS.search(words))
             or tag == "header" and not any(self.tag[i] in ("article", "main") for i in self.stack)
-        )
+        ):
+            out = 2
+        elif tag == "form" or found.get("role", "").lower() == "form":
+            out = 1
+        elif tag not in ("html", "body", "article", "main") and _LEFT_OUT_WORDS.search(words):
+            out = 2 if _OF_READERS.search(words) else 1
         self.tag.append(tag)
         self.parent.append(up)
         self.out.append(out)
@@ -125,6 +141,40 @@ class _Page:
             self.linked += len(piece)
 
 
+def _decide(page: _Page) -> None:
+    """Say of each block whether it is left out, with the marks taken back that would lose the article."""
+    marked = [()] * len(page.tag)  # marked elements from each element up, innermost first
+    story = [False] * len(page.tag)
+    for e in range(len(page.tag)):
+        up = page.parent[e]
+        if up >= 0:
+            marked[e], story[e] = marked[up], story[up]
+        if page.out[e]:
+            marked[e] = (e, *marked[e])
+        story[e] = story[e] or page.tag[e] in ("article", "main")
+    kept: set[int] = set()
+    if any(page.out):
+        plain = [(len(text) - 2 * link if len(text) > 2 * link else 0, own) for text, _, link, own in page.blocks]
+        if not any(n and story[own] and not marked[own] for n, own in plain):
+            # no article in sight: marks above one go, but not those of readers' comments
+            for n, own in plain:
+                if n and story[own]:
+                    e = own
+                    while page.tag[e] not in ("article", "main"):
+                        e = page.parent[e]
+                    if e not in marked[e] and not any(m not in marked[e] for m in marked[own]) and not any(_OF_READERS.search(page.words[m]) for m in marked[e]):
+                        kept.update(marked[e])
+            if not kept:
+                held, total = {}, 0
+                for n, own in plain:
+                    if all(page.out[m] == 1 for m in marked[own]):
+                        total += n
+                        for m in marked[own]:
+                            held[m] = held.get(m, 0) + n
+                kept = {m for m, n in held.items() if 2 * n > total}
+    page.blocks = [(text, at, link, any(m not in kept for m in marked[own])) for text, at, link, own in page.blocks]
+
+
 def _parse(source: str) -> _Page:
     page, at, n = _Page(), 0, len(source)
     while at < n:
@@ -154,6 +204,7 @@ def _parse(source: str) -> _Page:
         else:
             page.start(tag, m[3])
     page.flush()
+    _decide(page)
     return page
 
 
