@@ -73,7 +73,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of all documents that are left, as in the packing query."""
     import public_tokenizers
 
-    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, special=True)
     return packed.withColumnRenamed("_id", "doc_id")
 
 

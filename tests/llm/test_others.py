@@ -177,3 +177,22 @@ def test_packing_round_trip(spark):
     with pytest.raises(ValueError):
         packing.pack(df, path, limit=1000)
     assert packing.pack(df.limit(0), path).count() == 0
+
+
+def test_packing_gives_added_tokens_their_ids(spark, tmp_path):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import queries
+
+    t = Tokenizer.from_file(path)  # in its default state
+    texts = ["<|endoftext|>", "one <|endoftext|> two<|endoftext|>\nthree  four", "plain, with <|endof text|>", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in queries.QUERIES["op10_packing"](spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    assert t.encode(texts[0], add_special_tokens=False).ids == [50256]
+    for i, s in enumerate(texts):
+        ids = t.encode(s or "", add_special_tokens=False).ids + [1]
+        crc = [zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) for a, n in packing.pieces(len(ids))]
+        assert sorted(got[i]) == [(a, n, c, len(ids)) for (a, n), c in zip(packing.pieces(len(ids)), crc)]

@@ -6,7 +6,7 @@ so a batch needs no padding and no sequence crosses documents. The work is one p
 
 Tokens come from the given ``tokenizers`` file. Its byte-level pre-tokenizer always cuts before a single space that is
 followed by another character, and between a letter or digit and a punctuation mark; so the ids of words are remembered
-and joined, and only new words go through the model.
+and joined, and only new words go through the model. Texts that hold one of the file's added tokens are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ class Encoder(dict):
         self.most, self.tokenizer = most, Tokenizer.from_file(path)  # the parts below belong to it
         self.cut, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.letters, self.bare = _letters(), {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         probe = "\u00e9\u03a9\u4e2d\U00010400a"
         self.plain = self.cut.pre_tokenize_str(f" {probe}") == [(self.name(f" {probe}"), (0, len(probe) + 1))]
 
@@ -80,9 +81,11 @@ class Encoder(dict):
             self[word] = value
         return value
 
-    def ids(self, text: str) -> bytes:
+    def ids(self, text: str, special: bool = False) -> bytes:
         if not text:
             return b""
+        if special and any(map(text.__contains__, self.added)):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if _SPACES.search(text):  # runs of white space: cut at single spaces only
             return b"".join(self[p[1:]] if p[:1] == " " and p[1:2].strip() else self.piece(p) for p in _CUTS.split(text))
         first, *rest = text.split(" ")
@@ -111,11 +114,12 @@ def pack(
     limit: int = LIMIT,
     end_id: int = END,
     with_ids: bool = True,
+    special: bool = False,
 ) -> DataFrame:
     """One row for each piece: ``_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked, ``ids``.
 
     A document is the ids of its text (a null text is empty) and then ``end_id``; special tokens written out in a text
-    are ordinary text. Each row of ``docs`` is packed by itself, also if its id is null or repeated. ``length`` is the
+    are ordinary text, or with ``special`` have their own ids, as the tokenizer's ``encode`` gives by default. Each row of ``docs`` is packed by itself, also if its id is null or repeated. ``length`` is the
     bucket. ``sequence_id`` is unique within the result.
     """
     if limit & (limit - 1):
@@ -140,7 +144,7 @@ def pack(
                 return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
             for i, text in enumerate(batch.column(1).to_pylist()):
-                raw = encoder.ids(text or "") + end
+                raw = encoder.ids(text or "", special) + end
                 view, n = memoryview(raw), len(raw) // 4
                 for start, length in pieces(n, limit):
                     part = view[4 * start : 4 * (start + length)]
