@@ -68,3 +68,29 @@ def test_inventory_cycling_by_hand():
     out = simulate.fold_inventory_cycling(rows)
     assert out["buys"] == 2 and out["merged"] == 10 and out["profit"] == pytest.approx(1) and out["left0"] == out["left1"] == 0
     assert simulate.fold_inventory_cycling([])["buys"] == 0
+
+
+def test_stream_dedupe_over_many_unordered_files(spark, tmp_path):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming import flows
+
+    rows = [(k * 10 + i, dt.datetime(2024, 3, 1) - dt.timedelta(days=k), 1, "view", 1.0, "{}") for k in range(40) for i in range(3)]
+    df = spark.createDataFrame(rows, flows.EVENTS)
+    df.repartitionByRange(40, F.desc("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    assert [tuple(r) for r in flows.stream_dedupe(spark, str(tmp_path)).collect()] == [("view", 120, 120)]
+
+
+def test_strategy_search_covers_every_wallet(spark):
+    from tidemark.plans import simulate
+
+    path = "/root/testdata/sf0.001"
+    every = {r.wallet for r in simulate.decisions(spark, path).select("wallet").distinct().collect()}
+    out = simulate.strategy_search(spark, path).collect()
+    assert len(every) > 3 and {r.wallet for r in out} <= every and not {r.wallet for r in out} <= {"w1", "w2", "w3"}
+    by = {}
+    for r in out:
+        by.setdefault(r.wallet, []).append(r["rank"])
+    assert all(sorted(x) == list(range(1, len(x) + 1)) for x in by.values())

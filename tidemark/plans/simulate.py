@@ -166,17 +166,17 @@ def sim_inventory_cycling(spark, sf_dir):
 
 
 def strategy_search(spark, sf_dir):
-    """Grid of spread thresholds on train and validation; the survivors ranked by their worse split, tested once."""
+    """Grid of spread thresholds of every wallet on train and validation; the survivors ranked by their worse split, tested once."""
     d = B._split_dataset(spark, sf_dir).select("id", "split")
-    rows = decisions(spark, sf_dir).join(d, "id").where("wallet in ('w1', 'w2', 'w3')")
+    rows = decisions(spark, sf_dir).join(d, "id")
     rows = rows.withColumn("min_spread", F.explode(F.array(*(F.lit(float(x)) for x in (100, 200, 400, 800)))))
     rows = rows.withColumn("scenario", F.explode(F.array(F.lit("medium"), F.lit("conservative"))))
     r = _simulate(rows, _KEYS).withColumn("pnl", F.col("realized") + F.col("unrealized"))
-    g = r.groupBy("scenario", "min_spread").pivot("split", ["train", "validation", "test"]).agg(F.sum("pnl").alias("pnl"), F.sum("fills").alias("fills"), F.max("drawdown").alias("drawdown"))
+    g = r.groupBy("wallet", "scenario", "min_spread").pivot("split", ["train", "validation", "test"]).agg(F.sum("pnl").alias("pnl"), F.sum("fills").alias("fills"), F.max("drawdown").alias("drawdown"))
     worse = F.least("train_pnl", "validation_pnl") - 0.5 * F.greatest("train_drawdown", "validation_drawdown") - F.abs(F.col("train_pnl") - F.col("validation_pnl")) / 10
     g = g.withColumn("score", F.round(worse, 6)).withColumn("passes", (F.col("train_fills") > 0) & (F.col("validation_fills") > 0))
-    order = Window.orderBy(F.desc("passes"), F.desc("score"), F.desc("train_fills"), "scenario", "min_spread")  # the grid's rows
-    return g.select("scenario", "min_spread", r4("train_pnl"), r4("validation_pnl"), r4("test_pnl"), r4("score"), F.row_number().over(order).alias("rank"))
+    order = Window.partitionBy("wallet").orderBy(F.desc("passes"), F.desc("score"), F.desc("train_fills"), "scenario", "min_spread")  # the grid's rows
+    return g.select("wallet", "scenario", "min_spread", r4("train_pnl"), r4("validation_pnl"), r4("test_pnl"), r4("score"), F.row_number().over(order).alias("rank"))
 
 
 def search_holdout_breakdown(spark, sf_dir):
