@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-6
+#: Most that the logarithm of a product of ratios falls within a block of a running cost.
+BLOCK = 300.0
 
 
 def _ordered(keys: list[str], *order):
@@ -34,6 +36,10 @@ def running_positions(stream: DataFrame, keys: list[str]) -> DataFrame:
     leaves no cost. The cost is affine in what it was before, so it is a running sum scaled by running products between
     the rows where it starts anew. Added columns: ``qty_before, qty, cost_before, cost, realized``. Negative quantities
     are kept as they are.
+
+    The products shrink without bound over a long history, so they are taken in blocks in each of which they fall by
+    at most ``exp(-BLOCK)``; a block starts with the cost at the end of the one before. What an even earlier block adds to
+    that is below 1e-100 of it, because a quantity above the dust can't fall that far without being bought again.
     """
     delta = F.expr("CASE kind WHEN 'add' THEN shares WHEN 'remove' THEN -shares ELSE 0 END")
     out = stream.withColumn("_seg", F.sum(F.expr("CASE kind WHEN 'reset' THEN 1 ELSE 0 END")).over(upto(keys)))
@@ -42,14 +48,19 @@ def running_positions(stream: DataFrame, keys: list[str]) -> DataFrame:
     partial = (F.col("kind") == "remove") & (F.col("qty_before") > 0) & (F.col("qty") > EPSILON)
     out = out.withColumn("_a", F.when(F.col("kind") == "add", 1.0).when(partial, F.col("qty") / F.col("qty_before")).otherwise(0.0))
     out = out.withColumn("_g", F.sum(F.when(F.col("_a") == 0, 1).otherwise(0)).over(upto(keys)))
-    held = upto([*keys, "_g"])
-    out = out.withColumn("_lp", F.sum(F.when(F.col("_a") > 0, F.ln("_a")).otherwise(0.0)).over(held))
+    out = out.withColumn("_lp", F.sum(F.when(F.col("_a") > 0, F.ln("_a")).otherwise(0.0)).over(upto([*keys, "_g"])))
+    out = out.withColumn("_b", F.floor(-F.col("_lp") / BLOCK)).withColumn("_l", F.col("_lp") + F.col("_b") * BLOCK)
+    inside = upto([*keys, "_g", "_b"])
     bought = F.when(F.col("kind") == "add", F.col("usdc")).otherwise(0.0)
-    out = out.withColumn("cost", F.exp("_lp") * F.sum(bought * F.exp(-F.col("_lp"))).over(held))
+    out = out.withColumn("_own", F.exp("_l") * F.sum(bought * F.exp(-F.col("_l"))).over(inside))
+    out = out.withColumn("_last", F.lag(F.struct("_lp", "_own")).over(_ordered([*keys, "_g"])))
+    out = out.withColumn("_from", F.first("_last").over(inside))
+    carried = F.col("_from._own") * F.exp(F.col("_lp") - F.col("_from._lp"))
+    out = out.withColumn("cost", F.col("_own") + F.coalesce(carried, F.lit(0.0)))
     out = out.withColumn("cost_before", F.coalesce(F.lag("cost").over(_ordered(keys)), F.lit(0.0)))
     realized = F.when(F.col("qty_before") > 0, F.col("usdc") - F.col("cost_before") + F.col("cost")).otherwise(F.col("usdc"))
     out = out.withColumn("realized", F.when(F.col("kind") != "add", realized).otherwise(0.0))
-    return out.drop("_seg", "_a", "_g", "_lp")
+    return out.drop("_seg", "_a", "_g", "_lp", "_b", "_l", "_own", "_last", "_from")
 
 
 def episodes(positions: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,9 +70,7 @@ def episodes(positions: DataFrame, keys: list[str]) -> DataFrame:
     Resets without an open episode are no episode.
     """
     closes = (F.col("kind") == "reset") | (F.col("kind") == "remove") & (F.abs("qty") <= EPSILON)
-    out = positions.withColumn("_closes", closes)
-    number = F.coalesce(F.sum(F.when(F.col("_closes"), 1).otherwise(0)).over(before(keys)), F.lit(0))
-    out = out.withColumn("episode", number.cast("long"))
+    out = episode_events(positions, keys).withColumn("_closes", closes)
     out = out.withColumn("_nth", F.row_number().over(_ordered([*keys, "episode"])))
     add, remove = F.col("kind") == "add", F.col("kind") == "remove"
     part = remove & (F.col("qty_before") > 0) & (F.col("shares") <= F.col("qty_before")) & ~F.col("_closes")
@@ -74,13 +83,19 @@ def episodes(positions: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(add & (F.col("_nth") > 1)).alias("num_adds"),
         F.count_if(part).alias("num_partial_exits"),
         F.sum(F.when(F.col("qty_before") > 0, F.col("realized")).otherwise(0.0)).alias("realized_pnl"),
-        F.array_sort(F.collect_list(F.struct("ts", "id"))).alias("_events"),
+        F.count("*").alias("n_events"),
         F.count_if(F.col("kind") != "reset").alias("_moves"),
     )
     reason = F.when(F.col("_closed") == 0, "open").when(F.col("_last") == "reset", "resolution").otherwise("flat")
     grouped = grouped.where("_moves > 0").withColumn("close_reason", reason)
-    grouped = grouped.withColumn("events_consumed", F.transform("_events", lambda e: e["id"]))
-    return grouped.drop("_last", "_closed", "_moves", "_events")
+    return grouped.drop("_last", "_closed", "_moves")
+
+
+def episode_events(positions: DataFrame, keys: list[str]) -> DataFrame:
+    """``positions`` with the number of the episode that consumed each row; joins to ``episodes`` on keys and ``episode``."""
+    closes = (F.col("kind") == "reset") | (F.col("kind") == "remove") & (F.abs("qty") <= EPSILON)
+    number = F.coalesce(F.sum(F.when(closes, 1).otherwise(0)).over(before(keys)), F.lit(0))
+    return positions.withColumn("episode", number.cast("long"))
 
 
 def asof_backward(
@@ -174,16 +189,21 @@ def sessions(df: DataFrame, keys: list[str], gap: int, ts: str = "ts", tie: str
     return df.withColumn("_starts", starts).withColumn("session", F.sum("_starts").over(upto(keys, ts, tie))).drop("_starts")
 
 
-def nearest_rank(value: str, q: float) -> Column:
-    """Aggregate: the value at index floor((n - 1) * q) of the sorted values; no interpolation."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.get(ordered, F.floor((F.count(value) - 1) * F.lit(q)).cast("int"))
+def ranked_values(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], half_even: bool = False) -> DataFrame:
+    """For each key the value at index floor((n - 1) * q) of its sorted non-null values; no interpolation.
+
+    With ``half_even`` the index is rounded, half to even. Values are counted before they are ordered, so a key's rows are
+    never gathered; its distinct values are one window.
+    """
+    by_value = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    run, total = F.sum("_n").over(upto(keys, value)), F.sum("_n").over(Window.partitionBy(*keys))
+    out = by_value.withColumns({"_run": run, "_total": total})
 
+    def index(q: float) -> Column:
+        place = (F.col("_total") - 1) * F.lit(q)
+        return F.bround(place, 0) if half_even else F.floor(place)
 
-def rounded_rank(value: str, q: float) -> Column:
-    """Aggregate: the value at index round((n - 1) * q), half to even."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.get(ordered, F.bround((F.count(value) - 1) * F.lit(q), 0).cast("int"))
+    return out.groupBy(*keys).agg(*(F.min(F.when(F.col("_run") > index(q), F.col(value))).alias(n) for n, q in qs.items()))
 
 
 def weighted_percentiles(df: DataFrame, keys: list[str], value: str, weight: str, qs: dict[str, float]) -> DataFrame:

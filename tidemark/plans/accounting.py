@@ -132,23 +132,41 @@ def holdings_negative_runs(spark, sf_dir):
 
 def episodes_flat_to_flat(spark, sf_dir):
     e = O.episodes(positions(spark, sf_dir), KEY)
-    return e.select(*KEY, "episode", "open_ts", "close_ts", "close_reason", r4("peak_qty"), "num_adds", "num_partial_exits", r4("realized_pnl"), F.size("events_consumed").cast("long").alias("n_events"))
+    return e.select(*KEY, "episode", "open_ts", "close_ts", "close_reason", r4("peak_qty"), "num_adds", "num_partial_exits", r4("realized_pnl"), "n_events")
 
 
 def episode_stats(spark, sf_dir):
     e = O.episodes(positions(spark, sf_dir), KEY).withColumn("d", F.when(F.col("close_reason") != "open", F.col("close_ts") - F.col("open_ts")))
-    return e.groupBy("wallet").agg(
+    ranks = O.ranked_values(e, ["wallet"], "d", {"p50_s": 0.5, "p90_s": 0.9})
+    g = e.groupBy("wallet").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("close_reason") == "open").alias("n_open"),
         F.count_if(F.col("close_reason") == "flat").alias("n_flat"),
         F.count_if(F.col("close_reason") == "resolution").alias("n_resolution"),
         F.min("d").alias("min_s"),
-        O.nearest_rank("d", 0.5).alias("p50_s"),
-        O.nearest_rank("d", 0.9).alias("p90_s"),
         F.max("d").alias("max_s"),
         r4(F.percentile("d", 0.5), "median_s"),
         r4(F.try_divide(F.count_if(F.col("d") <= 60), F.count("d")), "micro_share"),
     )
+    return g.join(ranks, "wallet", "left")
+
+
+def long_history_moves(spark, sf_dir):
+    """One endless position for each of three wallets: ten bought once, then nine sold and nine bought again and again."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    wallet = F.concat(F.lit("h"), F.col("user_id") % 3)
+    n = F.row_number().over(Window.partitionBy(wallet).orderBy("event_id"))
+    e = e.select(F.col("event_id").alias("id"), wallet.alias("wallet"), F.lit("t0").alias("token_id"), n.alias("n"), F.col("event_id").alias("ts"))
+    price = (F.col("id") * 37 % 98 + 1) / F.lit(100.0)
+    shares = F.when(F.col("n") == 1, 10.0).otherwise(9.0)
+    return e.select("id", "wallet", "token_id", "ts", F.when(F.col("n") % 2 == 1, "add").otherwise("remove").alias("kind"), shares.alias("shares"), (shares * price).alias("usdc"), F.lit("TRADE").alias("event_type"), F.lit("c0").alias("condition_id"))
+
+
+def holdings_long_history(spark, sf_dir):
+    """Cost over histories whose running product of ratios falls below any double."""
+    p = O.running_positions(long_history_moves(spark, sf_dir), KEY)
+    g = p.groupBy(*KEY).agg(F.count("*").alias("n"), F.max_by(F.struct("qty", "cost"), "id").alias("s"), F.sum("realized").alias("realized"), F.max("cost").alias("most"))
+    return g.select(*KEY, "n", r4("s.qty", "qty"), r4("s.cost", "cost"), r4("realized"), r4("most", "largest_cost"))
 
 
 def token_prices(spark):
@@ -255,7 +273,7 @@ QUERIES = {
         ledger_event_counts, ledger_totals_roi, wallet_stage_event_rollup, market_search_activity, dedupe_duplicate_index,
         fanout_unmapped_conditions, missing_metadata_anti, running_inventory_edge, holdings_wac, holdings_negative_runs,
         episodes_flat_to_flat, episode_stats, derived_redeem_payouts, derived_settlements, pnl_decomposition_scoped,
-        daily_equity, exposures_daily, event_exposure_netting,
+        daily_equity, exposures_daily, event_exposure_netting, holdings_long_history,
     )
 }
 
@@ -283,7 +301,14 @@ exposure AS (SELECT wallet, d.condition_id, day, coalesce(max(qty) FILTER (outco
    FROM daily d JOIN tokens t USING (token_id) GROUP BY 1, 2, 3 HAVING abs(coalesce(max(qty) FILTER (outcome_index = 0), 0)) > 1e-6 OR abs(coalesce(max(qty) FILTER (outcome_index = 1), 0)) > 1e-6)"""
 
 
+_LONG = """
+lm1 AS (SELECT event_id AS id, 'h' || (user_id % 3) AS wallet, 't0' AS token_id, event_id AS ts, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS n FROM events),
+lm2 AS (SELECT *, CASE WHEN n = 1 THEN 10.0 ELSE 9.0 END::DOUBLE AS shares FROM lm1),
+moves AS (SELECT id, wallet, token_id, ts, CASE WHEN n % 2 = 1 THEN 'add' ELSE 'remove' END AS kind, shares, shares * ((id * 37 % 98 + 1) / 100.0::DOUBLE) AS usdc FROM lm2)"""
+
 ORACLE = {
+    "holdings_long_history": "WITH " + (_LONG + "," + POSITIONS).strip() + """
+SELECT wallet, token_id, count(*) AS n, round(arg_max(qty, id), 4) + 0 AS qty, round(arg_max(cost, id), 4) + 0 AS cost, round(sum(realized), 4) + 0 AS realized, round(max(cost), 4) + 0 AS largest_cost FROM positions GROUP BY 1, 2""",
     "ledger_event_counts": sql("SELECT wallet, event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM ledger GROUP BY 1, 2"),
     "ledger_totals_roi": sql("""SELECT wallet, round(b, 4) + 0 AS bought, round(s, 4) + 0 AS sold, round(o, 4) + 0 AS other, round(s + o - b, 4) + 0 AS net, round((s + o - b) / nullif(b, 0), 4) + 0 AS roi
 FROM (SELECT wallet, -sum(CASE WHEN side = 'BUY' THEN delta_usdc ELSE 0 END) AS b, sum(CASE WHEN side = 'SELL' THEN delta_usdc ELSE 0 END) AS s,

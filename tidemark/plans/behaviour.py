@@ -161,10 +161,12 @@ def fingerprint_features(spark, sf_dir):
     ep = ep.withColumn("category", F.coalesce("category", F.lit("unclassified")))
     ep = ep.withColumn("d", F.when(F.col("close_reason") != "open", F.col("close_ts") - F.col("open_ts")))
     g = _scoped(ep).groupBy("wallet", "scope").agg(
-        F.count("*").alias("episodes"), O.nearest_rank("d", 0.5).cast("double").alias("p50"), O.nearest_rank("d", 0.9).cast("double").alias("p90"),
+        F.count("*").alias("episodes"),
         F.count_if(F.col("d") <= 60).alias("micro"), F.count("d").alias("closed"), F.avg("num_adds").alias("adds"), F.avg("num_partial_exits").alias("exits"),
         F.avg("peak_qty").alias("avg_size"), F.median("peak_qty").alias("median_size"), F.sum("realized_pnl").alias("pnl"),
     )
+    ranks = O.ranked_values(_scoped(ep).withColumn("d", F.col("d").cast("double")), ["wallet", "scope"], "d", {"p50": 0.5, "p90": 0.9})
+    g = g.join(ranks, ["wallet", "scope"], "left")
     n = ep.groupBy("wallet", "category").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("wallet"))
     hhi = n.withColumn("s", F.col("n") / total).groupBy("wallet").agg(F.sum(F.col("s") * F.col("s")).alias("hhi")).withColumn("scope", F.lit("all"))

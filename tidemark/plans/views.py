@@ -41,7 +41,10 @@ p3 AS (SELECT *, coalesce(lag(qty) OVER ({_KEY}), 0) AS qty_before FROM p2),
 p4 AS (SELECT *, CASE WHEN kind = 'add' THEN 1.0 WHEN kind = 'remove' AND qty_before > 0 AND qty > 1e-6 THEN qty / qty_before ELSE 0.0 END::DOUBLE AS a FROM p3),
 p5 AS (SELECT *, sum(CASE WHEN a = 0 THEN 1 ELSE 0 END) OVER ({_KEY} ROWS UNBOUNDED PRECEDING) AS g FROM p4),
 p6 AS (SELECT *, sum(CASE WHEN a > 0 THEN ln(a) ELSE 0 END) OVER (PARTITION BY wallet, token_id, g ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS lp FROM p5),
-p7 AS (SELECT *, exp(lp) * sum(CASE WHEN kind = 'add' THEN usdc ELSE 0 END * exp(-lp)) OVER (PARTITION BY wallet, token_id, g ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS cost FROM p6),
+p6b AS (SELECT *, floor(-lp / 300) AS b, lp + floor(-lp / 300) * 300 AS l FROM p6),
+p6c AS (SELECT *, exp(l) * sum(CASE WHEN kind = 'add' THEN usdc ELSE 0 END * exp(-l)) OVER (PARTITION BY wallet, token_id, g, b ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS own FROM p6b),
+p6d AS (SELECT *, lag(lp) OVER h AS plp, lag(own) OVER h AS pown FROM p6c WINDOW h AS (PARTITION BY wallet, token_id, g ORDER BY ts, id)),
+p7 AS (SELECT *, own + coalesce(first_value(pown) OVER h * exp(lp - first_value(plp) OVER h), 0) AS cost FROM p6d WINDOW h AS (PARTITION BY wallet, token_id, g, b ORDER BY ts, id ROWS UNBOUNDED PRECEDING)),
 p8 AS (SELECT *, coalesce(lag(cost) OVER ({_KEY}), 0) AS cost_before FROM p7),
 positions AS (SELECT *, CASE WHEN kind = 'add' THEN 0 WHEN qty_before > 0 THEN usdc - cost_before + cost ELSE usdc END AS realized FROM p8)"""
 
