@@ -1,13 +1,12 @@
 """Stupid-backoff scores of documents under the n-gram counts of the whole corpus.
 
-Documents are dealt to segments of a few million characters. A segment's distinct n-grams of all orders, with their
-counts, go to the count tables: hash partitions whose number grows with the corpus, each of which adds up the counts of
-its n-grams. The totals are joined back to the segment that asked for them, the segment's n-grams are scored, and the
-scores are summed for each document. An n-gram is named by the first ``48 + log2(partitions)`` bits of its hash, and is
-sent once for a segment however often it occurs there, so a very common n-gram is no hot key. Names travel sorted, as
-compressed differences.
-
-Counts leave out the document that is scored, so a text is never its own evidence.
+Documents are dealt to segments of a few million characters. The distinct n-grams of a segment, with their counts in it,
+travel to hash partitions as one row for each segment and partition; there they are exploded to n-gram rows, whose
+counts over all segments are the count table, and each row gets its n-gram's count from it. The counts go back to the
+segment that asked, and the scores of the words are summed for each document. An n-gram crosses once for a segment however
+often it occurs there, so a very common one is no hot key. Partitions grow with the corpus.
+
+N-grams are named by 64 bits of hash. Counts leave out the document that is scored, so a text is never its own evidence.
 """
 
 from __future__ import annotations
@@ -19,12 +18,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_REST = 48  # bits of a name within its partition
+#: Distinct n-grams of all segments that a hash partition holds, about.
+PARTITION_GRAMS = 1_000_000
 _ODD = np.random.RandomState(9).randint(0, 2**63, 16, np.int64).astype(np.uint64) | np.uint64(1)
 
 
@@ -49,7 +48,7 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def _grams(texts: list, order: int, kept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grams(texts: list, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names of the n-grams that end at each word (a row for each order, 0 where there is none), each word's document
     and its place in it."""
     words = [_words(t) for t in texts]
@@ -62,24 +61,10 @@ def _grams(texts: list, order: int, kept: int) -> tuple[np.ndarray, np.ndarray,
     run = np.zeros(total, np.uint64)
     for n in range(order):
         run[n:] += h[: total - n] * _ODD[n]
-        name = np.maximum(_mixed(run + _ODD[8 + n]) >> np.uint64(64 - kept), np.uint64(1))
-        out[n] = np.where(place >= n, name, np.uint64(0))
+        out[n] = np.where(place >= n, np.maximum(_mixed(run + _ODD[8 + n]), np.uint64(1)), np.uint64(0))
     return out, doc, place
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Numbers below 2**48 as planes of bytes, the highest first, compressed: planes of small numbers cost nothing."""
-    planes = np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T)
-    return zstandard.ZstdCompressor(level=1).compress(planes)
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(6, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, 2:] = planes.T
-    return out.view(">u8").ravel().astype(np.uint64)
-
-
 def _sizes(docs: DataFrame) -> tuple[int, int]:
     """Characters and words of all texts."""
 
@@ -93,6 +78,48 @@ def _sizes(docs: DataFrame) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
+def _asked(dealt: DataFrame, order: int, partitions: int) -> DataFrame:
+    """``_segment, _part, _grams, _n``: each segment's distinct n-grams in order and their counts, by hash partition."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        grams, _, _ = _grams(table.column("_text").to_pylist(), order)
+        names, counts = np.unique(grams[grams > 0], return_counts=True)
+        part = (names % np.uint64(partitions)).astype(np.int32)
+        by_part = np.argsort(part, kind="stable")
+        part, starts = np.unique(part[by_part], return_index=True)
+        edges = pa.array(np.append(starts, len(names)).astype(np.int32))
+        return pa.table(
+            {
+                "_segment": pa.array([table.column("_segment")[0].as_py()] * len(part), pa.int32()),
+                "_part": pa.array(part),
+                "_grams": pa.ListArray.from_arrays(edges, pa.array(names[by_part].view(np.int64))),
+                "_n": pa.ListArray.from_arrays(edges, pa.array(counts[by_part].astype(np.int32))),
+            }
+        )
+
+    return dealt.groupBy("_segment").applyInArrow(ask, "_segment int, _part int, _grams array<long>, _n array<int>")
+
+
+def exploded(asked: DataFrame, partitions: int) -> DataFrame:
+    """``_part, _segment, _k, _gram, _n``: one row for each n-gram of each segment, dealt by hash partition."""
+    placed = asked.repartition(partitions, "_part")
+    each = placed.select("_part", "_segment", F.posexplode(F.arrays_zip("_grams", "_n")).alias("_k", "_g"))
+    return each.select("_part", "_segment", "_k", F.col("_g._grams").alias("_gram"), F.col("_g._n").alias("_n"))
+
+
+def _answers(grams: DataFrame) -> DataFrame:
+    """``_segment, _part, _totals``: the count of each n-gram that a segment asked for, in its order.
+
+    An n-gram's rows of all segments lie in one hash partition, so its entry of the count table is made and joined back
+    to them by one window there; neither side is shuffled again.
+    """
+    total = F.sum("_n").over(Window.partitionBy("_part", "_gram"))
+    joined = grams.withColumn("_total", total)
+    ordered = F.array_sort(F.collect_list(F.struct("_k", "_total")))
+    back = joined.groupBy("_part", "_segment").agg(ordered.alias("_all"))
+    return back.select("_segment", "_part", F.transform("_all", lambda x: x["_total"]).alias("_totals"))
+
+
 def score(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -107,47 +134,14 @@ def score(
     document, times ``backoff`` for every order given up; a word seen nowhere else counts as ``backoff`` occurrences among
     all words of the others. Words are lower-cased A-Z and split at ASCII white space. Null and empty texts have no words
     and a log score of 0. Rows are scored each by itself, also if their id is null or repeated; a text that occurs twice
-    is evidence for its copy.
+    is evidence for its copy. Segments are dealt by the rows' places in ``docs``, so copies of a text spread over them.
     """
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     chars, corpus = _sizes(own)
     segments = max(1, math.ceil(chars / segment_chars))
-    bits = min(24, max(0, math.ceil(math.log2(max(1, chars * order / 6 / 4_000_000)))))
-    rest = min(_REST, 64 - bits)
-    kept = bits + rest
-    dealt = own.withColumn("_segment", F.pmod(F.xxhash64("_id", "_text"), F.lit(segments)).cast("int"))
-
-    def ask(table: pa.Table) -> pa.Table:
-        grams, _, _ = _grams(table.column("_text").to_pylist(), order, kept)
-        names, counts = np.unique(grams[grams > 0], return_counts=True)
-        bucket = (names >> np.uint64(rest)).astype(np.int64)
-        found, starts = np.unique(bucket, return_index=True)
-        edges = np.append(starts, len(names))
-        inside = names & np.uint64(2**rest - 1)
-        parts = list(zip(edges, edges[1:]))
-        return pa.table(
-            {
-                "_bucket": pa.array(found.astype(np.int32)),
-                "_segment": pa.array([table.column("_segment")[0].as_py()] * len(found), pa.int32()),
-                "_names": pa.array([_packed(np.diff(inside[a:b], prepend=np.uint64(0))) for a, b in parts], pa.binary()),
-                "_counts": pa.array([_packed(counts[a:b]) for a, b in parts], pa.binary()),
-            }
-        )
-
-    def add_up(table: pa.Table) -> pa.Table:
-        names = [np.cumsum(_unpacked(x)) for x in table.column("_names").to_pylist()]
-        counts = np.concatenate([_unpacked(x) for x in table.column("_counts").to_pylist()])
-        _, code = np.unique(np.concatenate(names), return_inverse=True)
-        totals = np.bincount(code, counts)[code].astype(np.uint64)
-        edges = np.append(0, np.cumsum([len(x) for x in names]))
-        return pa.table(
-            {
-                "_bucket": table.column("_bucket"),
-                "_segment": table.column("_segment"),
-                "_totals": pa.array([_packed(totals[a:b]) for a, b in zip(edges, edges[1:])], pa.binary()),
-            }
-        )
-
+    partitions = max(1, math.ceil(chars * order / 6 / PARTITION_GRAMS))
+    segment = F.pmod(F.xxhash64("_id", "_text", F.monotonically_increasing_id()), F.lit(segments)).cast("int")
+    dealt = own.withColumn("_segment", segment)
     schema = T.StructType(
         [
             T.StructField("_id", docs.schema[id_col].dataType),
@@ -158,18 +152,20 @@ def score(
     )
 
     def sum_up(table: pa.Table, answer: pa.Table) -> pa.Table:
-        grams, doc, place = _grams(table.column("_text").to_pylist(), order, kept)
+        grams, doc, place = _grams(table.column("_text").to_pylist(), order)
         sizes = np.bincount(doc, minlength=len(table))
         total = np.zeros(len(doc))
         unseen = np.zeros(len(doc), bool)
         if len(doc):
-            answer = answer.sort_by("_bucket")
-            totals = np.concatenate([_unpacked(x) for x in answer.column("_totals").to_pylist()]).astype(np.float64)
+            totals = answer.sort_by("_part").column("_totals").combine_chunks().flatten().to_numpy().astype(np.float64)
             real = np.flatnonzero(grams.ravel() > 0)
-            # one stable sort puts equal n-grams together, and within them those of each document
+            # stable sorts put equal n-grams together in the order of the answers, and within them those of each document
             real = real[np.argsort(grams.ravel()[real], kind="stable")]
+            real = real[np.argsort(grams.ravel()[real] % np.uint64(partitions), kind="stable")]
             name, owner = grams.ravel()[real], doc[real % len(doc)]
             fresh = np.append(True, name[1:] != name[:-1])
+            if fresh.sum() != len(totals):
+                raise ValueError("the answers are not those of this segment's n-grams")
             mine = np.cumsum(fresh | np.append(True, owner[1:] != owner[:-1])) - 1
             seen = np.zeros(grams.size)
             seen[real] = totals[np.cumsum(fresh) - 1] - np.bincount(mine)[mine]
@@ -195,9 +191,8 @@ def score(
             }
         )
 
-    asked = dealt.groupBy("_segment").applyInArrow(ask, "_bucket int, _segment int, _names binary, _counts binary")
-    added = asked.groupBy("_bucket").applyInArrow(add_up, "_bucket int, _segment int, _totals binary")
-    return dealt.groupBy("_segment").cogroup(added.groupBy("_segment")).applyInArrow(sum_up, schema)
+    answers = _answers(exploded(_asked(dealt, order, partitions), partitions))
+    return dealt.groupBy("_segment").cogroup(answers.groupBy("_segment")).applyInArrow(sum_up, schema)
 
 
 ORACLE = r"""
