@@ -1,11 +1,15 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of elements and a list of blocks of text. Every block passes points for its length and its commas
-to its parent, half of them to the grandparent, less to those above; a container's points are discounted by the share of
-its text that stands in links. The best container, or the article around it, is kept with those of its siblings that
+to its parent, half of them to the grandparent and half again to each above; a container's points are discounted by the
+share of its text that stands in links. The best container, or the article around it, is kept with those of its siblings that
 score well. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out
 by their tags, roles, classes and ids wherever they stand, but never an element that alone holds the page's article or
 main, or most of the text outside links.
+
+Reading and scoring take time in proportion to the page's length, whatever its markup: open elements are found by tag
+without walking up, scores and marks are added up once from the leaves to the root, and after a quote that is never
+closed tags end at the next ``>``.
 """
 
 from __future__ import annotations
@@ -19,9 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_IN_TAG = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _ATTRIBUTES = frozenset("class id role hidden aria-hidden style".split())
 
@@ -62,17 +65,19 @@ _START_SCORES = {"article": 25, "main": 25, "section": 5, "div": 5, "pre": 3, "t
 
 
 class _Page:
-    """Elements as parallel lists, and blocks (text, element, link characters, left out).
+    """Elements as parallel lists, and blocks (text, element, link characters, innermost element).
 
     ``out`` is 0 for elements that are not marked to be left out, 1 for those marked by words or as a form, and 2 for
-    the others. While a page is read, a block has its innermost element in place of whether it is left out.
+    the others. ``stack`` holds the open elements, ``solid`` the depths in it of those that are not inline, and ``open``
+    the depths of each tag.
     """
 
     def __init__(self) -> None:
         self.tag, self.parent, self.out, self.words = ["#root"], [-1], [0], [""]
         self.blocks: list[tuple[str, int, int, int]] = []
         self.title = ""
-        self.stack = [0]
+        self.stack, self.solid = [0], [0]
+        self.open: dict[str, list[int]] = {}
         self.run: list[str] = []
         self.linked = 0
 
@@ -80,34 +85,38 @@ class _Page:
         if self.run:
             text = " ".join(html.unescape("".join(self.run)).split())
             if text:
-                at = self.stack[-1]
-                while self.tag[at] in _INLINE:
-                    at = self.parent[at]
-                self.blocks.append((text, at, self.linked, self.stack[-1]))
+                self.blocks.append((text, self.stack[self.solid[-1]], self.linked, self.stack[-1]))
             self.run, self.linked = [], 0
 
     def pop_to(self, depth: int) -> None:
-        if any(self.tag[i] not in _INLINE for i in self.stack[depth:]):
+        if self.solid[-1] >= depth:
             self.flush()
-        del self.stack[depth:]
+        while self.solid[-1] >= depth:
+            self.solid.pop()
+        while len(self.stack) > depth:
+            self.open[self.tag[self.stack.pop()]].pop()
+
+    def depth_of(self, tags) -> int:
+        """Depth of the innermost open element of the tags, 0 if there is none."""
+        return max((d[-1] for t in tags if (d := self.open.get(t))), default=0)
 
     def start(self, tag: str, attributes: str) -> None:
         if tag not in _INLINE:
             self.flush()
             ended = _CLOSED_BY.get(tag, ())
-            for depth in range(len(self.stack) - 1, 0, -1):
-                t = self.tag[self.stack[depth]]
-                if t in ended or t == "p":
-                    self.pop_to(depth)
-                elif t in _SCOPES.get(tag, ()) or t not in _INLINE and not ended:
+            while True:
+                paragraph = self.solid[-1] if self.tag[self.stack[self.solid[-1]]] == "p" else 0
+                depth = self.depth_of(ended)
+                depth = depth if depth > self.depth_of(_SCOPES.get(tag, ())) else 0
+                if not (depth or paragraph):
                     break
+                self.pop_to(max(depth, paragraph))
         found = {}
         if attributes.strip(" /\n\t\r"):
             for m in _ATTRIBUTE.finditer(attributes):
                 if (name := m[1].lower()) in _ATTRIBUTES:
                     found.setdefault(name, (m[2] or "").strip("\"'"))
         words = f"{found.get('class', '')} {found.get('id', '')}"
-        up = self.stack[-1]
         out = 0
         if (
             tag in _LEFT_OUT_TAGS
@@ -116,7 +125,7 @@ class _Page:
             or "hidden" in found
             or found.get("aria-hidden", "").lower() == "true"
             or "display:none" in found.get("style", "").replace(" ", "").lower()
-            or tag == "header" and not any(self.tag[i] in ("article", "main") for i in self.stack)
+            or tag == "header" and not self.depth_of(("article", "main"))
         ):
             out = 2
         elif tag == "form" or found.get("role", "").lower() == "form":
@@ -124,114 +133,150 @@ class _Page:
         elif tag not in ("html", "body", "article", "main") and _LEFT_OUT_WORDS.search(words):
             out = 2 if _OF_READERS.search(words) else 1
         self.tag.append(tag)
-        self.parent.append(up)
+        self.parent.append(self.stack[-1])
         self.out.append(out)
         self.words.append(words)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag not in _INLINE:
+            self.solid.append(len(self.stack))
         self.stack.append(len(self.tag) - 1)
 
     def end(self, tag: str) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.tag[self.stack[depth]] == tag:
-                self.pop_to(depth)
-                return
+        """Close the innermost element of the tag; an inline one only within its block."""
+        depth = self.depth_of((tag,))
+        if depth and (tag not in _INLINE or depth > self.solid[-1]):
+            self.pop_to(depth)
 
     def text(self, piece: str) -> None:
         self.run.append(piece)
-        if any(self.tag[i] == "a" for i in self.stack[-4:]):
+        if self.open.get("a"):
             self.linked += len(piece)
 
 
-def _decide(page: _Page) -> None:
-    """Say of each block whether it is left out, with the marks taken back that would lose the article."""
-    marked = [()] * len(page.tag)  # marked elements from each element up, innermost first
-    story = [False] * len(page.tag)
-    for e in range(len(page.tag)):
+def _decide(page: _Page) -> list[bool]:
+    """Whether each element is left out, by itself or with one around it; marks that would lose the article are taken back."""
+    n = len(page.tag)
+    mark = [-1] * n  # the innermost marked element, from each element up
+    story = [-1] * n  # the innermost article or main
+    hard, readers = [False] * n, [False] * n  # whether a mark of kind 2, or one of readers' comments, is among them
+    for e in range(n):
         up = page.parent[e]
         if up >= 0:
-            marked[e], story[e] = marked[up], story[up]
+            mark[e], story[e], hard[e], readers[e] = mark[up], story[up], hard[up], readers[up]
         if page.out[e]:
-            marked[e] = (e, *marked[e])
-        story[e] = story[e] or page.tag[e] in ("article", "main")
+            mark[e] = e
+            hard[e] = hard[e] or page.out[e] == 2
+            readers[e] = readers[e] or bool(_OF_READERS.search(page.words[e]))
+        if page.tag[e] in ("article", "main"):
+            story[e] = e
     kept: set[int] = set()
     if any(page.out):
-        plain = [(len(text) - 2 * link if len(text) > 2 * link else 0, own) for text, _, link, own in page.blocks]
-        if not any(n and story[own] and not marked[own] for n, own in plain):
+        plain = [(len(text) - 2 * link, own) for text, _, link, own in page.blocks if len(text) > 2 * link]
+        if not any(story[own] >= 0 and mark[own] < 0 for _, own in plain):
             # no article in sight: marks above one go, but not those of readers' comments
-            for n, own in plain:
-                if n and story[own]:
-                    e = own
-                    while page.tag[e] not in ("article", "main"):
-                        e = page.parent[e]
-                    if e not in marked[e] and not any(m not in marked[e] for m in marked[own]) and not any(_OF_READERS.search(page.words[m]) for m in marked[e]):
-                        kept.update(marked[e])
+            for _, own in plain:
+                e = story[own]
+                if e >= 0 and not page.out[e] and mark[own] == mark[e] and not readers[e]:
+                    m = mark[e]
+                    while m >= 0 and m not in kept:
+                        kept.add(m)
+                        m = mark[page.parent[m]]
             if not kept:
-                held, total = {}, 0
-                for n, own in plain:
-                    if all(page.out[m] == 1 for m in marked[own]):
-                        total += n
-                        for m in marked[own]:
-                            held[m] = held.get(m, 0) + n
-                kept = {m for m, n in held.items() if 2 * n > total}
-    page.blocks = [(text, at, link, any(m not in kept for m in marked[own])) for text, at, link, own in page.blocks]
+                held = [0] * n
+                for size, own in plain:
+                    if not hard[own]:
+                        held[own] += size
+                total = sum(held)
+                for e in range(n - 1, 0, -1):
+                    held[page.parent[e]] += held[e]
+                kept = {e for e in range(n) if page.out[e] and 2 * held[e] > total}
+    out = [False] * n
+    for e in range(n):
+        out[e] = page.parent[e] >= 0 and out[page.parent[e]] or page.out[e] > 0 and e not in kept
+    return out
+
+
+_CLOSERS: dict[str, re.Pattern] = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
+
+
+def _tag_end(source: str, at: int, quotes: bool) -> tuple[int, bool]:
+    """Where the tag that is open at ``at`` ends (0 if it does not), and whether quotes count from there on."""
+    if quotes:
+        if m := _IN_TAG.match(source, at):
+            return m.end(), True
+    end = source.find(">", at)
+    return end + 1, False
 
 
 def _parse(source: str) -> _Page:
-    page, at, n = _Page(), 0, len(source)
+    page, at, n, quotes = _Page(), 0, len(source), True
+    last = source.rfind(">")
     while at < n:
-        m = _TOKEN.search(source, at)
-        if not m:
+        start = source.find("<", at)
+        if start < 0 or start > last:
             page.text(source[at:])
             break
-        if m.start() > at:
-            page.text(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if start > at:
+            page.text(source[at:start])
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = end + 3 if end >= 0 else n
             continue
+        m = _NAME.match(source, start + 1)
+        if not m:
+            if source[start + 1 : start + 2] in ("!", "?", "/"):
+                at = source.find(">", start) + 1
+            else:
+                page.text("<")
+                at = start + 1
+            continue
+        at, quotes = _tag_end(source, m.end(), quotes)
+        tag, attributes = m[2].lower(), source[m.end() : at - 1]
         if m[1]:
             page.end(tag)
         elif tag in _RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            if attributes.endswith("/") and tag in ("svg", "math"):
+                continue
+            close = _CLOSERS[tag].search(source, at)
             if tag == "title" and close and not page.title:
                 page.title = " ".join(html.unescape(source[at : close.start()]).split())
-            if not m[3].endswith("/") or tag not in ("svg", "math"):
-                at = close.end() if close else n
+            at = close.end() if close else n
         elif tag in _VOID:
             if tag in ("br", "wbr", "img"):
                 page.run.append("\n" if tag == "br" else "")
             else:
                 page.flush()
         else:
-            page.start(tag, m[3])
+            page.start(tag, attributes)
     page.flush()
-    _decide(page)
     return page
 
 
-def _kept(page: _Page) -> set[int]:
+def _kept(page: _Page, out: list[bool]) -> set[int]:
     """Elements whose blocks are the article: the best container's and its good siblings'."""
-    score, length, linked = {}, {}, {}
-    for text, at, link, out in page.blocks:
-        if out:
+    n = len(page.tag)
+    points, length, linked, seen = [0.0] * n, [0] * n, [0] * n, [False] * n
+    for text, at, link, own in page.blocks:
+        if out[own]:
             continue
-        points = 1 + text.count(",") + text.count("，") + len(text) / 100
-        share, up = 1.0, at if page.tag[at] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") else page.parent[at]
-        step = 0
-        while up >= 0:
-            if up not in score:
-                score[up] = _START_SCORES.get(page.tag[up], 0) + (10 if _GOOD_WORDS.search(page.words[up]) else 0)
-            score[up] += points * share
-            step += 1
-            share = 0.5 if step == 1 else 1 / (3 * step)
-            up = page.parent[up]
-        up = at
-        while up >= 0:
-            length[up] = length.get(up, 0) + len(text)
-            linked[up] = linked.get(up, 0) + min(link, len(text))
-            up = page.parent[up]
-    if not score:
+        to = at if page.tag[at] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") else page.parent[at]
+        points[to] += 1 + text.count(",") + text.count("，") + len(text) / 100
+        seen[to] = True
+        length[at] += len(text)
+        linked[at] += min(link, len(text))
+    if not any(seen):
         return set()
-    final = {e: s * (1 - linked[e] / max(length[e], 1)) for e, s in score.items()}
+    for e in range(n - 1, 0, -1):  # children stand behind their parents
+        up = page.parent[e]
+        points[up] += points[e] / 2
+        length[up] += length[e]
+        linked[up] += linked[e]
+        seen[up] = seen[up] or seen[e]
+    final = {}
+    for e in range(n):
+        if seen[e]:
+            score = points[e] + _START_SCORES.get(page.tag[e], 0) + (10 if _GOOD_WORDS.search(page.words[e]) else 0)
+            final[e] = score * (1 - linked[e] / max(length[e], 1))
     inner = [e for e in final if page.tag[e] not in ("#root", "html")] or list(final)
     best = max(inner, key=lambda e: (final[e], -e))
     around, up = best, best
@@ -241,8 +286,8 @@ def _kept(page: _Page) -> set[int]:
         up = page.parent[up]
     kept = {around}
     if around == best and page.tag[best] not in ("article", "main", "body"):
-        for e in range(1, len(page.tag)):
-            if page.parent[e] == page.parent[best] and e != best and length.get(e):
+        for e in range(1, n):
+            if page.parent[e] == page.parent[best] and e != best and length[e]:
                 clean = linked[e] / length[e] < 0.25
                 if final.get(e, 0) >= max(10, 0.2 * final[best]) or clean and page.tag[e] in ("p", "h1", "h2", "h3", "blockquote", "pre"):
                     kept.add(e)
@@ -250,19 +295,26 @@ def _kept(page: _Page) -> set[int]:
 
 
 def extract(source: str | None) -> tuple[str, str]:
-    """Main text (blocks joined by one line feed) and title of a page; null and empty pages have neither."""
+    """Main text (blocks joined by one line feed) and title of a page; null and empty pages have neither.
+
+    Very long pages are read whole, in time linear in their length.
+    """
     if not source:
         return "", ""
     page = _parse(source)
-    kept = _kept(page)
+    out = _decide(page)
+    kept = _kept(page, out)
     inside = [False] * len(page.tag)
     for e in range(len(page.tag)):
         inside[e] = e in kept or page.parent[e] >= 0 and inside[page.parent[e]]
-    return "\n".join(t for t, at, _, out in page.blocks if not out and inside[at]), page.title
+    return "\n".join(t for t, at, _, own in page.blocks if not out[own] and inside[at]), page.title
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` without the html column, with ``text``, ``n_chars`` and ``title``. Other columns of these names are replaced."""
+    """``pages`` without the html column, with ``text``, ``n_chars`` and ``title``. Other columns of these names are replaced.
+
+    Pages are read each by itself, also if rows are repeated; a table without rows gives none.
+    """
     rest = [c for c in pages.columns if c not in {html_col, "text", "n_chars", "title"}]
     made = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("title", T.StringType())]
     schema = T.StructType([*(pages.schema[c] for c in rest), *made])
