@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ready
+from tidemark.llm.common import cut, ready
 
 #: Fields of a header line by version, fixed by the format.
 ARC_FIELDS = {
@@ -242,11 +242,15 @@ def page_archives(
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("_payload"),
     )
     own = own.withColumn("_sha", F.sha1("_payload")).withColumn("_size", F.length("_payload"))
-    first = own.where(F.col("_size") >= least_bytes).groupBy("_sha", "_size")
-    first = first.agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null")
-    placed = own.join(first.select("_sha", "_size", "_first"), ["_sha", "_size"], "left")
-    revisits = F.col("_first").isNotNull() & ~F.col("_key").eqNullSafe(F.col("_first"))
-    placed = placed.select("_name", "_url", "_payload", F.when(revisits, F.col("_first").cast("string")).alias("_to"))
+    # what repeats is found without the payloads; a page then gets its target by its own id, so that no payload travels to
+    # the place of its copies
+    keys = cut(own.select("_key", "_sha", "_size").where(F.col("_size") >= least_bytes))
+    first = keys.groupBy("_sha", "_size").agg(F.min("_key").alias("_first"), F.count("*").alias("_n"))
+    first = cut(first.where("_n > 1 and _first is not null").select("_sha", "_size", "_first"))
+    again = keys.join(first, ["_sha", "_size"]).where(~F.col("_key").eqNullSafe(F.col("_first"))).distinct().alias("t")
+    same = F.col("o._key").eqNullSafe(F.col("t._key")) & (F.col("o._sha") == F.col("t._sha")) & (F.col("o._size") == F.col("t._size"))
+    placed = own.alias("o").join(cut(again).alias("t"), same, "left")
+    placed = placed.select("_name", "_url", "_payload", F.col("t._first").cast("string").alias("_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = 0
