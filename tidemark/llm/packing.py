@@ -2,7 +2,9 @@
 
 A document of n tokens becomes ``n // limit`` pieces of the limit and one piece for each bit of the remainder, largest
 first. Every piece is a sequence of its own, its length is a power of two, and sequences of one length share a bucket,
-so a batch needs no padding and no sequence crosses documents. The work is one pass without a shuffle.
+so a batch needs no padding and no sequence crosses documents. Texts are tokenized in one pass without a shuffle; the
+pieces are written to the shared folder and sorted into their buckets, and a sequence's id is its place in that order, so
+it depends on the documents alone and not on how they were dealt.
 
 Tokens come from the given ``tokenizers`` file. Its byte-level pre-tokenizer always cuts before a single space that is
 followed by another character, and between a letter or digit and a punctuation mark; so the ids of words are remembered
@@ -18,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import cut
+
 LIMIT, END = 2048, 1
 _CUTS = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)")
 _SPACES = re.compile(r" \s| \Z")
@@ -114,13 +118,14 @@ def pack(
     limit: int = LIMIT,
     end_id: int = END,
     with_ids: bool = True,
-    special: bool = False,
+    special: bool = True,
 ) -> DataFrame:
     """One row for each piece: ``_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked, ``ids``.
 
     A document is the ids of its text (a null text is empty) and then ``end_id``; special tokens written out in a text
-    are ordinary text, or with ``special`` have their own ids, as the tokenizer's ``encode`` gives by default. Each row of ``docs`` is packed by itself, also if its id is null or repeated. ``length`` is the
-    bucket. ``sequence_id`` is unique within the result.
+    have their own ids, as the tokenizer's ``encode`` gives by default, or are ordinary text without ``special``. Each row of
+    ``docs`` is packed by itself, also if its id is null or repeated. ``length`` is the bucket; ``sequence_id`` counts from 0
+    over the buckets, shortest first, and within a bucket by id (null first), start and content.
     """
     if limit & (limit - 1):
         raise ValueError("the limit must be a power of two")
@@ -157,5 +162,19 @@ def pack(
             if rows:
                 yield flush()
 
-    out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(packed, schema)
-    return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return numbered(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(packed, schema))
+
+
+def numbered(made: DataFrame) -> DataFrame:
+    """Pieces in their buckets, each a sequence with its place in the order of all as ``sequence_id``.
+
+    The sort deals ranges of pieces to partitions; a partition's first id is the number of pieces in those before it, of
+    which there is one row each.
+    """
+    placed = cut(made).sort("length", "_id", "start", "ids_crc32", "doc_tokens")
+    placed = cut(placed.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_nth").alias("_from"))
+    ahead = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")  # one row for each partition of the sort
+    starts = F.broadcast(sizes.select("_part", (ahead - F.col("_from")).alias("_shift")))
+    out = placed.join(starts, "_part").withColumn("sequence_id", F.col("_nth") + F.col("_shift"))
+    return out.drop("_part", "_nth", "_shift").withColumn("offset", F.lit(0).cast("long"))
