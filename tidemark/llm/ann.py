@@ -1,8 +1,9 @@
 """Nearest neighbours by vantage-point trees, one for each shard of the vectors.
 
-Vectors are dealt by a hash to shards of about ``shard_rows``; queries travel to every shard in blocks of at most
-``block_rows``, so a task holds one shard and one block whatever the size of the table. In a task the tree halves its
-points by their distance to a vantage point until ``leaf_rows`` are left, and all queries of the block walk it together.
+Vectors are dealt by a hash to shards of about ``shard_rows``, each vector to one; queries travel to every shard. A shard's
+vectors come first, become its tree once, and the queries stream through it in blocks of at most ``block_rows``, so a task
+holds one shard and one block whatever the size of the table. The tree halves its points by their distance to a vantage
+point until ``leaf_rows`` are left, and all queries of a block walk it together.
 A subtree whose distances to the vantage point lie in [low, high] holds nothing nearer to the query than
 max(d - high, low - d); it is left out if ``factor`` times this bound exceeds the query's k-th distance so far. Factor one
 is exact; a larger factor leaves out more and may lose neighbours.
@@ -11,6 +12,7 @@ is exact; a larger factor leaves out more and may lose neighbours.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +103,7 @@ def nearest_neighbours(
     factor: float = 1.0,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    shard_rows: int = 8192,
+    shard_rows: int = 16_384,
     block_rows: int = 2048,
     leaf_rows: int = 256,
 ) -> DataFrame:
@@ -113,12 +115,11 @@ def nearest_neighbours(
     """
     points, asked = _usable(vectors, id_col, vector_col), _usable(queries, id_col, vector_col)
     shards = max(1, math.ceil(vectors.count() / shard_rows))
-    blocks = max(1, math.ceil(queries.count() / block_rows))
     width = F.size("_v").alias("_width")
-    dealt = points.select("_id", "_v", width, F.pmod(F.xxhash64("_id", "_v"), F.lit(shards)).cast("int").alias("_shard"))
-    dealt = dealt.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sent = asked.select("_id", "_v", width, F.pmod(F.xxhash64("_v", "_id"), F.lit(blocks)).cast("int").alias("_block"))
-    sent = sent.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    shard = F.pmod(F.xxhash64("_id", "_v"), F.lit(shards)).cast("int")
+    dealt = points.select(width, shard.alias("_shard"), F.lit(0).alias("_asks"), "_id", "_v")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    sent = asked.select(width, every.alias("_shard"), F.lit(1).alias("_asks"), "_id", "_v")
     schema = T.StructType(
         [
             T.StructField("query_id", T.LongType()),
@@ -127,21 +128,32 @@ def nearest_neighbours(
         ]
     )
 
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = table.column("_id").to_numpy()
-        flat = table.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return ids, flat.reshape(len(ids), -1)
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        query, vec, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        if len(left) and len(right):
-            (ids, x), (own, q) = matrix(left), matrix(right)
-            best, found = Tree(x, leaf_rows).nearest(q, own, ids, k, factor)
-            real = np.isfinite(best)
-            query, vec, score = [np.repeat(own, real.sum(1))], [found[real]], [best[real]]
-        return pa.table({"query_id": query[0], "vec_id": vec[0], "score": score[0]})
-
-    key = ["_width", "_shard", "_block"]
-    found = dealt.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(search, schema)
+    def matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids = batch.column("_id").to_numpy()
+        return ids, batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        tree = ids = None
+        for batch in batches:
+            split = int((batch.column("_asks").to_numpy() == 0).sum())
+            if split:
+                parts.append(matrix(batch.slice(0, split)))
+            for start in range(split, len(batch), block_rows):
+                if not parts and tree is None:
+                    break
+                if tree is None:
+                    ids = np.concatenate([i for i, _ in parts])
+                    tree, parts = Tree(np.concatenate([v for _, v in parts]), leaf_rows), []
+                own, q = matrix(batch.slice(start, block_rows))
+                best, found = tree.nearest(q, own, ids, k, factor)
+                real = np.isfinite(best)
+                columns = [np.repeat(own, real.sum(1)), found[real], best[real]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=schema.names)
+
+    # the rows of a shard are sorted, so that its vectors are there before the queries; the grouping keeps that order
+    key = ["_width", "_shard"]
+    both = dealt.unionByName(sent).repartition(*key).sortWithinPartitions(*key, "_asks")
+    found = both.groupBy(*key).applyInArrow(search, schema)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
