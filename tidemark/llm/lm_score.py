@@ -84,16 +84,15 @@ def _asked(dealt: DataFrame, order: int, partitions: int) -> DataFrame:
     def ask(table: pa.Table) -> pa.Table:
         grams, _, _ = _grams(table.column("_text").to_pylist(), order)
         names, counts = np.unique(grams[grams > 0], return_counts=True)
-        part = (names % np.uint64(partitions)).astype(np.int32)
-        by_part = np.argsort(part, kind="stable")
-        part, starts = np.unique(part[by_part], return_index=True)
+        # a partition is a range of names, so the sorted names are in the order of the partitions
+        part, starts = np.unique((names >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32), return_index=True)
         edges = pa.array(np.append(starts, len(names)).astype(np.int32))
         return pa.table(
             {
                 "_segment": pa.array([table.column("_segment")[0].as_py()] * len(part), pa.int32()),
-                "_part": pa.array(part),
-                "_grams": pa.ListArray.from_arrays(edges, pa.array(names[by_part].view(np.int64))),
-                "_n": pa.ListArray.from_arrays(edges, pa.array(counts[by_part].astype(np.int32))),
+                "_part": pa.array(part.astype(np.int32)),
+                "_grams": pa.ListArray.from_arrays(edges, pa.array(names.view(np.int64))),
+                "_n": pa.ListArray.from_arrays(edges, pa.array(counts.astype(np.int32))),
             }
         )
 
@@ -159,9 +158,8 @@ def score(
         if len(doc):
             totals = answer.sort_by("_part").column("_totals").combine_chunks().flatten().to_numpy().astype(np.float64)
             real = np.flatnonzero(grams.ravel() > 0)
-            # stable sorts put equal n-grams together in the order of the answers, and within them those of each document
+            # a stable sort puts equal n-grams together in the order of the answers, and within them those of each document
             real = real[np.argsort(grams.ravel()[real], kind="stable")]
-            real = real[np.argsort(grams.ravel()[real] % np.uint64(partitions), kind="stable")]
             name, owner = grams.ravel()[real], doc[real % len(doc)]
             fresh = np.append(True, name[1:] != name[:-1])
             if fresh.sum() != len(totals):
