@@ -2,17 +2,17 @@
 
 A rolling hash runs over the hashes of each two lines in a row. A document is cut after a line where this hash is
 smaller than at the lines beside it, so the same run of lines gets the same cuts wherever it stands, and chunks have two
-lines at least. A line of ``long_words`` words or more is a passage by itself: cuts stand before and after it. Chunks
-that can be removed have at least two lines or are such a long line. Their 64-bit hashes are counted over the whole
-corpus; only chunks whose hash occurs again are compared byte by byte, by grouping on their text. The occurrence in the
-smallest (doc_id, text hash, chunk number) stays.
+lines at least. A line of ``long_words`` words or more is a passage by itself (a whole paragraph that a text has in one
+line): cuts stand before and after it. Chunks that can be removed have at least two lines or are such a long line. Their
+64-bit hashes are counted over the whole corpus; only chunks whose hash occurs again are compared byte by byte, by
+grouping on hash and text. The occurrence in the smallest (doc_id, text hash, chunk number) stays.
 
 A passage of a few short lines often has no chunk that its own text fixes. ``passages`` therefore also removes runs of
 lines whose every two lines in a row stand before elsewhere, of ``long_words`` words or more: such a run is bounded by
 its own ends, whatever the lines beside it. Pairs of lines are compared by 128 bits of hash.
 
-The plan never gathers a group: counts and minima are combined before the shuffle, and hot chunks meet only in
-sort-merge joins that adaptive execution can split.
+The plan never gathers a group: counts and minima are combined before the shuffle and written out, and marks (ids and
+hashes, never texts) meet them in joins of two plain inputs, which adaptive execution can split where a chunk is hot.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def _pairs_again(texts: DataFrame) -> DataFrame:
     key = F.struct(F.col("_id"), F.col("_h"), F.col("_k"))
     marks = texts.select("_id", "_h", F.explode(_let(F.split("_text", "\n", -1), pairs)).alias("_c"))
     marks = cut(marks.select("_id", "_h", F.col("_c.k").alias("_k"), F.col("_c.p").alias("_p"), F.col("_c.q").alias("_q")))
-    first = marks.groupBy("_p", "_q").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where("_first != _last")
+    first = cut(marks.groupBy("_p", "_q").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where("_first != _last"))
     later = key != F.col("_first")
     found = marks.join(first.select("_p", "_q", "_first"), ["_p", "_q"]).groupBy("_id", "_h")
     found = found.agg(F.collect_set(F.when(later, F.col("_k"))).alias("_later"), F.collect_set(F.when(~later, F.col("_k"))).alias("_early"))
@@ -136,6 +136,21 @@ def _kept_between(lines, later, early, long_words: int):
     return F.when(F.size(F.coalesce(later, none)) > 0, _let(runs, between)).otherwise(lines)
 
 
+def _later_than_first(marks: DataFrame, held: DataFrame, key) -> DataFrame:
+    """``_id, _h, _k`` of the chunks whose text stands in a chunk with a smaller key."""
+    ends = [F.min(key).alias("_first"), F.max(key).alias("_last")]
+    groups = cut(held.groupBy("_ch", "_t").agg(*ends).drop("_t"))
+    clash = groups.groupBy("_ch").count().where("count > 1").select("_ch")
+    first = groups.where("_first != _last").select("_ch", "_first")
+    if not clash.isEmpty():  # texts that differ and yet share a hash are told apart by the text
+        clash = cut(clash)
+        first = first.join(clash, "_ch", "left_anti")
+        own = cut(held.join(clash, "_ch"))
+        both = own.join(own.groupBy("_t").agg(*ends).where("_first != _last").select("_t", "_first"), "_t")
+        return marks.join(first, "_ch").where(key != F.col("_first")).select("_id", "_h", "_k").unionByName(both.where(key != F.col("_first")).select("_id", "_h", "_k"))
+    return marks.join(first, "_ch").where(key != F.col("_first"))
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -160,7 +175,7 @@ def dedup_lines(
     chunks = chunks_of(F.col("_text"), long_words)
     able = texts.select("_id", "_h", F.posexplode_outer(chunks).alias("_k", "_c")).where("_c.able")
     marks = cut(able.select("_id", "_h", "_k", F.xxhash64("_c.text").alias("_ch")))
-    again = marks.groupBy("_ch").count().where("count > 1").select("_ch")
+    again = cut(marks.groupBy("_ch").count().where("count > 1").select("_ch"))
     suspects = marks.join(again, "_ch").groupBy("_id", "_h").agg(F.collect_set("_k").alias("_ks"))
 
     same = [F.col("a._id").eqNullSafe(F.col("b._id")), F.col("a._h") == F.col("b._h")]
@@ -170,9 +185,8 @@ def dedup_lines(
         return F.transform(F.array_sort("_ks"), lambda k: F.struct(k.alias("k"), F.get(chunks, k)["text"].alias("t")))
 
     held = held.select("_id", "_h", F.explode_outer(_let(chunks, of_suspects)).alias("_c"))
-    held = held.select("_id", "_h", F.col("_c.k").alias("_k"), F.col("_c.t").alias("_t"))
-    first = held.groupBy("_t").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where("_first != _last")
-    gone = held.join(first.select("_t", "_first"), "_t").where(key != F.col("_first"))
+    held = held.select("_id", "_h", F.col("_c.k").alias("_k"), F.col("_c.t").alias("_t"), F.xxhash64("_c.t").alias("_ch"))
+    gone = _later_than_first(marks, held, key)
     gone = gone.groupBy("_id", "_h").agg(F.collect_set("_k").alias("_gone"))
     if passages:
         gone = gone.withColumns({"_later": F.array().cast("array<int>"), "_early": F.array().cast("array<int>")})
@@ -245,4 +259,5 @@ SELECT d.doc_id, coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (NOT gone), '
        count(*) FILTER (gone)::BIGINT AS n_removed, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS removed_lines,
        (max(length(d.text)) - length(coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (NOT gone), '')))::BIGINT AS removed_chars
 FROM d JOIN m USING (r) GROUP BY d.r, d.doc_id
+UNION ALL SELECT doc_id, NULL, 0, 0, 0, 0 FROM documents WHERE text IS NULL
 """.format(long=LONG_WORDS)

@@ -55,8 +55,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the passages that stand elsewhere before."""
-    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").where("text is not null"))
+    """Every document without the passages that stand elsewhere before; a null text stays null."""
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "text", "n_chunks", "n_removed", "removed_lines", "removed_chars")
 
 
