@@ -66,8 +66,8 @@ def build_index(
 ) -> DataFrame:
     """Postings of ``docs`` as stored segments: ``segment, terms, counts, positions, ids, bases, sizes``.
 
-    A null text has no words. Every row is a document of its own, also if its id is null or occurs again. With a
-    ``vocabulary`` only its terms are kept; without one the index serves any later search. ``segment_chars`` bounds a
+    A null text has no words. Every row is a document of its own, also if its id is null or occurs again. The index
+    serves any later search; with a ``vocabulary``, for those who want a smaller one, only its terms are kept. ``segment_chars`` bounds a
     segment (a single longer text is a segment of its own). Only the two named columns are read.
     """
     of_id = docs.schema[id_col].dataType
@@ -299,14 +299,6 @@ def find_near(
     return _find(index, tests, id_col, text_col, window, slop, block_windows)
 
 
-def vocabulary_of(tests: DataFrame, text_col: str = "text", most: int = 2_000_000) -> list[bytes] | None:
-    """The terms of the tests, or None (index every term) where the tests have more than ``most`` words in all."""
-    size = tests.select(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
-    if size > 2 * most:
-        return None
-    return sorted({w for (text,) in tests.select(F.col(text_col).cast("string")).toLocalIterator() for w in words_of(text)})
-
-
 def contamination(
     docs: DataFrame, tests: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -314,8 +306,9 @@ def contamination(
 
     ``n_hit`` counts the words inside any occurrence, once each; ``items`` are the ids of the tests found, ``spans``
     the occurrences. Null texts have no words; repeated rows are reported each; empty inputs give no rows or no hits.
+    The index holds every term of ``docs``, whatever the tests are.
     """
-    index = build_index(docs, id_col, text_col, vocabulary_of(tests))
+    index = build_index(docs, id_col, text_col)
     spans = find_phrases(index, tests, window=window)
     by_doc = spans.groupBy("segment", "ordinal").agg(
         F.collect_set("item_id").alias("items"),
