@@ -162,7 +162,8 @@ def _leaves(classes: DataFrame) -> DataFrame:
     ).withColumn("_node", F.xxhash64("_tree", F.get("_own", F.lit(0))))
     small = []
     for level in range(1, LEVELS + 1):
-        nodes = walk.groupBy("_node").agg(F.count("*").alias("_rows"), F.sum("_n").alias("_all")).where("_rows > 1")
+        # written out first, so that adaptive execution can split the join at a node that many documents share
+        nodes = cut(walk.groupBy("_node").agg(F.count("*").alias("_rows"), F.sum("_n").alias("_all")).where("_rows > 1"))
         placed = cut(walk.join(nodes, "_node"))
         fits = (F.col("_rows") <= NODE_ROWS) & ((F.col("_all") <= NODE_SHINGLES) | (F.col("_rows") <= 8))
         small.append(placed.where(fits).select("_node", "_id"))
