@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import line_dedup as L
 
 
@@ -101,3 +103,19 @@ def test_repeats_within_a_text_leave_one(spark):
     texts = sorted((r.doc_id, r.text) for r in out)
     assert line in texts[0][1] and texts[0][1].count(line) <= 3
     assert texts[1:] == [(2, ""), (2, ""), (3, "one line")]
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark):
+    held = [(1, 10, 0, "a", 7), (2, 20, 0, "b", 7), (3, 30, 1, "a", 7), (4, 40, 0, "c", 8), (5, 50, 0, "c", 8), (None, 60, 0, "c", 8)]
+    df = spark.createDataFrame(held, "_id long, _h long, _k int, _t string, _ch long")
+    key = F.struct(F.col("_id"), F.col("_h"), F.col("_k"))
+    gone = L._later_than_first(df.drop("_t"), df, key).select("_id").collect()
+    assert sorted(r._id for r in gone) == [3, 4, 5]
+
+
+def test_null_texts_stay_rows(spark, tmp_path):
+    from tidemark.llm import queries
+
+    spark.createDataFrame([(1, None), (2, ""), (None, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.text, r.n_chunks, r.n_removed) for r in out} == {(1, None, 0, 0), (2, "", 1, 0), (None, None, 0, 0)}
