@@ -39,10 +39,52 @@ def test_history_and_logs(spark):
     assert [(r.token, r.ts, r.price) for r in readers.parse_history(df).orderBy("ts").collect()] == [("t", 1, 0.5), ("t", 2, 0.25)]
     big = 2**250 + 7
     data = "0x" + "".join(f"{v:064x}" for v in (0, big, 1_500_000, 3_000_000, 10))
-    topics = ["0x0", "0xfeed", "0x" + "00" * 12 + "aa" * 20, "0x" + "00" * 12 + "BB" * 20]
+    one, two = ("0x" + readers.keccak256(x.encode()).hex() for x in (readers.FILL_V1, readers.FILL_V2))
+    topics = [one, "0xFEED", "0x" + "00" * 12 + "aa" * 20, "0x" + "00" * 12 + "BB" * 20]
     r = readers.decode_order_filled(spark.createDataFrame([(topics, data)], "topics array<string>, data string")).first()
     assert (r.taker_asset_id, r.maker_amount, r.taker_amount, r.fee) == (str(big), 1.5, 3.0, 0.00001)
-    assert (r.order_hash, r.maker, r.taker) == ("0xfeed", "0x" + "aa" * 20, "0x" + "bb" * 20)
+    assert (r.layout, r.order_hash, r.maker, r.taker) == (1, "0xfeed", "0x" + "aa" * 20, "0x" + "bb" * 20)
+
+    def words(*values):
+        return "0x" + "".join(f"{v:064x}" for v in values)
+
+    logs = [
+        (1, [two.upper().replace("0X", "0x"), *topics[1:]], words(0, big, 2_000_000, 4 * 10**20, 7, 0, 0)),
+        (2, [two, *topics[1:]], words(1, big, 2_000_000, 1_000_000, 0, 0, 0)),
+        (3, [two, *topics[1:]], words(2, big, 1, 1, 0, 0, 0)),  # no such side
+        (4, ["0xother", *topics[1:]], words(0, big, 1, 1, 0)),
+        (5, topics[:3], data),
+        (6, [two, *topics[1:]], data),  # too few words
+        (7, topics, None),
+    ]
+    out = {r.id: r for r in readers.decode_order_filled(spark.createDataFrame(logs, "id long, topics array<string>, data string")).collect()}
+    assert (out[1].layout, out[1].maker_asset_id, out[1].taker_asset_id, out[1].maker_amount, out[1].taker_amount) == (2, "0", str(big), 2.0, 4e14)
+    assert (out[2].maker_asset_id, out[2].taker_asset_id, out[2].taker_amount) == (str(big), "0", 1.0)
+    assert all(out[k].layout is None and out[k].maker is None and out[k].fee is None for k in (3, 4, 5, 6, 7))
+
+
+def test_positions_and_values(spark):
+    page = [{"asset": "7", "conditionId": "0xAB", "size": "2.5", "avgPrice": 0.4, "realizedPnl": "x"}, {"asset": "", "size": "1"}, {"size": "1"}]
+    df = spark.createDataFrame([("w", json.dumps(page)), ("v", "no json"), ("u", None)], "wallet string, payload string")
+    (r,) = readers.parse_positions(df).collect()
+    assert (r.wallet, r.token_id, r.condition_id, float(r.size), float(r.avg_price), float(r.realized_pnl)) == ("w", "7", "0xab", 2.5, 0.4, 0)
+    assert (r.has_avg_price, r.has_realized, float(r.cur_price)) == (True, True, 0)
+    values = ['{"totalValue": 3, "currentValue": 9}', '[{"value": "1.5"}, {"portfolioValue": 2}, 4, "bad"]', "7.25", '{"x": 1}', "[]", "bad", None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v string")
+    got = [float(r.x) for r in rows.select("i", readers.parse_value(F.col("v")).alias("x")).orderBy("i").collect()]
+    assert got == [3, 7.5, 7.25, 0, 0, 0, 0]
+
+
+def test_exported_fills_are_cleaned(spark):
+    columns = [*readers.FILL_NUMBERS, *readers.FILL_TIMES, "role", "side", "context_status"]
+    row = dict.fromkeys(columns, None) | {"fill_size": "5", "delta_usdc": "-2.5", "book_before_age_s": "20", "side": "SELL", "role": "Maker", "trade_utc": "2024-01-02 03:04:05", "fill_price": "x"}
+    rows = [row, row | {"side": "BUY", "book_before_age_s": None}, row | {"side": "other", "book_before_age_s": "10"}]
+    df = spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], ", ".join(f"{c} string" for c in columns))
+    a, b, c = readers.clean_fills(df, "me").collect()
+    assert (a.signed_shares, a.notional, a.side, a.role, a.fill_price, a.wallet_label, a.trade_utc.hour) == (-5, 2.5, "sell", "maker", None, "me", 3)
+    assert (a.valid_before_book, a.strict_before_book, b.signed_shares, b.valid_before_book, c.signed_shares, c.strict_before_book) == (True, False, 5, False, None, True)
+    with pytest.raises(ValueError, match="missing columns: role"):
+        readers.clean_fills(df.drop("role"), "me")
 
 
 def test_keccak_known_values():

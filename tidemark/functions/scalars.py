@@ -70,9 +70,18 @@ def bucket_midpoint(bucket: Column) -> Column:
 
 
 def time_bucket(seconds: Column) -> Column:
+    """Bucket of the wait for the other leg; bounds belong to the longer bucket."""
     return (
-        F.when(seconds.isNull(), "unknown").when(seconds <= 60, "<=1m").when(seconds <= 300, "1m-5m")
-        .when(seconds <= 3600, "5m-1h").when(seconds <= 86400, "1h-1d").otherwise(">1d")
+        F.when(seconds.isNull(), "not_completed").when(seconds < 10, "under_10s").when(seconds < 60, "under_60s").when(seconds < 300, "1m_5m")
+        .when(seconds < 900, "5m_15m").when(seconds < 3600, "15m_60m").otherwise("over_60m")
+    )
+
+
+def cost_bucket(cost: Column) -> Column:
+    """Bucket of what a complete set costs."""
+    return (
+        F.when(cost.isNull(), "unknown").when(cost < 0.90, "lt_0_90").when(cost < 0.95, "0_90_0_95").when(cost < 0.98, "0_95_0_98")
+        .when(cost <= 1.00, "0_98_1_00").otherwise("gt_1_00")
     )
 
 
@@ -87,13 +96,66 @@ def event_phase(progress: Column) -> Column:
     )
 
 
-def close_path(sells: Column, merges: Column, redeems: Column, settled: Column, open_: Column) -> Column:
+def close_path(reason: Column, last_type: Column) -> Column:
+    """How an episode ended, from why it closed and the type of its last event."""
+    return (
+        F.when(reason == "open", "OPEN")
+        .when(reason == "flat", F.when(last_type == "TRADE", "SELL").when(last_type == "MERGE", "MERGE").otherwise("MIXED"))
+        .when(
+            reason == "resolution",
+            F.when(last_type.isin("REDEEM", "REDEEM_PAYOUT"), "REDEEM").when(last_type == "RESOLUTION_SETTLEMENT", "RESOLUTION").otherwise("UNKNOWN"),
+        )
+        .otherwise("UNKNOWN")
+    )
+
+
+def traded_token(maker_asset: Column, taker_asset: Column) -> Column:
+    """The outcome token of a fill: asset 0 is the collateral."""
+    return F.when(maker_asset == "0", taker_asset).otherwise(maker_asset)
+
+
+def traded_amount(maker_asset: Column, maker_amount: Column, taker_amount: Column) -> Column:
+    return F.when(maker_asset == "0", taker_amount).otherwise(maker_amount)
+
+
+def collateral_amount(maker_asset: Column, taker_asset: Column, maker_amount: Column, taker_amount: Column) -> Column:
+    """What was paid in collateral; nothing where neither asset is, null where they are unknown."""
+    return F.when(maker_asset.isNull() | taker_asset.isNull(), None).when(maker_asset == "0", maker_amount).when(taker_asset == "0", taker_amount).otherwise(F.lit(0))
+
+
+def drift_bps(before: Column, after: Column) -> Column:
+    return (after - before) / F.nullif(before, F.lit(0.0)) * 10000
+
+
+def signed_by_side(value: Column, side: Column) -> Column:
+    """The value in the favour of who traded: as it is for a buy, negated otherwise."""
+    return F.when(side == "BUY", value).otherwise(-value)
+
+
+def transfer_class(sender: Column, receiver: Column, wallet: Column, null_address: str = "0x" + "0" * 40) -> Column:
+    return (
+        F.when((sender == null_address) & (receiver == wallet), "MINT").when((sender == wallet) & (receiver == null_address), "BURN")
+        .when(receiver == wallet, "TRANSFER_IN").when(sender == wallet, "TRANSFER_OUT").otherwise("OTHER")
+    )
+
+
+def cluster_verdict(total: Column, matched: Column, delay: Column, same_token: Column, candidate_first: Column, same_event: Column, size_ratio: Column) -> Column:
+    """What a candidate's matched trades say of it and its leader; delays in seconds, shares from 0 to 1."""
+    size_ok = (size_ratio > 0) & size_ratio.between(0.5, 2.0)
     return (
-        F.when(open_, "OPEN").when((sells > 0) & (merges > 0), "MIXED").when(sells > 0, "SELL").when(merges > 0, "MERGE")
-        .when(redeems > 0, "REDEEM").when(settled > 0, "RESOLUTION").otherwise("UNKNOWN")
+        F.when((total == 0) | (matched == 0), "independent")
+        .when((delay <= 5) & (same_token >= 0.5) & size_ok, "same_system_candidate")
+        .when((delay > 5) & (delay <= 300) & (same_token >= 0.3) & (candidate_first <= 0.2), "follower")
+        .when((same_event >= 0.3) & (same_token < 0.3), "shared_signal")
+        .when(matched / total >= 0.1, "research_candidate").otherwise("independent")
     )
 
 
+def research_priority(overlap: Column, closed_cycles: Column, profit_week: Column) -> Column:
+    """Two fifths overlap, three tenths closed cycles, three tenths a week's profit up to 10,000."""
+    return overlap * 0.4 + closed_cycles * 0.3 + F.least(F.greatest(profit_week, F.lit(0.0)), F.lit(10000.0)) / 10000 * 0.3
+
+
 def clamp01(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 

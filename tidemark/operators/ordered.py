@@ -67,12 +67,16 @@ def episodes(positions: DataFrame, keys: list[str]) -> DataFrame:
     """Flat-to-flat episodes from ``running_positions``: one row for each key and ``episode``.
 
     An episode ends where a reset comes or a remove leaves at most the dust of a quantity; the next row opens another.
-    Resets without an open episode are no episode.
+    Resets without an open episode are no episode. ``wac_entry`` is the last average cost before the end, ``last_type`` the
+    type of the last event (its kind, where positions have no ``event_type``).
     """
     closes = (F.col("kind") == "reset") | (F.col("kind") == "remove") & (F.abs("qty") <= EPSILON)
     out = episode_events(positions, keys).withColumn("_closes", closes)
     out = out.withColumn("_nth", F.row_number().over(_ordered([*keys, "episode"])))
     add, remove = F.col("kind") == "add", F.col("kind") == "remove"
+    over = remove & (F.col("qty_before") > 0) & (F.col("qty") < 0)
+    held = F.when(~F.col("_closes") & (F.col("qty") > 0), F.col("cost") / F.col("qty")).when(over & ~F.col("_closes"), F.lit(0.0))
+    out = out.withColumn("_wac", held)
     part = remove & (F.col("qty_before") > 0) & (F.col("shares") <= F.col("qty_before")) & ~F.col("_closes")
     grouped = out.groupBy(*keys, "episode").agg(
         F.min("ts").alias("open_ts"),
@@ -83,6 +87,8 @@ def episodes(positions: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(add & (F.col("_nth") > 1)).alias("num_adds"),
         F.count_if(part).alias("num_partial_exits"),
         F.sum(F.when(F.col("qty_before") > 0, F.col("realized")).otherwise(0.0)).alias("realized_pnl"),
+        F.max_by("_wac", F.when(F.col("_wac").isNotNull(), F.struct("ts", "id"))).alias("wac_entry"),
+        F.max_by("event_type" if "event_type" in positions.columns else "kind", F.struct("ts", "id")).alias("last_type"),
         F.count("*").alias("n_events"),
         F.count_if(F.col("kind") != "reset").alias("_moves"),
     )

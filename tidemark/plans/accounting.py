@@ -41,7 +41,7 @@ def ledger_totals_roi(spark, sf_dir):
 
 
 def wallet_stage_event_rollup(spark, sf_dir):
-    e = ledger(spark, sf_dir).join(F.broadcast(markets(spark)), "condition_id", "left")
+    e = ledger(spark, sf_dir).join(markets(spark), "condition_id", "left")
     stage = F.when(F.col("ts") < CLOSED_TS, "live").when(F.col("closed"), "closed").otherwise("late")
     g = e.groupBy("wallet", stage.alias("stage"), F.coalesce("event_id", F.lit("-")).alias("event_id"))
     out = g.agg(
@@ -82,14 +82,14 @@ def dedupe_duplicate_index(spark, sf_dir):
 
 def fanout_unmapped_conditions(spark, sf_dir):
     wide = ledger(spark, sf_dir).where("token_id is null")
-    gone = wide.join(F.broadcast(markets(spark)), "condition_id", "left_anti")
+    gone = wide.join(markets(spark), "condition_id", "left_anti")
     return gone.groupBy("condition_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("wallet")), ",").alias("wallets"))
 
 
 def missing_metadata_anti(spark, sf_dir):
     held = latest(positions(spark, sf_dir)).where(F.abs("qty") > O.EPSILON)
     mapped = tokens(spark).join(markets(spark), "condition_id", "left_semi")
-    return held.join(F.broadcast(mapped), "token_id", "left_anti").select("wallet", "token_id", r4("qty"))
+    return held.join(mapped, "token_id", "left_anti").select("wallet", "token_id", r4("qty"))
 
 
 def running_inventory_edge(spark, sf_dir):
@@ -178,7 +178,7 @@ def token_prices(spark):
 def derived_redeem_payouts(spark, sf_dir):
     """The first cash-less redeem of each wallet and resolved condition pays its positive quantities at the outcome."""
     free = ledger(spark, sf_dir).where("event_type = 'REDEEM' and delta_usdc = 0").select("id")
-    p = positions(spark, sf_dir).where("kind = 'reset'").join(free, "id", "left_semi").join(F.broadcast(token_prices(spark)), "token_id")
+    p = positions(spark, sf_dir).where("kind = 'reset'").join(free, "id", "left_semi").join(token_prices(spark), "token_id")
     paid = p.groupBy("wallet", "condition_id", "ts", "id").agg(F.sum(F.greatest("qty_before", F.lit(0.0)) * F.col("res_price")).alias("payout"))
     first = paid.withColumn("n", F.row_number().over(Window.partitionBy("wallet", "condition_id").orderBy("ts", "id"))).where("n = 1")
     return first.select("wallet", "condition_id", "ts", F.col("id").alias("source_id"), r4("payout"))
@@ -186,7 +186,7 @@ def derived_redeem_payouts(spark, sf_dir):
 
 def derived_settlements(spark, sf_dir):
     """Quantities still held on resolved markets close at the outcome, after the wallet's last move."""
-    last = latest(positions(spark, sf_dir)).where("qty > 1e-6").join(F.broadcast(token_prices(spark)), "token_id")
+    last = latest(positions(spark, sf_dir)).where("qty > 1e-6").join(token_prices(spark), "token_id")
     ts = F.greatest("closed_ts", F.col("ts") + 1)
     return last.select(*KEY, ts.alias("settle_ts"), r4("qty"), "res_price", r4(F.col("qty") * F.col("res_price"), "proceeds"))
 
@@ -197,7 +197,7 @@ def pnl_decomposition_scoped(spark, sf_dir):
     component = F.when(F.col("event_type") == "TRADE", "directional").when(F.col("event_type") == "MERGE", "bond_merge").otherwise("redemption")
     p = p.select("wallet", "condition_id", component.alias("component"), F.col("realized").alias("v"))
     rewards = ledger(spark, sf_dir).where("event_type = 'REWARD'").select("wallet", "condition_id", F.lit("rewards").alias("component"), F.col("delta_usdc").alias("v"))
-    both = p.unionByName(rewards).join(F.broadcast(markets(spark).select("condition_id", "category")), "condition_id", "left")
+    both = p.unionByName(rewards).join(markets(spark).select("condition_id", "category"), "condition_id", "left")
     both = both.withColumn("category", F.coalesce("category", F.lit("unclassified")))
     sums = both.groupBy("wallet", "category").pivot("component", ["directional", "bond_merge", "redemption", "rewards"]).agg(F.sum("v"))
     sums = sums.fillna(0.0)
@@ -227,7 +227,7 @@ def _daily_states(spark, sf_dir):
 
 def daily_equity(spark, sf_dir):
     """Per wallet and day: value at marks, realized and unrealized profit, drawdown from the running peak, stale share."""
-    d = _daily_states(spark, sf_dir).join(F.broadcast(token_prices(spark)), "token_id", "left")
+    d = _daily_states(spark, sf_dir).join(token_prices(spark), "token_id", "left")
     resolved = F.col("res_price").isNotNull() & (F.col("ts") >= F.col("closed_ts"))
     mark = F.when(resolved, F.col("res_price")).otherwise(F.coalesce("px", F.lit(0.0)))
     held = F.when(F.col("qty") > 0, F.col("qty")).otherwise(0.0)
@@ -246,20 +246,20 @@ def daily_equity(spark, sf_dir):
 
 
 def _exposure(spark, sf_dir):
-    d = _daily_states(spark, sf_dir).join(F.broadcast(tokens(spark).select("token_id", "outcome_index")), "token_id")
+    d = _daily_states(spark, sf_dir).join(tokens(spark).select("token_id", "outcome_index"), "token_id")
     q = [F.coalesce(F.max(F.when(F.col("outcome_index") == k, F.col("qty"))), F.lit(0.0)) for k in (0, 1)]
     return d.groupBy("wallet", "condition_id", "day").agg(q[0].alias("q0"), q[1].alias("q1")).where("abs(q0) > 1e-6 or abs(q1) > 1e-6")
 
 
 def exposures_daily(spark, sf_dir):
     n = tokens(spark).groupBy("condition_id").agg(F.count("*").alias("n_tokens"))
-    e = _exposure(spark, sf_dir).join(F.broadcast(n), "condition_id").join(F.broadcast(markets(spark)), "condition_id", "left")
+    e = _exposure(spark, sf_dir).join(n, "condition_id").join(markets(spark), "condition_id", "left")
     structure = scalars.structure_type(F.col("n_tokens"), F.coalesce("neg_risk", F.lit(False)), F.col("event_id"))
     return e.select("wallet", "condition_id", "day", structure.alias("structure_type"), r4(scalars.directional(F.col("q0"), F.col("q1")), "directional"), r4(scalars.bond(F.col("q0"), F.col("q1")), "bond"))
 
 
 def event_exposure_netting(spark, sf_dir):
-    e = _exposure(spark, sf_dir).join(F.broadcast(markets(spark).where("neg_risk")), "condition_id")
+    e = _exposure(spark, sf_dir).join(markets(spark).where("neg_risk"), "condition_id")
     g = e.groupBy("wallet", "event_id", "day").agg(
         F.sum(F.col("q0") - F.col("q1")).alias("net"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("condition_id", F.col("q0") - F.col("q1"))))).alias("vector"),

@@ -24,11 +24,14 @@ RULES = [
 SIGNALS = [
     ("market_making", "maker_fill_share", 0.35, None),
     ("market_making", "reward_income_share", 0.25, None),
+    ("market_making", "bond_inventory_ratio", 0.20, None),
     ("market_making", "micro_episode_share", 0.20, None),
+    ("inventory_cycling", "bond_inventory_ratio", 0.40, None),
     ("inventory_cycling", "merge_frequency", 0.35, 0.5),
     ("inventory_cycling", "redeem_frequency", 0.25, 0.5),
     ("value_betting", "taker_fill_share", 0.30, None),
     ("value_betting", "episode_duration_p50", 0.25, 86400.0),
+    ("value_betting", "calibration_edge", 0.25, None),
     ("value_betting", "market_category_concentration", 0.20, None),
 ]
 
@@ -45,7 +48,7 @@ def _values(spark, rows, schema):
 def trades(spark, sf_dir):
     """Trades with their market's category and the role that enrichment found, if any."""
     t = ledger(spark, sf_dir).where("event_type = 'TRADE'")
-    t = t.join(F.broadcast(markets(spark).select("condition_id", "category", "event_id")), "condition_id", "left")
+    t = t.join(markets(spark).select("condition_id", "category", "event_id"), "condition_id", "left")
     x = F.col("id") * 7 % 10
     return t.withColumns({"category": F.coalesce("category", F.lit("unclassified")), "role": F.when(x < 6, "maker").when(x < 9, "taker")})
 
@@ -74,19 +77,52 @@ def fee_coverage(spark, sf_dir):
     return f.agg(F.count("*").alias("n"), F.count("fee").alias("n_fee"), F.count("role").alias("n_role"), F.count_if(F.col("fee") > 0).alias("n_charged"))
 
 
-def enrichment_match(spark, sf_dir, tolerance: float = 0.5):
-    """Fills seen on the chain matched to ledger trades: one hit by shares, else one of them by cash, else ambiguous."""
-    t = ledger(spark, sf_dir).where("event_type = 'TRADE'").withColumn("day", F.floor(F.col("ts") / 86400))
-    t = t.select("wallet", "token_id", "day", "id", "size", F.abs("delta_usdc").alias("usdc"))
-    chain = t.where("id % 5 != 0").select("wallet", "token_id", "day", F.col("id").alias("fill_id"), (F.col("size") + 0.1).alias("f_size"), F.col("usdc").alias("f_usdc"))
-    met = chain.join(t, ["wallet", "token_id", "day"]).where(F.abs(F.col("size") - F.col("f_size")) <= tolerance)
-    close = F.abs(F.col("usdc") - F.col("f_usdc")) <= tolerance
-    g = met.groupBy("fill_id").agg(F.count("*").alias("hits"), F.min("id").alias("one"), F.count_if(close).alias("by_usdc"), F.min(F.when(close, F.col("id"))).alias("one_usdc"))
-    event = F.when(F.col("hits") == 1, F.col("one")).when(F.col("by_usdc") == 1, F.col("one_usdc"))
-    status = F.when(event.isNotNull(), "matched").when(F.col("by_usdc") == 0, "none").otherwise("ambiguous")
+def chain_fills(spark, sf_dir):
+    """Fills as the chain has them: most trades, every fourth with a quantity that the ledger does not state."""
+    t = ledger(spark, sf_dir).where("event_type = 'TRADE' and id % 5 != 0")
+    shares = F.round(F.col("size") + F.when(F.col("id") % 4 == 0, 0.1).otherwise(0.0), 6)
+    return t.select("wallet", "tx_hash", "token_id", F.col("id").alias("fill_id"), F.col("ts").alias("fill_ts"), shares.alias("f_size"), F.abs("delta_usdc").alias("f_usdc"))
+
+
+def enrichment_candidates(spark, sf_dir):
+    """Trades of the ledger that a fill may be; every seventh comes twice, half of these for other cash."""
+    t = ledger(spark, sf_dir).where("event_type = 'TRADE'").select("wallet", "tx_hash", "token_id", "id", "size", F.abs("delta_usdc").alias("usdc"))
+    twin = t.where("id % 7 = 0").withColumns({"usdc": F.col("usdc") + F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.0), "id": F.col("id") + 1_000_000_000_000})
+    return t.unionByName(twin)
+
+
+def enrichment_match(spark, sf_dir, tolerance: float = 1e-6):
+    """Every fill seen on the chain with the trade that it is, by transaction, wallet and token.
+
+    One trade of its shares is it; of several the one of its cash, none of its cash is no match, more are ambiguous. Fills
+    without a trade stay as ``none``.
+    """
+    key = ["wallet", "tx_hash", "token_id"]
+    met = chain_fills(spark, sf_dir).join(enrichment_candidates(spark, sf_dir), key, "left")
+    hit = F.coalesce(F.abs(F.col("size") - F.col("f_size")) <= tolerance, F.lit(False))
+    close = hit & (F.abs(F.col("usdc") - F.col("f_usdc")) <= tolerance)
+    g = met.groupBy("fill_id").agg(
+        F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("id"))).alias("one"), F.count_if(close).alias("by_usdc"), F.min(F.when(close, F.col("id"))).alias("one_usdc"),
+        F.max(F.when(hit, F.col("usdc"))).alias("most_usdc"), F.max("f_usdc").alias("f_usdc"),
+    )
+    paid = (F.col("f_usdc") != 0) & (F.col("most_usdc") != 0)
+    event = F.when(F.col("hits") == 1, F.col("one")).when((F.col("hits") > 1) & paid & (F.col("by_usdc") == 1), F.col("one_usdc"))
+    none = (F.col("hits") == 0) | paid & (F.col("by_usdc") == 0)
+    status = F.when(event.isNotNull(), "matched").when(none, "none").otherwise("ambiguous")
     return g.select("fill_id", "hits", event.alias("event_id"), status.alias("status"))
 
 
+def enrichment_watermark(spark, sf_dir):
+    """How far each wallet's chain fills reach, and its trades by whether enrichment has come to them yet."""
+    head = chain_fills(spark, sf_dir).where("fill_ts < 1706400000").groupBy("wallet").agg(F.max("fill_ts").alias("head_ts"))
+    m = enrichment_match(spark, sf_dir).where("status = 'matched'").select(F.col("event_id").alias("id")).distinct().withColumn("found", F.lit(True))
+    t = ledger(spark, sf_dir).where("event_type = 'TRADE'").select("id", "wallet", "ts").join(m, "id", "left").join(head, "wallet", "left")
+    late = F.col("ts") > F.coalesce("head_ts", F.lit(0))
+    return t.groupBy("wallet", "head_ts").agg(
+        F.count("*").alias("n"), F.count_if(~late & F.col("found").isNotNull()).alias("n_enriched"), F.count_if(late).alias("n_pending"), F.count_if(~late & F.col("found").isNull()).alias("n_missing"),
+    )
+
+
 def enrichment_resolution(spark, sf_dir):
     """Several observations of a fill: a role that all agree on, else ambiguous; the smallest source wins."""
     t = trades(spark, sf_dir).select("id", "wallet", F.col("ts"), "role")
@@ -112,7 +148,7 @@ def reconciliation_facts(spark, sf_dir):
     number = F.substring("token_id", 2, 9).cast("long")
     venue = local.where(number % 7 != 0).select(*KEY, F.when(number % 5 == 0, F.col("local") + 5).when(number % 3 == 0, F.col("local") * 1.01).otherwise(F.col("local")).alias("venue"))
     extra = spark.range(10).select(F.concat(F.lit("w"), "id").alias("wallet"), F.lit("t99").alias("token_id"), F.lit(1.0).alias("venue"))
-    both = local.join(venue.unionByName(extra), KEY, "full").join(F.broadcast(A.token_prices(spark)), "token_id", "left")
+    both = local.join(venue.unionByName(extra), KEY, "full").join(A.token_prices(spark), "token_id", "left")
     diff = F.abs(F.coalesce("local", F.lit(0.0)) - F.coalesce("venue", F.lit(0.0)))
     reason = (
         F.when(diff <= 0.01, "match").when(F.col("local").isNull(), "missing_local")
@@ -146,7 +182,7 @@ def _scoped(df):
 
 def fingerprint_features(spark, sf_dir):
     """Features of each wallet in each scope as (feature, value, null_reason)."""
-    m = F.broadcast(markets(spark).select("condition_id", "category"))
+    m = markets(spark).select("condition_id", "category")
     day = F.floor(F.col("ts") / 86400)
     t = _scoped(trades(spark, sf_dir)).groupBy("wallet", "scope").agg(
         F.count_if(F.col("role") == "maker").alias("maker"), F.count_if(F.col("role") == "taker").alias("taker"), F.count("*").alias("n_trades"), F.count("role").alias("n_role")
@@ -156,8 +192,8 @@ def fingerprint_features(spark, sf_dir):
         F.count_if(F.col("event_type") == "MERGE").alias("merges"), F.count_if(F.col("event_type") == "REDEEM").alias("redeems"), F.countDistinct(day).alias("days"),
         F.sum(F.when(F.col("event_type") == "REWARD", F.col("delta_usdc")).otherwise(0.0)).alias("rewards"),
     )
-    number = F.concat(F.lit("c"), F.floor(F.substring("token_id", 2, 9).cast("long") / 2))
-    ep = O.episodes(A.positions(spark, sf_dir), KEY).withColumn("condition_id", number).join(m, "condition_id", "left")
+    of = tokens(spark).select("token_id", "condition_id")
+    ep = O.episodes(A.positions(spark, sf_dir), KEY).join(of, "token_id", "left").join(m, "condition_id", "left")
     ep = ep.withColumn("category", F.coalesce("category", F.lit("unclassified")))
     ep = ep.withColumn("d", F.when(F.col("close_reason") != "open", F.col("close_ts") - F.col("open_ts")))
     g = _scoped(ep).groupBy("wallet", "scope").agg(
@@ -197,7 +233,7 @@ def fingerprint_daily_features(spark, sf_dir):
     x = x.groupBy("wallet", "day").agg(F.sum(F.abs("bond")).alias("b"), F.sum(size).alias("s"))
     x = x.where("s > 0").groupBy("wallet").agg(F.avg(F.col("b") / F.col("s")).alias("bond_inventory_ratio"))
     e = A.daily_equity(spark, sf_dir).groupBy("wallet").agg(F.max_by("unrealized", "day").alias("unrealized_pnl"), F.avg("stale_share").alias("stale_mark_share"))
-    ep = O.episodes(A.positions(spark, sf_dir), KEY).join(F.broadcast(A.token_prices(spark)), "token_id").where("open_ts <= closed_ts")
+    ep = O.episodes(A.positions(spark, sf_dir), KEY).join(A.token_prices(spark), "token_id").where("open_ts <= closed_ts")
     ep = ep.groupBy("wallet").agg(F.percentile(F.col("closed_ts") - F.col("open_ts"), 0.5).alias("time_to_close"))
     out = e.join(x, "wallet", "left").join(ep, "wallet", "left")
     return out.select("wallet", r4(F.col("bond_inventory_ratio") + 1e-9, "bond_inventory_ratio"), r4("unrealized_pnl"), r4(F.col("stale_mark_share") + 1e-9, "stale_mark_share"), r4("time_to_close", "time_to_close_s"))
@@ -210,17 +246,36 @@ def entry_price_distribution(spark, sf_dir):
 
 
 def resolution_calibration(spark, sf_dir):
-    b = ledger(spark, sf_dir).where("side = 'BUY'").join(F.broadcast(A.token_prices(spark)), "token_id")
+    b = ledger(spark, sf_dir).where("side = 'BUY'").join(A.token_prices(spark), "token_id")
     bucket = scalars.price_bucket(F.col("price"))
     g = b.groupBy(bucket.alias("decile")).agg(F.count("*").alias("n"), F.avg("res_price").alias("win"))
     return g.select("decile", "n", r4("win", "win_rate"), scalars.bucket_midpoint(F.col("decile")).alias("implied"), r4(F.col("win") - scalars.bucket_midpoint(F.col("decile")), "edge"))
 
 
+def _detector_features(spark, sf_dir):
+    """What the detectors read beside the fingerprints, in each scope: the bond share of exposure, averaged over days, and
+    half plus the mean win rate over the implied one, over all buys of resolved tokens."""
+    category = F.coalesce("category", F.lit("unclassified")).alias("category")
+    of = markets(spark).select("condition_id", "category")
+    x = A.exposures_daily(spark, sf_dir).join(of, "condition_id", "left").select("*", category.alias("c")).drop("category").withColumnRenamed("c", "category")
+    size = F.abs("bond") + F.abs("directional")
+    days = _scoped(x).groupBy("wallet", "scope", "day").agg(F.sum(F.abs("bond")).alias("b"), F.sum(size).alias("s")).where("s > 0")
+    bond = days.groupBy("wallet", "scope").agg(F.avg(F.col("b") / F.col("s")).alias("value")).withColumn("feature", F.lit("bond_inventory_ratio"))
+    buys = trades(spark, sf_dir).where("side = 'BUY'").join(A.token_prices(spark), "token_id")
+    edge = F.avg(F.col("res_price") - scalars.bucket_midpoint(scalars.price_bucket(F.col("price"))))
+    edges = _scoped(buys).groupBy("wallet", "scope").agg((edge + 0.5).alias("value")).withColumn("feature", F.lit("calibration_edge"))
+    return bond.unionByName(edges)
+
+
 def detector_scores(spark, sf_dir):
     """Weighted mean of the signals that are there; confidence is their share of all weight."""
     s = _values(spark, SIGNALS, "detector, feature, weight, half")
     s = s.withColumns({"weight": F.col("weight").cast("double"), "half": F.col("half").cast("double")})
-    f = fingerprint_features(spark, sf_dir).join(F.broadcast(s), "feature")
+    own = fingerprint_features(spark, sf_dir).select("wallet", "scope", "feature", "value")
+    scopes = own.where("feature = 'episode_count'").select("wallet", "scope")
+    more = scopes.crossJoin(F.broadcast(_values(spark, [("bond_inventory_ratio",), ("calibration_edge",)], "feature")))  # two literal rows
+    more = more.join(_detector_features(spark, sf_dir), ["wallet", "scope", "feature"], "left")
+    f = own.unionByName(more.select("wallet", "scope", "feature", "value")).join(F.broadcast(s), "feature")
     raw = F.when(F.col("half").isNotNull(), F.col("value") / (F.col("value") + F.col("half"))).otherwise(F.col("value"))
     f = f.withColumn("signal", scalars.clamp01(raw)).withColumn("there", F.col("value").isNotNull())
     weight = F.when(F.col("there"), F.col("weight")).otherwise(0.0)
@@ -228,7 +283,7 @@ def detector_scores(spark, sf_dir):
     return g.select("wallet", "scope", "detector", r4(F.try_divide("s", F.nullif(F.col("w"), F.lit(0.0))), "score"), r4(F.col("w") / F.col("all"), "confidence"), "n_signals")
 
 
-PRE_FILL = ["id", "trade_ts", "side", "fill_price", "fill_shares", "book_before_age_s", "mid", "spread_bps", "inside", "qty_before", "directional_before", "bond_before", "trade_hour"]
+PRE_FILL = ["id", "trade_ts", "side", "fill_price", "fill_shares", "book_before_age_s", "mid", "spread_bps", "inside", "qty_before", "directional_before", "bond_before", "trade_hour", "imbalance"]
 
 
 def _split_dataset(spark, sf_dir):
@@ -292,10 +347,10 @@ def watchlist(spark, sf_dir):
     t = ledger(spark, sf_dir).where("event_type = 'TRADE'")
     recent = t.where(F.col("ts") >= D + 29 * 86400).select("token_id", F.lit(10).alias("priority"))
     held = A.latest(A.positions(spark, sf_dir)).where("qty > 1e-6").select("token_id", F.lit(20).alias("priority"))
-    named = tokens(spark).join(F.broadcast(markets(spark).where(scalars.keyword_match(("world cup",), F.col("question")))), "condition_id").select("token_id", F.lit(30).alias("priority"))
+    named = tokens(spark).join(markets(spark).where(scalars.keyword_match(("world cup",), F.col("question"))), "condition_id").select("token_id", F.lit(30).alias("priority"))
     dead = A.token_prices(spark).where(F.col("closed_ts") < D + 21 * 86400).select("token_id")
     every = recent.unionAll(held).unionAll(named)
-    return every.groupBy("token_id").agg(F.min("priority").cast("long").alias("priority"), F.count("*").alias("n_reasons")).join(F.broadcast(dead), "token_id", "left_anti")
+    return every.groupBy("token_id").agg(F.min("priority").cast("long").alias("priority"), F.count("*").alias("n_reasons")).join(dead, "token_id", "left_anti")
 
 
 def wallet_alerts(spark, sf_dir):
@@ -312,7 +367,7 @@ def closed_cycle_score(spark, sf_dir):
 
 
 def lifecycle_rollup(spark, sf_dir):
-    last = A.latest(A.positions(spark, sf_dir)).join(F.broadcast(markets(spark)), "condition_id", "left")
+    last = A.latest(A.positions(spark, sf_dir)).join(markets(spark), "condition_id", "left")
     state = F.when(F.col("question").isNull(), "unknown").when(F.abs("qty") <= O.EPSILON, "closed_complete").when(F.col("closed"), "pending").otherwise("live")
     return last.groupBy(F.coalesce("event_id", F.lit("-")).alias("event_id"), state.alias("state")).agg(F.count("*").alias("n"), F.countDistinct("wallet").alias("n_wallets"))
 
@@ -376,7 +431,7 @@ def equity_week_change(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        fee_estimates, fee_attribution, fee_coverage, enrichment_match, enrichment_resolution, enrichment_coverage, reconciliation_facts,
+        fee_estimates, fee_attribution, fee_coverage, enrichment_match, enrichment_watermark, enrichment_resolution, enrichment_coverage, reconciliation_facts,
         wallet_trust, top_discrepancies, portfolio_value_check, fingerprint_features, fingerprint_daily_features, entry_price_distribution, resolution_calibration,
         detector_scores, rule_grid_metrics, rule_promotion, rule_candidates, watchlist, wallet_alerts, closed_cycle_score,
         lifecycle_rollup, wallets_in_both, ledger_page, token_cooccurrence, activity_pivot, activity_rank_correlation,
@@ -390,6 +445,13 @@ trades AS (SELECT l.*, coalesce(m.category, 'unclassified') AS category, m.event
 fees AS (SELECT t.*, size * price AS notional, rate, CASE WHEN price > 0 AND price < 1 THEN round_even(size * price * rate * pow(price * (1 - price), exponent), 4) ELSE 0 END AS fee_raw
    FROM trades t LEFT JOIN rules r ON r.category = CASE WHEN t.category IN (SELECT category FROM rules) THEN t.category ELSE 'default' END AND r.effective_from <= ts AND (r.effective_to IS NULL OR ts < r.effective_to)),
 fee AS (SELECT *, CASE WHEN rate IS NOT NULL THEN fee_raw END AS fee FROM fees)"""
+_ENRICH = """
+chain AS (SELECT wallet, tx_hash, token_id, id AS fill_id, ts AS fill_ts, round(size + CASE WHEN id % 4 = 0 THEN 0.1::DOUBLE ELSE 0 END, 6) AS f_size, abs(delta_usdc) AS f_usdc FROM ledger WHERE event_type = 'TRADE' AND id % 5 <> 0),
+cand AS (SELECT wallet, tx_hash, token_id, id, size, abs(delta_usdc) AS usdc FROM ledger WHERE event_type = 'TRADE' UNION ALL SELECT wallet, tx_hash, token_id, id + 1000000000000, size, abs(delta_usdc) + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END FROM ledger WHERE event_type = 'TRADE' AND id % 7 = 0),
+met AS (SELECT fill_id, f_usdc, c.id, c.usdc, abs(c.usdc - f_usdc) <= 1e-6 AS close FROM chain f LEFT JOIN cand c ON f.wallet = c.wallet AND f.tx_hash = c.tx_hash AND f.token_id = c.token_id AND abs(c.size - f_size) <= 1e-6),
+tally AS (SELECT fill_id, max(f_usdc) AS f_usdc, count(id) AS hits, min(id) AS one, count(*) FILTER (close) AS by_usdc, min(id) FILTER (close) AS one_usdc, max(usdc) AS most FROM met GROUP BY 1),
+matched AS (SELECT fill_id, hits, CASE WHEN hits = 1 THEN one WHEN hits > 1 AND f_usdc <> 0 AND most <> 0 AND by_usdc = 1 THEN one_usdc END AS event_id,
+   CASE WHEN hits = 1 OR (hits > 1 AND f_usdc <> 0 AND most <> 0 AND by_usdc = 1) THEN 'matched' WHEN hits = 0 OR (f_usdc <> 0 AND most <> 0 AND by_usdc = 0) THEN 'none' ELSE 'ambiguous' END AS status FROM tally)"""
 _FACTS = """
 loc AS (SELECT wallet, token_id, round(qty, 4) AS local, substr(token_id, 2)::BIGINT AS k FROM last WHERE abs(qty) > 1e-6),
 ven AS (SELECT wallet, token_id, CASE WHEN k % 5 = 0 THEN local + 5 WHEN k % 3 = 0 THEN local * 1.01::DOUBLE ELSE local END AS venue FROM loc WHERE k % 7 <> 0 UNION ALL SELECT 'w' || r, 't99', 1.0 FROM range(10) g(r)),
@@ -397,7 +459,7 @@ f1 AS (SELECT wallet, token_id, local, venue, res_price, abs(coalesce(local, 0)
 f2 AS (SELECT *, CASE WHEN diff <= 0.01 THEN 'match' WHEN local IS NULL THEN 'missing_local' WHEN venue IS NULL AND res_price IS NOT NULL THEN 'resolved_unlisted' WHEN venue IS NULL THEN 'missing_venue' WHEN local < 0 THEN 'negative_local' WHEN diff <= 0.02 * abs(venue) THEN 'small_difference' ELSE 'size_mismatch' END AS reason FROM f1),
 facts AS (SELECT wallet, token_id, round(local, 4) + 0 AS local, round(venue, 4) + 0 AS venue, reason, CASE WHEN reason = 'match' THEN 'pass' WHEN reason IN ('resolved_unlisted', 'negative_local', 'small_difference') THEN 'warn' ELSE 'fail' END AS status, round(diff, 4) + 0 AS diff FROM f2)"""
 _FINGER = """
-ep AS (SELECT e.*, coalesce(category, 'unclassified') AS category, CASE WHEN close_reason <> 'open' THEN close_ts - open_ts END AS d FROM episodes e LEFT JOIN markets m ON m.condition_id = 'c' || (substr(token_id, 2)::BIGINT // 2)),
+ep AS (SELECT e.*, coalesce(category, 'unclassified') AS category, CASE WHEN close_reason <> 'open' THEN close_ts - open_ts END AS d FROM episodes e LEFT JOIN tokens USING (token_id) LEFT JOIN markets m USING (condition_id)),
 g AS (SELECT wallet, scope, count(*) AS episodes, list_sort(list(d) FILTER (d IS NOT NULL))[floor((count(d) - 1) * 0.5)::INT + 1] AS p50, list_sort(list(d) FILTER (d IS NOT NULL))[floor((count(d) - 1) * 0.9)::INT + 1] AS p90,
    count(*) FILTER (d <= 60) AS micro, count(d) AS closed, avg(num_adds) AS adds, avg(num_partial_exits) AS exits, avg(peak_qty) AS avg_size, median(peak_qty) AS median_size, sum(realized_pnl) AS pnl
    FROM (SELECT *, unnest(['all', 'category:' || category]) AS scope FROM ep) GROUP BY 1, 2),
@@ -412,6 +474,10 @@ features AS (SELECT wallet, scope, x.feature, round(x.value, 4) + 0 AS value, CA
    {'feature': 'episode_duration_p50', 'value': p50, 'reason': 'no_closed'}, {'feature': 'episode_duration_p90', 'value': p90, 'reason': 'no_closed'}, {'feature': 'micro_episode_share', 'value': micro / nullif(closed, 0), 'reason': 'no_closed'},
    {'feature': 'adds_per_episode', 'value': adds, 'reason': 'no_episodes'}, {'feature': 'partial_exit_frequency', 'value': exits, 'reason': 'no_episodes'}, {'feature': 'avg_position_size', 'value': avg_size + 1e-9, 'reason': 'no_episodes'}, {'feature': 'median_position_size', 'value': median_size, 'reason': 'no_episodes'},
    {'feature': 'market_category_concentration', 'value': hhi, 'reason': 'all_scope_only'}, {'feature': 'realized_pnl', 'value': pnl, 'reason': 'no_episodes'}, {'feature': 'reward_income_share', 'value': rewards / nullif(abs(pnl) + rewards, 0), 'reason': 'no_income'}]) AS x FROM wide))"""
+_MORE = """
+ed AS (SELECT wallet, coalesce(category, 'unclassified') AS category, day, round(q0 - q1, 4) + 0 AS dir, round(least(q0, q1), 4) + 0 AS bond FROM exposure x JOIN (SELECT DISTINCT condition_id FROM tokens) USING (condition_id) LEFT JOIN markets USING (condition_id)),
+more AS (SELECT wallet, scope, 'bond_inventory_ratio' AS feature, avg(b / s) AS value FROM (SELECT wallet, scope, day, sum(abs(bond)) AS b, sum(abs(bond) + abs(dir)) AS s FROM (SELECT *, unnest(['all', 'category:' || category]) AS scope FROM ed) GROUP BY 1, 2, 3) WHERE s > 0 GROUP BY 1, 2
+   UNION ALL SELECT wallet, scope, 'calibration_edge', avg(res_price - (least(floor(price * 10), 9) + 0.5) / 10) + 0.5 FROM (SELECT *, unnest(['all', 'category:' || category]) AS scope FROM trades JOIN prices USING (token_id) WHERE side = 'BUY') GROUP BY 1, 2)"""
 _SIGNALS = "signals(detector, feature, weight, half) AS (VALUES " + ", ".join(f"('{d}', '{f}', {w}::DOUBLE, {'NULL' if h is None else h}::DOUBLE)" for d, f, w, h in SIGNALS) + ")"
 _SPLIT = """
 sp AS (SELECT *, CASE WHEN r < floor(n * 0.6) THEN 'train' WHEN r < floor(n * 0.8) THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (ORDER BY trade_ts, id) - 1 AS r, count(*) OVER () AS n FROM dataset))"""
@@ -427,9 +493,9 @@ ORACLE = {
     "fee_attribution": sql(f"""SELECT (ts - {D}) // 604800 AS week, category, count(*) AS n, round(sum(fee), 4) + 0 AS fees, round(sum(CASE WHEN role = 'maker' THEN fee ELSE 0 END), 4) + 0 AS maker_fees, round(sum(CASE WHEN role = 'taker' THEN fee ELSE 0 END), 4) + 0 AS taker_fees,
 count(*) FILTER (role IS NULL) AS n_unknown, round(sum(notional), 4) + 0 AS notional FROM fee GROUP BY 1, 2""", _FEES),
     "fee_coverage": sql("SELECT count(*) AS n, count(fee) AS n_fee, count(role) AS n_role, count(*) FILTER (fee > 0) AS n_charged FROM fee", _FEES),
-    "enrichment_match": sql("""SELECT fill_id, hits, CASE WHEN hits = 1 THEN one WHEN by_usdc = 1 THEN one_usdc END AS event_id, CASE WHEN hits = 1 OR by_usdc = 1 THEN 'matched' WHEN by_usdc = 0 THEN 'none' ELSE 'ambiguous' END AS status FROM
-(SELECT c.id AS fill_id, count(*) AS hits, min(t.id) AS one, count(*) FILTER (abs(abs(t.delta_usdc) - abs(c.delta_usdc)) <= 0.5) AS by_usdc, min(t.id) FILTER (abs(abs(t.delta_usdc) - abs(c.delta_usdc)) <= 0.5) AS one_usdc
- FROM ledger c JOIN ledger t ON c.wallet = t.wallet AND c.token_id = t.token_id AND c.ts // 86400 = t.ts // 86400 AND abs(t.size - (c.size + 0.1::DOUBLE)) <= 0.5 WHERE c.event_type = 'TRADE' AND c.id % 5 <> 0 AND t.event_type = 'TRADE' GROUP BY 1)"""),
+    "enrichment_match": sql("SELECT fill_id, hits, event_id, status FROM matched", _ENRICH),
+    "enrichment_watermark": sql("""SELECT t.wallet, head_ts, count(*) AS n, count(*) FILTER (NOT late AND found) AS n_enriched, count(*) FILTER (late) AS n_pending, count(*) FILTER (NOT late AND NOT found) AS n_missing
+FROM (SELECT l.wallet, head_ts, l.ts > coalesce(head_ts, 0) AS late, l.id IN (SELECT event_id FROM matched WHERE status = 'matched') AS found FROM ledger l LEFT JOIN (SELECT wallet, max(fill_ts) AS head_ts FROM chain WHERE fill_ts < 1706400000 GROUP BY 1) USING (wallet) WHERE event_type = 'TRADE') t GROUP BY 1, 2""", _ENRICH),
     "enrichment_resolution": sql("""SELECT CASE WHEN n_roles = 1 THEN role ELSE 'ambiguous' END AS role, 'a_logs' AS source, count(*) AS n FROM (SELECT id, count(DISTINCT role) AS n_roles, min(role) AS role FROM
 (SELECT id, coalesce(role, 'ambiguous') AS role FROM trades UNION ALL SELECT id, CASE WHEN id % 11 = 0 THEN 'taker' ELSE coalesce(role, 'ambiguous') END FROM trades) GROUP BY id) GROUP BY 1""", _FEES),
     "enrichment_coverage": sql(f"SELECT wallet, CASE WHEN ({D + 2592000} - ts) // 86400 < 2 THEN 'pending' WHEN ({D + 2592000} - ts) // 86400 < 7 THEN 'recent' WHEN ({D + 2592000} - ts) // 86400 < 15 THEN 'mid' ELSE 'old' END AS recency, count(*) AS n, count(role) AS n_enriched, round(count(role) / count(*), 4) AS coverage FROM trades GROUP BY 1, 2", _FEES),
@@ -444,7 +510,8 @@ FROM (SELECT wallet, arg_max(unrealized, day) AS u, avg(stale_share) AS st FROM
     "entry_price_distribution": sql("SELECT wallet, least(floor(price * 10), 9)::BIGINT AS decile, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY wallet), 4) AS share FROM ledger WHERE side = 'BUY' GROUP BY 1, 2"),
     "resolution_calibration": sql("SELECT decile, count(*) AS n, round(avg(res_price), 4) AS win_rate, (decile + 0.5) / 10 AS implied, round(avg(res_price) - (decile + 0.5) / 10, 4) + 0 AS edge FROM (SELECT least(floor(price * 10), 9)::BIGINT AS decile, res_price FROM ledger JOIN prices USING (token_id) WHERE side = 'BUY') GROUP BY 1", A._PRICES).replace("(decile + 0.5) / 10", "(decile + 0.5::DOUBLE) / 10"),
     "detector_scores": sql("""SELECT wallet, scope, detector, round(s / nullif(w, 0), 4) AS score, round(w / a, 4) AS confidence, n_signals FROM (SELECT wallet, scope, detector, sum(CASE WHEN value IS NOT NULL THEN greatest(0, least(1, CASE WHEN half IS NOT NULL THEN value / (value + half) ELSE value END)) * weight ELSE 0 END) AS s,
-sum(CASE WHEN value IS NOT NULL THEN weight ELSE 0 END) AS w, sum(weight) AS a, count(value) AS n_signals FROM features JOIN signals USING (feature) GROUP BY 1, 2, 3)""", POSITIONS, A._EPISODES, _FEES, _FINGER, _SIGNALS),
+sum(CASE WHEN value IS NOT NULL THEN weight ELSE 0 END) AS w, sum(weight) AS a, count(value) AS n_signals FROM (SELECT wallet, scope, feature, value FROM features UNION ALL
+SELECT wallet, scope, feature, value FROM (SELECT wallet, scope, n.feature FROM features, (VALUES ('bond_inventory_ratio'), ('calibration_edge')) n(feature) WHERE features.feature = 'episode_count') LEFT JOIN more USING (wallet, scope, feature)) JOIN signals USING (feature) GROUP BY 1, 2, 3)""", POSITIONS, A._EPISODES, _FEES, _FINGER, A._PRICES, A._DAILY, A._EXPOSURE, _MORE, _SIGNALS),
     "rule_grid_metrics": sql("SELECT min_spread, max_age, need_inside, split, n, n_fired, round(n_fired / n, 4) AS coverage, round(p, 4) AS precision, round(x, 4) AS explained, round(markout, 4) + 0 AS avg_markout, round(max_inventory, 4) + 0 AS max_inventory FROM metrics", *_DS, _SPLIT, _GRID),
     "rule_promotion": sql("""SELECT t.min_spread, t.max_age, t.need_inside, round(t.score, 4) AS train_score, round(v.markout, 4) + 0 AS validation_markout, round(e.markout, 4) + 0 AS test_markout, coalesce(v.markout > 0 AND e.markout > 0 AND e.n_fired > 0, false) AS promoted
 FROM (SELECT * FROM metrics WHERE split = 'train' ORDER BY round(score, 8) DESC, min_spread, max_age, need_inside LIMIT 1) t JOIN metrics v ON (v.min_spread, v.max_age, v.need_inside, v.split) = (t.min_spread, t.max_age, t.need_inside, 'validation') JOIN metrics e ON (e.min_spread, e.max_age, e.need_inside, e.split) = (t.min_spread, t.max_age, t.need_inside, 'test')""", *_DS, _SPLIT, _GRID),

@@ -9,6 +9,7 @@ from tidemark.functions import scalars
 from tidemark.operators import ordered as O
 from tidemark.plans.accounting import KEY, positions
 from tidemark.plans.views import POSITIONS, ledger, markets, r4, sql, tokens
+from tidemark.sources import readers
 
 HORIZONS = {"5m": 300, "15m": 900, "1h": 3600, "24h": 86400}
 
@@ -89,6 +90,25 @@ def books(spark, sf_dir):
     return b.select("token_id", "ts", F.col("price").alias("mid"), F.round(F.col("price") - half, 4).alias("best_bid"), F.round(F.col("price") + half, 4).alias("best_ask"))
 
 
+def depth_books(spark, sf_dir):
+    """The same books with two levels a side, by way of their JSON payload: depth and imbalance as ``parse_books`` has them."""
+    b = ledger(spark, sf_dir).where("side = 'BUY' and id % 3 = 0")
+    half = ((F.col("id") * 13) % 9 + 1) / F.lit(200.0)
+    bid, ask = F.round(F.col("price") - half, 4), F.round(F.col("price") + half, 4)
+
+    def level(p, s):
+        return F.struct(F.round(p, 4).cast("string").alias("price"), s.cast("string").alias("size"))
+
+    payload = F.to_json(F.struct(
+        F.array(level(bid - 0.01, (F.col("id") * 7) % 5 * 3 + 1), level(bid, F.col("size"))).alias("bids"),
+        F.array(level(ask + 0.01, (F.col("id") * 3) % 7 * 2 + 1), level(ask, (F.col("id") * 11) % 40 + 1)).alias("asks"),
+    ))
+    p = readers.parse_books(b.select("token_id", "ts", F.col("price").alias("stated_mid"), payload.alias("payload")))
+    top = F.col("bid_depth_top1") + F.col("ask_depth_top1")
+    one = F.try_divide(F.col("bid_depth_top1") - F.col("ask_depth_top1"), F.nullif(top, F.lit(0.0)))
+    return p.select("token_id", "ts", F.col("stated_mid").alias("mid"), "best_bid", "best_ask", "bid_depth_top1", "ask_depth_top1", "bid_depth_top5", "ask_depth_top5", one.alias("imbalance_top1"), F.col("imbalance").alias("imbalance_top5"))
+
+
 def fills(spark, sf_dir):
     return ledger(spark, sf_dir).where("event_type = 'TRADE' and not (side = 'BUY' and id % 3 = 0)")
 
@@ -125,18 +145,19 @@ def microstructure_dataset(spark, sf_dir):
     p = positions(spark, sf_dir).select("id", *KEY, "ts", "qty", "qty_before")
     f = fills(spark, sf_dir)
     out = f.join(p.select("id", "token_id", F.col("qty_before").alias("q_before"), F.col("qty").alias("q_after")), ["id", "token_id"])
-    other = F.concat(F.lit("t"), F.substring("condition_id", 2, 9).cast("long") * 2 + 1 - F.col("outcome_index"))
-    out = out.withColumn("own_token", F.col("token_id")).withColumn("token_id", other)
+    pairs = tokens(spark).select("condition_id", (1 - F.col("outcome_index")).alias("outcome_index"), F.col("token_id").alias("other"))
+    out = out.join(pairs, ["condition_id", "outcome_index"], "left")
+    out = out.withColumn("own_token", F.col("token_id")).withColumn("token_id", F.col("other")).drop("other")
     out = out.withColumn("fill_ts", F.col("ts")).withColumn("ts", F.col("ts") - 1)
     state = p.select(*KEY, "ts", "id", "qty").withColumn("other_qty", F.col("qty"))
     last = state.groupBy(*KEY, "ts").agg(F.max_by("other_qty", "id").alias("other_qty"))
     out = O.asof_backward(out, last, KEY, ["other_qty"]).drop("asof_ts")
     out = out.withColumn("token_id", F.col("own_token")).withColumn("ts", F.col("fill_ts"))
-    b = books(spark, sf_dir)
-    out = O.asof_backward(out, b, ["token_id"], ["mid", "best_bid", "best_ask"]).withColumnRenamed("asof_ts", "book_ts")
+    b = depth_books(spark, sf_dir).withColumnRenamed("imbalance_top5", "imbalance").select("token_id", "ts", "mid", "best_bid", "best_ask", "imbalance")
+    out = O.asof_backward(out, b, ["token_id"], ["mid", "best_bid", "best_ask", "imbalance"]).withColumnRenamed("asof_ts", "book_ts")
     out = out.withColumn("ts", F.col("fill_ts") + 3600)
     out = O.asof_forward(out, b.withColumnRenamed("mid", "mid_1h"), ["token_id"], ["mid_1h"])
-    m = F.broadcast(markets(spark).select("condition_id", "category", "event_id"))
+    m = markets(spark).select("condition_id", "category", "event_id")
     out = out.join(m, "condition_id", "left")
     sign = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
     q0 = F.when(F.col("outcome_index") == 0, F.col("q_before")).otherwise(F.coalesce("other_qty", F.lit(0.0)))
@@ -144,10 +165,10 @@ def microstructure_dataset(spark, sf_dir):
     reasons = F.concat_ws(",", F.when(F.col("mid").isNull(), "book:none"), F.when(F.col("event_id").isNull(), "market:none"))
     age = F.col("fill_ts") - F.col("book_ts")
     return out.select(
-        "id", "wallet", F.col("own_token").alias("token_id"), F.col("fill_ts").alias("trade_ts"), "side", F.col("price").alias("fill_price"), r4("size", "fill_shares"),
+        "id", "wallet", F.col("own_token").alias("token_id"), "condition_id", "outcome_index", F.col("fill_ts").alias("trade_ts"), "side", F.col("price").alias("fill_price"), r4("size", "fill_shares"),
         r4(F.col("size") * F.col("price"), "fill_notional"), F.coalesce("category", F.lit("unclassified")).alias("category"), "event_id",
         age.alias("book_before_age_s"), "mid", r4((F.col("best_ask") - F.col("best_bid")) / F.nullif(F.col("mid"), F.lit(0.0)) * 10000, "spread_bps"),
-        ((F.col("price") > F.col("best_bid")) & (F.col("price") < F.col("best_ask"))).alias("inside"),
+        ((F.col("price") > F.col("best_bid")) & (F.col("price") < F.col("best_ask"))).alias("inside"), r4("imbalance"),
         r4("q_before", "qty_before"), r4("q_after", "qty_after"), r4(scalars.directional(q0, q1), "directional_before"), r4(scalars.bond(q0, q1), "bond_before"),
         F.floor(F.col("fill_ts") % 86400 / 3600).alias("trade_hour"),
         r4(F.when(F.col("asof_ts") <= F.col("fill_ts") + 3 * 3600, sign * (F.col("mid_1h") - F.col("price"))), "markout_1h"),
@@ -169,7 +190,7 @@ def merge_like_tx(spark, sf_dir):
 
 def merge_batches(spark, sf_dir, gap: int = 7200):
     """Merges of a wallet and event in runs with gaps of at most ``gap`` seconds; runs of one are none."""
-    m = ledger(spark, sf_dir).where("event_type = 'MERGE'").join(F.broadcast(markets(spark)), "condition_id")
+    m = ledger(spark, sf_dir).where("event_type = 'MERGE'").join(markets(spark), "condition_id")
     s = O.sessions(m, ["wallet", "event_id"], gap)
     g = s.groupBy("wallet", "event_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), r4(F.sum("size"), "size"))
     return g.where("n > 1").select("wallet", "event_id", F.col("session").cast("long").alias("session"), "n", "first_ts", "last_ts", "size")
@@ -198,12 +219,12 @@ def pair_completion(spark, sf_dir):
     t = t.withColumns({"n0": nxt[0], "n1": nxt[1]}).where("side = 'BUY'")
     other = F.when(F.col("outcome_index") == 0, F.col("n1")).otherwise(F.col("n0"))
     t = t.withColumn("o", other)
-    return t.select("id", F.col("o.id").alias("pair_id"), (F.col("o.ts") - F.col("ts")).alias("wait_s"), r4(1 - F.col("price") - F.col("o.price"), "pair_edge"), scalars.time_bucket(F.col("o.ts") - F.col("ts")).alias("bucket"))
+    return t.select("id", F.col("o.id").alias("pair_id"), (F.col("o.ts") - F.col("ts")).alias("wait_s"), r4(1 - F.col("price") - F.col("o.price"), "pair_edge"), scalars.time_bucket(F.col("o.ts") - F.col("ts")).alias("bucket"), scalars.cost_bucket(F.round(F.col("price") + F.col("o.price"), 4)).alias("cost_bucket"))
 
 
 def sibling_sequences(spark, sf_dir, window_s: int = 3600):
     """Pairs of fills of a wallet in different conditions of an event within an hour, by their sides."""
-    f = fills(spark, sf_dir).join(F.broadcast(markets(spark).select("condition_id", "event_id")), "condition_id")
+    f = fills(spark, sf_dir).join(markets(spark).select("condition_id", "event_id"), "condition_id")
     f = f.select("id", "ts", "condition_id", "side", F.concat_ws("/", "wallet", "event_id").alias("series"))
     a = f.select(*(F.col(c).alias(f"a_{c}") for c in f.columns)).withColumn("cell", F.explode(F.array(F.floor(F.col("a_ts") / window_s), F.floor(F.col("a_ts") / window_s) + 1)))
     b = f.select(*(F.col(c).alias(f"b_{c}") for c in f.columns)).withColumn("cell", F.floor(F.col("b_ts") / window_s))
@@ -226,7 +247,7 @@ def order_timing(spark, sf_dir, lookback: int = 86400, tolerance: float = 0.02):
 
 def leader_follower_tiers(spark, sf_dir, window_s: int = 3600):
     """Each trade of w1 with the trade of w2 that it may follow: same token and side first, down to the same event."""
-    m = F.broadcast(markets(spark).select("condition_id", "event_id"))
+    m = markets(spark).select("condition_id", "event_id")
     t = ledger(spark, sf_dir).where("event_type = 'TRADE'").join(m, "condition_id")
     t = t.select("id", "ts", "wallet", "token_id", "condition_id", "side", "event_id")
     token, side = F.col("l_token_id") == F.col("r_token_id"), F.col("l_side") == F.col("r_side")
@@ -256,9 +277,10 @@ by_market AS (SELECT wallet, condition_id, sum(matched) AS matched, round(sum(ed
 
 
 _BOOKS = """
-books AS (SELECT token_id, ts, price AS mid, round(price - ((id * 13) % 9 + 1) / 200.0::DOUBLE, 4) AS best_bid, round(price + ((id * 13) % 9 + 1) / 200.0::DOUBLE, 4) AS best_ask FROM ledger WHERE side = 'BUY' AND id % 3 = 0),
+books AS (SELECT token_id, ts, price AS mid, round(price - ((id * 13) % 9 + 1) / 200.0::DOUBLE, 4) AS best_bid, round(price + ((id * 13) % 9 + 1) / 200.0::DOUBLE, 4) AS best_ask,
+   size AS bid1, size + (id * 7) % 5 * 3 + 1 AS bid5, (id * 11) % 40 + 1 AS ask1, (id * 11) % 40 + 1 + (id * 3) % 7 * 2 + 1 AS ask5 FROM ledger WHERE side = 'BUY' AND id % 3 = 0),
 fills AS (SELECT * FROM ledger WHERE event_type = 'TRADE' AND NOT (side = 'BUY' AND id % 3 = 0)),
-one_book AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token_id, ts ORDER BY mid DESC, best_bid DESC, best_ask DESC) AS rn FROM books) WHERE rn = 1)"""
+one_book AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token_id, ts ORDER BY mid DESC, best_bid DESC, best_ask DESC, (bid5 - ask5) / (bid5 + ask5) DESC) AS rn FROM books) WHERE rn = 1)"""
 _CONTEXT = """
 context AS (SELECT id, mid_before, ts - ts_before AS age_before_s,
    CASE WHEN ts_before IS NULL THEN 'missing' WHEN (ts - ts_before) // 60 > 240 THEN 'stale' WHEN (ts - ts_before) // 60 <= 2 THEN 'excellent' WHEN (ts - ts_before) // 60 <= 5 THEN 'good' WHEN (ts - ts_before) // 60 <= 10 THEN 'usable' ELSE 'weak' END AS status,
@@ -267,13 +289,13 @@ context AS (SELECT id, mid_before, ts - ts_before AS age_before_s,
      ASOF LEFT JOIN one_book b ON f.token_id = b.token_id AND f.ts >= b.ts ASOF LEFT JOIN one_book a ON f.token_id = a.token_id AND f.ts <= a.ts))"""
 _DATASET = """
 pq AS (SELECT wallet, token_id, ts, arg_max(qty, id) AS other_qty FROM positions GROUP BY 1, 2, 3),
-d1 AS (SELECT f.*, p.qty_before AS qb, p.qty AS qa, f.ts - 1 AS t1, f.ts + 3600 AS t2, 't' || (substr(f.condition_id, 2)::BIGINT * 2 + 1 - f.outcome_index) AS other FROM fills f JOIN positions p ON p.id = f.id AND p.token_id = f.token_id),
+d1 AS (SELECT f.*, p.qty_before AS qb, p.qty AS qa, f.ts - 1 AS t1, f.ts + 3600 AS t2, o.token_id AS other FROM fills f JOIN positions p ON p.id = f.id AND p.token_id = f.token_id LEFT JOIN tokens o ON o.condition_id = f.condition_id AND o.outcome_index = 1 - f.outcome_index),
 d2 AS (SELECT d1.*, pq.other_qty FROM d1 ASOF LEFT JOIN pq ON d1.wallet = pq.wallet AND d1.other = pq.token_id AND d1.t1 >= pq.ts),
-d3 AS (SELECT d2.*, b.ts AS book_ts, b.mid, b.best_bid, b.best_ask FROM d2 ASOF LEFT JOIN one_book b ON d2.token_id = b.token_id AND d2.ts >= b.ts),
+d3 AS (SELECT d2.*, b.ts AS book_ts, b.mid, b.best_bid, b.best_ask, (b.bid5 - b.ask5) / (b.bid5 + b.ask5) AS imb FROM d2 ASOF LEFT JOIN one_book b ON d2.token_id = b.token_id AND d2.ts >= b.ts),
 d4 AS (SELECT d3.*, b.ts AS after_ts, b.mid AS mid_1h FROM d3 ASOF LEFT JOIN one_book b ON d3.token_id = b.token_id AND d3.t2 <= b.ts),
 d5 AS (SELECT d4.*, m.category, m.event_id, CASE WHEN outcome_index = 0 THEN qb ELSE coalesce(other_qty, 0) END AS q0, CASE WHEN outcome_index = 1 THEN qb ELSE coalesce(other_qty, 0) END AS q1 FROM d4 LEFT JOIN markets m USING (condition_id)),
-dataset AS (SELECT id, wallet, token_id, ts AS trade_ts, side, price AS fill_price, round(size, 4) AS fill_shares, round(size * price, 4) AS fill_notional, coalesce(category, 'unclassified') AS category, event_id,
-   ts - book_ts AS book_before_age_s, mid, round((best_ask - best_bid) / nullif(mid, 0) * 10000, 4) + 0 AS spread_bps, price > best_bid AND price < best_ask AS inside,
+dataset AS (SELECT id, wallet, token_id, condition_id, outcome_index, ts AS trade_ts, side, price AS fill_price, round(size, 4) AS fill_shares, round(size * price, 4) AS fill_notional, coalesce(category, 'unclassified') AS category, event_id,
+   ts - book_ts AS book_before_age_s, mid, round((best_ask - best_bid) / nullif(mid, 0) * 10000, 4) + 0 AS spread_bps, price > best_bid AND price < best_ask AS inside, round(imb, 4) + 0 AS imbalance,
    round(qb, 4) + 0 AS qty_before, round(qa, 4) + 0 AS qty_after, round(q0 - q1, 4) + 0 AS directional_before, round(least(q0, q1), 4) + 0 AS bond_before, ts % 86400 // 3600 AS trade_hour,
    round(CASE WHEN after_ts <= ts + 10800 THEN CASE WHEN side = 'BUY' THEN 1 ELSE -1 END * (mid_1h - price) END, 4) + 0 AS markout_1h,
    nullif(concat_ws(',', CASE WHEN mid IS NULL THEN 'book:none' END, CASE WHEN event_id IS NULL THEN 'market:none' END), '') AS null_reasons FROM d5)"""
@@ -302,7 +324,8 @@ ORACLE = {
 (SELECT *, coalesce(sum(CASE WHEN o THEN 0 ELSE 1 END) OVER (PARTITION BY wallet, condition_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM
  (SELECT *, gap > 1e-6 AS o FROM (SELECT *, round(abs(sum(CASE WHEN event_type = 'REDEEM' THEN 0 WHEN outcome_index = 0 THEN delta_shares ELSE -delta_shares END) OVER (PARTITION BY wallet, condition_id, seg {_UP})), 4) AS gap FROM
   (SELECT *, sum(CASE WHEN event_type = 'REDEEM' THEN 1 ELSE 0 END) OVER (PARTITION BY wallet, condition_id {_UP}) AS seg FROM ledger WHERE event_type IN ('TRADE', 'REDEEM'))))) GROUP BY wallet, condition_id, island HAVING count(*) FILTER (o) > 0"""),
-    "pair_completion": sql("""SELECT t.id, o.id AS pair_id, o.ts - t.ts AS wait_s, round(1 - t.price - o.price, 4) + 0 AS pair_edge, CASE WHEN o.ts IS NULL THEN 'unknown' WHEN o.ts - t.ts <= 60 THEN '<=1m' WHEN o.ts - t.ts <= 300 THEN '1m-5m' WHEN o.ts - t.ts <= 3600 THEN '5m-1h' WHEN o.ts - t.ts <= 86400 THEN '1h-1d' ELSE '>1d' END AS bucket
+    "pair_completion": sql("""SELECT t.id, o.id AS pair_id, o.ts - t.ts AS wait_s, round(1 - t.price - o.price, 4) + 0 AS pair_edge, CASE WHEN o.ts IS NULL THEN 'not_completed' WHEN o.ts - t.ts < 10 THEN 'under_10s' WHEN o.ts - t.ts < 60 THEN 'under_60s' WHEN o.ts - t.ts < 300 THEN '1m_5m' WHEN o.ts - t.ts < 900 THEN '5m_15m' WHEN o.ts - t.ts < 3600 THEN '15m_60m' ELSE 'over_60m' END AS bucket,
+CASE WHEN o.ts IS NULL THEN 'unknown' WHEN round(t.price + o.price, 4) < 0.90 THEN 'lt_0_90' WHEN round(t.price + o.price, 4) < 0.95 THEN '0_90_0_95' WHEN round(t.price + o.price, 4) < 0.98 THEN '0_95_0_98' WHEN round(t.price + o.price, 4) <= 1.00 THEN '0_98_1_00' ELSE 'gt_1_00' END AS cost_bucket
 FROM ledger t LEFT JOIN LATERAL (SELECT id, ts, price FROM ledger x WHERE x.event_type = 'TRADE' AND x.wallet = t.wallet AND x.condition_id = t.condition_id AND x.outcome_index <> t.outcome_index AND (x.ts, x.id) > (t.ts, t.id) ORDER BY ts, id LIMIT 1) o ON true WHERE t.side = 'BUY'"""),
     "sibling_sequences": sql("""SELECT a.side || '->' || b.side AS kind, count(*) AS n, min(b.ts - a.ts) AS least_s, count(DISTINCT a.wallet || '/' || a.event_id) AS n_series FROM (SELECT * FROM fills JOIN markets USING (condition_id)) a JOIN (SELECT * FROM fills JOIN markets USING (condition_id)) b
 ON a.wallet = b.wallet AND a.event_id = b.event_id AND a.condition_id <> b.condition_id AND b.ts - a.ts BETWEEN 0 AND 3600 AND (b.ts > a.ts OR b.id > a.id) GROUP BY 1""", _BOOKS),

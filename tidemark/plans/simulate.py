@@ -26,10 +26,9 @@ ALLOWED = ["id", "wallet", "condition_id", "event_id", "trade_ts", "outcome_inde
 def decisions(spark, sf_dir):
     """What a simulated strategy may look at: one row for each fill that it could react to."""
     d = M.microstructure_dataset(spark, sf_dir)
-    number = F.substring("token_id", 2, 9).cast("long")
     return d.select(
-        "id", "wallet", F.concat(F.lit("c"), F.floor(number / 2)).alias("condition_id"), F.coalesce("event_id", F.lit("-")).alias("event_id"), "trade_ts",
-        (number % 2).alias("outcome_index"), "side", "fill_price", "fill_shares", F.col("book_before_age_s").alias("book_age_s"), "spread_bps", "mid",
+        "id", "wallet", "condition_id", F.coalesce("event_id", F.lit("-")).alias("event_id"), "trade_ts",
+        "outcome_index", "side", "fill_price", "fill_shares", F.col("book_before_age_s").alias("book_age_s"), "spread_bps", "mid",
     )
 
 
@@ -159,7 +158,7 @@ def sim_inventory_cycling(spark, sf_dir):
 
     t = ledger(spark, sf_dir).where("event_type = 'TRADE'").select("id", "ts", "wallet", "condition_id", "outcome_index", F.col("price").alias("fill_price"))
     out = t.groupBy("wallet", "condition_id").applyInPandas(run, "wallet string, condition_id string, buys long, merged double, profit double, left0 double, left1 double, left_cost double")
-    m = F.broadcast(markets(spark).select("condition_id", "price0"))
+    m = markets(spark).select("condition_id", "price0")
     out = out.join(m, "condition_id", "left")  # what is left is redeemed at the outcome, if there is one
     redeemed = F.coalesce(F.col("left0") * F.col("price0") + F.col("left1") * (1 - F.col("price0")), F.lit(0.0))
     return out.select("wallet", "condition_id", "buys", r4("merged"), r4("profit"), r4(redeemed, "redeemed"), r4("left_cost"))
@@ -239,7 +238,7 @@ def completion_set_audit(spark, sf_dir):
     """Matched sets against merges by category: what was completed, merged, and left over."""
     lots = fifo_consuming_lots(spark, sf_dir)
     merged = ledger(spark, sf_dir).where("event_type = 'MERGE'").groupBy("wallet", "condition_id").agg(F.sum("size").alias("merged"))
-    j = lots.join(merged, ["wallet", "condition_id"], "full").join(F.broadcast(markets(spark).select("condition_id", "category")), "condition_id", "left")
+    j = lots.join(merged, ["wallet", "condition_id"], "full").join(markets(spark).select("condition_id", "category"), "condition_id", "left")
     z = F.lit(0.0)
     return j.groupBy(F.coalesce("category", F.lit("unclassified")).alias("category")).agg(
         F.count("*").alias("n"), r4(F.sum(F.coalesce("matched", z)), "matched"), r4(F.sum(F.coalesce("merged", z)), "merged"), r4(F.sum(F.coalesce("waiting", z)), "orphans"), F.count_if(F.coalesce("merged", z) > F.coalesce("matched", z)).alias("n_over_merged")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.plans import accounting as A
 from tidemark.plans import behaviour as B
 from tidemark.plans import matching as M
-from tidemark.plans.views import POSITIONS, r4, sql
+from tidemark.plans.views import POSITIONS, markets, r4, sql
 
 #: Predicates by family, in SQL that both engines read.
 FAMILIES = {
@@ -26,15 +26,14 @@ FAMILIES = {
 
 
 def _rows(spark, sf_dir) -> DataFrame:
-    """Split fills with a book imbalance and the number of sibling fills in the hour before."""
+    """Split fills with the number of sibling fills in the hour before."""
     d = B._split_dataset(spark, sf_dir)
-    s = M.microstructure_dataset(spark, sf_dir).select("id", "wallet", "event_id", "token_id", "trade_ts")
-    s = s.withColumn("condition", F.floor(F.substring("token_id", 2, 9).cast("long") / 2))
+    s = M.fills(spark, sf_dir).join(markets(spark).select("condition_id", "event_id"), "condition_id", "left")
+    s = s.select("id", "wallet", "event_id", F.col("condition_id").alias("condition"), F.col("ts").alias("trade_ts"))
     hour = Window.partitionBy("wallet", "event_id").orderBy("trade_ts").rangeBetween(-3600, -1)
     own = Window.partitionBy("wallet", "event_id", "condition").orderBy("trade_ts").rangeBetween(-3600, -1)
     siblings = F.when(F.col("event_id").isNotNull(), F.count("*").over(hour) - F.count("*").over(own)).otherwise(0)
-    d = d.join(s.select("id", siblings.alias("n_siblings")), "id")
-    return d.withColumn("imbalance", (F.col("id") * 17 % 21 - 10) / F.lit(10.0))
+    return d.join(s.select("id", siblings.alias("n_siblings")), "id")
 
 
 def rule_families(spark, sf_dir):
@@ -123,8 +122,8 @@ def markdown(df: DataFrame, title: str, most: int = 200) -> str:
 QUERIES = {f.__name__: f for f in (rule_families, composite_search, wallet_profile, wallet_clusters)}
 
 _ROWS = """
-sib AS (SELECT id, CASE WHEN event_id IS NOT NULL THEN count(*) OVER (PARTITION BY wallet, event_id ORDER BY trade_ts RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) - count(*) OVER (PARTITION BY wallet, event_id, substr(token_id, 2)::BIGINT // 2 ORDER BY trade_ts RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) ELSE 0 END AS n_siblings FROM dataset),
-rr AS (SELECT sp.*, n_siblings, (sp.id * 17 % 21 - 10) / 10.0::DOUBLE AS imbalance FROM sp JOIN sib USING (id))"""
+sib AS (SELECT id, CASE WHEN event_id IS NOT NULL THEN count(*) OVER (PARTITION BY wallet, event_id ORDER BY trade_ts RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) - count(*) OVER (PARTITION BY wallet, event_id, condition_id ORDER BY trade_ts RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) ELSE 0 END AS n_siblings FROM dataset),
+rr AS (SELECT sp.*, n_siblings FROM sp JOIN sib USING (id))"""
 ORACLE = {
     "rule_families": sql("SELECT rule, split, count(*) AS n, count(*) FILTER (f) AS fired, round(count(*) FILTER (f) / count(*), 4) AS coverage, round(count(*) FILTER (f AND markout_1h > 0) / nullif(count(*) FILTER (f AND markout_1h IS NOT NULL), 0), 4) AS precision, round(avg(markout_1h) FILTER (f), 4) + 0 AS avg_markout FROM ("
         + " UNION ALL ".join(f"SELECT '{k}' AS rule, split, markout_1h, coalesce({p}, false) AS f FROM rr" for k, p in FAMILIES.items()) + ") GROUP BY 1, 2", POSITIONS, M._BOOKS, M._DATASET, B._SPLIT, _ROWS),

@@ -12,6 +12,12 @@ from tidemark.functions import scalars
 ACTIVITY = "proxyWallet string, timestamp long, conditionId string, type string, size string, usdcSize string, transactionHash string, price string, asset string, side string, outcomeIndex int"
 BOOK = "bids array<struct<price:string,size:string>>, asks array<struct<price:string,size:string>>"
 HISTORY = "history array<struct<t:long,p:double>>"
+POSITION = "asset string, conditionId string, size string, avgPrice string, curPrice string, currentValue string, realizedPnl string, title string, outcome string"
+#: Names under which a portfolio's value may stand, in the order in which they are tried. Fixed values.
+VALUE_KEYS = ("value", "totalValue", "portfolioValue", "currentValue")
+#: Signatures of the two layouts of a fill's log. Fixed values.
+FILL_V1 = "OrderFilled(bytes32,address,address,uint256,uint256,uint256,uint256,uint256)"
+FILL_V2 = "OrderFilled(bytes32,address,address,uint8,uint256,uint256,uint256,uint256,bytes32,bytes32)"
 KNOWN_TYPES = ("TRADE", "SPLIT", "MERGE", "REDEEM", "REWARD", "MAKER_REBATE", "TAKER_REBATE")
 
 
@@ -140,12 +146,20 @@ def hex_to_decimal(text: pa.Array) -> pa.Array:
     return pa.array([str(int(t, 16)) if t else None for t in text.to_pylist()], pa.string())
 
 
-def decode_order_filled(logs: DataFrame) -> DataFrame:
+def _amount(word: Column) -> Column:
+    """A 256-bit amount in units of six places, exact up to 38 digits; null beyond."""
+    return (hex_to_decimal(word).try_cast("decimal(38,0)").cast("double") / F.lit(1_000_000)).cast("double")
+
+
+def decode_order_filled(logs: DataFrame, v1: str | None = None, v2: str | None = None) -> DataFrame:
     """Fills from logs with ``topics`` (array of hex words) and ``data`` (hex): ids as decimal text, amounts in units.
 
-    Data words: maker asset, taker asset, maker amount, taker amount, fee; amounts have six places.
+    The first topic says which layout the data has. The first has maker asset, taker asset, maker amount, taker amount, fee;
+    the second has side (0: the maker buys, 1: it sells), token, maker amount, taker amount, fee. ``layout`` is 1 or 2; a
+    log of another topic, with fewer topics or words than its layout, or of another side has a null layout and null fields.
     """
-    data = F.regexp_replace("data", "^0x", "")
+    topics = {1: v1 or "0x" + keccak256(FILL_V1.encode()).hex(), 2: v2 or "0x" + keccak256(FILL_V2.encode()).hex()}
+    data, first = F.regexp_replace("data", "^0x", ""), F.lower(F.get("topics", F.lit(0)))
 
     def word(k: int) -> Column:
         return F.substring(data, k * 64 + 1, 64)
@@ -153,17 +167,84 @@ def decode_order_filled(logs: DataFrame) -> DataFrame:
     def address(k: int) -> Column:
         return F.concat(F.lit("0x"), F.lower(F.right(F.get("topics", F.lit(k)), F.lit(40))))
 
-    def amount(k: int) -> Column:
-        return F.conv(F.right(word(k), F.lit(15)), 16, 10).cast("decimal(20,0)") / F.lit(1_000_000)
-
+    words = F.floor(F.length(data) / 64)
+    side = F.ltrim(word(0), F.lit("0"))
+    known = (F.size("topics") >= 4) & F.col("data").isNotNull()
+    layout = F.when(known & (first == topics[1]) & (words >= 5), 1).when(known & (first == topics[2]) & (words >= 7) & side.isin("", "1"), 2)
     rest = [c for c in logs.columns if c not in ("topics", "data")]
-    return logs.select(
-        *rest, F.get("topics", F.lit(1)).alias("order_hash"), address(2).alias("maker"), address(3).alias("taker"),
-        hex_to_decimal(word(0)).alias("maker_asset_id"), hex_to_decimal(word(1)).alias("taker_asset_id"),
-        *(amount(k).cast("double").alias(n) for k, n in ((2, "maker_amount"), (3, "taker_amount"), (4, "fee"))),
+    out = logs.select(*rest, "topics", "data", layout.alias("layout"))
+    l1, l2 = F.col("layout") == 1, F.col("layout") == 2
+    maker = F.when(l1, hex_to_decimal(word(0))).when(l2, F.when(side == "", F.lit("0")).otherwise(hex_to_decimal(word(1))))
+    taker = F.when(l1, hex_to_decimal(word(1))).when(l2, F.when(side == "", hex_to_decimal(word(1))).otherwise(F.lit("0")))
+    any_ = F.col("layout").isNotNull()
+    return out.select(
+        *rest, "layout", F.when(any_, F.lower(F.get("topics", F.lit(1)))).alias("order_hash"), F.when(any_, address(2)).alias("maker"), F.when(any_, address(3)).alias("taker"),
+        maker.alias("maker_asset_id"), taker.alias("taker_asset_id"),
+        *(F.when(any_, _amount(word(k))).alias(n) for k, n in ((2, "maker_amount"), (3, "taker_amount"), (4, "fee"))),
+    )
+
+
+def parse_positions(raw: DataFrame, payload: str = "payload") -> DataFrame:
+    """Positions that a venue states, from JSON arrays: one row each with decimals; a row without an asset is left out.
+
+    A number that is missing or unreadable is zero; ``has_avg_price`` and ``has_realized`` say whether it was there.
+    """
+    rest = [c for c in raw.columns if c != payload]
+    rows = raw.select(*rest, F.explode(F.from_json(payload, f"array<struct<{', '.join(c.replace(' ', ':') for c in POSITION.split(', '))}>>")).alias("p"))
+
+    def number(name: str) -> Column:
+        return F.coalesce(F.col(f"p.{name}").try_cast("decimal(28,8)"), F.lit(0).cast("decimal(28,8)"))
+
+    names = {"size": "size", "avg_price": "avgPrice", "cur_price": "curPrice", "current_value": "currentValue", "realized_pnl": "realizedPnl"}
+    return rows.where("p.asset is not null and p.asset != ''").select(
+        *rest, F.col("p.asset").alias("token_id"), F.lower(F.nullif("p.conditionId", F.lit(""))).alias("condition_id"), *(number(v).alias(k) for k, v in names.items()),
+        F.col("p.title").alias("title"), F.col("p.outcome").alias("outcome"), F.col("p.avgPrice").isNotNull().alias("has_avg_price"), F.col("p.realizedPnl").isNotNull().alias("has_realized"),
     )
 
 
+def parse_value(payload: Column) -> Column:
+    """A portfolio's value from JSON: a number, an object that holds it under one of the known names, or a list of either."""
+
+    def of_object(j: Column) -> Column:
+        found = F.coalesce(*(F.get_json_object(j, f"$.{k}") for k in VALUE_KEYS))
+        return F.coalesce(F.coalesce(found, F.trim(j, F.lit('"'))).try_cast("decimal(28,8)"), F.lit(0).cast("decimal(28,8)"))
+
+    items = F.from_json(payload, "array<string>")
+    zero = F.lit(0).cast("decimal(38,8)")
+    total = F.aggregate(F.transform(items, of_object), zero, lambda a, x: (a + x).cast("decimal(38,8)"))
+    return F.when(F.ltrim(payload).startswith("["), F.coalesce(total, zero)).otherwise(of_object(payload).cast("decimal(38,8)"))
+
+
+#: Columns of an exported fill that are numbers, and times. Fixed values.
+FILL_NUMBERS = (
+    "fill_price", "fill_size", "delta_usdc", "book_before_age_s", "best_bid_before", "best_ask_before", "spread_before", "mid_before",
+    "book_after_age_s", "best_bid_after", "best_ask_after", "spread_after", "mid_after", "edge_vs_mid_before", "estimated_edge_usdc",
+)
+FILL_TIMES = ("trade_utc", "book_before_utc", "book_after_utc")
+
+
+def clean_fills(fills: DataFrame, label: str) -> DataFrame:
+    """Fills of an exported CSV made fit for use; every row stays.
+
+    Numbers and times are typed (unreadable ones become null), role, side and context in lower case; added are
+    ``wallet_label``, ``notional``, ``signed_shares`` (null for another side), and whether the book before the fill is at most
+    60 (``valid_before_book``) or 15 seconds old (``strict_before_book``). Missing columns are an error.
+    """
+    lower = ("role", "side", "context_status")
+    if missing := sorted({*FILL_NUMBERS, *FILL_TIMES, *lower} - set(fills.columns)):
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    out = fills.withColumn("wallet_label", F.lit(label))
+    out = out.withColumns({c: F.col(c).try_cast("double") for c in FILL_NUMBERS} | {c: F.col(c).try_cast("timestamp") for c in FILL_TIMES})
+    out = out.withColumns({c: F.lower(c) for c in lower})
+    age = F.col("book_before_age_s")
+    return out.withColumns({
+        "notional": F.abs("delta_usdc"),
+        "signed_shares": F.when(F.col("side") == "buy", F.col("fill_size")).when(F.col("side") == "sell", -F.col("fill_size")),
+        "valid_before_book": F.coalesce(age <= 60, F.lit(False)),
+        "strict_before_book": F.coalesce(age <= 15, F.lit(False)),
+    })
+
+
 def block_at(blocks: DataFrame, ts: int) -> DataFrame:
     """The first block at or after a time."""
     return blocks.where(F.col("ts") >= ts).agg(F.min_by("number", F.struct("ts", "number")).alias("number"), F.min("ts").alias("ts"))
