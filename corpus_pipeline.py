@@ -17,8 +17,6 @@ from tidemark.llm.common import cut, ready, table
 
 #: Similarity in percent from which documents are near-duplicates of each other in this job.
 NEAR_PERCENT = 80
-#: Ids of removed documents are broadcast up to this number; beyond it the documents are joined by a shuffle.
-BROADCAST_IDS = 500_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -27,10 +25,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """``keyed`` without the given rows, and without the key."""
-    rows = rows.select("_row").distinct()
-    few = rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return keyed.join(F.broadcast(rows) if few else rows, "_row", "left_anti").drop("_row")
+    """``keyed`` without the given rows, and without the key. The rows are written out first, so that Spark knows their size."""
+    return keyed.join(cut(rows.select("_row").distinct()), "_row", "left_anti").drop("_row")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +69,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of all documents that are left, as in the packing query."""
     import public_tokenizers
 
-    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, special=True)
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
     return packed.withColumnRenamed("_id", "doc_id")
 
 
