@@ -25,8 +25,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """``keyed`` without the given rows, and without the key. The rows are written out first, so that Spark knows their size."""
-    return keyed.join(cut(rows.select("_row").distinct()), "_row", "left_anti").drop("_row")
+    """``keyed`` without the given rows, and without the key. The rows are written out, so Spark knows their size and sends them
+    to the documents where they are few."""
+    spark = ready(keyed.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    rows.select("_row").distinct().write.parquet(path)
+    return keyed.join(spark.read.parquet(path), "_row", "left_anti").drop("_row")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
