@@ -169,12 +169,6 @@ def top_discrepancies(spark, sf_dir):
     return f.orderBy(F.desc("diff"), "wallet", "token_id").limit(20).select(*KEY, "reason", "diff")
 
 
-def portfolio_value_check(spark, sf_dir):
-    f = reconciliation_facts(spark, sf_dir).groupBy("wallet").agg(F.sum(F.coalesce("local", F.lit(0.0))).alias("l"), F.sum(F.coalesce("venue", F.lit(0.0))).alias("v"))
-    gap = F.try_divide(F.abs(F.col("l") - F.col("v")), F.nullif(F.abs("v"), F.lit(0.0)))
-    return f.select("wallet", r4("l", "local"), r4("v", "venue"), (F.coalesce(gap, F.lit(1.0)) <= 0.02).alias("within_band"))
-
-
 def _scoped(df):
     """Every row once for all and once for its category."""
     return df.withColumn("scope", F.explode(F.array(F.lit("all"), F.concat(F.lit("category:"), "category"))))
@@ -373,13 +367,15 @@ def lifecycle_rollup(spark, sf_dir):
 
 
 def wallets_in_both(spark, sf_dir):
-    """Set operations: tokens that w1 and w2 both bought but w3 did not."""
-    b = ledger(spark, sf_dir).where("side = 'BUY'")
+    """Set operations: (wallet, condition) pairs with buys of both outcomes and no redeem on an odd day."""
+    e = ledger(spark, sf_dir)
 
-    def of(w):
-        return b.where(F.col("wallet") == w).where("ts < 1704240000").select("token_id")
+    def bought(k):
+        return e.where((F.col("side") == "BUY") & (F.col("outcome_index") == k)).select("wallet", "condition_id")
 
-    return of("w1").intersect(of("w2")).exceptAll(of("w3").distinct())
+    odd = F.floor(F.col("ts") / 86400) % 2 == 1
+    gone = e.where((F.col("event_type") == "REDEEM") & odd).select("wallet", "condition_id")
+    return bought(0).intersect(bought(1)).exceptAll(gone.distinct())
 
 
 def ledger_page(spark, sf_dir):
@@ -397,20 +393,24 @@ def token_cooccurrence(spark, sf_dir):
 
 
 def activity_pivot(spark, sf_dir):
+    """Trades of each wallet by hour of the day, a column for each side."""
     t = ledger(spark, sf_dir).where("event_type = 'TRADE'").withColumn("hour", F.floor(F.col("ts") % 86400 / 3600))
-    return t.groupBy("hour").pivot("wallet", ["w0", "w1", "w2"]).agg(F.count("id")).fillna(0)
+    return t.groupBy("wallet", "hour").pivot("side", ["BUY", "SELL"]).agg(F.count("id")).fillna(0).withColumnsRenamed({"BUY": "buys", "SELL": "sells"})
 
 
 def activity_rank_correlation(spark, sf_dir):
-    """Spearman correlation of two wallets' daily trade counts: correlation of average ranks."""
+    """Spearman correlation of each wallet's daily trade counts with those of all wallets: correlation of average ranks."""
     t = ledger(spark, sf_dir).where("event_type = 'TRADE'").withColumn("day", F.floor(F.col("ts") / 86400))
-    g = t.groupBy("day").pivot("wallet", ["w0", "w1", "w2"]).agg(F.count("id")).fillna(0)
+    own = t.groupBy("wallet", "day").agg(F.count("*").alias("n"))
+    every = own.groupBy("day").agg(F.sum("n").alias("total"))
+    grid = own.select("wallet").distinct().crossJoin(F.broadcast(every))  # one row a day
+    g = grid.join(own, ["wallet", "day"], "left").fillna(0, ["n"])
 
     def rank(c):
-        return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2  # one row a day
+        return F.rank().over(Window.partitionBy("wallet").orderBy(c)) + (F.count("*").over(Window.partitionBy("wallet", c)) - 1) / 2
 
-    g = g.select(*(rank(c).alias(c) for c in ("w0", "w1", "w2")))
-    return g.agg(r4(F.corr("w0", "w1"), "rho_01"), r4(F.corr("w0", "w2"), "rho_02"), r4(F.corr("w1", "w2"), "rho_12"))
+    g = g.select("wallet", rank("n").alias("a"), rank("total").alias("b"))
+    return g.groupBy("wallet").agg(F.count("*").alias("n_days"), r4(F.corr("a", "b"), "rho"))
 
 
 def rolling_fill_means(spark, sf_dir):
@@ -432,7 +432,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fee_estimates, fee_attribution, fee_coverage, enrichment_match, enrichment_watermark, enrichment_resolution, enrichment_coverage, reconciliation_facts,
-        wallet_trust, top_discrepancies, portfolio_value_check, fingerprint_features, fingerprint_daily_features, entry_price_distribution, resolution_calibration,
+        wallet_trust, top_discrepancies, fingerprint_features, fingerprint_daily_features, entry_price_distribution, resolution_calibration,
         detector_scores, rule_grid_metrics, rule_promotion, rule_candidates, watchlist, wallet_alerts, closed_cycle_score,
         lifecycle_rollup, wallets_in_both, ledger_page, token_cooccurrence, activity_pivot, activity_rank_correlation,
         rolling_fill_means, equity_week_change,
@@ -502,7 +502,6 @@ FROM (SELECT l.wallet, head_ts, l.ts > coalesce(head_ts, 0) AS late, l.id IN (SE
     "reconciliation_facts": sql("SELECT * FROM facts", POSITIONS, A._LAST, A._PRICES, _FACTS),
     "wallet_trust": sql("SELECT wallet, nf AS n_fail, nw AS n_warn, CASE WHEN nf > 4 THEN 'untrusted' WHEN nf + nw > 4 THEN 'caution' ELSE 'trusted' END AS trust FROM (SELECT wallet, count(*) FILTER (status = 'fail') AS nf, count(*) FILTER (status = 'warn') AS nw FROM facts GROUP BY 1)", POSITIONS, A._LAST, A._PRICES, _FACTS),
     "top_discrepancies": sql("SELECT wallet, token_id, reason, diff FROM facts WHERE status <> 'pass' ORDER BY diff DESC, wallet, token_id LIMIT 20", POSITIONS, A._LAST, A._PRICES, _FACTS),
-    "portfolio_value_check": sql("SELECT wallet, round(l, 4) + 0 AS local, round(v, 4) + 0 AS venue, coalesce(abs(l - v) / nullif(abs(v), 0), 1) <= 0.02 AS within_band FROM (SELECT wallet, sum(coalesce(local, 0)) AS l, sum(coalesce(venue, 0)) AS v FROM facts GROUP BY 1)", POSITIONS, A._LAST, A._PRICES, _FACTS),
     "fingerprint_features": sql("SELECT * FROM features", POSITIONS, A._EPISODES, _FEES, _FINGER),
     "fingerprint_daily_features": "WITH eq AS (" + A.ORACLE["daily_equity"] + "), ex AS (" + A.ORACLE["exposures_daily"] + "), ep AS (" + sql("SELECT wallet, median(closed_ts - open_ts) AS t FROM episodes JOIN prices USING (token_id) WHERE open_ts <= closed_ts GROUP BY 1", POSITIONS, A._EPISODES, A._PRICES) + """)
 SELECT wallet, round(ratio + 1e-9, 4) + 0 AS bond_inventory_ratio, round(u, 4) + 0 AS unrealized_pnl, round(st + 1e-9, 4) + 0 AS stale_mark_share, round(t, 4) + 0 AS time_to_close_s
@@ -524,12 +523,12 @@ UNION ALL SELECT token_id, 30 FROM tokens JOIN markets USING (condition_id) WHER
     "wallet_alerts": sql(f"SELECT wallet, n, s AS silence_s, CASE WHEN s > 7200 THEN 'stale' WHEN s > 3600 THEN 'late' ELSE 'ok' END AS state FROM (SELECT wallet, count(*) AS n, {D + 2592000} - max(ts) AS s FROM ledger GROUP BY 1)"),
     "closed_cycle_score": sql("SELECT wallet, count(*) AS n, count(o) AS n_open, round(1 - count(o) / count(*), 4) + 0 AS score FROM (SELECT DISTINCT wallet, condition_id FROM ledger WHERE event_type = 'TRADE') LEFT JOIN (SELECT DISTINCT wallet, condition_id, 1 AS o FROM last WHERE qty > 1e-6) USING (wallet, condition_id) GROUP BY 1", POSITIONS, A._LAST),
     "lifecycle_rollup": sql("SELECT coalesce(event_id, '-') AS event_id, CASE WHEN question IS NULL THEN 'unknown' WHEN abs(qty) <= 1e-6 THEN 'closed_complete' WHEN closed THEN 'pending' ELSE 'live' END AS state, count(*) AS n, count(DISTINCT wallet) AS n_wallets FROM last LEFT JOIN markets USING (condition_id) GROUP BY 1, 2", POSITIONS, A._LAST),
-    "wallets_in_both": sql("SELECT token_id FROM ledger WHERE side = 'BUY' AND ts < 1704240000 AND wallet = 'w1' INTERSECT SELECT token_id FROM ledger WHERE side = 'BUY' AND ts < 1704240000 AND wallet = 'w2' EXCEPT SELECT token_id FROM ledger WHERE side = 'BUY' AND ts < 1704240000 AND wallet = 'w3'"),
+    "wallets_in_both": sql("SELECT wallet, condition_id FROM ledger WHERE side = 'BUY' AND outcome_index = 0 INTERSECT SELECT wallet, condition_id FROM ledger WHERE side = 'BUY' AND outcome_index = 1 EXCEPT SELECT wallet, condition_id FROM ledger WHERE event_type = 'REDEEM' AND ts // 86400 % 2 = 1"),
     "ledger_page": sql("SELECT id, ts, event_type, side, token_id FROM ledger WHERE wallet = 'w1' ORDER BY ts DESC, id DESC LIMIT 25 OFFSET 50"),
     "token_cooccurrence": sql("""SELECT token_id, count(*) AS degree, sum(n)::BIGINT AS weighted_degree FROM (SELECT unnest([a, b]) AS token_id, n FROM (SELECT x.token_id AS a, y.token_id AS b, count(*) AS n FROM h x JOIN h y ON x.wallet = y.wallet AND x.hour = y.hour AND x.token_id < y.token_id GROUP BY 1, 2 HAVING count(*) >= 3)) GROUP BY 1""", "h AS (SELECT DISTINCT wallet, ts // 3600 AS hour, token_id FROM ledger WHERE event_type = 'TRADE')"),
-    "activity_pivot": sql("SELECT ts % 86400 // 3600 AS hour, count(*) FILTER (wallet = 'w0') AS w0, count(*) FILTER (wallet = 'w1') AS w1, count(*) FILTER (wallet = 'w2') AS w2 FROM ledger WHERE event_type = 'TRADE' GROUP BY 1"),
-    "activity_rank_correlation": sql("""SELECT round(corr(a, b), 4) + 0 AS rho_01, round(corr(a, c), 4) + 0 AS rho_02, round(corr(b, c), 4) + 0 AS rho_12 FROM (SELECT rank() OVER (ORDER BY w0) + (count(*) OVER (PARTITION BY w0) - 1) / 2 AS a, rank() OVER (ORDER BY w1) + (count(*) OVER (PARTITION BY w1) - 1) / 2 AS b, rank() OVER (ORDER BY w2) + (count(*) OVER (PARTITION BY w2) - 1) / 2 AS c
-FROM (SELECT ts // 86400 AS day, count(*) FILTER (wallet = 'w0') AS w0, count(*) FILTER (wallet = 'w1') AS w1, count(*) FILTER (wallet = 'w2') AS w2 FROM ledger WHERE event_type = 'TRADE' GROUP BY 1))"""),
+    "activity_pivot": sql("SELECT wallet, ts % 86400 // 3600 AS hour, count(*) FILTER (side = 'BUY') AS buys, count(*) FILTER (side = 'SELL') AS sells FROM ledger WHERE event_type = 'TRADE' GROUP BY 1, 2"),
+    "activity_rank_correlation": sql("""SELECT wallet, count(*) AS n_days, round(corr(a, b), 4) + 0 AS rho FROM (SELECT wallet, rank() OVER (PARTITION BY wallet ORDER BY n) + (count(*) OVER (PARTITION BY wallet, n) - 1) / 2 AS a, rank() OVER (PARTITION BY wallet ORDER BY total) + (count(*) OVER (PARTITION BY wallet, total) - 1) / 2 AS b
+FROM (SELECT w.wallet, d.total, coalesce(o.n, 0) AS n FROM (SELECT DISTINCT wallet FROM tr) w CROSS JOIN (SELECT day, count(*) AS total FROM tr GROUP BY 1) d LEFT JOIN (SELECT wallet, day, count(*) AS n FROM tr GROUP BY 1, 2) o ON o.wallet = w.wallet AND o.day = d.day)) GROUP BY 1""", "tr AS (SELECT wallet, ts // 86400 AS day FROM ledger WHERE event_type = 'TRADE')"),
     "rolling_fill_means": sql("SELECT id, round(CASE WHEN count(*) OVER l = 20 THEN avg(price) OVER l END, 4) AS mean_20, round(sum(size * price) OVER (PARTITION BY wallet ORDER BY ts, id ROWS UNBOUNDED PRECEDING), 4) AS cum_notional FROM ledger WHERE event_type = 'TRADE' WINDOW l AS (PARTITION BY wallet ORDER BY ts, id ROWS 19 PRECEDING)"),
     "equity_week_change": "WITH eq AS (" + A.ORACLE["daily_equity"] + ") SELECT wallet, day, round(marked_pnl - last_value(marked_pnl) OVER (PARTITION BY wallet ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 7 PRECEDING), 4) + 0 AS week_change FROM eq",
 }

@@ -307,6 +307,21 @@ def wallet_trust_checks(spark, sf_dir):
     return out.select("wallet", "n_fail", "n_warn", "n_pnl", "status", F.when(F.col("was") == F.col("status"), 1).otherwise(2).cast("long").alias("since_ts"))
 
 
+def portfolio_value_check(spark, sf_dir, band: float = 0.02):
+    """Value of what a wallet holds against that of what the venue states, both at the outcome or the last trade's price."""
+    px = ledger(spark, sf_dir).where("event_type = 'TRADE'").groupBy("token_id").agg(F.max_by("price", F.struct("ts", "id")).alias("px"))
+    local = A.latest(A.positions(spark, sf_dir)).select(*KEY, "qty")
+    j = local.join(venue_positions(spark, sf_dir).select(*KEY, "size"), KEY, "full").join(px, "token_id", "left").join(A.token_prices(spark), "token_id", "left")
+    mark = F.coalesce("res_price", "px", F.lit(0.0))
+
+    def value(c):
+        return F.sum(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)) * mark)
+
+    g = j.groupBy("wallet").agg(value("qty").alias("l"), value("size").alias("v"))
+    gap = F.when(F.round("v", 6) == 0, F.when(F.round("l", 6) == 0, 0.0).otherwise(1.0)).otherwise(F.abs(F.col("v") - F.col("l")) / F.abs("v"))
+    return g.select("wallet", r4("l", "local_value"), r4("v", "venue_value"), r4(gap, "pct_diff"), F.when(gap <= band, "within_value_band").otherwise("value_drift_categorized").alias("reason"), F.when(gap <= band, "pass").otherwise("warn").alias("status"))
+
+
 def cluster_ranking(spark, sf_dir, leader: str = "w2", window_s: int = 3600):
     """Every other wallet against the leader: share of its trades that match one of the leader's, how, when and at what size,
     the verdict, and the wallets in order of research priority."""
@@ -433,7 +448,7 @@ def watch_acceptance(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        condition_state, event_state, lifecycle_dataset, event_timeline, event_totals, maker_context, edge_decay, transfer_classes, reconciliation_checks, wallet_trust_checks,
+        condition_state, event_state, lifecycle_dataset, event_timeline, event_totals, maker_context, edge_decay, transfer_classes, reconciliation_checks, wallet_trust_checks, portfolio_value_check,
         cluster_ranking, pnl_bridge, set_audit, redeem_pro_rata, profit_by_event, watch_acceptance,
     )
 }
@@ -538,6 +553,9 @@ ORACLE |= {
     "reconciliation_checks": sql("SELECT wallet, token_id, check_type, round(expected, 4) + 0 AS expected, round(computed, 4) + 0 AS computed, round(diff, 4) + 0 AS diff, reason, status FROM checks", *_CHECKED),
     "wallet_trust_checks": sql("""SELECT wallet, n_fail, n_warn, n_pnl, status, CASE WHEN status = CASE WHEN substr(wallet, 2)::BIGINT % 2 = 0 THEN 'untrusted' ELSE 'trusted' END THEN 1 ELSE 2 END::BIGINT AS since_ts FROM (SELECT *, CASE WHEN n_fail > 0 THEN 'untrusted' WHEN n_warn + n_pnl > 0 THEN 'warn' ELSE 'trusted' END AS status FROM
 (SELECT wallet, count(*) FILTER (check_type <> 'positions_realized_pnl' AND status = 'fail') AS n_fail, count(*) FILTER (check_type <> 'positions_realized_pnl' AND status = 'warn') AS n_warn, count(*) FILTER (check_type = 'positions_realized_pnl' AND status <> 'pass') AS n_pnl FROM checks GROUP BY 1))""", *_CHECKED),
+    "portfolio_value_check": sql("""SELECT wallet, round(l, 4) + 0 AS local_value, round(v, 4) + 0 AS venue_value, round(gap, 4) + 0 AS pct_diff, CASE WHEN gap <= 0.02 THEN 'within_value_band' ELSE 'value_drift_categorized' END AS reason, CASE WHEN gap <= 0.02 THEN 'pass' ELSE 'warn' END AS status FROM
+(SELECT *, CASE WHEN round(v, 6) = 0 THEN CASE WHEN round(l, 6) = 0 THEN 0 ELSE 1 END ELSE abs(v - l) / abs(v) END AS gap FROM (SELECT wallet, sum(greatest(coalesce(qty, 0), 0) * mark) AS l, sum(greatest(coalesce(size, 0), 0) * mark) AS v FROM
+(SELECT coalesce(la.wallet, vp.wallet) AS wallet, coalesce(la.token_id, vp.token_id) AS token_id, qty, size FROM last la FULL JOIN vp ON la.wallet = vp.wallet AND la.token_id = vp.token_id) LEFT JOIN (SELECT token_id, coalesce(any_value(res_price), any_value(px), 0) AS mark FROM (SELECT token_id, arg_max(price, (ts, id)) AS px FROM ledger WHERE event_type = 'TRADE' GROUP BY 1) FULL JOIN prices USING (token_id) GROUP BY 1) USING (token_id) GROUP BY 1))""", *_CHECKED, A._PRICES),
     "pnl_bridge": sql("""SELECT wallet, scope, round(b, 4) + 0 AS buy_cost, round(s, 4) + 0 AS sell_proceeds, round(m, 4) + 0 AS merge_proceeds, round(r, 4) + 0 AS redeem_proceeds, round(w, 4) + 0 AS rewards, round(me, 4) + 0 AS merge_edge, round(re, 4) + 0 AS redeem_edge, round(d, 4) + 0 AS directional, round(fees, 4) + 0 AS estimated_fees, round(me + re, 4) + 0 AS completion_pnl,
 round(me + re + d + w, 4) + 0 AS gross_pnl, round(round((me + re) / nullif(round(me + re + d + w, 6), 0) * 100, 2), 4) + 0 AS pct_from_completion, round(me + re + d + w - coalesce(fees, 0), 4) + 0 AS net_after_fees FROM
 (SELECT wallet, scope, sum(CASE WHEN side = 'BUY' THEN -delta_usdc ELSE 0 END) AS b, sum(CASE WHEN side = 'SELL' THEN delta_usdc ELSE 0 END) AS s, sum(CASE WHEN event_type = 'MERGE' THEN delta_usdc ELSE 0 END) AS m, sum(CASE WHEN event_type = 'REDEEM' THEN delta_usdc ELSE 0 END) AS r, sum(CASE WHEN event_type = 'REWARD' THEN delta_usdc ELSE 0 END) AS w

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import behaviour as B
 from tidemark.plans import matching as M
-from tidemark.plans.views import ledger, markets, r4
+from tidemark.plans.views import POSITIONS, ledger, markets, r4, sql
 
 #: Fill assumptions: share of a book's depth that fills, slippage, oldest book in seconds, orders of five that fill.
 SCENARIOS = {"optimistic": (1.0, 0.0, 7200, 5), "medium": (0.6, 0.005, 3600, 4), "conservative": (0.3, 0.01, 1800, 2)}
@@ -252,4 +252,7 @@ QUERIES = {
         fifo_consuming_lots, completion_set_audit,
     )
 }
-ORACLE: dict = {}
+ORACLE = {
+    "search_holdout_breakdown": sql("""SELECT bucket, count(*) AS n, count(markout_1h) AS n_markout, round(avg(markout_1h), 4) + 0 AS avg_markout FROM (SELECT markout_1h, unnest(['price:' || floor(fill_price * 5)::BIGINT, 'side:' || side, 'hour:' || trade_hour // 6,
+'age:' || CASE WHEN book_before_age_s <= 600 THEN 'fresh' WHEN book_before_age_s <= 3600 THEN 'hour' ELSE 'old' END, 'spread:' || CASE WHEN spread_bps < 200 THEN 'narrow' WHEN spread_bps < 800 THEN 'mid' ELSE 'wide' END]) AS bucket FROM sp WHERE split = 'test') GROUP BY 1""", POSITIONS, M._BOOKS, M._DATASET, B._SPLIT),
+}

@@ -48,6 +48,13 @@ def rule_families(spark, sf_dir):
     return g.select("rule", "split", "n", "fired", r4(F.col("fired") / F.col("n"), "coverage"), r4(F.try_divide("up", F.nullif(F.col("known"), F.lit(0))), "precision"), r4("m", "avg_markout"))
 
 
+def rule_explain(spark, sf_dir):
+    """For every fill the rule families that fire on it, in order of their names, and its markout."""
+    d = _rows(spark, sf_dir)
+    names = F.filter(F.array(*(F.when(F.coalesce(F.expr(p), F.lit(False)), F.lit(k)) for k, p in sorted(FAMILIES.items()))), lambda x: x.isNotNull())
+    return d.select("id", "split", F.array_join(names, ",").alias("rules"), F.size(names).cast("long").alias("n_rules"), "markout_1h")
+
+
 def composite_search(spark, sf_dir, beam: int = 6, longest: int = 3, penalty: float = 0.015):
     """Beam search over conjunctions of rule families: one Spark job a stage scores all candidates of the stage.
 
@@ -119,12 +126,13 @@ def markdown(df: DataFrame, title: str, most: int = 200) -> str:
     return "\n".join(head + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
 
 
-QUERIES = {f.__name__: f for f in (rule_families, composite_search, wallet_profile, wallet_clusters)}
+QUERIES = {f.__name__: f for f in (rule_families, rule_explain, composite_search, wallet_profile, wallet_clusters)}
 
 _ROWS = """
 sib AS (SELECT id, CASE WHEN event_id IS NOT NULL THEN count(*) OVER (PARTITION BY wallet, event_id ORDER BY trade_ts RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) - count(*) OVER (PARTITION BY wallet, event_id, condition_id ORDER BY trade_ts RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) ELSE 0 END AS n_siblings FROM dataset),
 rr AS (SELECT sp.*, n_siblings FROM sp JOIN sib USING (id))"""
 ORACLE = {
+    "rule_explain": sql("SELECT id, split, concat_ws(',', " + ", ".join(f"CASE WHEN coalesce({p}, false) THEN '{k}' END" for k, p in sorted(FAMILIES.items())) + ") AS rules, (" + " + ".join(f"coalesce({p}, false)::INT" for _, p in sorted(FAMILIES.items())) + ")::BIGINT AS n_rules, markout_1h FROM rr", POSITIONS, M._BOOKS, M._DATASET, B._SPLIT, _ROWS),
     "rule_families": sql("SELECT rule, split, count(*) AS n, count(*) FILTER (f) AS fired, round(count(*) FILTER (f) / count(*), 4) AS coverage, round(count(*) FILTER (f AND markout_1h > 0) / nullif(count(*) FILTER (f AND markout_1h IS NOT NULL), 0), 4) AS precision, round(avg(markout_1h) FILTER (f), 4) + 0 AS avg_markout FROM ("
         + " UNION ALL ".join(f"SELECT '{k}' AS rule, split, markout_1h, coalesce({p}, false) AS f FROM rr" for k, p in FAMILIES.items()) + ") GROUP BY 1, 2", POSITIONS, M._BOOKS, M._DATASET, B._SPLIT, _ROWS),
     "wallet_profile": "WITH tr AS (" + B.ORACLE["wallet_trust"] + "), al AS (" + B.ORACLE["wallet_alerts"] + "), pn AS (" + A.ORACLE["pnl_decomposition_scoped"] + "), ds AS (" + B.ORACLE["detector_scores"] + """)

@@ -47,6 +47,13 @@ def export(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
 
 
+def export_bundle(tables: dict[str, DataFrame], path: str, fmt: str = "csv") -> list[str]:
+    """Write several results side by side under ``path``, one folder each; the folders in order of their names."""
+    for name, df in sorted(tables.items()):
+        export(df, f"{path}/{name}", fmt)
+    return [f"{path}/{name}" for name in sorted(tables)]
+
+
 def pruned(raw: DataFrame, cutoff: int, ts: str = "ts", payload: str = "payload") -> DataFrame:
     """Rows older than the cutoff without their payload; summaries stay."""
     return raw.withColumn(payload, F.when(F.col(ts) >= cutoff, F.col(payload)))

@@ -30,8 +30,9 @@ def tumbling(stream: DataFrame, size: str = "1 day", late: str = "1 hour") -> Da
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
-def sessions(stream: DataFrame, gap: str = "2 hours", late: str = "1 hour") -> DataFrame:
-    """Sessions of a user's errors; a pause of the gap or more ends one."""
+def sessions(stream: DataFrame, gap: str = "2 hours 1 microsecond", late: str = "1 hour") -> DataFrame:
+    """Sessions of a user's errors; a pause longer than two hours ends one. Times have microseconds, so the smallest one above
+    the pause that still joins is the gap."""
     w = stream.where("event_type = 'error'").withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id")
     return w.agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
@@ -54,14 +55,24 @@ def holdings(stream: DataFrame) -> DataFrame:
     return keyed.groupBy("wallet", "token").applyInPandasWithState(_move, out, "qty double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only a session on this machine may do without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+    return folder
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and return what it wrote; files and checkpoint lie in the shared folder."""
     spark = stream.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        sc.setCheckpointDir(shared_folder(spark))
     folder = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -84,10 +95,11 @@ def stream_dedupe(spark, sf_dir):
 
 
 def stream_daily(spark, sf_dir):
-    """Windows as the watermark closes them; those still open come with the last update, so the complete mode is drained."""
-    out = drained(tumbling(_events(spark, sf_dir)), "complete")
-    last = out.agg(F.max("batch").alias("batch"))
-    out = out.join(F.broadcast(last), "batch")
+    """Each batch writes the windows that it changed, and the watermark lets go of the state of closed ones; the last version
+    of a window counts. The backlog's files are not in order of time, so its lateness is that of the whole table."""
+    span = spark.read.parquet(f"{sf_dir}/events*.parquet").agg(F.ceil((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 3.6e9).alias("h")).first().h or 0
+    out = drained(tumbling(_events(spark, sf_dir), late=f"{span + 1} hours"), "update")
+    out = out.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "value"), "batch").alias("s")).select("start", "event_type", "s.*")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", (F.round("value", 2) + 0.0).alias("value"))
 
 
@@ -108,7 +120,7 @@ ORACLE = {
     "stream_dedupe": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events GROUP BY 1",
     "stream_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) + 0 AS value FROM events GROUP BY 1, 2",
     "stream_sessions": """SELECT user_id, count(*) AS n_sessions, sum(n)::BIGINT AS n_events, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM
-(SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS b FROM events WHERE event_type = 'error')) GROUP BY 1, 2) GROUP BY 1""",
+(SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS b FROM events WHERE event_type = 'error')) GROUP BY 1, 2) GROUP BY 1""",
     "stream_holdings": """SELECT user_id % 10 AS wallet, k % 20 AS token, round(sum(CASE WHEN event_type IN ('purchase', 'view') THEN round(value, 2) WHEN event_type = 'click' THEN -round(value, 2) ELSE 0 END), 2) + 0 AS qty, count(*) AS n
 FROM (SELECT *, regexp_extract(props, '"k": ?([0-9]+)', 1)::BIGINT AS k FROM events) GROUP BY 1, 2""",
 }
