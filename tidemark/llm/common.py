@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 def ready(spark: SparkSession) -> SparkSession:
     """Make sure that ``checkpoint()`` has a folder.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only a session without that setting
-    (a test on one machine) gets a temporary folder.
+    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only a session on one machine may do without
+    that setting and gets a temporary folder; on a cluster its lack is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
     return spark
 
 
