@@ -18,28 +18,9 @@ DEPTH = ["bid_depth_top1", "ask_depth_top1", "bid_depth_top5", "ask_depth_top5",
 HORIZONS = {"markout_5m": 300, "markout_15m": 900, "markout_1h": 3600, "markout_24h": 86400}
 
 
-def leg_states(spark, sf_dir):
-    """Positions with the quantities and costs of both legs of their condition after every move, and the condition's net change.
-
-    One window for each (wallet, condition); moves of tokens without metadata have no legs.
-    """
-    legs = tokens(spark).select("token_id", F.col("outcome_index").alias("leg"))
-    p = O.episode_events(A.positions(spark, sf_dir), KEY).join(legs, "token_id", "left")
-    order = ["ts", "id", "leg"]
-    run = O.upto(["wallet", "condition_id"], *order)
-    cols = {}
-    for k in (0, 1):
-        for name, of in (("q", "qty"), ("c", "cost")):
-            cols[f"{name}{k}"] = F.coalesce(F.last(F.when(F.col("leg") == k, F.col(of)), ignorenulls=True).over(run), F.lit(0.0))
-    p = p.withColumns(cols).withColumn("net", F.col("q0") - F.col("q1"))
-    before = F.lag("net").over(Window.partitionBy("wallet", "condition_id").orderBy(*order))
-    p = p.withColumn("net_change", F.col("net") - F.coalesce(before, F.lit(0.0)))
-    return p
-
-
 def condition_state(spark, sf_dir):
     """Both legs of a condition after each trade: quantities, average costs, paired and unpaired quantity, cost of the pairs."""
-    p = leg_states(spark, sf_dir).where("event_type = 'TRADE' and leg is not null")
+    p = A.leg_states(spark, sf_dir).where("event_type = 'TRADE' and leg is not null")
     # a little more keeps averages that are ties in the last digit from falling either way
     wac = {k: F.when(F.col(f"q{k}") > DUST, F.col(f"c{k}") / F.col(f"q{k}") + 1e-9).otherwise(0.0) for k in (0, 1)}
     paired = F.greatest(F.least("q0", "q1"), F.lit(0.0))
@@ -52,7 +33,7 @@ def condition_state(spark, sf_dir):
 
 def event_state(spark, sf_dir):
     """Totals over all conditions of an event after each trade: sums of what each condition's state changed by."""
-    p = leg_states(spark, sf_dir).where("leg is not null")
+    p = A.leg_states(spark, sf_dir).where("leg is not null")
     p = p.join(markets(spark).select("condition_id", "event_id"), "condition_id")
     paired = F.greatest(F.least("q0", "q1"), F.lit(0.0))
     state = {
@@ -74,7 +55,7 @@ def lifecycle_dataset(spark, sf_dir):
     key = ["id", "token_id"]
     f = B.trades(spark, sf_dir).where("not (side = 'BUY' and id % 3 = 0)")
     keys = f.select("id", "wallet", "token_id", "ts")
-    s = leg_states(spark, sf_dir)
+    s = A.leg_states(spark, sf_dir)
     of_event = markets(spark).select("condition_id", "event_id", F.col("neg_risk").alias("_neg"))
     s = s.join(of_event, "condition_id", "left")
     net = F.sum(F.when(F.col("leg").isNotNull(), F.col("net_change")).otherwise(0.0)).over(O.upto(["wallet", "event_id"], "ts", "id", "condition_id", "leg"))
@@ -453,13 +434,6 @@ QUERIES = {
     )
 }
 
-_LEGS = """
-lg0 AS (SELECT p.*, t.outcome_index AS leg, coalesce(sum(CASE WHEN kind = 'reset' OR (kind = 'remove' AND abs(qty) <= 1e-6) THEN 1 ELSE 0 END) OVER (PARTITION BY p.wallet, p.token_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS episode
-   FROM positions p LEFT JOIN tokens t ON t.token_id = p.token_id),
-lg1 AS (SELECT *, coalesce(last_value(CASE WHEN leg = 0 THEN qty END IGNORE NULLS) OVER w, 0) AS q0, coalesce(last_value(CASE WHEN leg = 1 THEN qty END IGNORE NULLS) OVER w, 0) AS q1,
-   coalesce(last_value(CASE WHEN leg = 0 THEN cost END IGNORE NULLS) OVER w, 0) AS c0, coalesce(last_value(CASE WHEN leg = 1 THEN cost END IGNORE NULLS) OVER w, 0) AS c1
-   FROM lg0 WINDOW w AS (PARTITION BY wallet, condition_id ORDER BY ts, id, leg NULLS FIRST ROWS UNBOUNDED PRECEDING)),
-legs AS (SELECT *, q0 - q1 - coalesce(lag(q0 - q1) OVER (PARTITION BY wallet, condition_id ORDER BY ts, id, leg NULLS FIRST), 0) AS net_change FROM lg1)"""
 _EP2 = """
 ep2 AS (SELECT wallet, token_id, episode, min(ts) AS open_ts, max(ts) FILTER (closes) AS close_ts, CASE WHEN NOT bool_or(closes) THEN 'open' WHEN arg_max(kind, (ts, id)) = 'reset' THEN 'resolution' ELSE 'flat' END AS close_reason,
    arg_max(event_type, (ts, id)) AS last_type, greatest(max(qty), 0) AS peak_qty, arg_max(w, (ts, id)) FILTER (w IS NOT NULL) AS wac_entry, sum(CASE WHEN qty_before > 0 THEN realized ELSE 0 END) AS realized_pnl
@@ -502,13 +476,13 @@ _LIFE_SELECT = "SELECT id, wallet, token_id, condition_id, ts AS trade_ts, side,
 
 ORACLE = {
     "condition_state": sql("""SELECT id, wallet, condition_id, round(q0, 4) + 0 AS qty_yes, round(q1, 4) + 0 AS qty_no, round(c0, 4) + 0 AS cost_yes, round(c1, 4) + 0 AS cost_no, round(CASE WHEN q0 > 1e-6 THEN c0 / q0 + 1e-9 ELSE 0 END, 4) + 0 AS wac_yes, round(CASE WHEN q1 > 1e-6 THEN c1 / q1 + 1e-9 ELSE 0 END, 4) + 0 AS wac_no,
-round(greatest(least(q0, q1), 0), 4) + 0 AS paired_qty, round(greatest(q0 - greatest(least(q0, q1), 0), 0), 4) + 0 AS unpaired_yes, round(greatest(q1 - greatest(least(q0, q1), 0), 0), 4) + 0 AS unpaired_no, round(least(c0, c1), 4) + 0 AS bond_cost, round(q0 - q1, 4) + 0 AS directional FROM legs WHERE event_type = 'TRADE' AND leg IS NOT NULL""", POSITIONS, _LEGS),
+round(greatest(least(q0, q1), 0), 4) + 0 AS paired_qty, round(greatest(q0 - greatest(least(q0, q1), 0), 0), 4) + 0 AS unpaired_yes, round(greatest(q1 - greatest(least(q0, q1), 0), 0), 4) + 0 AS unpaired_no, round(least(c0, c1), 4) + 0 AS bond_cost, round(q0 - q1, 4) + 0 AS directional FROM legs WHERE event_type = 'TRADE' AND leg IS NOT NULL""", POSITIONS, A._LEGS),
     "event_state": sql("""SELECT id, wallet, event_id, round(tq, 4) + 0 AS total_qty, round(tc, 4) + 0 AS total_cost, round(bq, 4) + 0 AS bond_qty, round(up, 4) + 0 AS unpaired, round(ex, 4) + 0 AS exposure, ac::BIGINT AS market_count_active FROM
 (SELECT id, wallet, event_id, event_type, sum(tq) OVER w AS tq, sum(tc) OVER w AS tc, sum(bq) OVER w AS bq, sum(up) OVER w AS up, sum(ex) OVER w AS ex, sum(ac) OVER w AS ac FROM
  (SELECT id, wallet, event_id, event_type, ts, condition_id, leg, va - coalesce(lag(va) OVER o, 0) AS tq, vb - coalesce(lag(vb) OVER o, 0) AS tc, vc - coalesce(lag(vc) OVER o, 0) AS bq, vd - coalesce(lag(vd) OVER o, 0) AS up, ve - coalesce(lag(ve) OVER o, 0) AS ex, vf - coalesce(lag(vf) OVER o, 0) AS ac FROM
   (SELECT l.*, m.event_id, q0 + q1 AS va, c0 + c1 AS vb, greatest(least(q0, q1), 0) AS vc, greatest(q0 - greatest(least(q0, q1), 0), 0) + greatest(q1 - greatest(least(q0, q1), 0), 0) AS vd, abs(q0 - q1) AS ve, CASE WHEN abs(q0 + q1) > 1e-6 THEN 1 ELSE 0 END AS vf FROM legs l JOIN markets m USING (condition_id) WHERE leg IS NOT NULL)
-  WINDOW o AS (PARTITION BY wallet, condition_id ORDER BY ts, id, leg)) WINDOW w AS (PARTITION BY wallet, event_id ORDER BY ts, id, condition_id, leg ROWS UNBOUNDED PRECEDING)) WHERE event_type = 'TRADE'""", POSITIONS, _LEGS),
-    "lifecycle_dataset": sql(_LIFE_SELECT, POSITIONS, A._EPISODES, _EP2, B._FEES, M._BOOKS, _DEEP, _LEGS, _LIFE),
+  WINDOW o AS (PARTITION BY wallet, condition_id ORDER BY ts, id, leg)) WINDOW w AS (PARTITION BY wallet, event_id ORDER BY ts, id, condition_id, leg ROWS UNBOUNDED PRECEDING)) WHERE event_type = 'TRADE'""", POSITIONS, A._LEGS),
+    "lifecycle_dataset": sql(_LIFE_SELECT, POSITIONS, A._EPISODES, _EP2, B._FEES, M._BOOKS, _DEEP, A._LEGS, _LIFE),
     "event_timeline": sql("""SELECT id, wallet, ts, event_type, round(qa - CASE WHEN token_id IS NOT NULL THEN delta_shares ELSE 0 END, 4) + 0 AS qty_before, round(qa, 4) + 0 AS qty_after, round(ca, 4) + 0 AS cash_out_after, round(ca / nullif(qa, 0), 4) + 0 AS running_wac_after, ts - b_ts AS book_before_age_s, mid,
 round(price - mid, 4) + 0 AS fill_minus_mid, round(best_ask - price, 4) + 0 AS ask_minus_fill, a_ts - ts AS book_after_age_s, mid_after, CASE WHEN event_type <> 'TRADE' THEN 'non_trade' WHEN b_ts IS NULL THEN 'missing' WHEN ts - b_ts <= 5 THEN 'excellent' WHEN ts - b_ts <= 15 THEN 'good' WHEN ts - b_ts <= 30 THEN 'usable' WHEN ts - b_ts <= 60 THEN 'weak' ELSE 'stale' END AS context_status
 FROM (SELECT e.*, b.ts AS b_ts, b.mid, b.best_ask, a.ts AS a_ts, a.mid AS mid_after FROM (SELECT *, round(sum(CASE WHEN token_id IS NOT NULL THEN delta_shares ELSE 0 END) OVER w, 6) AS qa, -sum(delta_usdc) OVER w AS ca FROM ledger WINDOW w AS (PARTITION BY wallet, coalesce(token_id, condition_id) ORDER BY ts, id ROWS UNBOUNDED PRECEDING)) e

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import ordered as O
-from tidemark.plans.accounting import KEY, positions
+from tidemark.plans import accounting as A
 from tidemark.plans.views import POSITIONS, ledger, markets, r4, sql, tokens
 from tidemark.sources import readers
 
@@ -141,22 +141,20 @@ def markout_horizons(spark, sf_dir):
 
 
 def microstructure_dataset(spark, sf_dir):
-    """One row for each fill: book before it, quantities of its token and complement around it, markout after an hour."""
-    p = positions(spark, sf_dir).select("id", *KEY, "ts", "qty", "qty_before")
+    """One row for each fill: book before it, quantities of its token and complement around it, markout after an hour.
+
+    Both legs come from one window over (wallet, condition). Only keys and times travel through the as-of joins; what they
+    find is joined back on the id.
+    """
     f = fills(spark, sf_dir)
-    out = f.join(p.select("id", "token_id", F.col("qty_before").alias("q_before"), F.col("qty").alias("q_after")), ["id", "token_id"])
-    pairs = tokens(spark).select("condition_id", (1 - F.col("outcome_index")).alias("outcome_index"), F.col("token_id").alias("other"))
-    out = out.join(pairs, ["condition_id", "outcome_index"], "left")
-    out = out.withColumn("own_token", F.col("token_id")).withColumn("token_id", F.col("other")).drop("other")
-    out = out.withColumn("fill_ts", F.col("ts")).withColumn("ts", F.col("ts") - 1)
-    state = p.select(*KEY, "ts", "id", "qty").withColumn("other_qty", F.col("qty"))
-    last = state.groupBy(*KEY, "ts").agg(F.max_by("other_qty", "id").alias("other_qty"))
-    out = O.asof_backward(out, last, KEY, ["other_qty"]).drop("asof_ts")
-    out = out.withColumn("token_id", F.col("own_token")).withColumn("ts", F.col("fill_ts"))
+    key = f.select("id", "token_id", "ts")
+    s = A.leg_states(spark, sf_dir).where("event_type = 'TRADE'")
+    other = F.when(F.col("leg") == 0, F.col("q1")).when(F.col("leg") == 1, F.col("q0"))
+    s = s.select("id", F.col("qty_before").alias("q_before"), F.col("qty").alias("q_after"), other.alias("other_qty"))
     b = depth_books(spark, sf_dir).withColumnRenamed("imbalance_top5", "imbalance").select("token_id", "ts", "mid", "best_bid", "best_ask", "imbalance")
-    out = O.asof_backward(out, b, ["token_id"], ["mid", "best_bid", "best_ask", "imbalance"]).withColumnRenamed("asof_ts", "book_ts")
-    out = out.withColumn("ts", F.col("fill_ts") + 3600)
-    out = O.asof_forward(out, b.withColumnRenamed("mid", "mid_1h"), ["token_id"], ["mid_1h"])
+    book = O.asof_backward(key, b, ["token_id"], ["mid", "best_bid", "best_ask", "imbalance"]).withColumnRenamed("asof_ts", "book_ts").drop("token_id", "ts")
+    later = O.asof_forward(key.withColumn("ts", F.col("ts") + 3600), b, ["token_id"], ["mid"]).select("id", "asof_ts", F.col("mid").alias("mid_1h"))
+    out = f.withColumn("fill_ts", F.col("ts")).join(s, "id").join(book, "id").join(later, "id")
     m = markets(spark).select("condition_id", "category", "event_id")
     out = out.join(m, "condition_id", "left")
     sign = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
@@ -165,7 +163,7 @@ def microstructure_dataset(spark, sf_dir):
     reasons = F.concat_ws(",", F.when(F.col("mid").isNull(), "book:none"), F.when(F.col("event_id").isNull(), "market:none"))
     age = F.col("fill_ts") - F.col("book_ts")
     return out.select(
-        "id", "wallet", F.col("own_token").alias("token_id"), "condition_id", "outcome_index", F.col("fill_ts").alias("trade_ts"), "side", F.col("price").alias("fill_price"), r4("size", "fill_shares"),
+        "id", "wallet", "token_id", "condition_id", "outcome_index", F.col("fill_ts").alias("trade_ts"), "side", F.col("price").alias("fill_price"), r4("size", "fill_shares"),
         r4(F.col("size") * F.col("price"), "fill_notional"), F.coalesce("category", F.lit("unclassified")).alias("category"), "event_id",
         age.alias("book_before_age_s"), "mid", r4((F.col("best_ask") - F.col("best_bid")) / F.nullif(F.col("mid"), F.lit(0.0)) * 10000, "spread_bps"),
         ((F.col("price") > F.col("best_bid")) & (F.col("price") < F.col("best_ask"))).alias("inside"), r4("imbalance"),
@@ -287,10 +285,8 @@ context AS (SELECT id, mid_before, ts - ts_before AS age_before_s,
    CASE WHEN ts_after - ts <= 3600 THEN mid_after END AS mid_after, CASE WHEN ts_after - ts <= 3600 THEN ts_after - ts END AS age_after_s
    FROM (SELECT f.id, f.ts, b.ts AS ts_before, b.mid AS mid_before, a.ts AS ts_after, a.mid AS mid_after FROM fills f
      ASOF LEFT JOIN one_book b ON f.token_id = b.token_id AND f.ts >= b.ts ASOF LEFT JOIN one_book a ON f.token_id = a.token_id AND f.ts <= a.ts))"""
-_DATASET = """
-pq AS (SELECT wallet, token_id, ts, arg_max(qty, id) AS other_qty FROM positions GROUP BY 1, 2, 3),
-d1 AS (SELECT f.*, p.qty_before AS qb, p.qty AS qa, f.ts - 1 AS t1, f.ts + 3600 AS t2, o.token_id AS other FROM fills f JOIN positions p ON p.id = f.id AND p.token_id = f.token_id LEFT JOIN tokens o ON o.condition_id = f.condition_id AND o.outcome_index = 1 - f.outcome_index),
-d2 AS (SELECT d1.*, pq.other_qty FROM d1 ASOF LEFT JOIN pq ON d1.wallet = pq.wallet AND d1.other = pq.token_id AND d1.t1 >= pq.ts),
+_DATASET = A._LEGS + """,
+d2 AS (SELECT f.*, p.qty_before AS qb, p.qty AS qa, f.ts + 3600 AS t2, CASE WHEN p.leg = 0 THEN p.q1 WHEN p.leg = 1 THEN p.q0 END AS other_qty FROM fills f JOIN legs p ON p.id = f.id AND p.token_id = f.token_id),
 d3 AS (SELECT d2.*, b.ts AS book_ts, b.mid, b.best_bid, b.best_ask, (b.bid5 - b.ask5) / (b.bid5 + b.ask5) AS imb FROM d2 ASOF LEFT JOIN one_book b ON d2.token_id = b.token_id AND d2.ts >= b.ts),
 d4 AS (SELECT d3.*, b.ts AS after_ts, b.mid AS mid_1h FROM d3 ASOF LEFT JOIN one_book b ON d3.token_id = b.token_id AND d3.t2 <= b.ts),
 d5 AS (SELECT d4.*, m.category, m.event_id, CASE WHEN outcome_index = 0 THEN qb ELSE coalesce(other_qty, 0) END AS q0, CASE WHEN outcome_index = 1 THEN qb ELSE coalesce(other_qty, 0) END AS q1 FROM d4 LEFT JOIN markets m USING (condition_id)),
