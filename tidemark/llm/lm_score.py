@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct n-grams of all segments that a hash partition holds, about.
-PARTITION_GRAMS = 1_000_000
+PARTITION_GRAMS = 500_000
 _ODD = np.random.RandomState(9).randint(0, 2**63, 16, np.int64).astype(np.uint64) | np.uint64(1)
 
 
@@ -125,7 +125,7 @@ def score(
     text_col: str = "text",
     order: int = 3,
     backoff: float = 0.4,
-    segment_chars: int = 8_000_000,
+    segment_chars: int = 4_000_000,
 ) -> DataFrame:
     """``_id, n_words, n_unseen, log_score`` of each row: words, words seen nowhere else, and the summed natural log.
 
