@@ -57,3 +57,16 @@ def test_learns_outside_the_fold_and_ignores_bad_rows(spark):
     assert np.array_equal(model.value, again.value)
     empty = quality.train(docs.limit(0), labels)
     assert quality.score(docs.select("doc_id", "text"), empty).agg(F.max("score")).first()[0] == 0.5
+
+
+def test_query_on_the_held_out_fold(spark):
+    from tidemark.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    rows = queries.QUERIES["op2_quality"](spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    quality_of = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [r for r in rows if r.held_out and quality_of.get(r.doc_id) is not None]
+    assert len(held) > 20 and sum(r.predicted == quality_of[r.doc_id] for r in held) / len(held) >= 0.95
