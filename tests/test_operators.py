@@ -150,6 +150,27 @@ def test_interval_matches_against_all_pairs(spark):
         assert got == sorted((i, j, min(h, z) - max(x, y)) for i, k, x, h in a for j, q, y, z in b if k == q and h > y and z > x and h > x and z > y)
 
 
+def test_disjoint_matches_against_all_pairs(spark):
+    rng = random.Random(11)
+
+    def side():
+        rows = []
+        for k in "abc":
+            at = 0.0
+            for _ in range(30):
+                at += rng.choice([0, 0, 0.5, 3])  # gaps and none
+                size = rng.choice([0, 0.5, 1, 1, 40])
+                rows.append((len(rows), k, at, at + size))
+                at += size
+        return rows
+
+    a, b = side(), side()
+    schema = "id long, k string, lo double, hi double"
+    out = O.disjoint_matches(spark.createDataFrame(a, schema).repartition(3), spark.createDataFrame(b, schema), ["k"])
+    got = sorted((r.a_id, r.b_id, r.matched) for r in out.collect())
+    assert got == sorted((i, j, min(h, z) - max(x, y)) for i, k, x, h in a for j, q, y, z in b if k == q and h > y and z > x and h > x and z > y)
+
+
 def test_ranks_and_weighted_percentiles(spark):
     df = spark.createDataFrame([("a", float(v), float(w)) for v, w in zip([5, 1, 4, 2, 3], [1, 1, 1, 1, 6])], "k string, v double, w double")
     ranks = [O.ranked_values(df, ["k"], "v", {"q": 0.9}, half_even).first().q for half_even in (False, True)]

@@ -6,9 +6,11 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import plans
 from tidemark.plans import simulate
+from tidemark.plans.views import ledger, markets
 
 DIR = "/root/testdata/sf0.001"
 
@@ -94,3 +96,65 @@ def test_strategy_search_covers_every_wallet(spark):
     for r in out:
         by.setdefault(r.wallet, []).append(r["rank"])
     assert all(sorted(x) == list(range(1, len(x) + 1)) for x in by.values())
+
+
+def test_composite_search_against_plain_python(spark):
+    from tidemark.plans import strategies
+
+    rows = strategies._rows(spark, DIR).selectExpr("split", "markout_1h", *(f"coalesce({p}, false) AS {k}" for k, p in strategies.FAMILIES.items())).collect()
+
+    def means(names):
+        out = []
+        for split in ("train", "validation", "test"):
+            own = [r.markout_1h for r in rows if r.split == split and r.markout_1h is not None and all(r[k] for k in names)]
+            out.append((sum(own) / len(own) if own else None, len(own)))
+        return out
+
+    kept, front = [], [(float("-inf"), ())]
+    for _ in range(3):
+        found = {}
+        for score, names in front:
+            for k in strategies.FAMILIES:
+                if k not in names:
+                    found[tuple(sorted({*names, k}))] = score
+        scored = []
+        for names in sorted(found):
+            parts = means(names)
+            if parts[0][0] is None or parts[1][0] is None:
+                continue
+            score = round(min(parts[0][0], parts[1][0]) - 0.015 * (len(names) - 1), 9)
+            if score > found[names]:
+                scored.append((score, names, parts))
+        scored.sort(key=lambda x: (-x[0], x[1]))
+        kept += scored[:6]
+        front = [(s, n) for s, n, _ in scored[:6]]
+    want = [("+".join(n), round(s, 6), p[2][1]) for s, n, p in sorted(kept, key=lambda x: (-x[0], x[1]))]
+    got = [(r.rules, round(r.score, 6), r.n_test) for r in strategies.composite_search(spark, DIR).orderBy("rank").collect()]
+    assert got == want
+
+
+def test_completion_set_audit_adds_up(spark):
+    lots = simulate.fifo_consuming_lots(spark, DIR).collect()
+    category = {r.condition_id: r.category for r in markets(spark).collect()}
+    merged = {(r.wallet, r.condition_id): r.m for r in ledger(spark, DIR).where("event_type = 'MERGE'").groupBy("wallet", "condition_id").agg(F.sum("size").alias("m")).collect()}
+    want = {}
+    own = {(r.wallet, r.condition_id): (r.matched, r.waiting) for r in lots}
+    for key in own.keys() | merged.keys():
+        n = want.setdefault(category.get(key[1], "unclassified"), [0, 0.0, 0.0, 0.0, 0])
+        matched, waiting = own.get(key, (0.0, 0.0))
+        n[0] += 1
+        n[1] += matched
+        n[2] += merged.get(key, 0.0)
+        n[3] += waiting
+        n[4] += merged.get(key, 0.0) > matched
+    got = {r.category: [r.n, r.matched, r.merged, r.orphans, r.n_over_merged] for r in simulate.completion_set_audit(spark, DIR).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[c] == pytest.approx(want[c], abs=0.01) for c in got)
+
+
+def test_wallet_clusters_cover_every_scope(spark):
+    from tidemark.plans import behaviour, strategies
+
+    rows = strategies.wallet_clusters(spark, DIR).collect()
+    scopes = behaviour.fingerprint_features(spark, DIR).select("wallet", "scope").distinct().count()
+    assert len(rows) == scopes == len({(r.wallet, r.scope) for r in rows}) and {r.cluster for r in rows} <= {0, 1, 2}

@@ -188,6 +188,24 @@ def interval_matches(
     return met.withColumn("matched", F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo")).drop("_cell")
 
 
+def disjoint_matches(a: DataFrame, b: DataFrame, on: list[str], values: tuple[str, ...] = ()) -> DataFrame:
+    """As ``interval_matches`` where the intervals of a side don't overlap each other, such as cumulative quantities.
+
+    Two intervals meet where the later of them starts; there each side's interval is the last that has started. So one
+    window over the starts of both sides finds all overlaps: the work follows the intervals, whatever their length.
+    """
+
+    def side(df: DataFrame, name: str, order: int) -> DataFrame:
+        own = F.struct(*(F.col(c).alias(f"{name}_{c}") for c in ("id", "lo", "hi", *values)))
+        return df.where("hi > lo").select(*on, F.col("lo").alias("_at"), F.lit(order).alias("_side"), own.alias(f"_{name}"))
+
+    both = side(a, "a", 0).unionByName(side(b, "b", 1), allowMissingColumns=True)
+    run = upto(on, "_at", "_side")
+    met = both.select(*on, *(F.last(f"_{n}", ignorenulls=True).over(run).alias(f"_{n}") for n in "ab")).select(*on, "_a.*", "_b.*")
+    met = met.where("a_hi > b_lo and b_hi > a_lo")
+    return met.withColumn("matched", F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo"))
+
+
 def sessions(df: DataFrame, keys: list[str], gap: int, ts: str = "ts", tie: str = "id") -> DataFrame:
     """``df`` with ``session``: rows of a key no more than ``gap`` apart (inclusive) share a number."""
     order = _ordered(keys, ts, tie)

@@ -25,7 +25,7 @@ def buy_intervals(spark, sf_dir, since: int = 0):
 def fifo_matches(spark, sf_dir, since: int = 0):
     b = buy_intervals(spark, sf_dir, since)
     legs = [b.where(F.col("outcome_index") == k) for k in (0, 1)]
-    m = O.interval_matches(legs[0], legs[1], ["wallet", "condition_id"], 50.0, ("price", "ts"))
+    m = O.disjoint_matches(legs[0], legs[1], ["wallet", "condition_id"], ("price", "ts"))
     m = m.withColumn("matched", F.round("matched", 2)).where("matched > 0")
     return m.withColumn("edge", F.col("matched") * (1 - F.col("a_price") - F.col("b_price"))).withColumn("gap_s", F.abs(F.col("a_ts") - F.col("b_ts")))
 
