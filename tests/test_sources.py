@@ -131,3 +131,32 @@ def test_scalars(spark):
         scalars.structure_type(F.lit(2), F.lit(True), F.lit("e")).alias("k"), scalars.keyword_match(("world cup",), F.lit("The  WORLD\n cup")).alias("l"),
     )
     assert list(df.first()) == ["0xab", "zz", "good", "missing", 9, "unclassified", "crypto", 0.0, [], 0.5, "negRisk-event-member", True]
+
+
+def test_buckets_paths_and_verdicts(spark):
+    df = spark.createDataFrame([(None, None), (9, 0.89), (10, 0.9), (59, 0.95), (60, 0.98), (299, 1.0), (300, 1.01), (900, 1.0), (3600, 1.0)], "s long, c double")
+    rows = df.select(scalars.time_bucket(F.col("s")).alias("t"), scalars.cost_bucket(F.col("c")).alias("c")).collect()
+    assert [r.t for r in rows] == ["not_completed", "under_10s", "under_60s", "under_60s", "1m_5m", "1m_5m", "5m_15m", "15m_60m", "over_60m"]
+    assert [r.c for r in rows][:7] == ["unknown", "lt_0_90", "0_90_0_95", "0_95_0_98", "0_98_1_00", "0_98_1_00", "gt_1_00"]
+    ends = [("open", "TRADE"), ("flat", "TRADE"), ("flat", "MERGE"), ("flat", "SPLIT"), ("resolution", "REDEEM"), ("resolution", "RESOLUTION_SETTLEMENT"), ("resolution", "x"), ("other", "TRADE")]
+    paths = spark.createDataFrame(ends, "a string, b string").select(scalars.close_path(F.col("a"), F.col("b")).alias("p")).collect()
+    assert [r.p for r in paths] == ["OPEN", "SELL", "MERGE", "MIXED", "REDEEM", "RESOLUTION", "UNKNOWN", "UNKNOWN"]
+    cases = [(0, 0, 0.0, 0.0, 0.0, 0.0, 0.0), (10, 8, 3.0, 0.6, 0.0, 1.0, 1.0), (10, 8, 60.0, 0.4, 0.1, 1.0, 1.0), (10, 8, 60.0, 0.1, 0.1, 0.5, 1.0), (10, 2, 900.0, 0.4, 0.9, 0.1, 9.0), (100, 2, 900.0, 0.4, 0.9, 0.1, 9.0)]
+    names = "total long, matched long, delay double, token double, first double, event double, size double"
+    v = spark.createDataFrame(cases, names).select(scalars.cluster_verdict(*(F.col(c.split()[0]) for c in names.split(", "))).alias("v")).collect()
+    assert [r.v for r in v] == ["independent", "same_system_candidate", "follower", "shared_signal", "research_candidate", "independent"]
+    null = "0x" + "0" * 40
+    moves = spark.createDataFrame([(null, "w"), ("w", null), ("x", "w"), ("w", "x"), ("x", "y")], "a string, b string")
+    assert [r.k for r in moves.select(scalars.transfer_class(F.col("a"), F.col("b"), F.lit("w")).alias("k")).collect()] == ["MINT", "BURN", "TRANSFER_IN", "TRANSFER_OUT", "OTHER"]
+    one = spark.range(1).select(scalars.research_priority(F.lit(0.5), F.lit(0.5), F.lit(20000.0)).alias("a"), scalars.research_priority(F.lit(0.0), F.lit(0.0), F.lit(-5.0)).alias("b")).first()
+    assert one.a == pytest.approx(0.65) and one.b == 0
+
+
+def test_append_reads_the_partitions_of_the_increment(spark, tmp_path):
+    path = str(tmp_path / "by_day")
+    schema = "dedupe_key string, v long, day string"
+    sinks.append_new(spark.createDataFrame([("a", 1, "d1"), ("b", 2, "d2")], schema), path, partition="day")
+    sinks.append_new(spark.createDataFrame([("a", 9, "d1"), ("c", 3, "d2"), ("c", 3, "d2")], schema), path, partition="day")
+    assert sorted((r.dedupe_key, r.v, r.day) for r in spark.read.parquet(path).collect()) == [("a", 1, "d1"), ("b", 2, "d2"), ("c", 3, "d2")]
+    bundle = sinks.export_bundle({"b": spark.range(2), "a": spark.range(1)}, str(tmp_path / "bundle"))
+    assert [spark.read.option("header", True).csv(p).count() for p in bundle] == [1, 2]

@@ -241,13 +241,6 @@ def weighted_percentiles(df: DataFrame, keys: list[str], value: str, weight: str
     )
 
 
-def day_grid(positions: DataFrame, keys: list[str], first: Column, last: Column, day_s: int = 86_400) -> DataFrame:
-    """One row for each key and UTC day from its first to its last day (numbers of days): ``day``, ``ts`` of its end."""
-    spans = positions.groupBy(*keys).agg(first.alias("_a"), last.alias("_b"))
-    out = spans.withColumn("day", F.explode(F.sequence("_a", "_b")))
-    return out.withColumn("ts", (F.col("day") + 1) * day_s - 1).drop("_a", "_b")
-
-
 def tiered_match(left: DataFrame, right: DataFrame, tiers: list[Column], on: str, window_s: int) -> DataFrame:
     """For each left row the best right row within ``window_s`` seconds: lowest tier, nearest time, earliest (ts, id).
 

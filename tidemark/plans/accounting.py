@@ -228,20 +228,21 @@ def pnl_decomposition_scoped(spark, sf_dir):
 
 
 def _daily_states(spark, sf_dir):
-    """Quantity, cost and last trade price of every holding at the end of each of its days up to the last of all."""
+    """Quantity, cost and last trade price of every holding at the end of each of its days, while it is held.
+
+    A day's last state stands until the day before the next one, or to the last day of all; one that is flat has no days
+    after its own, however long the table goes on.
+    """
     p = positions(spark, sf_dir)
     price = F.when(F.col("event_type") == "TRADE", F.try_divide("usdc", F.nullif("shares", F.lit(0.0))))
-    p = p.withColumn("px", F.last(price, ignorenulls=True).over(O.upto(KEY)))
-    p = p.withColumn("cum", F.sum("realized").over(O.upto(KEY)))
-    end = p.agg(F.max(F.floor(F.col("ts") / 86400)).alias("_end"))
-    ends = p.crossJoin(F.broadcast(end))  # one row
-    grid = O.day_grid(ends, KEY, F.min(F.floor(F.col("ts") / 86400)), F.max("_end"))
-    daily = p.groupBy(*KEY, F.floor(F.col("ts") / 86400).alias("day")).agg(
-        F.max_by(F.struct("qty", "cost", "px", "cum", "condition_id", F.col("ts").alias("at")), F.struct("ts", "id")).alias("s")
-    )
-    out = grid.join(daily, [*KEY, "day"], "left")
-    filled = F.last("s", ignorenulls=True).over(Window.partitionBy(*KEY).orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("s", filled).select(*KEY, "day", "ts", "s.*")
+    p = p.withColumn("px", F.last(price, ignorenulls=True).over(O.upto(KEY))).withColumn("day", F.floor(F.col("ts") / 86400))
+    last = F.struct("ts", "id")
+    daily = p.groupBy(*KEY, "day").agg(*(F.max_by(c, last).alias(c) for c in ("qty", "cost", "px", "condition_id")), F.max("ts").alias("at"))
+    end = p.agg(F.max("day").alias("_end"))
+    daily = daily.withColumn("_next", F.lead("day").over(Window.partitionBy(*KEY).orderBy("day"))).crossJoin(F.broadcast(end))  # one row
+    until = F.when(F.abs("qty") <= O.EPSILON, F.col("day")).otherwise(F.coalesce(F.col("_next") - 1, F.col("_end")))
+    out = daily.select(*KEY, F.explode(F.sequence("day", until)).alias("day"), "qty", "cost", "px", "condition_id", "at")
+    return out.withColumn("ts", (F.col("day") + 1) * 86400 - 1)
 
 
 def daily_equity(spark, sf_dir):
@@ -251,14 +252,19 @@ def daily_equity(spark, sf_dir):
     mark = F.when(resolved, F.col("res_price")).otherwise(F.coalesce("px", F.lit(0.0)))
     held = F.when(F.col("qty") > 0, F.col("qty")).otherwise(0.0)
     d = d.withColumns({"v": held * mark, "stale": ~resolved & (F.col("ts") - F.col("at") > 86400)})
-    g = d.groupBy("wallet", "day").agg(
+    d = d.groupBy("wallet", "day").agg(
         F.sum("v").alias("value"),
-        F.sum("cum").alias("realized"),
         F.sum(F.col("v") - F.when(F.col("qty") > 0, F.col("cost")).otherwise(0.0)).alias("unrealized"),
         F.sum(F.when(F.col("stale"), F.col("v")).otherwise(0.0)).alias("stale_v"),
     )
-    g = g.withColumn("marked", F.round(F.col("realized") + F.col("unrealized"), 6))
-    peak = F.greatest(F.max("marked").over(Window.partitionBy("wallet").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    # realized profit is carried by wallet, on every day from its first to the last of all
+    r = positions(spark, sf_dir).groupBy("wallet", F.floor(F.col("ts") / 86400).alias("day")).agg(F.sum("realized").alias("r"))
+    grid = r.groupBy("wallet").agg(F.min("day").alias("_a")).crossJoin(F.broadcast(r.agg(F.max("day").alias("_b"))))  # one row
+    grid = grid.select("wallet", F.explode(F.sequence("_a", "_b")).alias("day"))
+    g = grid.join(r, ["wallet", "day"], "left").join(d, ["wallet", "day"], "left").fillna(0.0)
+    run = Window.partitionBy("wallet").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumn("realized", F.sum("r").over(run)).withColumn("marked", F.round(F.col("realized") + F.col("unrealized"), 6))
+    peak = F.greatest(F.max("marked").over(run), F.lit(0.0))
     return g.select(
         "wallet", "day", r4("value"), r4("realized"), r4("unrealized"), r4("marked", "marked_pnl"), r4(peak - F.col("marked"), "drawdown"), r4(F.coalesce(F.try_divide("stale_v", F.nullif(F.round("value", 6), F.lit(0.0))), F.lit(0.0)), "stale_share")
     )

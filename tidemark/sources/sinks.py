@@ -14,10 +14,18 @@ def _existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         return spark.createDataFrame([], like.schema)
 
 
-def append_new(df: DataFrame, path: str, key: str = "dedupe_key") -> None:
-    """Append the rows whose key is not there yet; of equal keys in ``df`` one goes in."""
-    old = _existing(df.sparkSession, path, df).select(key)
-    df.dropDuplicates([key]).join(old, key, "left_anti").select(df.columns).write.mode("append").parquet(path)
+def append_new(df: DataFrame, path: str, key: str = "dedupe_key", partition: str | None = None) -> None:
+    """Append the rows whose key is not there yet; of equal keys in ``df`` one goes in.
+
+    With a ``partition`` column that is the same for equal keys (such as the day), the target is written in its folders and
+    only those that occur in ``df`` are read for their keys.
+    """
+    old = _existing(df.sparkSession, path, df)
+    if partition:
+        values = [r[0] for r in df.select(partition).distinct().collect()]  # the few partitions of an increment
+        old = old.where(F.col(partition).isin(values))
+    new = df.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(df.columns).write.mode("append")
+    (new.partitionBy(partition) if partition else new).parquet(path)
 
 
 def persist_raw(df: DataFrame, path: str, columns: tuple[str, ...] = ("source", "endpoint", "params", "payload")) -> None:
