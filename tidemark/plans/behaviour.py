@@ -282,7 +282,11 @@ PRE_FILL = ["id", "trade_ts", "side", "fill_price", "fill_shares", "book_before_
 
 def _split_dataset(spark, sf_dir):
     """Fills in order of time, 60/20/20 in train, validation and test; rules see only what was known before the fill."""
-    d = M.microstructure_dataset(spark, sf_dir).select(*PRE_FILL, "markout_1h")
+    return temporal_split(M.microstructure_dataset(spark, sf_dir).select(*PRE_FILL, "markout_1h"))
+
+
+def temporal_split(d):
+    """``d`` with ``split``: the first 60 % of its fills in order of time are train, the next 20 % validation, the rest test."""
     # a global order without a single task: ranks within a day, after the days before it
     d = d.withColumn("day", F.floor(F.col("trade_ts") / 86400))
     sizes = d.groupBy("day").agg(F.count("*").alias("n"))
@@ -336,17 +340,43 @@ def rule_candidates(spark, sf_dir):
     return x.groupBy(F.col("h.rule").alias("rule"), "split").agg(F.count("*").alias("n"), F.count("markout_1h").alias("n_markout"), r4(F.avg("markout_1h"), "avg_markout"))
 
 
+#: Words that mark a market as derived from a match or tournament. Fixed values.
+DERIVATIVES = ("o/u", "over", "under", "spread", "exact score", "team to advance", "quarterfinal", "semifinal", "final")
+
+
 def watchlist(spark, sf_dir):
-    """Tokens to watch with their smallest priority: traded lately 10, held 20, keyword 30."""
+    """Tokens to watch with their smallest priority: traded lately 10, held 20, keyword 30, keyword and derived market 40."""
     t = ledger(spark, sf_dir).where("event_type = 'TRADE'")
     recent = t.where(F.col("ts") >= D + 29 * 86400).select("token_id", F.lit(10).alias("priority"))
     held = A.latest(A.positions(spark, sf_dir)).where("qty > 1e-6").select("token_id", F.lit(20).alias("priority"))
-    named = tokens(spark).join(markets(spark).where(scalars.keyword_match(("world cup",), F.col("question"))), "condition_id").select("token_id", F.lit(30).alias("priority"))
+    named = tokens(spark).join(markets(spark).where(scalars.keyword_match(("world cup",), F.col("question"))), "condition_id")
+    named = named.select("token_id", F.when(scalars.keyword_match(DERIVATIVES, F.col("question")), 40).otherwise(30).alias("priority"))
     dead = A.token_prices(spark).where(F.col("closed_ts") < D + 21 * 86400).select("token_id")
     every = recent.unionAll(held).unionAll(named)
     return every.groupBy("token_id").agg(F.min("priority").cast("long").alias("priority"), F.count("*").alias("n_reasons")).join(dead, "token_id", "left_anti")
 
 
+def sync_alerts(spark, sf_dir, cadence_s: int = 3600, multiplier: float = 2.0, failures: int = 3):
+    """Alerts from the state of each wallet's syncs, one row each: never synced, stale, and failing again and again.
+
+    Every event stands for a sync, an error for one that failed; the failures since the last success are consecutive.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.select(F.concat(F.lit("w"), F.col("user_id") % 10).alias("wallet"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("ts"), "event_id", (F.col("event_type") == "error").alias("failed"))
+    last = e.where("not failed").groupBy("wallet").agg(F.max(F.struct("ts", "event_id")).alias("ok"))
+    j = e.join(last, "wallet", "left")
+    since = F.count_if(F.col("failed") & (F.col("ok").isNull() | (F.struct("ts", "event_id") > F.col("ok"))))
+    g = j.groupBy("wallet").agg(F.max("ok.ts").alias("last_success"), since.alias("n_failures"))
+    now = F.lit(D + 30 * 86400)
+    found = F.array(
+        F.when(F.col("last_success").isNull(), F.struct(F.lit("wallet_new").alias("alert"), F.lit("info").alias("severity"))),
+        F.when(now - F.col("last_success") > cadence_s * multiplier, F.struct(F.lit("sync_stale").alias("alert"), F.lit("warning").alias("severity"))),
+        F.when(F.col("last_success").isNotNull() & (F.col("n_failures") >= failures), F.struct(F.lit("sync_failing").alias("alert"), F.lit("error").alias("severity"))),
+    )
+    g = g.select("wallet", "last_success", "n_failures", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("a"))
+    return g.select("wallet", "a.alert", "a.severity", "last_success", "n_failures")
+
+
 def wallet_alerts(spark, sf_dir):
     g = ledger(spark, sf_dir).groupBy("wallet").agg(F.max("ts").alias("last_ts"), F.count("*").alias("n"))
     late = F.lit(D + 30 * 86400) - F.col("last_ts")
@@ -433,7 +463,7 @@ QUERIES = {
     for f in (
         fee_estimates, fee_attribution, fee_coverage, enrichment_match, enrichment_watermark, enrichment_resolution, enrichment_coverage, reconciliation_facts,
         wallet_trust, top_discrepancies, fingerprint_features, fingerprint_daily_features, entry_price_distribution, resolution_calibration,
-        detector_scores, rule_grid_metrics, rule_promotion, rule_candidates, watchlist, wallet_alerts, closed_cycle_score,
+        detector_scores, rule_grid_metrics, rule_promotion, rule_candidates, watchlist, sync_alerts, wallet_alerts, closed_cycle_score,
         lifecycle_rollup, wallets_in_both, ledger_page, token_cooccurrence, activity_pivot, activity_rank_correlation,
         rolling_fill_means, equity_week_change,
     )
@@ -519,7 +549,11 @@ FROM (SELECT * FROM metrics WHERE split = 'train' ORDER BY round(score, 8) DESC,
             "A_wide_spread": "spread_bps >= 500", "B_fresh_book": "book_before_age_s <= 900", "C_balances": "directional_before * CASE WHEN side = 'BUY' THEN -1 ELSE 1 END > 0",
             "D_has_pairs": "bond_before > 0", "E_cheap": "fill_price <= 0.2", "F_evening": "trade_hour >= 18", "G_inside": "inside"}.items()) + ") GROUP BY 1, 2", *_DS, _SPLIT),
     "watchlist": sql(f"""SELECT token_id, min(priority) AS priority, count(*) AS n_reasons FROM (SELECT token_id, 10 AS priority FROM ledger WHERE event_type = 'TRADE' AND ts >= {D + 29 * 86400} UNION ALL SELECT token_id, 20 FROM last WHERE qty > 1e-6
-UNION ALL SELECT token_id, 30 FROM tokens JOIN markets USING (condition_id) WHERE lower(question) LIKE '%world cup%') WHERE token_id NOT IN (SELECT token_id FROM prices WHERE closed_ts < {D + 21 * 86400}) GROUP BY 1""", POSITIONS, A._LAST, A._PRICES),
+UNION ALL SELECT token_id, CASE WHEN regexp_matches(lower(question), 'o/u|over|under|spread|exact score|team to advance|quarterfinal|semifinal|final') THEN 40 ELSE 30 END FROM tokens JOIN markets USING (condition_id) WHERE lower(question) LIKE '%world cup%') WHERE token_id NOT IN (SELECT token_id FROM prices WHERE closed_ts < {D + 21 * 86400}) GROUP BY 1""", POSITIONS, A._LAST, A._PRICES),
+    "sync_alerts": f"""WITH e AS (SELECT 'w' || (user_id % 10) AS wallet, floor(epoch(ts))::BIGINT AS ts, event_id, event_type = 'error' AS failed FROM events),
+ok AS (SELECT wallet, max((ts, event_id)) AS k FROM e WHERE NOT failed GROUP BY 1), g AS (SELECT e.wallet, max(k[1]) AS last_success, count(*) FILTER (failed AND (k IS NULL OR (ts, event_id) > k)) AS n_failures FROM e LEFT JOIN ok USING (wallet) GROUP BY 1)
+SELECT wallet, 'wallet_new' AS alert, 'info' AS severity, last_success, n_failures FROM g WHERE last_success IS NULL UNION ALL SELECT wallet, 'sync_stale', 'warning', last_success, n_failures FROM g WHERE {D + 2592000} - last_success > 7200
+UNION ALL SELECT wallet, 'sync_failing', 'error', last_success, n_failures FROM g WHERE last_success IS NOT NULL AND n_failures >= 3""",
     "wallet_alerts": sql(f"SELECT wallet, n, s AS silence_s, CASE WHEN s > 7200 THEN 'stale' WHEN s > 3600 THEN 'late' ELSE 'ok' END AS state FROM (SELECT wallet, count(*) AS n, {D + 2592000} - max(ts) AS s FROM ledger GROUP BY 1)"),
     "closed_cycle_score": sql("SELECT wallet, count(*) AS n, count(o) AS n_open, round(1 - count(o) / count(*), 4) + 0 AS score FROM (SELECT DISTINCT wallet, condition_id FROM ledger WHERE event_type = 'TRADE') LEFT JOIN (SELECT DISTINCT wallet, condition_id, 1 AS o FROM last WHERE qty > 1e-6) USING (wallet, condition_id) GROUP BY 1", POSITIONS, A._LAST),
     "lifecycle_rollup": sql("SELECT coalesce(event_id, '-') AS event_id, CASE WHEN question IS NULL THEN 'unknown' WHEN abs(qty) <= 1e-6 THEN 'closed_complete' WHEN closed THEN 'pending' ELSE 'live' END AS state, count(*) AS n, count(DISTINCT wallet) AS n_wallets FROM last LEFT JOIN markets USING (condition_id) GROUP BY 1, 2", POSITIONS, A._LAST),

@@ -106,6 +106,46 @@ def lifecycle_dataset(spark, sf_dir):
     )
 
 
+def rule_predicates(
+    min_spread_bps: float = 50, min_improvement_bps: float = 10, min_directional: float = 1, bond_too: bool = False, max_set_cost: float = 0.98, min_imbalance: float = 0.3,
+    max_time_to_close_s: int = 7 * 86400, hours: tuple[int, int] = (0, 23), min_event_exposure: float = 5, cycle_spread_bps: float = 30,
+) -> dict[str, str]:
+    """The rule families over what was known before a fill, as predicates that both engines read; unknown values never fire."""
+    reduces = "(side = 'SELL' AND {0} > 0 OR side = 'BUY' AND {0} < 0)"
+    bond = " AND (side = 'BUY' AND qty_complement > 0 OR side = 'SELL' AND qty_token_before > 0)" if bond_too else ""
+    better = "CASE WHEN side = 'BUY' THEN mid - fill_price ELSE fill_price - mid END"
+    return {
+        "spread_capture": f"spread_bps >= {min_spread_bps} AND mid > 0 AND round({better} / mid * 10000, 6) >= {min_improvement_bps}",
+        "inventory_balancing": f"abs(directional_before) >= {min_directional} AND {reduces.format('directional_before')}{bond}",
+        "completion_set_edge": f"qty_complement IS NOT NULL AND round(fill_price + best_ask, 6) <= {max_set_cost}",
+        "depth_imbalance": f"abs(imbalance_top5) >= {min_imbalance} AND (side = 'BUY' AND imbalance_top5 > 0 OR side = 'SELL' AND imbalance_top5 < 0)",
+        "event_timing": f"time_to_close_s BETWEEN 0 AND {max_time_to_close_s} AND trade_hour_utc BETWEEN {hours[0]} AND {hours[1]}",
+        "correlated_siblings": f"abs(event_exposure_before) >= {min_event_exposure} AND {reduces.format('event_exposure_before')}",
+        "closed_cycle": f"spread_bps >= {cycle_spread_bps} AND abs(event_exposure_before) >= {min_event_exposure}",
+    }
+
+
+def rule_split_metrics(spark, sf_dir):
+    """Each rule on each temporal split: coverage, precision and false positives by the episode's profit (else the first
+    markout), mean markouts, profit and changes of bond and exposure, the largest inventory, edge and summed profit."""
+    d = B.temporal_split(lifecycle_dataset(spark, sf_dir))
+    fired = F.array(*(F.struct(F.lit(k).alias("rule"), F.coalesce(F.expr(p), F.lit(False)).alias("on")) for k, p in rule_predicates().items()))
+    d = d.withColumn("label", F.coalesce("realized_pnl_wac", "markout_5m")).withColumn("f", F.explode(fired))
+    on = F.col("f.on")
+
+    def mean(c, name):
+        return r4(F.avg(F.when(on, F.col(c))), name)
+
+    known, up = F.count(F.when(on, F.col("label"))), F.count_if(on & (F.col("label") > 0))
+    g = d.groupBy(F.col("f.rule").alias("rule"), "split").agg(
+        F.count("*").alias("total_fills"), F.count_if(on).alias("explained_fills"), r4(F.count_if(on) / F.count("*"), "coverage"),
+        r4(F.coalesce(F.try_divide(up, F.nullif(known, F.lit(0))), F.lit(0.0)), "precision"), r4(F.coalesce(F.try_divide(known - up, F.nullif(known, F.lit(0))), F.lit(0.0)), "false_positive_rate"),
+        mean("markout_5m", "avg_markout_5m"), mean("markout_1h", "avg_markout_1h"), mean("realized_pnl_wac", "avg_pnl"), mean("bond_delta", "avg_bond_delta"), mean("event_exposure_delta", "avg_exposure_delta"),
+        r4(F.max(F.when(on, F.abs("qty_token_before"))), "max_inventory"), F.round(F.avg(F.when(on, F.col("markout_5m"))) * 10000, 2).alias("edge_bps"), r4(F.sum(F.when(on, F.col("realized_pnl_wac"))), "pnl"),
+    )
+    return g
+
+
 def event_timeline(spark, sf_dir):
     """Every event with running quantity and cash of its series and the books around it.
 
@@ -429,7 +469,7 @@ def watch_acceptance(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        condition_state, event_state, lifecycle_dataset, event_timeline, event_totals, maker_context, edge_decay, transfer_classes, reconciliation_checks, wallet_trust_checks, portfolio_value_check,
+        condition_state, event_state, lifecycle_dataset, rule_split_metrics, event_timeline, event_totals, maker_context, edge_decay, transfer_classes, reconciliation_checks, wallet_trust_checks, portfolio_value_check,
         cluster_ranking, pnl_bridge, set_audit, redeem_pro_rata, profit_by_event, watch_acceptance,
     )
 }
@@ -483,6 +523,11 @@ round(greatest(least(q0, q1), 0), 4) + 0 AS paired_qty, round(greatest(q0 - grea
   (SELECT l.*, m.event_id, q0 + q1 AS va, c0 + c1 AS vb, greatest(least(q0, q1), 0) AS vc, greatest(q0 - greatest(least(q0, q1), 0), 0) + greatest(q1 - greatest(least(q0, q1), 0), 0) AS vd, abs(q0 - q1) AS ve, CASE WHEN abs(q0 + q1) > 1e-6 THEN 1 ELSE 0 END AS vf FROM legs l JOIN markets m USING (condition_id) WHERE leg IS NOT NULL)
   WINDOW o AS (PARTITION BY wallet, condition_id ORDER BY ts, id, leg)) WINDOW w AS (PARTITION BY wallet, event_id ORDER BY ts, id, condition_id, leg ROWS UNBOUNDED PRECEDING)) WHERE event_type = 'TRADE'""", POSITIONS, A._LEGS),
     "lifecycle_dataset": sql(_LIFE_SELECT, POSITIONS, A._EPISODES, _EP2, B._FEES, M._BOOKS, _DEEP, A._LEGS, _LIFE),
+    "rule_split_metrics": sql("""SELECT rule, split, count(*) AS total_fills, count(*) FILTER (f) AS explained_fills, round(count(*) FILTER (f) / count(*), 4) AS coverage, round(coalesce(count(*) FILTER (f AND label > 0) / nullif(count(label) FILTER (f), 0), 0), 4) AS precision,
+round(coalesce(count(*) FILTER (f AND label <= 0) / nullif(count(label) FILTER (f), 0), 0), 4) AS false_positive_rate, round(avg(markout_5m) FILTER (f), 4) + 0 AS avg_markout_5m, round(avg(markout_1h) FILTER (f), 4) + 0 AS avg_markout_1h, round(avg(realized_pnl_wac) FILTER (f), 4) + 0 AS avg_pnl, round(avg(bond_delta) FILTER (f), 4) + 0 AS avg_bond_delta,
+round(avg(event_exposure_delta) FILTER (f), 4) + 0 AS avg_exposure_delta, round(max(abs(qty_token_before)) FILTER (f), 4) + 0 AS max_inventory, round(avg(markout_5m) FILTER (f) * 10000, 2) AS edge_bps, round(sum(realized_pnl_wac) FILTER (f), 4) + 0 AS pnl FROM (SELECT rule, split, f, coalesce(realized_pnl_wac, markout_5m) AS label, markout_5m, markout_1h, realized_pnl_wac, bond_delta, event_exposure_delta, qty_token_before FROM (
+""" + " UNION ALL ".join(f"SELECT *, '{k}' AS rule, coalesce({p}, false) AS f FROM rs" for k, p in rule_predicates().items()) + ")) GROUP BY 1, 2", POSITIONS, A._EPISODES, _EP2, B._FEES, M._BOOKS, _DEEP, A._LEGS, _LIFE, "ld AS (" + _LIFE_SELECT + ")",
+        "rs AS (SELECT *, CASE WHEN r < floor(n * 0.6) THEN 'train' WHEN r < floor(n * 0.8) THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (ORDER BY trade_ts, id) - 1 AS r, count(*) OVER () AS n FROM ld))"),
     "event_timeline": sql("""SELECT id, wallet, ts, event_type, round(qa - CASE WHEN token_id IS NOT NULL THEN delta_shares ELSE 0 END, 4) + 0 AS qty_before, round(qa, 4) + 0 AS qty_after, round(ca, 4) + 0 AS cash_out_after, round(ca / nullif(qa, 0), 4) + 0 AS running_wac_after, ts - b_ts AS book_before_age_s, mid,
 round(price - mid, 4) + 0 AS fill_minus_mid, round(best_ask - price, 4) + 0 AS ask_minus_fill, a_ts - ts AS book_after_age_s, mid_after, CASE WHEN event_type <> 'TRADE' THEN 'non_trade' WHEN b_ts IS NULL THEN 'missing' WHEN ts - b_ts <= 5 THEN 'excellent' WHEN ts - b_ts <= 15 THEN 'good' WHEN ts - b_ts <= 30 THEN 'usable' WHEN ts - b_ts <= 60 THEN 'weak' ELSE 'stale' END AS context_status
 FROM (SELECT e.*, b.ts AS b_ts, b.mid, b.best_ask, a.ts AS a_ts, a.mid AS mid_after FROM (SELECT *, round(sum(CASE WHEN token_id IS NOT NULL THEN delta_shares ELSE 0 END) OVER w, 6) AS qa, -sum(delta_usdc) OVER w AS ca FROM ledger WINDOW w AS (PARTITION BY wallet, coalesce(token_id, condition_id) ORDER BY ts, id ROWS UNBOUNDED PRECEDING)) e
