@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import ordered as O
+from tidemark.operators.storage import stored
 from tidemark.plans.views import CLOSED_TS, POSITIONS, fanout, ledger, markets, moves, r4, sql, tokens
 
 KEY = ["wallet", "token_id"]
@@ -22,13 +23,13 @@ def latest(states: DataFrame) -> DataFrame:
     return last.select(*KEY, "s.*")
 
 
-def leg_states(spark, sf_dir):
+def leg_states(spark, sf_dir, p: DataFrame | None = None):
     """Positions with the quantities and costs of both legs of their condition after every move, and the condition's net change.
 
     One window for each (wallet, condition); moves of tokens without metadata have no legs.
     """
     legs = tokens(spark).select("token_id", F.col("outcome_index").alias("leg"))
-    p = O.episode_events(positions(spark, sf_dir), KEY).join(legs, "token_id", "left")
+    p = O.episode_events(positions(spark, sf_dir) if p is None else p, KEY).join(legs, "token_id", "left")
     order = ["ts", "id", "leg"]
     run = O.upto(["wallet", "condition_id"], *order)
     cols = {}
@@ -140,9 +141,9 @@ def holdings_wac(spark, sf_dir):
     return last.select(*KEY, r4("qty"), r4(wac, "wac"), F.col("ts").alias("as_of_ts"))
 
 
-def holdings_negative_runs(spark, sf_dir):
+def holdings_negative_runs(spark, sf_dir, p: DataFrame | None = None):
     """The event that began the last unbroken run of negative quantity of each holding that ends negative."""
-    p = positions(spark, sf_dir).withColumn("neg", F.col("qty") < -O.EPSILON)
+    p = (positions(spark, sf_dir) if p is None else p).withColumn("neg", F.col("qty") < -O.EPSILON)
     p = p.withColumn("run", F.sum(F.when(F.col("neg"), 0).otherwise(1)).over(O.upto(KEY)))
     ends = p.groupBy(*KEY).agg(F.max_by("neg", F.struct("ts", "id")).alias("ends"), F.max("run").alias("run")).where("ends").drop("ends")
     first = p.where("neg").join(ends, [*KEY, "run"]).groupBy(*KEY).agg(F.min_by(F.struct("id", "ts", "event_type"), F.struct("ts", "id")).alias("c"))
@@ -227,13 +228,12 @@ def pnl_decomposition_scoped(spark, sf_dir):
     return rolled.select("wallet", scope.alias("scope"), *(r4(c) for c in parts), r4(total, "total"))
 
 
-def _daily_states(spark, sf_dir):
+def _daily_states(p: DataFrame):
     """Quantity, cost and last trade price of every holding at the end of each of its days, while it is held.
 
     A day's last state stands until the day before the next one, or to the last day of all; one that is flat has no days
     after its own, however long the table goes on.
     """
-    p = positions(spark, sf_dir)
     price = F.when(F.col("event_type") == "TRADE", F.try_divide("usdc", F.nullif("shares", F.lit(0.0))))
     p = p.withColumn("px", F.last(price, ignorenulls=True).over(O.upto(KEY))).withColumn("day", F.floor(F.col("ts") / 86400))
     last = F.struct("ts", "id")
@@ -247,7 +247,8 @@ def _daily_states(spark, sf_dir):
 
 def daily_equity(spark, sf_dir):
     """Per wallet and day: value at marks, realized and unrealized profit, drawdown from the running peak, stale share."""
-    d = _daily_states(spark, sf_dir).join(token_prices(spark), "token_id", "left")
+    p = stored(positions(spark, sf_dir).select("id", *KEY, "ts", "event_type", "condition_id", "shares", "usdc", "qty", "cost", "realized"))
+    d = _daily_states(p).join(token_prices(spark), "token_id", "left")
     resolved = F.col("res_price").isNotNull() & (F.col("ts") >= F.col("closed_ts"))
     mark = F.when(resolved, F.col("res_price")).otherwise(F.coalesce("px", F.lit(0.0)))
     held = F.when(F.col("qty") > 0, F.col("qty")).otherwise(0.0)
@@ -258,7 +259,7 @@ def daily_equity(spark, sf_dir):
         F.sum(F.when(F.col("stale"), F.col("v")).otherwise(0.0)).alias("stale_v"),
     )
     # realized profit is carried by wallet, on every day from its first to the last of all
-    r = positions(spark, sf_dir).groupBy("wallet", F.floor(F.col("ts") / 86400).alias("day")).agg(F.sum("realized").alias("r"))
+    r = p.groupBy("wallet", F.floor(F.col("ts") / 86400).alias("day")).agg(F.sum("realized").alias("r"))
     grid = r.groupBy("wallet").agg(F.min("day").alias("_a")).crossJoin(F.broadcast(r.agg(F.max("day").alias("_b"))))  # one row
     grid = grid.select("wallet", F.explode(F.sequence("_a", "_b")).alias("day"))
     g = grid.join(r, ["wallet", "day"], "left").join(d, ["wallet", "day"], "left").fillna(0.0)
@@ -271,7 +272,7 @@ def daily_equity(spark, sf_dir):
 
 
 def _exposure(spark, sf_dir):
-    d = _daily_states(spark, sf_dir).join(tokens(spark).select("token_id", "outcome_index"), "token_id")
+    d = _daily_states(positions(spark, sf_dir)).join(tokens(spark).select("token_id", "outcome_index"), "token_id")
     q = [F.coalesce(F.max(F.when(F.col("outcome_index") == k, F.col("qty"))), F.lit(0.0)) for k in (0, 1)]
     return d.groupBy("wallet", "condition_id", "day").agg(q[0].alias("q0"), q[1].alias("q1")).where("abs(q0) > 1e-6 or abs(q1) > 1e-6")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import ordered as O
+from tidemark.operators.storage import stored
 from tidemark.plans import accounting as A
 from tidemark.plans import behaviour as B
 from tidemark.plans import matching as M
@@ -55,17 +56,18 @@ def lifecycle_dataset(spark, sf_dir):
     key = ["id", "token_id"]
     f = B.trades(spark, sf_dir).where("not (side = 'BUY' and id % 3 = 0)")
     keys = f.select("id", "wallet", "token_id", "ts")
-    s = A.leg_states(spark, sf_dir)
+    p = stored(A.positions(spark, sf_dir))  # read by three parts below
+    s = A.leg_states(spark, sf_dir, p)
     of_event = markets(spark).select("condition_id", "event_id", F.col("neg_risk").alias("_neg"))
     s = s.join(of_event, "condition_id", "left")
     net = F.sum(F.when(F.col("leg").isNotNull(), F.col("net_change")).otherwise(0.0)).over(O.upto(["wallet", "event_id"], "ts", "id", "condition_id", "leg"))
     s = s.withColumn("event_net", F.when(F.col("_neg"), net))
     state = s.where("event_type = 'TRADE'").select(*key, "episode", "leg", "qty", "qty_before", "q0", "q1", "net_change", "event_net")
-    e = O.episodes(A.positions(spark, sf_dir), KEY).select(*KEY, "episode", "open_ts", "close_ts", "close_reason", "last_type", "peak_qty", "wac_entry", "realized_pnl")
+    e = O.episodes(p, KEY).select(*KEY, "episode", "open_ts", "close_ts", "close_reason", "last_type", "peak_qty", "wac_entry", "realized_pnl")
     b = M.depth_books(spark, sf_dir)
     at = O.asof_backward(keys.drop("wallet"), b, ["token_id"], ["mid", "best_bid", "best_ask", *DEPTH]).withColumnRenamed("asof_ts", "book_ts").drop("ts")
     after = O.asof_forward(keys.drop("wallet"), b, ["token_id"], ["mid"]).select(*key, F.col("asof_ts").alias("after_ts"), F.col("mid").alias("mid_after"))
-    last = A.positions(spark, sf_dir).groupBy(*KEY, "ts").agg(F.max_by("qty", "id").alias("later_qty"))
+    last = p.groupBy(*KEY, "ts").agg(F.max_by("qty", "id").alias("later_qty"))
     later = O.asof_backward(keys.withColumn("ts", F.col("ts") + 86400), last, KEY, ["later_qty"]).select(*key, "later_qty")
     cuts = F.array(*(F.struct(F.lit(n).alias("horizon"), F.lit(h).alias("h")) for n, h in HORIZONS.items()))
     points = keys.drop("wallet").withColumn("c", F.explode(cuts)).select(*key, (F.col("ts") + F.col("c.h")).alias("ts"), "c.*")
@@ -231,10 +233,10 @@ def transfer_classes(spark, sf_dir):
     return t.groupBy("wallet", scalars.transfer_class(F.col("sender"), F.col("receiver"), F.col("wallet")).alias("kind")).agg(F.count("*").alias("n"), r4(F.sum("size"), "shares"))
 
 
-def venue_positions(spark, sf_dir):
+def venue_positions(spark, sf_dir, p):
     """What the venue states: most local holdings, some of another size, price or profit, and a token that nobody holds."""
-    last = A.latest(A.positions(spark, sf_dir)).where("abs(qty) > 1e-6")
-    e = O.episodes(A.positions(spark, sf_dir), KEY).where("close_reason = 'open'").select(*KEY, "wac_entry", F.col("realized_pnl").alias("own_pnl"))
+    last = A.latest(p).where("abs(qty) > 1e-6")
+    e = O.episodes(p, KEY).where("close_reason = 'open'").select(*KEY, "wac_entry", F.col("realized_pnl").alias("own_pnl"))
     k = F.substring("token_id", 2, 9).cast("long")
     size = F.when(k % 5 == 0, F.col("qty") + 5).when(k % 3 == 0, F.col("qty") * 1.01).otherwise(F.col("qty"))
     v = last.where(k % 7 != 0).join(e, KEY, "left")
@@ -249,10 +251,11 @@ def reconciliation_checks(spark, sf_dir, tolerance: float = 1e-4, wac_tolerance:
     Prices and profits are compared where both sides have the position and the local quantity is positive.
     """
     e = ledger(spark, sf_dir)
-    local = A.latest(A.positions(spark, sf_dir)).select(*KEY, F.round("qty", 4).alias("local"), F.col("ts").alias("as_of"))
-    venue = venue_positions(spark, sf_dir)
+    p = stored(A.positions(spark, sf_dir))  # read by all parts below
+    local = A.latest(p).select(*KEY, F.round("qty", 4).alias("local"), F.col("ts").alias("as_of"))
+    venue = venue_positions(spark, sf_dir, p)
     mapped = tokens(spark).join(markets(spark), "condition_id").select("token_id", "closed").withColumn("mapped", F.lit(True))
-    neg = A.holdings_negative_runs(spark, sf_dir).join(tokens(spark).select("token_id", "condition_id"), "token_id")
+    neg = A.holdings_negative_runs(spark, sf_dir, p).join(tokens(spark).select("token_id", "condition_id"), "token_id")
     both_kinds = e.where("event_type in ('REDEEM', 'MERGE')").groupBy("wallet", "condition_id", "ts").agg(F.countDistinct("event_type").alias("kinds")).where("kinds = 2").select("wallet", "condition_id", F.col("ts").alias("cause_ts"), F.lit(True).alias("same_ts"))
     neg = neg.join(both_kinds, ["wallet", "condition_id", "cause_ts"], "left")
     merge_caused = neg.where("cause_type = 'MERGE'").select("wallet", "condition_id").distinct().withColumn("merge_near", F.lit(True))
@@ -276,9 +279,8 @@ def reconciliation_checks(spark, sf_dir, tolerance: float = 1e-4, wac_tolerance:
         .when(F.col("local").isNull() & (F.col("size") > tolerance), "local_missing_remote_present").otherwise("unknown")
     )
     j = j.withColumns({"diff": diff, "reason": reason})
-    j = j.withColumn("status", _status(F.col("reason")))
+    j = stored(j.withColumn("status", _status(F.col("reason"))))  # the size check, read again for prices and profits
     size = j.select(*KEY, F.lit("positions_size").alias("check_type"), F.coalesce("size", F.lit(0.0)).alias("expected"), F.coalesce("local", F.lit(0.0)).alias("computed"), "diff", "reason", "status")
-    p = A.positions(spark, sf_dir)
     ep = O.episodes(p, KEY).where("close_reason = 'open'").select(*KEY, "episode", "wac_entry", F.col("realized_pnl").alias("own_pnl"))
     kinds = O.episode_events(p, KEY).join(ep.select(*KEY, "episode"), [*KEY, "episode"]).groupBy(*KEY).agg(F.max((F.col("event_type") == "REDEEM").cast("int")).alias("redeems"), F.max(F.col("event_type").isin("MERGE", "SPLIT").cast("int")).alias("merges"))
     k = j.where(F.col("size").isNotNull() & (F.col("local") > tolerance)).select(*KEY, "avg_price", "realized_pnl", "skew", F.col("status").alias("size_status"))
@@ -331,8 +333,9 @@ def wallet_trust_checks(spark, sf_dir):
 def portfolio_value_check(spark, sf_dir, band: float = 0.02):
     """Value of what a wallet holds against that of what the venue states, both at the outcome or the last trade's price."""
     px = ledger(spark, sf_dir).where("event_type = 'TRADE'").groupBy("token_id").agg(F.max_by("price", F.struct("ts", "id")).alias("px"))
-    local = A.latest(A.positions(spark, sf_dir)).select(*KEY, "qty")
-    j = local.join(venue_positions(spark, sf_dir).select(*KEY, "size"), KEY, "full").join(px, "token_id", "left").join(A.token_prices(spark), "token_id", "left")
+    p = stored(A.positions(spark, sf_dir))
+    local = A.latest(p).select(*KEY, "qty")
+    j = local.join(venue_positions(spark, sf_dir, p).select(*KEY, "size"), KEY, "full").join(px, "token_id", "left").join(A.token_prices(spark), "token_id", "left")
     mark = F.coalesce("res_price", "px", F.lit(0.0))
 
     def value(c):

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.storage import ready
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -55,25 +57,10 @@ def holdings(stream: DataFrame) -> DataFrame:
     return keyed.groupBy("wallet", "token").applyInPandasWithState(_move, out, "qty double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only a session on this machine may do without it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-    return folder
-
-
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and return what it wrote; files and checkpoint lie in the shared folder."""
     spark = stream.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(spark))
-    folder = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = f"{ready(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
