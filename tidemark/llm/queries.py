@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontaminate, html_extract, line_dedup, lm_score, near_dedup, packing, pii, prefix_trie, quality, warc
+from tidemark.llm import ann, decontaminate, divergence, html_extract, line_dedup, lm_score, near_dedup, packing, pii, prefix_trie, quality, warc
 from tidemark.llm.common import table
 
 
@@ -157,6 +157,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("_id", "doc_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of every source to the others of its language, and its most over-represented terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trie of all conversations, rebuilt so that up to eight first turns are those of another one."""
     turns, ids = prefix_trie.rebuilt(table(spark, sf_dir, "conversations"))
@@ -174,6 +179,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_lm_score": op9_lm_score,
     "op10_packing": op10_packing,
+    "op11_source_divergence": op11_source_divergence,
     "op12_prefix_trie": op12_prefix_trie,
 }
 
@@ -184,5 +190,6 @@ ORACLE_SQL = {
     "op6_nearest": OP6_SQL,
     "op8_warc": OP8_SQL,
     "op9_lm_score": lm_score.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
     "op12_prefix_trie": prefix_trie.ORACLE,
 }
