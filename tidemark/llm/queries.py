@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontaminate, divergence, html_extract, line_dedup, lm_score, near_dedup, packing, pii, prefix_trie, quality, warc
+from tidemark.llm import ann, decontaminate, divergence, html_extract, language_id, line_dedup, lm_score, near_dedup, packing, pii, prefix_trie, quality, warc
 from tidemark.llm.common import table
 
 
@@ -168,6 +168,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(turns, ids)
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by profiles of the documents outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out())
+    found = language_id.detect(docs, language_id.profiles(learned))
+    return found.select(F.col("_id").alias("doc_id"), language_id.held_out("_id").alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -181,6 +189,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_source_divergence": op11_source_divergence,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLE_SQL = {
