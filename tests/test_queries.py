@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
-from tidemark.plans import simulate
+from tidemark.plans import sets, simulate
 from tidemark.plans.views import ledger, markets
 
 DIR = "/root/testdata/sf0.001"
@@ -56,15 +56,6 @@ def test_simulations_repeat_their_folds(spark):
     assert got == fills
 
 
-def test_consuming_lots_by_hand():
-    def row(ts, k, side, size, price):
-        return {"event_type": "TRADE", "side": side, "outcome_index": k, "size": size, "ts": ts, "price": price}
-
-    rows = [row(0, 0, "BUY", 100.0, 0.4), row(10, 1, "BUY", 60.0, 0.5), {"event_type": "MERGE", "side": None, "outcome_index": 0, "size": 30.0, "ts": 20, "price": None}]
-    out = simulate.fold_consuming_lots(rows)
-    assert out["matched"] == 60 and out["mean_wait_s"] == 10 and out["waiting"] == pytest.approx(10) and out["edge"] == pytest.approx(6)
-
-
 def test_inventory_cycling_by_hand():
     rows = [{"outcome_index": 0, "fill_price": 0.4}, {"outcome_index": 1, "fill_price": 0.5}, {"outcome_index": 0, "fill_price": 0.4}]
     out = simulate.fold_inventory_cycling(rows)
@@ -86,7 +77,7 @@ def test_stream_dedupe_over_many_unordered_files(spark, tmp_path):
 
 
 def test_strategy_search_covers_every_wallet(spark):
-    from tidemark.plans import simulate
+    from tidemark.plans import sets, simulate
 
     path = "/root/testdata/sf0.001"
     every = {r.wallet for r in simulate.decisions(spark, path).select("wallet").distinct().collect()}
@@ -134,7 +125,7 @@ def test_composite_search_against_plain_python(spark):
 
 
 def test_completion_set_audit_adds_up(spark):
-    lots = simulate.fifo_consuming_lots(spark, DIR).collect()
+    lots = sets.fifo_consuming_lots(spark, DIR).collect()
     category = {r.condition_id: r.category for r in markets(spark).collect()}
     merged = {(r.wallet, r.condition_id): r.m for r in ledger(spark, DIR).where("event_type = 'MERGE'").groupBy("wallet", "condition_id").agg(F.sum("size").alias("m")).collect()}
     want = {}
@@ -147,7 +138,7 @@ def test_completion_set_audit_adds_up(spark):
         n[2] += merged.get(key, 0.0)
         n[3] += waiting
         n[4] += merged.get(key, 0.0) > matched
-    got = {r.category: [r.n, r.matched, r.merged, r.orphans, r.n_over_merged] for r in simulate.completion_set_audit(spark, DIR).collect()}
+    got = {r.category: [r.n, r.matched, r.merged, r.orphans, r.n_over_merged] for r in sets.completion_set_audit(spark, DIR).collect()}
     assert got.keys() == want.keys()
     assert all(got[c] == pytest.approx(want[c], abs=0.01) for c in got)
 

@@ -1,9 +1,9 @@
 """Registered queries over the ledger, each with the SQL that checks it."""
 
-from tidemark.plans import accounting, behaviour, ingest, lifecycle, matching, simulate, strategies
+from tidemark.plans import accounting, behaviour, ingest, lifecycle, matching, sets, simulate, strategies
 from tidemark.streaming import flows
 
-_MODULES = (ingest, accounting, matching, behaviour, lifecycle, strategies, simulate, flows)
+_MODULES = (ingest, accounting, matching, behaviour, lifecycle, sets, strategies, simulate, flows)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in _MODULES:

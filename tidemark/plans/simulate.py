@@ -7,8 +7,6 @@ a wallet with millions of fills is spread over its conditions.
 
 from __future__ import annotations
 
-from collections import deque
-
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -190,66 +188,10 @@ def search_holdout_breakdown(spark, sf_dir):
     return x.groupBy("bucket").agg(F.count("*").alias("n"), F.count("markout_1h").alias("n_markout"), r4(F.avg("markout_1h"), "avg_markout"))
 
 
-def fold_consuming_lots(rows) -> dict:
-    """Two-leg first-in-first-out matching: a buy meets waiting lots of the other leg; sells and merges use up own lots."""
-    waiting = (deque(), deque())
-    matched = waited = unmatched = edge = 0.0
-    for r in rows:
-        left = r["size"]
-        if r["event_type"] == "TRADE" and r["side"] == "BUY":
-            k = int(r["outcome_index"])
-            while left > 1e-9 and waiting[1 - k]:
-                lot = waiting[1 - k][0]
-                q = min(left, lot[0])
-                matched += q
-                waited += q * (r["ts"] - lot[1])
-                edge += q * (1 - r["price"] - lot[2])
-                left -= q
-                lot[0] -= q
-                if lot[0] <= 1e-9:
-                    waiting[1 - k].popleft()
-            if left > 1e-9:
-                waiting[k].append([left, r["ts"], r["price"]])
-        else:
-            legs = (int(r["outcome_index"]),) if r["event_type"] == "TRADE" else (0, 1)
-            for k in legs:
-                left = r["size"]
-                while left > 1e-9 and waiting[k]:
-                    q = min(left, waiting[k][0][0])
-                    left -= q
-                    waiting[k][0][0] -= q
-                    if waiting[k][0][0] <= 1e-9:
-                        waiting[k].popleft()
-    unmatched = sum(x[0] for leg in waiting for x in leg)
-    return {"matched": matched, "edge": edge, "mean_wait_s": waited / matched if matched else None, "waiting": unmatched}
-
-
-def fifo_consuming_lots(spark, sf_dir):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["ts", "id"]).to_dict("records")
-        return pd.DataFrame([{"wallet": key[0], "condition_id": key[1]} | fold_consuming_lots(rows)])
-
-    t = ledger(spark, sf_dir).where("event_type in ('TRADE', 'MERGE')").select("id", "ts", "wallet", "condition_id", "event_type", "side", "outcome_index", "size", "price")
-    out = t.groupBy("wallet", "condition_id").applyInPandas(run, "wallet string, condition_id string, matched double, edge double, mean_wait_s double, waiting double")
-    return out.select("wallet", "condition_id", r4("matched"), r4("edge"), r4("mean_wait_s"), r4("waiting"))
-
-
-def completion_set_audit(spark, sf_dir):
-    """Matched sets against merges by category: what was completed, merged, and left over."""
-    lots = fifo_consuming_lots(spark, sf_dir)
-    merged = ledger(spark, sf_dir).where("event_type = 'MERGE'").groupBy("wallet", "condition_id").agg(F.sum("size").alias("merged"))
-    j = lots.join(merged, ["wallet", "condition_id"], "full").join(markets(spark).select("condition_id", "category"), "condition_id", "left")
-    z = F.lit(0.0)
-    return j.groupBy(F.coalesce("category", F.lit("unclassified")).alias("category")).agg(
-        F.count("*").alias("n"), r4(F.sum(F.coalesce("matched", z)), "matched"), r4(F.sum(F.coalesce("merged", z)), "merged"), r4(F.sum(F.coalesce("waiting", z)), "orphans"), F.count_if(F.coalesce("merged", z) > F.coalesce("matched", z)).alias("n_over_merged")
-    )
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         sim_spread_capture, sim_attribution, sim_skip_funnel, sim_inventory_cycling, strategy_search, search_holdout_breakdown,
-        fifo_consuming_lots, completion_set_audit,
     )
 }
 ORACLE = {
