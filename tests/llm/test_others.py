@@ -242,3 +242,15 @@ def test_packing_gives_added_tokens_their_ids(spark, tmp_path):
         ids = t.encode(s or "", add_special_tokens=False).ids + [1]
         crc = [zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) for a, n in packing.pieces(len(ids))]
         assert sorted(got[i]) == [(a, n, c, len(ids)) for (a, n), c in zip(packing.pieces(len(ids)), crc)]
+
+
+def test_an_article_goes_on_in_the_next_one():
+    def paragraphs(name, n):
+        return "".join(f"<p>{name} sentence {k}, which is long enough to count as a paragraph of an article, by any measure.</p>" for k in range(n))
+
+    links = "".join(f'<li><a href="/{k}">Another story that one may want to read, number {k}</a></li>' for k in range(20))
+    page = f"<body><nav>{links}</nav><article>{paragraphs('First', 3)}</article><article>{paragraphs('Second', 2)}</article><article><ul>{links}</ul></article><aside>{paragraphs('Aside', 2)}</aside></body>"
+    text, _ = html_extract.extract(page)
+    assert text.count("First") == 3 and text.count("Second") == 2 and "Another" not in text and "Aside" not in text
+    wrapped = f"<body><div><div>{paragraphs('First', 4)}</div><div>{paragraphs('Second', 4)}</div></div></body>"
+    assert html_extract.extract(wrapped)[0].count("sentence") == 8

@@ -116,3 +116,12 @@ def test_many_spans_in_one_text(spark):
     assert len(r.base) == 3000 and len(r.spans) >= 3000
     ends = sorted((s.start, s.end) for s in r.spans)
     assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_spans_of_the_corpus_are_bounded(spark, monkeypatch):
+    text = " ".join(f"a{k}@example.com" for k in range(3000))
+    docs = spark.createDataFrame([(1, text), (2, "mail b@example.com")], "doc_id long, text string")
+    assert pii.from_corpus(docs).count() > 2000
+    monkeypatch.setattr(pii, "SAMPLE_SPANS", 500)
+    first = sorted(map(str, pii.from_corpus(docs).collect()))
+    assert len(first) == 500 and first == sorted(map(str, pii.from_corpus(docs.repartition(3)).collect()))

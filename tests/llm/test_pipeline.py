@@ -3,6 +3,7 @@ from __future__ import annotations
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import packing, queries
 
@@ -82,9 +83,45 @@ def test_rows_with_null_and_repeated_ids(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "embeddings"):
+    for t in ("documents", "benchmark", "pages", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from read_parquet('{DIR}/{t}.parquet')")
     df = queries.QUERIES[name](spark, DIR)
     rel = con.sql(queries.ORACLE_SQL[name])
     at = [rel.columns.index(c) for c in df.columns]
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[k] for k in at)) for r in rel.fetchall())
+
+
+@pytest.mark.parametrize("stage", ["near_dedup", "decontamination"])
+def test_rows_keep_their_keys_when_the_parallelism_changes(spark, tmp_path, monkeypatch, stage):
+    """Between the search and the removal the files are cut otherwise, as when executors come or go."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").withColumn("text", F.concat("text", F.lit(" tail "), F.col("doc_id") % 7))
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").first().text
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit(" "), F.lit(item))).otherwise(F.col("text")))
+    docs.repartition(16, "doc_id").write.parquet(str(tmp_path / "docs"))
+    run, without = dict(corpus_pipeline.STAGES)[stage], corpus_pipeline._without
+    spark.conf.set("spark.sql.files.openCostInBytes", 1000)
+    try:
+        want = sorted(r.doc_id for r in run(spark, spark.read.parquet(str(tmp_path / "docs")), DIR).collect())
+
+        def changed(*args):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", 1)
+            return without(*args)
+
+        monkeypatch.setattr(corpus_pipeline, "_without", changed)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", 64)
+        got = sorted(r.doc_id for r in run(spark, spark.read.parquet(str(tmp_path / "docs")), DIR).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert got == want and 0 < len(got) < docs.count()
+
+
+def test_stages_leave_columns_of_their_own_names(spark):
+    own = {c: F.concat(F.lit(f"{c} "), F.col("doc_id")) for c in ("_row", "_score", "_row_", "_best")}
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").withColumns(own)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "line_dedup":
+            continue
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns
+        assert all(r[c] == f"{c} {r.doc_id}" for r in out.collect() for c in own), name

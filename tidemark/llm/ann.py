@@ -135,8 +135,13 @@ def nearest_neighbours(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         tree = ids = None
+        asked = False
         for batch in batches:
-            split = int((batch.column("_asks").to_numpy() == 0).sum())
+            asks = batch.column("_asks").to_numpy()
+            split = int((asks == 0).sum())
+            if asked and split or asks[:split].any():
+                raise ValueError("a vector came after a query of its shard, so the query may have missed it")
+            asked = split < len(asks)
             if split:
                 parts.append(matrix(batch.slice(0, split)))
             for start in range(split, len(batch), block_rows):

@@ -285,6 +285,11 @@ def _kept(page: _Page, out: list[bool]) -> set[int]:
             around = up
         up = page.parent[up]
     kept = {around}
+    if page.tag[around] == "article":  # an article may go on in the next one
+        for e in range(1, n):
+            if page.parent[e] == page.parent[around] and e != around and page.tag[e] in ("article", "section") and length[e]:
+                if final.get(e, 0) >= max(10, 0.2 * final[best]) and linked[e] / length[e] < 0.25:
+                    kept.add(e)
     if around == best and page.tag[best] not in ("article", "main", "body"):
         for e in range(1, n):
             if page.parent[e] == page.parent[best] and e != best and length[e]:

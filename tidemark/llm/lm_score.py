@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import written
+
 #: Distinct n-grams of all segments that a hash partition holds, about.
 PARTITION_GRAMS = 500_000
 _ODD = np.random.RandomState(9).randint(0, 2**63, 16, np.int64).astype(np.uint64) | np.uint64(1)
@@ -140,7 +142,7 @@ def score(
     segments = max(1, math.ceil(chars / segment_chars))
     partitions = max(1, math.ceil(chars * order / 6 / PARTITION_GRAMS))
     segment = F.pmod(F.xxhash64("_id", "_text", F.monotonically_increasing_id()), F.lit(segments)).cast("int")
-    dealt = own.withColumn("_segment", segment)
+    dealt = written(own.withColumn("_segment", segment))  # it is read twice, and another scan may number rows otherwise
     schema = T.StructType(
         [
             T.StructField("_id", docs.schema[id_col].dataType),

@@ -46,6 +46,8 @@ GENERATORS = {
 #: The kind of what a generator proposes, where it is not its name.
 KIND_OF = {"key": "secret"}
 SAMPLE, SAMPLE_DOCS, PRECISION = 6000, 2000, 0.99
+#: Most labelled spans of those documents that the trees are fitted on, by the smallest hashes of what is known of a span.
+SAMPLE_SPANS = 20_000
 #: Beginnings of issued keys in formats that their issuers publish. Fixed values.
 ISSUED = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk_live_|rk_live_|sk_test_|AIza|glpat-|npm_)"
 #: Of a longer secret, the trees and the choice between proposals see so many characters; its span has them all.
@@ -343,7 +345,8 @@ def from_corpus(docs: DataFrame, text_col: str = "text", most: int = SAMPLE_DOCS
         return _let(F.struct(good.alias("good"), tried.alias("tried")), labelled)
 
     each = few.select("_h", F.explode(_let(_looked_at(F.col("_t")), spans)).alias("s")).where("s.y is not null")
-    return each.select(F.col("_h").cast("string").alias("family"), F.col("_h").alias("id"), "s.kind", "s.y", "s.x")
+    each = each.select(F.col("_h").cast("string").alias("family"), F.col("_h").alias("id"), "s.kind", "s.y", "s.x")
+    return each.orderBy(F.xxhash64("id", "kind", "x"), "id", "kind", "y", "x").limit(SAMPLE_SPANS)
 
 
 def fit(spark: SparkSession, docs: DataFrame | None = None, text_col: str = "text", sample: int = SAMPLE, precision: float = PRECISION) -> tuple[gbt.Trees, dict[str, float]]:
@@ -355,7 +358,7 @@ def fit(spark: SparkSession, docs: DataFrame | None = None, text_col: str = "tex
     rows = made_up(spark, sample)
     if docs is not None:
         rows = rows.unionByName(from_corpus(docs, text_col))
-    rows = rows.orderBy("family", "id", "kind", "y").collect()  # at most sample rows and the labelled spans of SAMPLE_DOCS texts
+    rows = rows.orderBy("family", "id", "kind", "y").collect()  # at most sample and SAMPLE_SPANS rows
     x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
     odd = np.array([(r.id // len(_TEMPLATES) if r.family[0] == "t" else r.id) % 2 == 1 for r in rows])
     model = gbt.fit(x[~odd], y[~odd], trees=20, depth=3, rate=0.4, bins=32)
