@@ -13,31 +13,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from tidemark.llm.common import cut, ready, table
+from tidemark.llm.common import cut, ready, table, unused, written
 
 #: Similarity in percent from which documents are near-duplicates of each other in this job.
 NEAR_PERCENT = 80
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key ``_row`` of each row, for ids that are null or repeated. The same in each scan of written files."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of each row, for ids that are null or repeated, and the key's name.
 
+    The key is written out with the rows: it counts partitions, and a later scan of the same files may cut them otherwise
+    (executors come and go, and lost tasks run again).
+    """
+    key = unused("_row", docs)
+    return written(docs.withColumn(key, F.monotonically_increasing_id())), key
 
-def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+
+def _without(keyed: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """``keyed`` without the given rows, and without the key. The rows are written out, so Spark knows their size and sends them
     to the documents where they are few."""
-    spark = ready(keyed.sparkSession)
-    path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
-    rows.select("_row").distinct().write.parquet(path)
-    return keyed.join(spark.read.parquet(path), "_row", "left_anti").drop("_row")
+    return keyed.join(written(rows.select(key).distinct()), key, "left_anti").drop(key)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least the threshold; null and empty texts are scored as empty texts."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, out_col="_score")
-    return scored.where(F.col("_score") >= quality.THRESHOLD).select(docs.columns)
+    score = unused("_score", docs)
+    scored = quality.score(docs, model, out_col=score)
+    return scored.where(F.col(score) >= quality.THRESHOLD).select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,22 +54,22 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates; one without an id only if none has an id."""
-    keyed = _keyed(docs)
-    found = near_dedup.near_duplicates(keyed, id_col="_row", percent=NEAR_PERCENT)
-    found = cut(found.select(F.col("_id").alias("_row"), F.col("component_id").alias("_group")))
-    others = found.where("_row != _group")
-    heads = others.select("_group").distinct().select(F.col("_group").alias("_row"), "_group")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    members = others.unionByName(heads).join(keyed.select("_row", "doc_id"), "_row").withColumn("_rank", rank)
+    keyed, key = _keyed(docs)
+    found = near_dedup.near_duplicates(keyed, id_col=key, percent=NEAR_PERCENT)
+    found = cut(found.select(F.col("_id").alias(key), F.col("component_id").alias("_group")))
+    others = found.where(F.col(key) != F.col("_group"))
+    heads = others.select("_group").distinct().select(F.col("_group").alias(key), "_group")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("row"))
+    members = others.unionByName(heads).join(keyed.select(key, "doc_id"), key).withColumn("_rank", rank)
     best = members.groupBy("_group").agg(F.min("_rank").alias("_best"))
-    return _without(keyed, members.join(best, "_group").where("_rank._row != _best._row"))
+    return _without(keyed, members.join(best, "_group").where("_rank.row != _best.row"), key)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an occurrence of a ten-word window of the benchmark."""
-    keyed = _keyed(docs)
-    found = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="_row")
-    return _without(keyed, found.where("n_hit > 0").select(F.col("doc_id").alias("_row")))
+    keyed, key = _keyed(docs)
+    found = decontaminate.contamination(keyed.select(key, "text"), table(spark, sf_dir, "benchmark"), id_col=key)
+    return _without(keyed, found.where("n_hit > 0").select(F.col("doc_id").alias(key)), key)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
