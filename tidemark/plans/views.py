@@ -55,7 +55,11 @@ def sql(body: str, *more: str) -> str:
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append-only trading events, ordered by (ts, id); condition-wide events have no token."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return ledger_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def ledger_of(e: DataFrame) -> DataFrame:
+    """The ledger's rows of some events, row by row; also for a stream."""
     k = F.get_json_object("props", "$.k").cast("long")
     seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
     e = e.select(
