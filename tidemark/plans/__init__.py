@@ -1,9 +1,9 @@
 """Registered queries over the ledger, each with the SQL that checks it."""
 
-from tidemark.plans import accounting, behaviour, ingest, lifecycle, live, matching, sets, simulate, strategies
+from tidemark.plans import accounting, behaviour, ingest, lifecycle, live, matching, sets, simulate, strategies, timing
 from tidemark.streaming import flows
 
-_MODULES = (ingest, accounting, matching, behaviour, lifecycle, sets, strategies, simulate, flows, live)
+_MODULES = (ingest, accounting, matching, behaviour, lifecycle, sets, strategies, simulate, flows, live, timing)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in _MODULES:
