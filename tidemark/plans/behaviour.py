@@ -328,7 +328,7 @@ def rule_promotion(spark, sf_dir):
     return best.select(*keys, r4("train_score"), r4("validation_markout"), r4("test_markout"), F.coalesce(ok, F.lit(False)).alias("promoted"))
 
 
-def rule_candidates(spark, sf_dir):
+def predicate_markouts(spark, sf_dir):
     """Support, share and markout of fixed predicates over the fills, one pass for all."""
     d = _split_dataset(spark, sf_dir)
     preds = {
@@ -463,7 +463,7 @@ QUERIES = {
     for f in (
         fee_estimates, fee_attribution, fee_coverage, enrichment_match, enrichment_watermark, enrichment_resolution, enrichment_coverage, reconciliation_facts,
         wallet_trust, top_discrepancies, fingerprint_features, fingerprint_daily_features, entry_price_distribution, resolution_calibration,
-        detector_scores, rule_grid_metrics, rule_promotion, rule_candidates, watchlist, sync_alerts, wallet_alerts, closed_cycle_score,
+        detector_scores, rule_grid_metrics, rule_promotion, predicate_markouts, watchlist, sync_alerts, wallet_alerts, closed_cycle_score,
         lifecycle_rollup, wallets_in_both, ledger_page, token_cooccurrence, activity_pivot, activity_rank_correlation,
         rolling_fill_means, equity_week_change,
     )
@@ -544,7 +544,7 @@ SELECT wallet, scope, feature, value FROM (SELECT wallet, scope, n.feature FROM
     "rule_grid_metrics": sql("SELECT min_spread, max_age, need_inside, split, n, n_fired, round(n_fired / n, 4) AS coverage, round(p, 4) AS precision, round(x, 4) AS explained, round(markout, 4) + 0 AS avg_markout, round(max_inventory, 4) + 0 AS max_inventory FROM metrics", *_DS, _SPLIT, _GRID),
     "rule_promotion": sql("""SELECT t.min_spread, t.max_age, t.need_inside, round(t.score, 4) AS train_score, round(v.markout, 4) + 0 AS validation_markout, round(e.markout, 4) + 0 AS test_markout, coalesce(v.markout > 0 AND e.markout > 0 AND e.n_fired > 0, false) AS promoted
 FROM (SELECT * FROM metrics WHERE split = 'train' ORDER BY round(score, 8) DESC, min_spread, max_age, need_inside LIMIT 1) t JOIN metrics v ON (v.min_spread, v.max_age, v.need_inside, v.split) = (t.min_spread, t.max_age, t.need_inside, 'validation') JOIN metrics e ON (e.min_spread, e.max_age, e.need_inside, e.split) = (t.min_spread, t.max_age, t.need_inside, 'test')""", *_DS, _SPLIT, _GRID),
-    "rule_candidates": sql("SELECT rule, split, count(*) AS n, count(markout_1h) AS n_markout, round(avg(markout_1h), 4) + 0 AS avg_markout FROM (" + " UNION ALL ".join(
+    "predicate_markouts": sql("SELECT rule, split, count(*) AS n, count(markout_1h) AS n_markout, round(avg(markout_1h), 4) + 0 AS avg_markout FROM (" + " UNION ALL ".join(
         f"SELECT '{k}' AS rule, split, markout_1h FROM sp WHERE {c}" for k, c in {
             "A_wide_spread": "spread_bps >= 500", "B_fresh_book": "book_before_age_s <= 900", "C_balances": "directional_before * CASE WHEN side = 'BUY' THEN -1 ELSE 1 END > 0",
             "D_has_pairs": "bond_before > 0", "E_cheap": "fill_price <= 0.2", "F_evening": "trade_hour >= 18", "G_inside": "inside"}.items()) + ") GROUP BY 1, 2", *_DS, _SPLIT),
