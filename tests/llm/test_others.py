@@ -254,3 +254,12 @@ def test_an_article_goes_on_in_the_next_one():
     assert text.count("First") == 3 and text.count("Second") == 2 and "Another" not in text and "Aside" not in text
     wrapped = f"<body><div><div>{paragraphs('First', 4)}</div><div>{paragraphs('Second', 4)}</div></div></body>"
     assert html_extract.extract(wrapped)[0].count("sentence") == 8
+
+
+def test_rows_repeated_very_often_spread_over_segments(spark, monkeypatch):
+    """The same scores whether the rows of one id and text lie in one segment or are numbered and spread."""
+    rows = [(1, "the same words again")] * 40 + [(k, f"other words {k} the same words") for k in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(map(str, lm_score.score(docs, segment_chars=100).collect()))
+    monkeypatch.setattr(lm_score, "SAME_ROWS", 5)
+    assert sorted(map(str, lm_score.score(docs, segment_chars=100).collect())) == want

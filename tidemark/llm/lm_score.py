@@ -26,6 +26,8 @@ from tidemark.llm.common import written
 
 #: Distinct n-grams of all segments that a hash partition holds, about.
 PARTITION_GRAMS = 500_000
+#: Rows with the same id and text that may lie in one segment.
+SAME_ROWS = 1000
 _ODD = np.random.RandomState(9).randint(0, 2**63, 16, np.int64).astype(np.uint64) | np.uint64(1)
 
 
@@ -135,14 +137,21 @@ def score(
     document, times ``backoff`` for every order given up; a word seen nowhere else counts as ``backoff`` occurrences among
     all words of the others. Words are lower-cased A-Z and split at ASCII white space. Null and empty texts have no words
     and a log score of 0. Rows are scored each by itself, also if their id is null or repeated; a text that occurs twice
-    is evidence for its copy. Segments are dealt by the rows' places in ``docs``, so copies of a text spread over them.
+    is evidence for its copy. Segments are dealt by id and text, so copies of a text spread over them; rows with equal ids and
+    texts are spread too where there are more than ``SAME_ROWS``.
     """
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     chars, corpus = _sizes(own)
     segments = max(1, math.ceil(chars / segment_chars))
     partitions = max(1, math.ceil(chars * order / 6 / PARTITION_GRAMS))
-    segment = F.pmod(F.xxhash64("_id", "_text", F.monotonically_increasing_id()), F.lit(segments)).cast("int")
-    dealt = written(own.withColumn("_segment", segment))  # it is read twice, and another scan may number rows otherwise
+    # rows are read twice, so their segment must not depend on how a scan is cut: it is that of their content; only where very many
+    # rows have the same id and text are they numbered, and then written out with their segments
+    content = F.xxhash64("_id", "_text")
+    copies = own.groupBy(content.alias("_h")).agg(F.count("*").alias("_n")).where(F.col("_n") > SAME_ROWS)
+    spread = segments > 1 and not copies.isEmpty()
+    place = F.xxhash64("_id", "_text", F.monotonically_increasing_id()) if spread else content
+    dealt = own.withColumn("_segment", F.pmod(place, F.lit(segments)).cast("int"))
+    dealt = written(dealt) if spread else dealt
     schema = T.StructType(
         [
             T.StructField("_id", docs.schema[id_col].dataType),
