@@ -220,17 +220,45 @@ def pair_completion(spark, sf_dir):
     return t.select("id", F.col("o.id").alias("pair_id"), (F.col("o.ts") - F.col("ts")).alias("wait_s"), r4(1 - F.col("price") - F.col("o.price"), "pair_edge"), scalars.time_bucket(F.col("o.ts") - F.col("ts")).alias("bucket"), scalars.cost_bucket(F.round(F.col("price") + F.col("o.price"), 4)).alias("cost_bucket"))
 
 
+def sibling_pairs(f, series: list[str], group: str, kind: str, window_s: int):
+    """Counts of pairs of rows of a series, the first at most ``window_s`` before the second and in another ``group``, by both rows'
+    ``kind``: ``kind`` of first and second, ``n``, ``least_s``, ``n_series``. Order is by ``ts, id``.
+
+    No pair is made. A row counts the earlier rows of each kind in its range less those of its own group; the nearest of another
+    group is the last row or, if that is of its own group, the last one before that group's run. Series are cut in cells of
+    ``window_s``; a row is also context in the next cell.
+    """
+    cell = F.floor(F.col("ts") / window_s)
+    placed = f.withColumn("_c", F.explode(F.array(F.struct(cell.alias("cell"), F.lit(True).alias("own")), F.struct((cell + 1).alias("cell"), F.lit(False).alias("own")))))
+    placed = placed.select("*", F.col("_c.cell").alias("_cell"), F.col("_c.own").alias("_own")).drop("_c")
+    part = [*series, "_cell"]
+    kinds = F.explode(F.array(*(F.lit(k) for k in ("BUY", "SELL"))))
+    asked = placed.withColumn("_of", kinds)  # each row asks for the rows of each kind before it
+    is_of = F.col(kind) == F.col("_of")
+
+    def earlier(keys: list[str]):
+        seconds = Window.partitionBy(*keys).orderBy("ts").rangeBetween(-window_s, -1)
+        same = Window.partitionBy(*keys, "ts").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+        return F.count(F.when(is_of, 1)).over(seconds) + F.count(F.when(is_of, 1)).over(same)
+
+    run = O.before([*part, "_of"])
+    last = F.last(F.when(is_of, F.struct(F.col(group).alias("g"), "ts", "_before")), ignorenulls=True).over(run)
+    prior = F.last(F.when(is_of, F.struct(F.col(group).alias("g"), "ts")), ignorenulls=True).over(run)
+    x = asked.withColumn("_prior", prior)
+    starts = is_of & (F.col("_prior.g") != F.col(group))  # the run of a group begins: what is before is of another one
+    x = x.withColumn("_start", F.when(starts, F.col("_prior.ts")))
+    x = x.withColumn("_before", F.last("_start", ignorenulls=True).over(O.upto([*part, "_of"])))
+    x = x.withColumns({"_last": last, "_n": earlier([*part, "_of"]) - earlier([*part, "_of", group])})
+    near = F.when(F.col("_last.g") != F.col(group), F.col("_last.ts")).otherwise(F.col("_last._before"))
+    x = x.where(F.col("_own") & (F.col("_n") > 0)).withColumn("_gap", F.col("ts") - near)
+    return x.groupBy(F.col("_of").alias("first"), F.col(kind).alias("second")).agg(F.sum("_n").alias("n"), F.min("_gap").alias("least_s"), F.countDistinct(*series).alias("n_series"))
+
+
 def sibling_sequences(spark, sf_dir, window_s: int = 3600):
     """Pairs of fills of a wallet in different conditions of an event within an hour, by their sides."""
     f = fills(spark, sf_dir).join(markets(spark).select("condition_id", "event_id"), "condition_id")
-    f = f.select("id", "ts", "condition_id", "side", F.concat_ws("/", "wallet", "event_id").alias("series"))
-    a = f.select(*(F.col(c).alias(f"a_{c}") for c in f.columns)).withColumn("cell", F.explode(F.array(F.floor(F.col("a_ts") / window_s), F.floor(F.col("a_ts") / window_s) + 1)))
-    b = f.select(*(F.col(c).alias(f"b_{c}") for c in f.columns)).withColumn("cell", F.floor(F.col("b_ts") / window_s))
-    met = a.join(b, (F.col("a_series") == F.col("b_series")) & (a["cell"] == b["cell"])).where("a_condition_id != b_condition_id")
-    later = (F.col("b_ts") > F.col("a_ts")) | (F.col("b_ts") == F.col("a_ts")) & (F.col("b_id") > F.col("a_id"))
-    met = met.where(later & (F.col("b_ts") - F.col("a_ts") <= window_s))
-    kind = F.concat_ws("->", "a_side", "b_side").alias("kind")
-    return met.groupBy(kind).agg(F.count("*").alias("n"), F.min(F.col("b_ts") - F.col("a_ts")).alias("least_s"), F.countDistinct("a_series").alias("n_series"))
+    found = sibling_pairs(f.select("id", "ts", "condition_id", "side", "wallet", "event_id"), ["wallet", "event_id"], "condition_id", "side", window_s)
+    return found.select(F.concat_ws("->", "first", "second").alias("kind"), "n", "least_s", "n_series")
 
 
 def order_timing(spark, sf_dir, lookback: int = 86400, tolerance: float = 0.02):
