@@ -188,3 +188,26 @@ def test_effective_rule_bounds(spark):
     rules = spark.createDataFrame([("a", 0, 10, 0.1, 1.0), ("a", 10, None, 0.2, 1.0), ("default", 0, None, 0.3, 1.0)], "category string, effective_from long, effective_to long, rate double, exponent double")
     facts = spark.createDataFrame([(1, "a", 9), (2, "a", 10), (3, "b", 5), (4, None, 5)], "id long, category string, ts long")
     assert [r.rate for r in O.effective_rule(facts, rules, "category").orderBy("id").collect()] == [0.1, 0.2, 0.3, 0.3]
+
+
+def test_regression_against_least_squares(spark):
+    import random
+
+    import numpy as np
+
+    from tidemark.plans import strategies
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(300):
+        a, b, c = rng.gauss(3, 2), rng.gauss(0, 1), rng.random()
+        rows.append((rng.choice("uv"), a, b + 0.5 * a, c, 2 * a - b + rng.gauss(0, 0.5)))
+    rows += [("u", None, 1.0, 1.0, 1.0), ("flat", 1.0, 2.0, 3.0, 4.0), ("flat", 1.0, 2.5, 3.5, 4.5), ("one", 1.0, 2.0, 3.0, 4.0)]
+    rows += [("twin", float(i), 2.0 * i, float(i * i), float(i % 3)) for i in range(6)]
+    got = {r.k: r for r in strategies.standardised_regression(spark.createDataFrame(rows, "k string, a double, b double, c double, y double"), ["k"], "y", ["a", "b", "c"]).collect()}
+    for k in "uv":
+        m = np.array([r[1:] for r in rows if r[0] == k and None not in r])
+        z = (m - m.mean(0)) / m.std(0)
+        beta, rest, *_ = np.linalg.lstsq(z[:, :3], z[:, 3], rcond=None)
+        assert got[k].n == len(m) and np.allclose(got[k].beta, beta) and abs(got[k].r2 - (1 - rest[0] / len(m))) < 1e-9
+    assert got["flat"].beta is None and got["one"].beta is None and got["twin"].beta is None

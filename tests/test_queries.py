@@ -148,4 +148,4 @@ def test_wallet_clusters_cover_every_scope(spark):
 
     rows = strategies.wallet_clusters(spark, DIR).collect()
     scopes = behaviour.fingerprint_features(spark, DIR).select("wallet", "scope").distinct().count()
-    assert len(rows) == scopes == len({(r.wallet, r.scope) for r in rows}) and {r.cluster for r in rows} <= {0, 1, 2}
+    assert len(rows) == scopes == len({(r.wallet, r.scope) for r in rows}) and {r.cluster for r in rows} <= set(range(5))

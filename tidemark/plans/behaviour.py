@@ -164,11 +164,6 @@ def wallet_trust(spark, sf_dir):
     return g.select("wallet", "n_fail", "n_warn", F.when(F.col("n_fail") > 4, "untrusted").when(F.col("n_fail") + F.col("n_warn") > 4, "caution").otherwise("trusted").alias("trust"))
 
 
-def top_discrepancies(spark, sf_dir):
-    f = reconciliation_facts(spark, sf_dir).where("status != 'pass'")
-    return f.orderBy(F.desc("diff"), "wallet", "token_id").limit(20).select(*KEY, "reason", "diff")
-
-
 def _scoped(df):
     """Every row once for all and once for its category."""
     return df.withColumn("scope", F.explode(F.array(F.lit("all"), F.concat(F.lit("category:"), "category"))))
@@ -462,7 +457,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fee_estimates, fee_attribution, fee_coverage, enrichment_match, enrichment_watermark, enrichment_resolution, enrichment_coverage, reconciliation_facts,
-        wallet_trust, top_discrepancies, fingerprint_features, fingerprint_daily_features, entry_price_distribution, resolution_calibration,
+        wallet_trust, fingerprint_features, fingerprint_daily_features, entry_price_distribution, resolution_calibration,
         detector_scores, rule_grid_metrics, rule_promotion, predicate_markouts, watchlist, sync_alerts, wallet_alerts, closed_cycle_score,
         lifecycle_rollup, wallets_in_both, ledger_page, token_cooccurrence, activity_pivot, activity_rank_correlation,
         rolling_fill_means, equity_week_change,
@@ -531,7 +526,6 @@ FROM (SELECT l.wallet, head_ts, l.ts > coalesce(head_ts, 0) AS late, l.id IN (SE
     "enrichment_coverage": sql(f"SELECT wallet, CASE WHEN ({D + 2592000} - ts) // 86400 < 2 THEN 'pending' WHEN ({D + 2592000} - ts) // 86400 < 7 THEN 'recent' WHEN ({D + 2592000} - ts) // 86400 < 15 THEN 'mid' ELSE 'old' END AS recency, count(*) AS n, count(role) AS n_enriched, round(count(role) / count(*), 4) AS coverage FROM trades GROUP BY 1, 2", _FEES),
     "reconciliation_facts": sql("SELECT * FROM facts", POSITIONS, A._LAST, A._PRICES, _FACTS),
     "wallet_trust": sql("SELECT wallet, nf AS n_fail, nw AS n_warn, CASE WHEN nf > 4 THEN 'untrusted' WHEN nf + nw > 4 THEN 'caution' ELSE 'trusted' END AS trust FROM (SELECT wallet, count(*) FILTER (status = 'fail') AS nf, count(*) FILTER (status = 'warn') AS nw FROM facts GROUP BY 1)", POSITIONS, A._LAST, A._PRICES, _FACTS),
-    "top_discrepancies": sql("SELECT wallet, token_id, reason, diff FROM facts WHERE status <> 'pass' ORDER BY diff DESC, wallet, token_id LIMIT 20", POSITIONS, A._LAST, A._PRICES, _FACTS),
     "fingerprint_features": sql("SELECT * FROM features", POSITIONS, A._EPISODES, _FEES, _FINGER),
     "fingerprint_daily_features": "WITH eq AS (" + A.ORACLE["daily_equity"] + "), ex AS (" + A.ORACLE["exposures_daily"] + "), ep AS (" + sql("SELECT wallet, median(closed_ts - open_ts) AS t FROM episodes JOIN prices USING (token_id) WHERE open_ts <= closed_ts GROUP BY 1", POSITIONS, A._EPISODES, A._PRICES) + """)
 SELECT wallet, round(ratio + 1e-9, 4) + 0 AS bond_inventory_ratio, round(u, 4) + 0 AS unrealized_pnl, round(st + 1e-9, 4) + 0 AS stale_mark_share, round(t, 4) + 0 AS time_to_close_s

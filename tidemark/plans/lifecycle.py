@@ -330,6 +330,12 @@ def wallet_trust_checks(spark, sf_dir):
     return out.select("wallet", "n_fail", "n_warn", "n_pnl", "status", F.when(F.col("was") == F.col("status"), 1).otherwise(2).cast("long").alias("since_ts"))
 
 
+def top_discrepancies(spark, sf_dir):
+    """The twenty largest differences of the checks that have not passed."""
+    f = reconciliation_checks(spark, sf_dir).where("status != 'pass'")
+    return f.orderBy(F.desc("diff"), *KEY, "check_type").limit(20).select(*KEY, "check_type", "reason", "diff")
+
+
 def portfolio_value_check(spark, sf_dir, band: float = 0.02):
     """Value of what a wallet holds against that of what the venue states, both at the outcome or the last trade's price."""
     px = ledger(spark, sf_dir).where("event_type = 'TRADE'").groupBy("token_id").agg(F.max_by("price", F.struct("ts", "id")).alias("px"))
@@ -472,7 +478,7 @@ def watch_acceptance(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        condition_state, event_state, lifecycle_dataset, rule_split_metrics, event_timeline, event_totals, maker_context, edge_decay, transfer_classes, reconciliation_checks, wallet_trust_checks, portfolio_value_check,
+        top_discrepancies, condition_state, event_state, lifecycle_dataset, rule_split_metrics, event_timeline, event_totals, maker_context, edge_decay, transfer_classes, reconciliation_checks, wallet_trust_checks, portfolio_value_check,
         cluster_ranking, pnl_bridge, set_audit, redeem_pro_rata, profit_by_event, watch_acceptance,
     )
 }
@@ -606,3 +612,4 @@ SELECT wallet, total, matched, round(rate, 4) AS same_token_rate, round(delay, 4
 CASE WHEN total = 0 OR matched = 0 THEN 'independent' WHEN delay <= 5 AND rate >= 0.5 AND ratio BETWEEN 0.5 AND 2 THEN 'same_system_candidate' WHEN delay > 5 AND delay <= 300 AND rate >= 0.3 AND first <= 0.2 THEN 'follower' WHEN rate < 0.3 THEN 'shared_signal' WHEN matched / total >= 0.1 THEN 'research_candidate' ELSE 'independent' END AS verdict,
 round(pnl_1w, 4) + 0 AS pnl_1w, round(pr, 4) AS research_priority, row_number() OVER (ORDER BY pr DESC, wallet) AS rank FROM z""",
 }
+ORACLE["top_discrepancies"] = "WITH rc AS (" + ORACLE["reconciliation_checks"] + ") SELECT wallet, token_id, check_type, reason, diff FROM rc WHERE status <> 'pass' ORDER BY diff DESC, wallet, token_id, check_type LIMIT 20"
