@@ -348,7 +348,8 @@ def trie(turns: DataFrame, ids: DataFrame | None = None, chunk: int = CHUNK, fan
     A node is a distinct sequence of first turns; the root, the empty sequence, is at depth 0. ``conv_id`` is its smallest
     member (conversation that starts with it), ``n_leaves`` and ``saved_tokens`` cover its subtree with itself, and
     ``ends_sha256`` is the SHA-256 of the comma-joined ids, in ascending order, of the members that end there. ``_pos`` counts from 0
-    without gaps. ``ids`` (one column) names conversations that may have no turn. Without any conversation there is no node.
+    without gaps. ``ids`` (one column) names conversations that may have no turn. Without any conversation there is no node. Conversations
+    have integer ids.
     """
     spark = turns.sparkSession
     arrays = turns.groupBy(F.col("_conv").alias("conv"), F.floor(F.col("_pos") / chunk).cast("int").alias("level")).agg(
