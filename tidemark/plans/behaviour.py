@@ -256,15 +256,25 @@ def _detector_features(spark, sf_dir):
     return bond.unionByName(edges)
 
 
-def detector_scores(spark, sf_dir):
-    """Weighted mean of the signals that are there; confidence is their share of all weight."""
-    s = _values(spark, SIGNALS, "detector, feature, weight, half")
-    s = s.withColumns({"weight": F.col("weight").cast("double"), "half": F.col("half").cast("double")})
+def detector_inputs(spark, sf_dir):
+    """All features that the detectors read, ``wallet, scope, feature, value``; a missing one has a null value."""
     own = fingerprint_features(spark, sf_dir).select("wallet", "scope", "feature", "value")
     scopes = own.where("feature = 'episode_count'").select("wallet", "scope")
     more = scopes.crossJoin(F.broadcast(_values(spark, [("bond_inventory_ratio",), ("calibration_edge",)], "feature")))  # two literal rows
     more = more.join(_detector_features(spark, sf_dir), ["wallet", "scope", "feature"], "left")
-    f = own.unionByName(more.select("wallet", "scope", "feature", "value")).join(F.broadcast(s), "feature")
+    return own.unionByName(more.select("wallet", "scope", "feature", "value"))
+
+
+def detector_scores(spark, sf_dir):
+    """Weighted mean of the signals that are there; confidence is their share of all weight."""
+    return scores_of(detector_inputs(spark, sf_dir))
+
+
+def scores_of(features):
+    """The detectors' scores over ``detector_inputs``, however they are kept."""
+    s = _values(features.sparkSession, SIGNALS, "detector, feature, weight, half")
+    s = s.withColumns({"weight": F.col("weight").cast("double"), "half": F.col("half").cast("double")})
+    f = features.join(F.broadcast(s), "feature")
     raw = F.when(F.col("half").isNotNull(), F.col("value") / (F.col("value") + F.col("half"))).otherwise(F.col("value"))
     f = f.withColumn("signal", scalars.clamp01(raw)).withColumn("there", F.col("value").isNotNull())
     weight = F.when(F.col("there"), F.col("weight")).otherwise(0.0)

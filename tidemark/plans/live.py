@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import ordered as O
 from tidemark.operators.storage import ready, stored
 from tidemark.plans import accounting as A
+from tidemark.plans import behaviour as B
 from tidemark.plans.views import POSITIONS, fanout, ledger_of, r4, sql, tokens
+from tidemark.sources.projections import Projections
 from tidemark.sources.versioned import VersionedTable
 from tidemark.streaming import kept, tick
 from tidemark.streaming.flows import EVENTS
@@ -84,11 +86,31 @@ def table_versions(spark, sf_dir):
     return out.where("version != 6").unionByName(last.select(F.lit(6).alias("version"), "n", "n_days", r4(F.coalesce("size", F.lit(0.0)), "size")))
 
 
-QUERIES = {f.__name__: f for f in (stream_positions, stream_episodes, tick_holdings, table_versions)}
+def detectors_of_newest(spark, sf_dir):
+    """Detectors over the newest version of stored features: an old version of half the wallets, then a new one that first has half
+    of them and then all, of which the second refresh builds only those that are new."""
+    folder = f"{ready(spark)}/projections-{uuid.uuid4().hex}"
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("wallet", F.concat(F.lit("w"), F.col("user_id") % 10))
+
+    def build(events):
+        at = f"{folder}/source-{uuid.uuid4().hex}"
+        events.drop("wallet").write.parquet(f"{at}/events.parquet")
+        return B.detector_inputs(spark, at)
+
+    kept_features = Projections(spark, folder)
+    half = e.where("user_id % 2 = 0")
+    kept_features.refresh("features", 1, half, lambda events: build(events).withColumn("value", F.lit(0.0)))
+    kept_features.refresh("features", 2, half, build)
+    kept_features.refresh("features", 2, e, build)
+    return B.scores_of(kept_features.read("features"))
+
+
+QUERIES = {f.__name__: f for f in (stream_positions, stream_episodes, tick_holdings, table_versions, detectors_of_newest)}
 ORACLE = {
     "stream_positions": sql("""SELECT wallet, token_id, round(qty, 4) + 0 AS qty, round(cost, 4) + 0 AS cost, round(realized_all, 4) + 0 AS realized, n_moves, ts AS last_ts, 0::BIGINT AS too_late FROM last
 JOIN (SELECT wallet, token_id, sum(realized) AS realized_all, count(*) AS n_moves FROM positions GROUP BY 1, 2) USING (wallet, token_id)""", POSITIONS, A._LAST),
     "stream_episodes": A.ORACLE["episodes_flat_to_flat"],
+    "detectors_of_newest": B.ORACLE["detector_scores"],
     "tick_holdings": A.ORACLE["holdings_wac"],
     "table_versions": sql("""SELECT version, count(id) AS n, count(DISTINCT day) AS n_days, round(coalesce(sum(size), 0), 4) + 0 AS size FROM (SELECT unnest(range(7))::INTEGER AS version) LEFT JOIN tv USING (version) GROUP BY 1""", """
 tl AS (SELECT id, floor(ts / 86400)::BIGINT AS day, size FROM ledger),

@@ -173,9 +173,9 @@ class VersionedTable:
 
         return self._replace(make, values, df.schema.jsonValue(), "upsert", batch)
 
-    def rebuild(self, df: DataFrame, batch: tuple[str, int] | None = None) -> int:
-        """Replace the partitions that occur in ``df`` by its rows, or all rows without partitions."""
-        return self._replace(lambda now: df, self._touched(df), df.schema.jsonValue(), "rebuild", batch)
+    def rebuild(self, df: DataFrame, batch: tuple[str, int] | None = None, partitions: set[str] | None = None) -> int:
+        """Replace the partitions that occur in ``df`` (or the given ones, as text) by its rows, or all rows without partitions."""
+        return self._replace(lambda now: df, partitions or self._touched(df), df.schema.jsonValue(), "rebuild", batch)
 
     def restore(self, version: int) -> int:
         """A new version with the rows of an old one; nothing is copied."""
