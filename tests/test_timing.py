@@ -79,3 +79,11 @@ def test_tables_that_may_or_may_not_be_there(spark):
 def test_phases(spark, ts, start, end, want):
     df = spark.createDataFrame([(ts, start, end)], "ts long, a long, b long")
     assert df.select(timing.phase(F.col("ts"), F.col("a"), F.col("b"))).first()[0] == want
+
+
+def test_bundle_writes_seven_reports(spark, tmp_path):
+    folders = timing.pattern_bundle(spark, "/root/testdata/sf0.001", str(tmp_path / "bundle"))
+    assert len(folders) == 7
+    for f in folders:
+        df = spark.read.option("header", True).csv(f)
+        assert df.count() > 0 and df.columns, f

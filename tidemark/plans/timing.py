@@ -12,6 +12,7 @@ from tidemark.plans import accounting as A
 from tidemark.plans import behaviour as B
 from tidemark.plans import matching as M
 from tidemark.plans.views import POSITIONS, ledger, markets, r4, sql, tokens
+from tidemark.sources import sinks
 
 TICKS = 10_000
 DUST = 1e-6
@@ -194,7 +195,67 @@ def order_time_coverage(spark, sf_dir):
     return t.groupBy("order_time_confidence", "role").agg(F.count("*").alias("n"), r4(F.avg("order_lifetime_s"), "mean_lifetime_s"), F.max("order_lifetime_s").alias("longest_s"))
 
 
-QUERIES = {f.__name__: f for f in (order_timing_dataset, order_time_coverage)}
+def merge_timing(spark, sf_dir, gap: int = 5):
+    """Each merge of a market of two tokens: the wait since the wallet's last fill there and since the last one that completed sets, the
+    pairs around it, and its batch: merges of a wallet and event with pauses of at most ``gap`` seconds, if there is more than one."""
+    keys = ["wallet", "condition_id"]
+    d = stored(order_timing_dataset(spark, sf_dir).select("id", *keys, F.col("fill_ts").alias("ts"), "bond_delta"))
+    two = tokens(spark).groupBy("condition_id").agg(F.count("*").alias("n")).where("n = 2").select("condition_id")
+    m = ledger(spark, sf_dir).where("event_type = 'MERGE'").join(two, "condition_id").join(markets(spark).select("condition_id", "event_id", "question"), "condition_id", "left")
+    m = stored(m.select("id", "ts", *keys, "event_id", "question", "size", F.abs("delta_usdc").alias("released")))
+    last = O.asof_backward(m.select("id", *keys, "ts"), d, keys, []).select("id", F.col("asof_ts").alias("last_fill"))
+    made = O.asof_backward(m.select("id", *keys, "ts"), d.where(F.col("bond_delta") > DUST), keys, []).select("id", F.col("asof_ts").alias("last_complement"))
+    p = A.leg_states(spark, sf_dir).where("leg is not null").join(two, "condition_id")
+    own = Window.partitionBy(*keys).orderBy("ts", "id", "leg")
+    p = p.withColumns({f"p{c}": F.coalesce(F.lag(c).over(own), F.lit(0.0)) for c in ("q0", "q1")}).where("event_type = 'MERGE'")
+    p = p.groupBy("id").agg(F.min_by(F.struct("pq0", "pq1"), "leg").alias("b"), F.max_by(F.struct("q0", "q1"), "leg").alias("a"))
+    before, after = (_condition(q0, q1, F.lit(0.0), F.lit(0.0)) for q0, q1 in ((F.col("b.pq0"), F.col("b.pq1")), (F.col("a.q0"), F.col("a.q1"))))
+    s = O.sessions(m, ["wallet", "event_id"], gap).withColumn("_n", F.count("*").over(Window.partitionBy("wallet", "event_id", "session")))
+    batch = F.when(F.col("_n") > 1, F.concat_ws("/", "wallet", "event_id", F.col("session").cast("string")))
+    out = s.join(last, "id", "left").join(made, "id", "left").join(p, "id", "left")
+    return out.select(
+        "id", *keys, "event_id", "question", F.col("ts").alias("merge_ts"), r4("size", "merge_qty"), r4("released", "capital_released"), (F.col("ts") - F.col("last_fill")).alias("time_from_last_fill_s"),
+        (F.col("ts") - F.col("last_complement")).alias("time_from_last_complement_fill_s"), *(r4(before[k], f"{k}_before_merge") for k in ("paired_qty", "unpaired_yes", "unpaired_no")),
+        r4(after["paired_qty"], "paired_qty_after_merge"), batch.alias("merge_batch_id"),
+    )
+
+
+def inventory_timeline(spark, sf_dir):
+    """What a wallet held of both tokens of a market and of its event before and after each fill."""
+    d = order_timing_dataset(spark, sf_dir)
+    return d.select("id", "wallet", "event_id", "condition_id", "fill_ts", "fill_utc", "side", "fill_token_side", *(c for c in d.columns if c.endswith(("_before", "_after", "_delta"))))
+
+
+def pattern_summary(spark, sf_dir):
+    """Answers of the pattern reports for each wallet: what its buys do to its inventory, and how soon sets are made and merged."""
+    d = order_timing_dataset(spark, sf_dir)
+    buy = F.col("side") == "BUY"
+
+    def share(cond: Column) -> Column:
+        return F.round(F.try_divide(F.count_if(buy & cond), F.nullif(F.count_if(buy), F.lit(0))) * 100, 4)
+
+    wait = F.coalesce("fill_after_created_s", "fill_after_first_seen_s")
+    g = d.groupBy("wallet").agg(
+        F.count("*").alias("n_fills"), F.count_if(buy).alias("n_buys"), share(F.col("bond_delta") > 0).alias("pct_increases_bond"), share(F.col("unpaired_delta") < 0).alias("pct_reduces_unpaired"),
+        share(F.col("unpaired_delta") > 0).alias("pct_increases_unpaired"), (F.round(F.median(wait), 6) + 0.0).alias("median_wait_s"), F.count_if(F.col("order_time_confidence") == "fill_only_unknown").alias("n_unknown_times"),
+    )
+    since = F.col("time_from_last_complement_fill_s")
+    m = merge_timing(spark, sf_dir).groupBy("wallet").agg(
+        F.count("*").alias("n_merges"), r4(F.sum("capital_released"), "capital_released"), F.count_if(since <= 60).alias("n_merged_within_60s"), F.count("merge_batch_id").alias("n_in_batches")
+    )
+    return g.join(m, "wallet", "left")
+
+
+def pattern_bundle(spark, sf_dir, path: str, fmt: str = "csv") -> list[str]:
+    """Write the seven pattern reports below ``path``; their folders."""
+    reports = {
+        "order_timing_dataset": order_timing_dataset, "condition_inventory_timeline": inventory_timeline, "pair_completion_report": M.pair_completion, "merge_timing_report": merge_timing,
+        "sibling_market_sequence_report": M.sibling_sequences, "unpaired_inventory_duration_report": M.unpaired_periods, "pattern_summary": pattern_summary,
+    }
+    return sinks.export_bundle({name: report(spark, sf_dir) for name, report in reports.items()}, path, fmt)
+
+
+QUERIES = {f.__name__: f for f in (order_timing_dataset, order_time_coverage, merge_timing, inventory_timeline, pattern_summary)}
 
 _TIMES = """
 tf AS (SELECT *, CASE WHEN id % 4 <> 3 THEN '0xab' || id END AS order_hash FROM trades WHERE NOT (side = 'BUY' AND id % 3 = 0)),
@@ -246,3 +307,22 @@ concat_ws(',', CASE WHEN yes_token_id IS NULL THEN 'binary_pair' END, CASE WHEN
 FROM tm LEFT JOIN two USING (condition_id) LEFT JOIN my USING (id) LEFT JOIN mn USING (id) LEFT JOIN ar USING (id) LEFT JOIN sta USING (condition_id)""", POSITIONS, B._FEES, M._BOOKS, A._LEGS, _TIMES, _AROUND),
     "order_time_coverage": sql("SELECT order_time_confidence, role, count(*) AS n, round(avg(order_lifetime_s), 4) + 0 AS mean_lifetime_s, max(order_lifetime_s) AS longest_s FROM tm GROUP BY 1, 2", B._FEES, M._BOOKS, _TIMES),
 }
+_MERGES = f"""
+od AS ({ORACLE['order_timing_dataset']}),
+mg AS (SELECT l.id, l.ts, l.wallet, l.condition_id, m.event_id, m.question, l.size, abs(l.delta_usdc) AS released FROM ledger l JOIN two USING (condition_id) LEFT JOIN markets m USING (condition_id) WHERE event_type = 'MERGE'),
+lf AS (SELECT g.id, f.fill_ts AS last_fill FROM mg g ASOF LEFT JOIN (SELECT DISTINCT wallet, condition_id, fill_ts FROM od) f ON g.wallet = f.wallet AND g.condition_id = f.condition_id AND g.ts >= f.fill_ts),
+lc AS (SELECT g.id, f.fill_ts AS last_complement FROM mg g ASOF LEFT JOIN (SELECT DISTINCT wallet, condition_id, fill_ts FROM od WHERE bond_delta > 1e-6) f ON g.wallet = f.wallet AND g.condition_id = f.condition_id AND g.ts >= f.fill_ts),
+ms AS (SELECT id, arg_min(pq0, leg) AS b0, arg_min(pq1, leg) AS b1, arg_max(q0, leg) AS a0, arg_max(q1, leg) AS a1 FROM ar0 WHERE event_type = 'MERGE' GROUP BY 1),
+mb AS (SELECT *, count(*) OVER (PARTITION BY wallet, event_id, session) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY wallet, event_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY wallet, event_id ORDER BY ts, id) <= 5 THEN 0 ELSE 1 END AS s FROM mg))),
+mt AS (SELECT id, wallet, condition_id, event_id, question, ts AS merge_ts, round(size, 4) + 0 AS merge_qty, round(released, 4) + 0 AS capital_released, ts - last_fill AS time_from_last_fill_s, ts - last_complement AS time_from_last_complement_fill_s,
+  round(greatest(least(b0, b1), 0), 4) + 0 AS paired_qty_before_merge, round(greatest(b0 - greatest(least(b0, b1), 0), 0), 4) + 0 AS unpaired_yes_before_merge, round(greatest(b1 - greatest(least(b0, b1), 0), 0), 4) + 0 AS unpaired_no_before_merge,
+  round(greatest(least(a0, a1), 0), 4) + 0 AS paired_qty_after_merge, CASE WHEN n > 1 THEN concat_ws('/', wallet, event_id, session) END AS merge_batch_id FROM mb LEFT JOIN lf USING (id) LEFT JOIN lc USING (id) LEFT JOIN ms USING (id))"""
+_ALL = (POSITIONS, B._FEES, M._BOOKS, A._LEGS, _TIMES, _AROUND, _MERGES)
+_BUY = "round(count(*) FILTER (side = 'BUY' AND {}) / nullif(count(*) FILTER (side = 'BUY'), 0) * 100, 4)"
+ORACLE |= {
+    "merge_timing": sql("SELECT * FROM mt", *_ALL),
+    "inventory_timeline": sql("SELECT id, wallet, event_id, condition_id, fill_ts, fill_utc, side, fill_token_side, COLUMNS('.*(_before|_after|_delta)$') FROM od", *_ALL),
+    "pattern_summary": sql(f"""SELECT * FROM (SELECT wallet, count(*) AS n_fills, count(*) FILTER (side = 'BUY') AS n_buys, {_BUY.format('bond_delta > 0')} AS pct_increases_bond, {_BUY.format('unpaired_delta < 0')} AS pct_reduces_unpaired, {_BUY.format('unpaired_delta > 0')} AS pct_increases_unpaired,
+round(median(coalesce(fill_after_created_s, fill_after_first_seen_s)), 6) + 0 AS median_wait_s, count(*) FILTER (order_time_confidence = 'fill_only_unknown') AS n_unknown_times FROM od GROUP BY 1)
+LEFT JOIN (SELECT wallet, count(*) AS n_merges, round(sum(capital_released), 4) + 0 AS capital_released, count(*) FILTER (time_from_last_complement_fill_s <= 60) AS n_merged_within_60s, count(merge_batch_id) AS n_in_batches FROM mt GROUP BY 1) USING (wallet)""", *_ALL),
+}
