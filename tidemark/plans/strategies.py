@@ -185,7 +185,7 @@ ORACLE = {
     "rule_families": sql("SELECT rule, split, count(*) AS n, count(*) FILTER (f) AS fired, round(count(*) FILTER (f) / count(*), 4) AS coverage, round(count(*) FILTER (f AND markout_1h > 0) / nullif(count(*) FILTER (f AND markout_1h IS NOT NULL), 0), 4) AS precision, round(avg(markout_1h) FILTER (f), 4) + 0 AS avg_markout FROM ("
         + " UNION ALL ".join(f"SELECT '{k}' AS rule, split, markout_1h, coalesce({p}, false) AS f FROM rr" for k, p in FAMILIES.items()) + ") GROUP BY 1, 2", POSITIONS, M._BOOKS, M._DATASET, B._SPLIT, _ROWS),
     "markout_regression": sql("""SELECT wallet, n, round(b1 * r1 + b2 * r2, 6) AS r2, round(b1, 6) AS beta_spread, round(b2, 6) AS beta_price FROM (SELECT *, (r1 - r2 * r12) / (1 - r12 * r12) AS b1, (r2 - r1 * r12) / (1 - r12 * r12) AS b2 FROM
-(SELECT wallet, count(*) AS n, corr(markout_1h, spread_bps) AS r1, corr(markout_1h, fill_price) AS r2, corr(spread_bps, fill_price) AS r12 FROM dataset WHERE markout_1h IS NOT NULL AND spread_bps IS NOT NULL AND fill_price IS NOT NULL GROUP BY 1))""", POSITIONS, M._BOOKS, M._DATASET),
+(SELECT wallet, count(*) AS n, corr(markout_1h, spread_bps) AS r1, corr(markout_1h, fill_price) AS r2, CASE WHEN 1 - abs(corr(spread_bps, fill_price)) > 2e-12 THEN corr(spread_bps, fill_price) END AS r12 FROM dataset WHERE markout_1h IS NOT NULL AND spread_bps IS NOT NULL AND fill_price IS NOT NULL GROUP BY 1))""", POSITIONS, M._BOOKS, M._DATASET),
     "wallet_profile": "WITH tr AS (" + L.ORACLE["wallet_trust_checks"] + "), al AS (" + B.ORACLE["sync_alerts"] + "), pn AS (" + A.ORACLE["pnl_decomposition_scoped"] + "), ds AS (" + B.ORACLE["detector_scores"] + """)
 SELECT wallet, status AS trust, n_fail, n_warn, n_pnl, coalesce(alerts, '') AS alerts, total AS realized_total, detector, score, confidence FROM tr LEFT JOIN (SELECT wallet, string_agg(alert, ',' ORDER BY alert) AS alerts FROM (SELECT DISTINCT wallet, alert FROM al) GROUP BY 1) USING (wallet) LEFT JOIN (SELECT wallet, total FROM pn WHERE scope = 'all') USING (wallet)
 LEFT JOIN (SELECT * FROM (SELECT wallet, detector, score, confidence, row_number() OVER (PARTITION BY wallet ORDER BY score DESC, detector DESC, confidence DESC) AS rn FROM ds WHERE scope = 'all') WHERE rn = 1) b USING (wallet)""",
