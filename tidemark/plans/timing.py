@@ -139,6 +139,11 @@ def _around(spark, sf_dir) -> DataFrame:
     return p.where("event_type = 'TRADE'").select("id", *(v.alias(k) for k, v in state.items()), *(f"event_{k}_{w}" for k in EVENT for w in ("before", "after")))
 
 
+def _amount(c, name: str) -> Column:
+    """Rounded to four places; a little more keeps sums that are ties in the last digit from falling either way."""
+    return r4((F.col(c) if isinstance(c, str) else c) + 1e-9, name)
+
+
 def starts(spark) -> DataFrame:
     """When the markets' events begin, where that is known."""
     c = F.regexp_extract("condition_id", "[0-9]+", 0).cast("long")
@@ -180,9 +185,9 @@ def order_timing_dataset(spark, sf_dir):
     return out.select(
         "id", "wallet", "tx_hash", "event_id", "condition_id", "question", F.col("category").alias("market_family"), "token_id", "outcome_index", "side", "role", "order_hash",
         ts.alias("fill_ts"), F.date_format(at(ts), "yyyy-MM-dd HH:mm:ss").alias("fill_utc"), F.col("price").alias("fill_price"), r4("size", "fill_size"), r4(F.col("size") * F.col("price"), "fill_notional_usdc"),
-        *(c for c in timing.columns if c != "id"), *(v.alias(k) for k, v in utc.items()), "yes_token_id", "no_token_id", *(r4(c) for c in states), *(r4(v, k) for k, v in value.items()),
-        r4(F.col("paired_qty_after") - F.col("paired_qty_before"), "bond_delta"), r4(unpaired["after"] - unpaired["before"], "unpaired_delta"), r4(F.col("directional_after") - F.col("directional_before"), "directional_delta"),
-        *(r4(c) for c in events), *(r4(f"event_total_cost_{w}", f"event_capital_used_{w}") for w in ("before", "after")), *(F.round(f"event_market_count_active_{w}").cast("long").alias(f"event_market_count_active_{w}") for w in ("before", "after")),
+        *(c for c in timing.columns if c != "id"), *(v.alias(k) for k, v in utc.items()), "yes_token_id", "no_token_id", *(_amount(c, c) for c in states), *(_amount(v, k) for k, v in value.items()),
+        _amount(F.col("paired_qty_after") - F.col("paired_qty_before"), "bond_delta"), _amount(unpaired["after"] - unpaired["before"], "unpaired_delta"), _amount(F.col("directional_after") - F.col("directional_before"), "directional_delta"),
+        *(_amount(c, c) for c in events), *(_amount(f"event_total_cost_{w}", f"event_capital_used_{w}") for w in ("before", "after")), *(F.round(f"event_market_count_active_{w}").cast("long").alias(f"event_market_count_active_{w}") for w in ("before", "after")),
         phase(ts, start, F.col("closed_ts")).alias("event_phase"), (start - ts).alias("time_to_start_s"), (ts - start).alias("time_since_start_s"),
         F.when(pair, F.when(F.col("token_id") == F.col("yes_token_id"), "YES").otherwise("NO")).alias("fill_token_side"), F.lit("post_fill_diagnostic").alias("feature_availability"), reasons.alias("null_reasons"),
     )
@@ -290,7 +295,7 @@ sta AS (SELECT condition_id, question, closed_ts, CASE WHEN c % 3 <> 2 THEN 1704
 
 
 def _rounded(expr: str, name: str, zero: bool = True) -> str:
-    return f"round({f'coalesce({expr}, 0)' if zero else expr}, 4) + 0 AS {name}"
+    return f"round({f'coalesce({expr}, 0)' if zero else expr} + 1e-9, 4) + 0 AS {name}"
 
 
 _STATES = [_rounded(f"{k}_{w}", f"{k}_{w}", not k.startswith("wac")) for k in _CONDITION_SQL for w in ("before", "after")]
