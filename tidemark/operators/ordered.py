@@ -151,15 +151,14 @@ def _asof(left, right, on, values, ts, bucket_s, forward) -> DataFrame:
 def effective_rule(facts: DataFrame, rules: DataFrame, on: str, ts: str = "ts", default: str = "default") -> DataFrame:
     """Facts with the rule in force: largest ``effective_from`` at or before the time and before ``effective_to``.
 
-    ``rules`` is a table of a few rows for each key and is broadcast; facts whose key has no rule get the rules of
-    ``default``. Facts need a unique ``id``.
+    ``rules`` has a few rows for each key; Spark broadcasts them while their size allows. Facts whose key has no rule get the rules
+    of ``default``, one row. Facts need a unique ``id``.
     """
     of = rules.groupBy(on).agg(
         F.array_sort(F.collect_list(F.struct("effective_from", "effective_to", "rate", "exponent"))).alias("_rules")
     )
-    small = F.broadcast(of)
     rest = F.broadcast(of.where(F.col(on) == default).select(F.col(on).alias("_default"), F.col("_rules").alias("_rest")))
-    out = facts.join(small, on, "left").withColumn("_default", F.lit(default)).join(rest, "_default", "left").drop("_default")
+    out = facts.join(of, on, "left").withColumn("_default", F.lit(default)).join(rest, "_default", "left").drop("_default")
 
     def live(r: Column) -> Column:
         return (r["effective_from"] <= F.col(ts)) & (r["effective_to"].isNull() | (F.col(ts) < r["effective_to"]))

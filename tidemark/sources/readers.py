@@ -11,7 +11,7 @@ from tidemark.functions import scalars
 
 ACTIVITY = "proxyWallet string, timestamp long, conditionId string, type string, size string, usdcSize string, transactionHash string, price string, asset string, side string, outcomeIndex int"
 BOOK = "bids array<struct<price:string,size:string>>, asks array<struct<price:string,size:string>>"
-HISTORY = "history array<struct<t:long,p:double>>"
+POINTS = "array<struct<t:string,ts:string,timestamp:string,p:string,price:string>>"
 POSITION = "asset string, conditionId string, size string, avgPrice string, curPrice string, currentValue string, realizedPnl string, title string, outcome string"
 #: Names under which a portfolio's value may stand, in the order in which they are tried. Fixed values.
 VALUE_KEYS = ("value", "totalValue", "portfolioValue", "currentValue")
@@ -77,10 +77,18 @@ def parse_books(raw: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def parse_history(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    """Price points ``ts, price`` of a JSON history, with the row's other columns."""
+    """Price points ``ts, price`` of a JSON history, with the row's other columns.
+
+    A payload is a list of points or an object with a ``history`` list; a point names its time ``t``, ``ts`` or ``timestamp`` and its
+    price ``p`` or ``price``, as numbers or text. Points without both, and payloads of another form, give no rows.
+    """
     rest = [c for c in raw.columns if c != payload]
-    points = raw.select(*rest, F.explode(F.from_json(payload, HISTORY)["history"]).alias("x"))
-    return points.select(*rest, F.col("x.t").alias("ts"), F.col("x.p").alias("price"))
+    listed = F.coalesce(F.from_json(F.get_json_object(payload, "$.history"), POINTS), F.from_json(payload, POINTS))
+    points = raw.select(*rest, F.explode(listed).alias("x"))
+    ts = F.coalesce(*(F.col(f"x.{c}") for c in ("t", "ts", "timestamp")))
+    price = F.coalesce("x.p", "x.price")
+    out = points.select(*rest, ts.try_cast("double").cast("long").alias("ts"), price.try_cast("double").alias("price"))
+    return out.where("ts is not null and price is not null")
 
 
 _ROUNDS = 24
