@@ -122,6 +122,41 @@ def test_planted_articles_precision_and_recall():
     assert right / found >= 0.99 and right / wanted >= 0.99, (right / found, right / wanted)
 
 
+def test_damaged_archives_lose_damaged_records_only(spark, tmp_path):
+    heads = [[("WARC-Record-ID", f"<{k}>")] for k in range(4)]
+    a, b, c, d = (warc.warc_record("resource", h, f"block {k}\r\n\r\nend".encode()) for k, h in enumerate(heads))
+
+    def ids(data):
+        return [h["warc-record-id"][1] for h, _ in warc.warc_records(data)]
+
+    assert ids(a + b + c + d) == list("0123") and ids(b"") == []
+    assert ids(a + b.replace(b"Content-Length: ", b"Content-Length: x") + c) == ["0", "2"]
+    assert ids(a + b.replace(b"Content-Length: ", b"Content-Length: 9") + c) == ["0", "2"]
+    assert ids(a + b.replace(b"Content-Length: ", b"Content-Length: -") + c) == ["0", "2"]
+    assert ids(a + b[:-9]) == ["0"] and ids(a + b[:-4]) == ["0", "1"] and ids(a + b[:-12] + c) == ["0", "2"]
+
+    big = warc.warc_record("resource", [("WARC-Record-ID", "<9>")], bytes(range(256)) * 2000)
+    members = [gzip.compress(x) for x in (a, big, c)]
+    assert warc.unpacked(b"".join(members)) == a + big + c and warc.unpacked(gzip.compress(b"")) == b""
+    hurt = bytearray(members[1])
+    hurt[len(hurt) // 2 : len(hurt) // 2 + 20] = b"\xff" * 20
+    assert ids(warc.unpacked(members[0] + bytes(hurt) + members[2])) == ["0", "2"]
+    assert ids(warc.unpacked(members[0] + members[2][:-12])) in (["0"], ["0", "2"])  # cut off in its last bytes
+
+    arc = warc.arc_archive([("http://a/", b"one", "2001"), ("http://b/", b"two", "2002"), ("http://c/", b"three", "2003")])
+    bad = arc.replace(b"text/html 3\ntwo", b"text/html three\ntwo")
+    assert bad != arc and [r["URL"] for r in warc.arc_records(bad, strict=False)][1:] == ["http://a/", "http://c/"]
+    with pytest.raises(ValueError):
+        list(warc.arc_records(bad))
+    assert list(warc.arc_records(b"no archive\nat all\n", strict=False)) == []
+    folder = tmp_path / "arcs"
+    folder.mkdir()
+    (folder / "x.arc").write_bytes(bad)
+    (folder / "y.arc.gz").write_bytes(gzip.compress(arc)[:40])
+    got = warc.read_archives(spark, str(folder), "arc").where("uri is not null").collect()
+    assert sorted(r.uri for r in got) == ["http://a/", "http://c/"]
+
+
 def test_arc_versions_become_warc():
     block = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\nbody\n\nhttp://not.a.header 1 2 3 4\n"
     for version in "12":

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -27,6 +28,9 @@ ARC_FIELDS = {
     b"2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length".split(),
 }
 _CRLF = b"\r\n"
+_GZIP = b"\x1f\x8b\x08"
+_STEP = 65_536
+_BEGIN = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")
 
 
 def digest(data: bytes) -> str:
@@ -34,24 +38,35 @@ def digest(data: bytes) -> str:
 
 
 def unpacked(data: bytes) -> bytes:
-    """The bytes of a file that may be gzip, of one member or of many."""
-    if data[:2] != b"\x1f\x8b":
+    """The bytes of a file that may be gzip, of one member or of many.
+
+    Of a broken member the bytes before the damage are kept, and reading goes on at the next one.
+    """
+    if data[:2] != _GZIP[:2]:
         return data
     out = []
     while data:
         z = zlib.decompressobj(31)
-        out.append(z.decompress(data) + z.flush())
-        data = z.unused_data.lstrip(b"\0")
+        try:
+            for k in range(0, len(data), _STEP):
+                out.append(z.decompress(data[k : k + _STEP]))
+                if z.eof:
+                    break
+            data = (z.unused_data + data[k + _STEP :]).lstrip(b"\0") if z.eof else b""
+        except zlib.error:
+            start = data.find(_GZIP, 1)
+            data = data[start:] if start > 0 else b""
     return b"".join(out)
 
 
-def arc_records(data: bytes) -> Iterator[dict]:
+def arc_records(data: bytes, strict: bool = True) -> Iterator[dict]:
     """Records of one ARC archive: its header fields by name, ``version`` and ``block``.
 
     A version block without a field line has the fields of its version. An archive that breaks off ends with the last
-    whole record.
+    whole record. Where a header line should be and is none, ``strict`` raises; else reading goes on at the next line that has
+    a url, a numeric date and a numeric length in their places.
     """
-    at, fields, version = 0, ARC_FIELDS[b"1"], "1"
+    at, fields, version, lost = 0, ARC_FIELDS[b"1"], "1", False
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -63,7 +78,14 @@ def arc_records(data: bytes) -> Iterator[dict]:
         own = ARC_FIELDS[b"1"] if line.startswith(b"filedesc://") else fields
         parts = line.rsplit(b" ", len(own) - 1)
         if len(parts) != len(own) or not parts[-1].isdigit():
-            raise ValueError(f"not an ARC header line: {line[:80]!r}")
+            if strict:
+                raise ValueError(f"not an ARC header line: {line[:80]!r}")
+            at, lost = end + 1, True
+            continue
+        if lost and not (b":" in parts[0] and parts[2].isdigit()):
+            at = end + 1
+            continue
+        lost = False
         size = int(parts[-1])
         block = data[end + 1 : end + 1 + size]
         if len(block) < size:
@@ -72,8 +94,10 @@ def arc_records(data: bytes) -> Iterator[dict]:
         if line.startswith(b"filedesc://"):
             lines = block.splitlines()
             number = lines[0].split(b" ")[0] if lines else b"1"
-            version = number.decode()
-            fields = lines[1].decode().split(" ") if len(lines) > 1 and lines[1].strip() else ARC_FIELDS[number]
+            if strict and number not in ARC_FIELDS:
+                raise ValueError(f"unknown ARC version: {number[:20]!r}")
+            version = number.decode("latin-1")
+            fields = lines[1].decode("latin-1").split(" ") if len(lines) > 1 and lines[1].strip() else ARC_FIELDS.get(number, ARC_FIELDS[b"1"])
         yield {k: v.decode("utf-8", "replace") for k, v in zip(own, parts)} | {"version": version, "block": block}
 
 
@@ -142,7 +166,11 @@ def to_warc(record: dict, refers_to: tuple[str, str] | None = None) -> bytes:
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """Headers (names in lower case) and block of every record of a WARC file, by the declared lengths."""
+    """Headers (names in lower case) and block of every whole record of a WARC file, by the declared lengths.
+
+    A record without a numeric length, or whose length does not end before the next record or the end of the file (line breaks aside),
+    is damaged and left out; reading goes on at the next version line.
+    """
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
@@ -150,9 +178,17 @@ def warc_records(data: bytes) -> Iterator[tuple[dict, bytes]]:
             return
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("content-length", 0))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        size = headers.get("content-length", "0")
+        stop = end + 4 + int(size) if size.isdecimal() else len(data) + 1
+        after = data[stop : stop + 16].lstrip(_CRLF)
+        if stop > len(data) or after and not after.startswith(b"WARC/"):
+            found = _BEGIN.search(data, at + 5)
+            if not found:
+                return
+            at = found.start()
+            continue
+        yield headers, data[end + 4 : stop]
+        at = stop
 
 
 def write_archives(archives: DataFrame, column: str, path: str) -> None:
@@ -165,7 +201,8 @@ def read_archives(spark: SparkSession, path: str, kind: str = "warc") -> DataFra
     """``type, record_id, uri, date, payload_digest, refers_to, name, refers_to_name, payload_bytes, payload`` of each record.
 
     ``kind`` is the format of the files under ``path``, ``warc`` or ``arc``, plain or gzip; ARC records are converted
-    first. A revisit has no payload; its length is the one that its HTTP head declares.
+    first. A revisit has no payload; its length is the one that its HTTP head declares, null if that is no number. Damaged
+    records and members are left out, as ``unpacked``, ``arc_records`` and ``warc_records`` say; they end no job.
     """
     names = "type record_id uri date payload_digest refers_to name refers_to_name".split()
     fields = [T.StructField(n, T.StringType()) for n in names]
@@ -176,7 +213,7 @@ def read_archives(spark: SparkSession, path: str, kind: str = "warc") -> DataFra
             for k in range(batch.num_rows):
                 data = unpacked(batch.column(0)[k].as_py())
                 if kind == "arc":
-                    data = b"".join(map(to_warc, arc_records(data)))
+                    data = b"".join(map(to_warc, arc_records(data, strict=False)))
                 rows = []
                 for h, block in warc_records(data):
                     head, payload = payload_of(block)
@@ -194,7 +231,7 @@ def read_archives(spark: SparkSession, path: str, kind: str = "warc") -> DataFra
                             h.get("warc-refers-to"),
                             http.get("x-page-id"),
                             h.get("warc-refers-to-name"),
-                            int(http.get("content-length", 0)) if revisit else len(payload),
+                            (int(declared) if (declared := http.get("content-length", "0")).isdecimal() else None) if revisit else len(payload),
                             None if revisit else payload,
                         )
                     )
@@ -212,7 +249,7 @@ def convert_archives(spark: SparkSession, arc_path: str, warc_path: str) -> None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                made = b"".join(map(to_warc, arc_records(unpacked(batch.column(0)[k].as_py()))))
+                made = b"".join(map(to_warc, arc_records(unpacked(batch.column(0)[k].as_py()), strict=False)))
                 yield pa.RecordBatch.from_arrays([pa.array([made.removesuffix(_CRLF)], pa.binary())], names=["archive"])
 
     files = spark.read.format("binaryFile").load(arc_path).select("content")
