@@ -127,3 +127,61 @@ def test_histories_of_other_forms(spark):
     payloads = ['[{"timestamp": 5, "price": "0.5"}]', '{"history": [{"ts": "7", "p": 0.25}, {"t": 8}, {"p": 1}, {"t": "x", "p": 1}]}', '{"history": 3}', "bad", None, "[]"]
     raw = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "n int, payload string")
     assert sorted(tuple(r) for r in readers.parse_history(raw).collect()) == [(0, 5, 0.5), (1, 7, 0.25)]
+
+
+def test_splits_are_each_wallets_own(spark):
+    from tidemark.plans import fitting
+
+    rows = [(k, w, k % 7 * 86_400 + k // 3, 1) for w, n in (("a", 23), ("b", 4), ("c", 1)) for k in range(n)]
+    d = spark.createDataFrame(rows, "id long, wallet string, trade_ts long, x int")
+    got = {(r.wallet, r.id): r.split for r in fitting.split_by_wallet(d).collect()}
+    for w in "abc":
+        own = sorted((t, i) for i, v, t, _ in rows if v == w)
+        for k, (_, i) in enumerate(own):
+            assert got[w, i] == ("train" if k < int(len(own) * 0.6) else "validation" if k < int(len(own) * 0.8) else "test")
+    assert len(got) == len(rows) and fitting.split_by_wallet(d.limit(0)).count() == 0
+
+
+def test_fit_against_plain_python(spark):
+    import random
+
+    from tidemark.plans import fitting
+
+    dice = random.Random(5)
+    rules = [E.spread_capture(20, 5), E.spread_capture(100, 5), E.event_timing(), E.event_timing((9,)), E.completion_set_edge(0.1)]
+    rows = []
+    for i in range(120):
+        rows.append({"id": i, "wallet": dice.choice("ab"), "split": dice.choice(fitting.SPLITS), "spread_bps": dice.choice([10.0, 50.0, 150.0, None]), "fill_price": dice.choice([0.4, 0.6]), "trade_hour_utc": dice.choice([9, 10]),
+                     "pnl_episode": dice.choice([None, 1.0, -1.0]), "markout_5m": dice.choice([None, 0.5, -0.5]), "qty_token_before": dice.choice([-3.0, 2.0])})
+    rows.append({"id": 999, "wallet": "z", "split": "test"})
+
+    def fires(k, r):
+        if k < 2:
+            s, p = r.get("spread_bps", 100.0), r.get("fill_price", 0.4)
+            return s is not None and s >= (20, 100)[k] and p < 0.5
+        return k == 2 or k == 3 and r.get("trade_hour_utc", 9) == 9
+
+    want = {}
+    for w in "abz":
+        own = [r for r in rows if r["wallet"] == w]
+        for names in ((0, 1), (2, 3), (4,)):
+            scored = []
+            for k in names:
+                train = [r for r in own if r["split"] == "train"]
+                hit = [r for r in train if fires(k, r)]
+                labels = [x for x in ((r["pnl_episode"] if r["pnl_episode"] is not None else r["markout_5m"]) for r in hit) if x is not None]
+                score = sum(x > 0 for x in labels) / len(labels) * len(hit) / len(train) if labels else 0.0
+                scored.append((round(score, 12), -k))
+            score, k = max(scored)
+            want[w, rules[-k].name] = (json.dumps(rules[-k].parameters), pytest.approx(score), sum(fires(-k, r) for r in own))
+    got = {(r.wallet, r.rule): (r.parameters, r.train_score, r.n_explained) for r in fitting.fitted(fills(spark, *rows), rules).collect()}
+    assert got == want
+    reasons = {(r.wallet, r.rule): r.rejection_reason for r in fitting.fitted(fills(spark, *rows), rules).collect()}
+    assert reasons["z", "completion_set_edge"] == "insufficient_oos_signal"
+
+
+def test_grid_has_every_configuration_once():
+    from tidemark.plans import fitting
+
+    g = fitting.grid()
+    assert len(g) == len({(r.name, json.dumps(r.parameters)) for r in g}) == 54 and sum(not r.active for r in g) == 1
