@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, unused
 
 LONG_WORDS = 50
 
@@ -136,6 +136,12 @@ def _kept_between(lines, later, early, long_words: int):
     return F.when(F.size(F.coalesce(later, none)) > 0, _let(runs, between)).otherwise(lines)
 
 
+#: Names that the columns of a document have on the way; columns of these names are renamed for as long.
+_OWN = ("_h", "_gone", "_later", "_early", "_out")
+#: Columns that the result has beside those of the documents.
+MADE = ("n_chunks", "n_removed", "removed_lines", "removed_chars")
+
+
 def _later_than_first(marks: DataFrame, held: DataFrame, key) -> DataFrame:
     """``_id, _h, _k`` of the chunks whose text stands in a chunk with a smaller key."""
     ends = [F.min(key).alias("_first"), F.max(key).alias("_last")]
@@ -168,6 +174,10 @@ def dedup_lines(
     lines (without a blank one) that occurs again stays whole, and every line that goes stands before. ``n_removed`` counts the chunks that
     went whole as such; ``removed_lines`` and ``removed_chars`` count all that went.
     """
+    clash = {c: unused(f"{c}_given", docs) for c in docs.columns if c.lower() in _OWN}
+    if clash:
+        out = dedup_lines(docs.withColumnsRenamed(clash), clash.get(id_col, id_col), clash.get(text_col, text_col), long_words, passages)
+        return out.withColumnsRenamed({new: old for old, new in clash.items()})
     key = F.struct(F.col("_id"), F.col("_h"), F.col("_k"))
     base = docs.withColumn("_h", F.xxhash64(F.col(text_col)))
     texts = base.select(F.col(id_col).alias("_id"), "_h", F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
@@ -195,8 +205,7 @@ def dedup_lines(
         gone = every.agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("_gone", "_later", "_early")))
 
     same = [F.col(f"a.{id_col}").eqNullSafe(F.col("b._id")), F.col("a._h") == F.col("b._h")]
-    made = ["n_chunks", "n_removed", "removed_lines", "removed_chars"]
-    plain = base.drop(*(c for c in made if c != text_col and c != id_col))
+    plain = base.drop(*(c for c in MADE if c != text_col and c != id_col))
     out = plain.alias("a").join(gone.alias("b"), same, "left").select("a.*", *(f"b.{c}" for c in gone.columns[2:]))
     out = out.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
 
@@ -241,7 +250,7 @@ def dedup_lines(
         "removed_chars": F.coalesce(F.length(text_col) - F.length("_out.text"), F.lit(0)).cast("long"),
         text_col: F.when(F.col(text_col).isNotNull(), F.col("_out.text")),
     }
-    return out.withColumns(removed).drop("_h", "_gone", "_later", "_early", "_out")
+    return out.withColumns(removed).drop(*_OWN)
 
 
 ORACLE = r"""
