@@ -45,10 +45,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand elsewhere before; ``n_chars`` follows the text."""
-    done = line_dedup.dedup_lines(docs, passages=True)
+    clash = {c: unused(f"{c}_given", docs) for c in docs.columns if c.lower() in line_dedup.MADE}
+    done = line_dedup.dedup_lines(docs.withColumnsRenamed(clash) if clash else docs, passages=True)
     done = done.where((F.col("removed_lines") == 0) | (F.trim("text") != "") | F.col("text").isNull())
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    if clash:  # the operator's own counts give way to the documents' columns
+        done = done.drop(*line_dedup.MADE).withColumnsRenamed({new: old for old, new in clash.items()})
     return done.select(docs.columns)
 
 
