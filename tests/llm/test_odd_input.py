@@ -70,7 +70,7 @@ def test_other_operators_leave_clashing_columns_alone(spark):
     assert sorted(map(repr, divergence.audit(d.withColumn("source", own), min_docs=1).collect())) == plain and plain
     rows = [(1, "http://a/", "<p>One two three.</p>", "x", "y"), (2, None, None, "x", "y")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, archive string")
-    assert sorted((r.page_id, r.payload_bytes) for r in warc.round_trip(spark, pages).select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes").collect()) == [(1, 21), (2, 0)]
+    assert sorted((r.name, r.payload_bytes) for r in warc.round_trip(spark, pages).collect()) == [("1", len(rows[0][2])), ("2", 0)]
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     extra = documents(spark, "start", "length", "offset", "sequence_id", "_id", "ids")
     assert packing.pack(extra, path).agg(F.sum("length")).first()[0] == packing.pack(documents(spark), path).agg(F.sum("length")).first()[0]
