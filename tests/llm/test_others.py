@@ -230,6 +230,29 @@ def test_stupid_backoff_against_brute_force(spark):
     assert lm_score.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_language_model_counts_in_rounds(spark):
+    """Each round sends its own hash partitions only, all rounds together every n-gram once, and nothing of one segment alone comes back."""
+    docs = [(i, f"w{i % 7} common w{i % 5} own{i}") for i in range(60)] + [(60, None), (61, " \x0b\t"), (62, " \x1c\x85 \xa0x\r\nY\xc9 ")]
+    dealt = spark.createDataFrame(docs, "_id long, _text string").selectExpr("*", "cast(_id % 4 as int) as _segment")
+    want = Counter()
+    for segment in range(4):
+        texts = [(t or "").encode().lower().split() for i, t in docs if i % 4 == segment]
+        want += Counter((segment, n) for n in {tuple(w[k : k + n]) for w in texts for n in (1, 2, 3) for k in range(len(w) - n + 1)} for n in [len(n)])
+    rounds = [lm_score._asked(dealt, 3, 10, r) for r in (range(0, 5), range(5, 10))]
+    assert [{r._part // 5 for r in x.collect()} for x in rounds] == [{0}, {1}]
+    rows = [r for x in rounds for r in lm_score.exploded(x, 5).collect()]
+    assert len({(r._segment, r._gram) for r in rows}) == len(rows) == sum(want.values())
+    total, held = Counter(), Counter(r._gram for r in rows)
+    for r in rows:
+        total[r._gram] += r._n
+    names = {(r._segment, r._part, r._k): r._gram for r in rows}
+    back = [(names[r._segment, r._part, k], t) for r in lm_score._in_rounds(dealt, 3, 10).collect() for k, t in zip(r._ks, r._totals)]
+    assert sorted(back) == sorted((r._gram, total[r._gram]) for r in rows if held[r._gram] > 1)
+    assert spark.conf.get(lm_score.FREED, "false") == "false"
+    close = np.array([9, 5, 2**63, 5, 8, 9, 0, 2**63 + 1, 2**63], np.uint64)  # differ in the low bits only
+    assert (lm_score._order(close) == np.argsort(close, kind="stable")).all()
+
+
 def test_packing_round_trip(spark):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     from tokenizers import Tokenizer

@@ -30,11 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` as Parquet in the shared folder. Spark knows the size of what it reads there and chooses joins by it."""
     spark = ready(df.sparkSession)
     path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,9 +2,10 @@
 
 Documents are dealt to segments of a few million characters. The distinct n-grams of a segment, with their counts in it,
 travel to hash partitions as one row for each segment and partition; there they are exploded to n-gram rows, whose
-counts over all segments are the count table, and each row gets its n-gram's count from it. The counts go back to the
-segment that asked, and the scores of the words are summed for each document. An n-gram crosses once for a segment however
-often it occurs there, so a very common one is no hot key. Partitions grow with the corpus.
+counts over all segments are the count table; those that several segments have are joined back to their rows. The counts go
+back to the segments that asked, where all others occur as often as in the segment, and the scores of the words are summed for each document. An n-gram crosses once for a segment however
+often it occurs there, so a very common one is no hot key. Partitions grow with the corpus; they are gone through in a few
+rounds, so that only a part of the n-grams is on disk at a time.
 
 N-grams are named by 64 bits of hash. Counts leave out the document that is scored, so a text is never its own evidence.
 """
@@ -13,10 +14,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,38 +30,43 @@ from tidemark.llm.common import written
 PARTITION_GRAMS = 500_000
 #: Rows with the same id and text that may lie in one segment.
 SAME_ROWS = 1000
+#: Rounds in which the n-grams are counted; the shuffled n-grams of one are on disk at a time.
+ROUNDS = 2
+#: Spark's setting by which a query's shuffle files are removed when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ODD = np.random.RandomState(9).randint(0, 2**63, 16, np.int64).astype(np.uint64) | np.uint64(1)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()  # for all segments that a worker sees
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def _words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, one after the other, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    flat, owner = parts.flatten(), pc.list_parent_indices(parts)
+    real = pc.greater(pc.binary_length(flat), 0)  # an empty text gives an empty word
+    return flat.filter(real), np.bincount(owner.filter(real).to_numpy(), minlength=len(texts))
 
 
-def _grams(texts: list, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and how many words each text has."""
+    words, sizes = _words(texts)
+    known = words.dictionary_encode()
+    names = known.dictionary.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()).to_numpy(zero_copy_only=False)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))[known.indices.to_numpy()], sizes
+
+
+def _grams(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names of the n-grams that end at each word (a row for each order, 0 where there is none), each word's document
     and its place in it."""
-    words = [_words(t) for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    total = int(sizes.sum())
-    h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), np.uint64, total)
-    doc = np.repeat(np.arange(len(words)), sizes)
+    hashed = [_hashes(chunk) for chunk in texts.chunks]
+    h = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in hashed)])
+    sizes = np.concatenate([np.zeros(0, np.int64), *(n for _, n in hashed)])
+    total = len(h)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = np.zeros((order, total), np.uint64)
     run = np.zeros(total, np.uint64)
@@ -74,22 +81,38 @@ def _sizes(docs: DataFrame) -> tuple[int, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
-            sums = [sum(len(t or "") for t in texts)], [sum(len(_words(t)) for t in texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()) for s in sums], names=["chars", "words"])
+            sums = pc.sum(pc.utf8_length(b.column(0))).as_py() or 0, len(_words(b.column(0))[0])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()) for s in sums], names=["chars", "words"])
 
     row = docs.select("_text").mapInArrow(count, "chars long, words long").agg(F.sum("chars"), F.sum("words")).first()
     return row[0] or 0, row[1] or 0
 
 
-def _asked(dealt: DataFrame, order: int, partitions: int) -> DataFrame:
-    """``_segment, _part, _grams, _n``: each segment's distinct n-grams in order and their counts, by hash partition."""
+def _part(names: np.ndarray, partitions: int) -> np.ndarray:
+    """Hash partitions of n-grams: ranges of names, so sorted names are in the order of the partitions."""
+    return ((names >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)
+
+
+def _order(names: np.ndarray) -> np.ndarray:
+    """``np.argsort(names, kind="stable")``, faster: high bits of a name and its place are sorted as one number."""
+    bits = np.uint64(max(1, len(names)).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    order = (np.sort((names & ~low) | np.arange(len(names), dtype=np.uint64)) & low).astype(np.int64)
+    found = names[order]
+    if (found[1:] < found[:-1]).any():  # names that differ in the low bits only
+        return np.argsort(names, kind="stable")
+    return order
+
+
+def _asked(dealt: DataFrame, order: int, partitions: int, within: range) -> DataFrame:
+    """``_segment, _part, _grams, _n``: each segment's distinct n-grams in order and their counts, by hash partition, of
+    the hash partitions ``within``."""
 
     def ask(table: pa.Table) -> pa.Table:
-        grams, _, _ = _grams(table.column("_text").to_pylist(), order)
-        names, counts = np.unique(grams[grams > 0], return_counts=True)
-        # a partition is a range of names, so the sorted names are in the order of the partitions
-        part, starts = np.unique((names >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32), return_index=True)
+        grams = _grams(table.column("_text"), order)[0].ravel()
+        part = _part(grams, partitions)
+        names, counts = np.unique(grams[(part >= within.start) & (part < within.stop) & (grams > 0)], return_counts=True)
+        part, starts = np.unique(_part(names, partitions), return_index=True)
         edges = pa.array(np.append(starts, len(names)).astype(np.int32))
         return pa.table(
             {
@@ -106,21 +129,38 @@ def _asked(dealt: DataFrame, order: int, partitions: int) -> DataFrame:
 def exploded(asked: DataFrame, partitions: int) -> DataFrame:
     """``_part, _segment, _k, _gram, _n``: one row for each n-gram of each segment, dealt by hash partition."""
     placed = asked.repartition(partitions, "_part")
-    each = placed.select("_part", "_segment", F.posexplode(F.arrays_zip("_grams", "_n")).alias("_k", "_g"))
-    return each.select("_part", "_segment", "_k", F.col("_g._grams").alias("_gram"), F.col("_g._n").alias("_n"))
+    each = placed.select("_part", "_segment", "_n", F.posexplode("_grams").alias("_k", "_gram"))
+    return each.select("_part", "_segment", "_k", "_gram", F.get("_n", "_k").alias("_n"))
 
 
 def _answers(grams: DataFrame) -> DataFrame:
-    """``_segment, _part, _totals``: the count of each n-gram that a segment asked for, in its order.
+    """``_segment, _part, _ks, _totals``: place and count of each n-gram of a segment that other segments have too.
 
     An n-gram's rows of all segments lie in one hash partition, so its entry of the count table is made and joined back
     to them by one window there; neither side is shuffled again.
     """
-    total = F.sum("_n").over(Window.partitionBy("_part", "_gram"))
-    joined = grams.withColumn("_total", total)
-    ordered = F.array_sort(F.collect_list(F.struct("_k", "_total")))
-    back = joined.groupBy("_part", "_segment").agg(ordered.alias("_all"))
-    return back.select("_segment", "_part", F.transform("_all", lambda x: x["_total"]).alias("_totals"))
+    total = F.sum("_n").over(Window.partitionBy("_gram", "_part"))
+    shared = grams.withColumn("_total", total).where(F.col("_total") > F.col("_n"))
+    lists = F.collect_list("_k").alias("_ks"), F.collect_list("_total").alias("_totals")  # of the same rows in the same order
+    return shared.groupBy("_segment", "_part").agg(*lists)
+
+
+def _in_rounds(dealt: DataFrame, order: int, partitions: int) -> DataFrame:
+    """The answers for all n-grams, found in ``ROUNDS`` rounds, each for a range of the hash partitions.
+
+    Only the answers of a round are written out; its n-gram rows leave the executors' disks when it ends.
+    """
+    conf, out = dealt.sparkSession.conf, []
+    before = conf.get(FREED, None)
+    conf.set(FREED, "true")
+    try:
+        for k in range(ROUNDS):
+            within = range(partitions * k // ROUNDS, partitions * (k + 1) // ROUNDS)
+            if within:
+                out.append(written(_answers(exploded(_asked(dealt, order, partitions, within), len(within))), "zstd"))
+    finally:
+        conf.unset(FREED) if before is None else conf.set(FREED, before)
+    return reduce(DataFrame.unionAll, out)
 
 
 def score(
@@ -162,22 +202,29 @@ def score(
     )
 
     def sum_up(table: pa.Table, answer: pa.Table) -> pa.Table:
-        grams, doc, place = _grams(table.column("_text").to_pylist(), order)
+        grams, doc, place = _grams(table.column("_text"), order)
         sizes = np.bincount(doc, minlength=len(table))
         total = np.zeros(len(doc))
         unseen = np.zeros(len(doc), bool)
         if len(doc):
-            totals = answer.sort_by("_part").column("_totals").combine_chunks().flatten().to_numpy().astype(np.float64)
             real = np.flatnonzero(grams.ravel() > 0)
-            # a stable sort puts equal n-grams together in the order of the answers, and within them those of each document
-            real = real[np.argsort(grams.ravel()[real], kind="stable")]
+            # equal n-grams stand together, in the order in which they were asked for, and within them those of each document
+            real = real[_order(grams.ravel()[real])]
             name, owner = grams.ravel()[real], doc[real % len(doc)]
             fresh = np.append(True, name[1:] != name[:-1])
-            if fresh.sum() != len(totals):
-                raise ValueError("the answers are not those of this segment's n-grams")
             mine = np.cumsum(fresh | np.append(True, owner[1:] != owner[:-1])) - 1
+            # what no other segment has occurs as often as it does here
+            first = np.flatnonzero(fresh)
+            times, parts = np.diff(np.append(first, len(name))), _part(name[first], partitions)
+            totals = times.copy()
+            for batch in answer.to_batches():
+                ks, found = (batch.column(c).flatten().to_numpy() for c in ("_ks", "_totals"))
+                at = np.repeat(np.searchsorted(parts, batch.column("_part").to_numpy()), pc.list_value_length(batch.column("_ks")).to_numpy()) + ks
+                if (at >= len(totals)).any() or (found <= times[at]).any():
+                    raise ValueError("the answers are not those of this segment's n-grams")
+                totals[at] = found
             seen = np.zeros(grams.size)
-            seen[real] = totals[np.cumsum(fresh) - 1] - np.bincount(mine)[mine]
+            seen[real] = np.repeat(totals, times) - np.bincount(mine)[mine]
             seen = seen.reshape(grams.shape)
             others = np.maximum(corpus - sizes[doc], 1).astype(np.float64)
             top = np.minimum(place + 1, order)
@@ -200,7 +247,7 @@ def score(
             }
         )
 
-    answers = _answers(exploded(_asked(dealt, order, partitions), partitions))
+    answers = _in_rounds(dealt, order, partitions)
     return dealt.groupBy("_segment").cogroup(answers.groupBy("_segment")).applyInArrow(sum_up, schema)
 
 
