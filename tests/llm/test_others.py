@@ -253,6 +253,16 @@ def test_language_model_counts_in_rounds(spark):
     assert (lm_score._order(close) == np.argsort(close, kind="stable")).all()
 
 
+def test_new_words_of_letters_go_straight_to_the_model(monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    encoder = packing.Encoder(path)
+    texts = ["a wonderfulness abcqz, Zz\nother-word x1 \u00e9t\u00e9 \u0661a", "one \u4e2d\u6587\u00e9. _a a_ ?!"]
+    for text in texts:
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(encoder, "name", None)  # ASCII letters need no other names
+    assert np.frombuffer(encoder["neverseen"], "<u4").tolist() == encoder.tokenizer.encode(" neverseen", add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     from tokenizers import Tokenizer

@@ -42,12 +42,12 @@ def _letters() -> dict[int, int]:
 class Encoder(dict):
     """Ids of words, each with a space before it, as little-endian 32-bit bytes; at most ``most`` are remembered."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.most, self.tokenizer = most, Tokenizer.from_file(path)  # the parts below belong to it
         self.cut, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
-        self.letters, self.bare = _letters(), {}
+        self.tokenize, self.letters, self.bare = self.model.tokenize, _letters(), {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         probe = "\u00e9\u03a9\u4e2d\U00010400a"
         self.plain = self.cut.pre_tokenize_str(f" {probe}") == [(self.name(f" {probe}"), (0, len(probe) + 1))]
@@ -61,7 +61,7 @@ class Encoder(dict):
             parts = [self.name(piece)]
         else:
             parts = [part for part, _ in self.cut.pre_tokenize_str(piece)]
-        return array("I", [token.id for part in parts for token in self.model.tokenize(part)]).tobytes()
+        return array("I", [token.id for part in parts for token in self.tokenize(part)]).tobytes()
 
     def again(self, piece: str) -> bytes:
         """As ``piece``, remembered: for marks and the first words of lines."""
@@ -75,7 +75,10 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        if marks := _MARKS.match(word):
+        if self.plain and word.isalpha():  # most new words: one part, whose ASCII letters stand for themselves
+            part = "\u0120" + word if word.isascii() else self.name(" " + word)
+            value = array("I", [token.id for token in self.tokenize(part)]).tobytes()
+        elif not word[-1:].isalnum() and (marks := _MARKS.match(word)):
             value = self[marks[1]] + self.again(marks[2])
         elif "\n" in word and (lines := word.split("\n")) == word.split():  # single line feeds, no other white space
             value = self[lines[0]] + b"".join(self.again("\n") + self.again(x) for x in lines[1:])
