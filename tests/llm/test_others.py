@@ -253,6 +253,42 @@ def test_language_model_counts_in_rounds(spark):
     assert (lm_score._order(close) == np.argsort(close, kind="stable")).all()
 
 
+def test_lists_of_many_segments_are_not_sorted(spark, monkeypatch):
+    """A task collects the answers for more than 128 segments without sorting its rows once more."""
+    dealt = spark.range(300).selectExpr("id as _id", "concat('common words and w', id) as _text", "cast(id as int) as _segment")
+    plans = []
+
+    def kept(df, compression):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().executedPlan())
+        return spark.createDataFrame(rows, df.schema)
+
+    def fallbacks(plan):
+        here = [plan.metrics().apply("numTasksFallBacked").value()] if plan.nodeName() == "ObjectHashAggregate" else []
+        below = [plan.plan()] if plan.nodeName().endswith("QueryStage") else [plan.children().apply(k) for k in range(plan.children().size())]
+        return here + [n for p in below for n in fallbacks(p)]
+
+    monkeypatch.setattr(lm_score, "written", kept)
+    before = spark.conf.get(lm_score.UNSORTED)
+    answers = lm_score._in_rounds(dealt, 3, 2).collect()
+    assert len({r._segment for r in answers}) == 300 and all(t == 300 for r in answers for t in r._totals)
+    found = [n for p in plans for n in fallbacks(p)]
+    assert len(found) == 4 and not any(found)
+    assert spark.conf.get(lm_score.UNSORTED) == before
+
+
+def test_texts_are_measured_in_one_reading(spark):
+    """Characters, words and the most equal rows; the smallest name of a hash partition is the first that is dealt to it."""
+    docs = [(1, "a \u00e9 b"), (1, "a \u00e9 b"), (2, "a \u00e9 b"), (None, None), (None, None), (None, None), (3, " \x0b ")]
+    assert lm_score._sizes(spark.createDataFrame(docs, "_id long, _text string").repartition(3)) == (18, 9, 3)
+    assert lm_score._sizes(spark.createDataFrame([], "_id long, _text string")) == (0, 0, 0)
+    for partitions in (1, 3, 169, 2**20 + 7):
+        least = lm_score._least(range(max(0, partitions - 50), partitions), partitions)
+        want = np.arange(partitions - len(least), partitions)
+        assert (lm_score._part(least, partitions) == want).all()
+        assert (lm_score._part(least[least > 0] - np.uint64(1), partitions) == want[least > 0] - 1).all()
+
+
 def test_new_words_of_letters_go_straight_to_the_model(monkeypatch):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     encoder = packing.Encoder(path)

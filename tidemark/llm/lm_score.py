@@ -34,13 +34,20 @@ SAME_ROWS = 1000
 ROUNDS = 2
 #: Spark's setting by which a query's shuffle files are removed when it ends.
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting for the groups up to which a task collects lists without sorting all its rows once more; the default of 128 is
+#: passed as soon as there are 128 segments. A task's rows are bounded by ``PARTITION_GRAMS``, its empty lists by ``LISTS``.
+UNSORTED = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+LISTS = 50_000
 _ODD = np.random.RandomState(9).randint(0, 2**63, 16, np.int64).astype(np.uint64) | np.uint64(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(31))
+    x *= np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -76,16 +83,18 @@ def _grams(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray,
     return out, doc, place
 
 
-def _sizes(docs: DataFrame) -> tuple[int, int]:
-    """Characters and words of all texts."""
+def _sizes(docs: DataFrame) -> tuple[int, int, int]:
+    """Characters and words of all texts, and the most rows that have the same id and text, in one reading."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums = pc.sum(pc.utf8_length(b.column(0))).as_py() or 0, len(_words(b.column(0))[0])
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()) for s in sums], names=["chars", "words"])
+            chars = pc.fill_null(pc.utf8_length(b.column(1)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), chars, pa.array(_words(b.column(1))[1], pa.int64())], names=["_h", "chars", "words"])
 
-    row = docs.select("_text").mapInArrow(count, "chars long, words long").agg(F.sum("chars"), F.sum("words")).first()
-    return row[0] or 0, row[1] or 0
+    rows = docs.select(F.xxhash64("_id", "_text").alias("_h"), "_text").mapInArrow(count, "_h long, chars long, words long")
+    alike = rows.groupBy("_h").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("words").alias("words"))
+    row = alike.agg(F.sum("chars"), F.sum("words"), F.max("n")).first()
+    return row[0] or 0, row[1] or 0, row[2] or 0
 
 
 def _part(names: np.ndarray, partitions: int) -> np.ndarray:
@@ -93,6 +102,11 @@ def _part(names: np.ndarray, partitions: int) -> np.ndarray:
     return ((names >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)
 
 
+def _least(parts: range, partitions: int) -> np.ndarray:
+    """The smallest name of each hash partition of ``parts``."""
+    return ((np.arange(parts.start, parts.stop, dtype=np.uint64) << np.uint64(32)) + np.uint64(partitions - 1)) // np.uint64(partitions) << np.uint64(32)
+
+
 def _order(names: np.ndarray) -> np.ndarray:
     """``np.argsort(names, kind="stable")``, faster: high bits of a name and its place are sorted as one number."""
     bits = np.uint64(max(1, len(names)).bit_length())
@@ -110,10 +124,14 @@ def _asked(dealt: DataFrame, order: int, partitions: int, within: range) -> Data
 
     def ask(table: pa.Table) -> pa.Table:
         grams = _grams(table.column("_text"), order)[0].ravel()
-        part = _part(grams, partitions)
-        names, counts = np.unique(grams[(part >= within.start) & (part < within.stop) & (grams > 0)], return_counts=True)
-        part, starts = np.unique(_part(names, partitions), return_index=True)
-        edges = pa.array(np.append(starts, len(names)).astype(np.int32))
+        least = _least(within, partitions)
+        real = grams >= max(least[0], np.uint64(1))
+        if within.stop < partitions:
+            real &= grams < _least(range(within.stop, within.stop + 1), partitions)[0]
+        names, counts = np.unique(grams[real], return_counts=True)
+        starts = np.append(np.searchsorted(names, least), len(names))
+        full = np.flatnonzero(starts[1:] > starts[:-1])
+        part, edges = full + within.start, pa.array(np.append(starts[full], len(names)).astype(np.int32))
         return pa.table(
             {
                 "_segment": pa.array([table.column("_segment")[0].as_py()] * len(part), pa.int32()),
@@ -150,16 +168,18 @@ def _in_rounds(dealt: DataFrame, order: int, partitions: int) -> DataFrame:
 
     Only the answers of a round are written out; its n-gram rows leave the executors' disks when it ends.
     """
-    conf, out = dealt.sparkSession.conf, []
-    before = conf.get(FREED, None)
-    conf.set(FREED, "true")
+    conf, out, during = dealt.sparkSession.conf, [], {FREED: "true", UNSORTED: str(LISTS)}
+    before = {name: conf.get(name, None) for name in during}
     try:
+        for name, value in during.items():
+            conf.set(name, value)
         for k in range(ROUNDS):
             within = range(partitions * k // ROUNDS, partitions * (k + 1) // ROUNDS)
             if within:
                 out.append(written(_answers(exploded(_asked(dealt, order, partitions, within), len(within))), "zstd"))
     finally:
-        conf.unset(FREED) if before is None else conf.set(FREED, before)
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
     return reduce(DataFrame.unionAll, out)
 
 
@@ -181,15 +201,13 @@ def score(
     texts are spread too where there are more than ``SAME_ROWS``.
     """
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    chars, corpus = _sizes(own)
+    chars, corpus, alike = _sizes(own)
     segments = max(1, math.ceil(chars / segment_chars))
     partitions = max(1, math.ceil(chars * order / 6 / PARTITION_GRAMS))
     # rows are read twice, so their segment must not depend on how a scan is cut: it is that of their content; only where very many
     # rows have the same id and text are they numbered, and then written out with their segments
-    content = F.xxhash64("_id", "_text")
-    copies = own.groupBy(content.alias("_h")).agg(F.count("*").alias("_n")).where(F.col("_n") > SAME_ROWS)
-    spread = segments > 1 and not copies.isEmpty()
-    place = F.xxhash64("_id", "_text", F.monotonically_increasing_id()) if spread else content
+    spread = segments > 1 and alike > SAME_ROWS
+    place = F.xxhash64("_id", "_text", F.monotonically_increasing_id()) if spread else F.xxhash64("_id", "_text")
     dealt = own.withColumn("_segment", F.pmod(place, F.lit(segments)).cast("int"))
     dealt = written(dealt) if spread else dealt
     schema = T.StructType(
@@ -207,12 +225,11 @@ def score(
         total = np.zeros(len(doc))
         unseen = np.zeros(len(doc), bool)
         if len(doc):
-            real = np.flatnonzero(grams.ravel() > 0)
             # equal n-grams stand together, in the order in which they were asked for, and within them those of each document
-            real = real[_order(grams.ravel()[real])]
-            name, owner = grams.ravel()[real], doc[real % len(doc)]
+            real = _order(grams.ravel())[grams.size - np.count_nonzero(grams) :]
+            name, owner = grams.ravel()[real], np.tile(doc.astype(np.int32), order)[real]
             fresh = np.append(True, name[1:] != name[:-1])
-            mine = np.cumsum(fresh | np.append(True, owner[1:] != owner[:-1])) - 1
+            mine = np.diff(np.append(np.flatnonzero(fresh | np.append(True, owner[1:] != owner[:-1])), len(name)))
             # what no other segment has occurs as often as it does here
             first = np.flatnonzero(fresh)
             times, parts = np.diff(np.append(first, len(name))), _part(name[first], partitions)
@@ -224,20 +241,19 @@ def score(
                     raise ValueError("the answers are not those of this segment's n-grams")
                 totals[at] = found
             seen = np.zeros(grams.size)
-            seen[real] = np.repeat(totals, times) - np.bincount(mine)[mine]
+            seen[real] = np.repeat(totals, times) - np.repeat(mine, mine)
             seen = seen.reshape(grams.shape)
-            others = np.maximum(corpus - sizes[doc], 1).astype(np.float64)
+            logs = np.log(np.maximum(seen, 1))
+            others = np.log(np.maximum(corpus - sizes, 1))[doc]
             top = np.minimum(place + 1, order)
-            total = top * math.log(backoff) - np.log(others)
+            total = top * math.log(backoff) - others
             unseen = seen[0] <= 0
             for n in range(order):
+                use, below = seen[n] > 0, others
                 if n:  # the context is the shorter n-gram that ends one word before
-                    below = np.append(1.0, seen[n - 1][:-1])
-                else:
-                    below = others
-                use = (seen[n] > 0) & (below > 0)  # a context that only a clash of names could have left out
-                value = np.log(np.where(use, seen[n], 1)) - np.log(np.where(use, below, 1)) + (top - n - 1) * math.log(backoff)
-                total = np.where(use, value, total)
+                    use[1:] &= seen[n - 1][:-1] > 0  # a context that only a clash of names could have left out
+                    below = np.append(0.0, logs[n - 1][:-1])
+                total = np.where(use, logs[n] - below + (top - n - 1) * math.log(backoff), total)
         return pa.table(
             {
                 "_id": table.column("_id"),
