@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import ann, html_extract, lm_score, packing, warc
@@ -289,6 +290,19 @@ def test_texts_are_measured_in_one_reading(spark):
         assert (lm_score._part(least[least > 0] - np.uint64(1), partitions) == want[least > 0] - 1).all()
 
 
+def test_words_are_hashed_together():
+    """Equal words have equal hashes wherever they stand, different ones of any length do not; slices and wide offsets are the same."""
+    words = ["a", "b", "a\x00", "\x00a", "ab", "abcdefgh", "abcdefghi", "abcdefgha", "\u00e9" * 8, "\u00e9" * 9, "\u4e2d\u6587"]
+    words += [c + "x" * n for n in (6, 7, 8, 15, 16, 17, 62, 63, 64, 65, 200) for c in "ab"] + ["x" * n + c for n in (7, 8, 63, 64, 70) for c in "ab"]
+    texts = pa.array([None, "", " \t", " ".join(words), *words, " " + "  ".join(reversed(words)).replace("x", "X") + "\n"])
+    got, sizes = lm_score._hashes(texts)
+    n = len(words)
+    assert sizes.tolist() == [0, 0, 0, n, *[1] * n, n] and len(set(got.tolist())) == n == len(set(words))
+    assert (got[:n] == got[n : 2 * n]).all() and (got[:n] == got[2 * n :][::-1]).all()
+    assert (lm_score._hashes(texts.cast(pa.large_string()))[0] == got).all()
+    assert (lm_score._hashes(texts.slice(4))[0] == got[n:]).all() and len(lm_score._hashes(texts[:3])[0]) == 0
+
+
 def test_new_words_of_letters_go_straight_to_the_model(monkeypatch):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     encoder = packing.Encoder(path)

@@ -38,6 +38,10 @@ FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: passed as soon as there are 128 segments. A task's rows are bounded by ``PARTITION_GRAMS``, its empty lists by ``LISTS``.
 UNSORTED = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 LISTS = 50_000
+#: Bytes up to which words are hashed together.
+LONG_WORD = 64
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([256**k - 1 for k in range(9)], np.uint64)
 _ODD = np.random.RandomState(9).randint(0, 2**63, 16, np.int64).astype(np.uint64) | np.uint64(1)
 
 
@@ -52,18 +56,36 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts, one after the other, and how many each text has."""
-    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
-    flat, owner = parts.flatten(), pc.list_parent_indices(parts)
-    real = pc.greater(pc.binary_length(flat), 0)  # an empty text gives an empty word
-    return flat.filter(real), np.bincount(owner.filter(real).to_numpy(), minlength=len(texts))
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    real = pc.greater(pc.binary_length(trimmed), 0)  # an empty text would give an empty word
+    parts = pc.ascii_split_whitespace(trimmed.filter(real))
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[real.to_numpy(zero_copy_only=False)] = pc.list_value_length(parts).to_numpy()
+    return parts.flatten(), sizes
 
 
 def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, and how many words each text has."""
+    """The hash of each word, and how many words each text has.
+
+    Words of up to ``LONG_WORD`` bytes are hashed together, eight bytes at a time; each step is one to one, so different words of
+    one length of up to eight bytes never clash.
+    """
     words, sizes = _words(texts)
-    known = words.dictionary_encode()
-    names = known.dictionary.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()).to_numpy(zero_copy_only=False)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))[known.indices.to_numpy()], sizes
+    if not len(words):
+        return np.zeros(0, np.uint64), sizes
+    _, offsets, data = words.buffers()
+    edges = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(words.type) else np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    padded = np.append(np.frombuffer(data, np.uint8), np.zeros(8, np.uint8))
+    eights = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    start, size = edges[:-1], np.diff(edges)
+    out = _mixed((eights[start] & _FIRST[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _ODD[7]))
+    more = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    for k in range(8, LONG_WORD, 8):
+        more = more[size[more] > k]
+        out[more] = _mixed(out[more] ^ (eights[start[more] + k] & _FIRST[np.minimum(size[more] - k, 8)]))
+    for k in np.flatnonzero(size > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(padded[edges[k] : edges[k + 1]])
+    return out, sizes
 
 
 def _grams(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
