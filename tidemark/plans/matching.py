@@ -212,8 +212,8 @@ def unpaired_periods(spark, sf_dir):
 def pair_completion(spark, sf_dir):
     """For each buy the first later fill of the other token of its condition, and the wait for it."""
     t = ledger(spark, sf_dir).where("event_type = 'TRADE'")
-    after = Window.partitionBy("wallet", "condition_id").orderBy("ts", "id").rowsBetween(1, Window.unboundedFollowing)
-    nxt = {k: F.first(F.when(F.col("outcome_index") == k, F.struct("id", "ts", "price")), ignorenulls=True).over(after) for k in (0, 1)}
+    after = O.before(["wallet", "condition_id"], F.desc("ts"), F.desc("id"))  # backwards: a frame up to the end is gone through anew for each row
+    nxt = {k: F.last(F.when(F.col("outcome_index") == k, F.struct("id", "ts", "price")), ignorenulls=True).over(after) for k in (0, 1)}
     t = t.withColumns({"n0": nxt[0], "n1": nxt[1]}).where("side = 'BUY'")
     other = F.when(F.col("outcome_index") == 0, F.col("n1")).otherwise(F.col("n0"))
     t = t.withColumn("o", other)
