@@ -108,3 +108,30 @@ def test_orphans_add_up(spark):
         assert min(r.qty0_at_resolution, r.qty1_at_resolution, 0) or r.matched_at_resolution == pytest.approx(min(r.qty0_at_resolution, r.qty1_at_resolution))
         gap = abs(r.qty0_at_resolution - r.qty1_at_resolution)
         assert r.unmatched_winner_qty + r.unmatched_loser_qty == pytest.approx(gap if r.winner_token else 0, abs=1e-3)
+
+
+def test_stretches_stay_whole_over_many_files(spark, tmp_path):
+    """Events read from many files, and too large to be broadcast when the plan is made, as large tables are."""
+    rows = made(3, 3000)
+    path = str(tmp_path / "events")
+    spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA).repartition(8).write.parquet(path)
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        got = {(r.wallet, r.id): (r.state_before, r.state) for r in lots.waiting_states(spark.read.parquet(path), KEYS, 500).collect()}
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    want, state = {}, {}
+    for r in sorted(rows, key=lambda r: (r["ts"], r["id"])):
+        q, s = round(r["size"] * lots.UNIT), state.get(r["wallet"], 0)
+        if r["kind"] == "buy":
+            to = s + q if r["leg"] == 0 else s - q
+        elif s > 0 and r["leg"] != 1:
+            to = max(s - q, 0)
+        else:
+            to = min(s + q, 0) if s < 0 and r["leg"] != 0 else s
+        want[r["wallet"], r["id"]] = s, to
+        state[r["wallet"]] = to
+    assert got == want

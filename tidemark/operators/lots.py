@@ -107,23 +107,28 @@ def waiting_states(events: DataFrame, keys: list[str], cell: int = CELL) -> Data
     names = [*events.columns, "_q"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, 0
+        state = 0
         for batch in batches:
             before, after = [], []
-            for *key, start, low, high, by in zip(*(batch.column(c).to_pylist() for c in (*run, "_start", "_low", "_high", "_by"))):
-                if key != at:
-                    at, state = key, start
+            for start, low, high, by in zip(*(batch.column(c).to_pylist() for c in ("_start", "_low", "_high", "_by"))):
+                if start is not None:
+                    state = start
+                    continue
                 before.append(state)
                 state += by - min(max(state, low), high)
                 after.append(state)
+            own = batch.filter(batch.column("_start").is_null())
             around = [pa.array(before, pa.int64()), pa.array(after, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *around], names=[*names, "state_before", "state"])
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), *around], names=[*names, "state_before", "state"])
 
     placed = moves.repartition(*run).sortWithinPartitions(*run, "ts", "id")
     summed = placed.select(*run, "_low", "_high", "_by").mapInArrow(sum_up, f"{spec}, _x array<long>, _y array<long>")
     starts = summed.repartition(*keys).sortWithinPartitions(*run).mapInArrow(chain, f"{spec}, _start long")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields) + ", _q long, state_before long, state long"
-    met = moves.join(starts, run).repartition(*run).sortWithinPartitions(*run, "ts", "id")
+    # A start is a row ahead of its stretch. Were it joined, Spark would drop the repartition after the join and then read a broadcast
+    # join's other side file by file, so stretches would come in pieces.
+    rows = moves.withColumn("_start", F.lit(None).cast("long")).unionByName(starts, allowMissingColumns=True)
+    met = rows.repartition(*run).sortWithinPartitions(*run, F.col("_start").isNull(), "ts", "id")
     return met.mapInArrow(walk, out)
 
 
