@@ -143,6 +143,22 @@ def test_completion_set_audit_adds_up(spark):
     assert all(got[c] == pytest.approx(want[c], abs=0.01) for c in got)
 
 
+def test_wallet_clusters_read_the_features_once(spark, monkeypatch):
+    from tidemark.plans import strategies
+
+    names = ["maker_fill_share", "merge_frequency", "episode_count", "adds_per_episode", "avg_position_size"]
+    rows = [(f"w{i}", "all", f, float((i * (k + 3)) % 7 + 10 * (i % 3))) for i in range(12) for k, f in enumerate(names)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def value(v):
+        seen.add(1)
+        return v
+
+    made = spark.createDataFrame(rows, "wallet string, scope string, feature string, value double").withColumn("value", F.udf(value, "double")("value"))
+    monkeypatch.setattr(strategies.B, "fingerprint_features", lambda *_: made)
+    assert len(strategies.wallet_clusters(spark, DIR).collect()) == 12 and seen.value == len(rows)
+
+
 def test_wallet_clusters_cover_every_scope(spark):
     from tidemark.plans import behaviour, strategies
 
