@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import time
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +27,25 @@ def test_product_limit_by_definition(spark):
     assert want["all", 5] == (2, 0.0) and not any(k == "none" for k, _ in want)
 
 
+def test_product_limit_of_many_durations(spark):
+    """120,000 durations of one key; work that grows with their square would take minutes."""
+    n = 120_000
+    began = time.monotonic()
+    got = candidates.outlasting(spark.range(n).selectExpr("'k' AS k", "id AS duration_s", "true AS ended"), ["k"])
+    row = got.agg(F.count("*").alias("n"), F.max("at_risk").alias("most"), F.sum("at_risk").alias("all"), F.min(F.when(F.round("survival", 9) <= 0.5, F.col("duration_s"))).alias("half")).first()
+    assert tuple(row) == (n, n, n * (n + 1) // 2, n // 2 - 1) and time.monotonic() - began < 30
+
+
+def test_ranks_of_counted_values(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), rng.choice("xy"), float(rng.randrange(9)), rng.randrange(1, 4)) for _ in range(60)] + [("c", "x", 4.0, 1), ("c", "x", 5.0, 1), ("c", "y", None, 3)]
+    df = spark.createDataFrame(rows, "k string, measure string, value double, n long")
+    got = {r.k: (r.mx, r.my, r.px) for r in candidates.counted_ranks(df, ["k"], {"x": "mx", "y": "my"}, {"x": "px"}).collect()}
+    for k in "abc":
+        x, y = (sorted(v for key, m, v, n in rows if key == k and m == name and v is not None for _ in range(n)) for name in "xy")
+        assert got[k] == (median(x), median(y) if y else None, int(x[(9 * len(x) + 9) // 10 - 1]))
+
+
 FILL = {
     "fill_token_side": "YES", "unpaired_yes_before": 0.0, "unpaired_no_before": 0.0, "bond_delta": 0.0, "unpaired_delta": 0.0, "event_market_count_active_before": 0,
     "event_unpaired_inventory_before": 0.0, "event_bond_qty_before": 0.0, "role": "taker", "order_time_confidence": "fill_only_unknown", "fill_after_first_seen_s": None,

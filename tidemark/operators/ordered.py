@@ -125,7 +125,7 @@ def asof_forward(
 
 def _asof(left, right, on, values, ts, bucket_s, forward) -> DataFrame:
     bucket = F.floor(F.col(ts) / bucket_s) if bucket_s else F.lit(0)
-    payload = F.struct(F.col(ts).alias("asof_ts"), *values)
+    payload = F.struct(F.col(ts).alias("asof_ts"), *values) if values else F.col(ts)  # a plain number is hashed where a struct is sorted
     r = right.select(*on, F.col(ts).alias("_ts"), bucket.alias("_bucket"), payload.alias("_value")).where(F.col(ts).isNotNull())
     sign = -1 if forward else 1
     rows = left.select(*on, F.col(ts).alias("_ts"), bucket.alias("_bucket"), F.struct("*").alias("_row"))
@@ -137,7 +137,7 @@ def _asof(left, right, on, values, ts, bucket_s, forward) -> DataFrame:
     inside = Window.partitionBy(*on, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("_found", F.last("_value", ignorenulls=True).over(inside)).where("_row is not null")
     ends = r.groupBy(*on, "_bucket").agg((F.min if forward else F.max)("_value").alias("_end"))
-    if forward:  # ties on the first time go to the larger values, as within a bucket
+    if forward and values:  # ties on the first time go to the larger values, as within a bucket
         first = r.groupBy(*on, "_bucket").agg(F.min("_ts").alias("_ts"))
         ends = r.join(first, [*on, "_bucket", "_ts"]).groupBy(*on, "_bucket").agg(F.max("_value").alias("_end"))
     marks = both.select(*on, "_bucket").distinct().withColumn("_end", F.lit(None).cast(r.schema["_value"].dataType))
@@ -145,6 +145,8 @@ def _asof(left, right, on, values, ts, bucket_s, forward) -> DataFrame:
     earlier = Window.partitionBy(*on).orderBy((F.col("_bucket") * sign).asc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = known.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
     out = both.join(carried, [*on, "_bucket"], "left").withColumn("_found", F.coalesce("_found", "_carried"))
+    if not values:
+        return out.select("_row.*", F.col("_found").alias("asof_ts"))
     return out.select("_row.*", *(F.col(f"_found.{c}").alias(c) for c in ["asof_ts", *values]))
 
 

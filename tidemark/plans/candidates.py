@@ -15,7 +15,7 @@ from tidemark.operators import ordered as O
 from tidemark.operators.storage import stored
 from tidemark.plans import matching as M
 from tidemark.plans import timing
-from tidemark.plans.views import ledger, sql
+from tidemark.plans.views import ledger, r4, sql
 
 DUST = 1e-6
 #: Names and types of the triggers. Fixed values.
@@ -38,27 +38,42 @@ def triggers() -> dict:
     return {"A": catch_up & bond, "B": bond, "C": unpaired, "D": basket, "E": F.lit(True), "F": F.lit(True), "G": (F.lower("role") == "maker") & waits}
 
 
-def _p90(c: str):
-    return F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY {c})")
+#: What medians are taken of: columns of a fill.
+MEASURES = ("fill_price", "fill_size", "fill_notional_usdc", "event_market_count_active_before", "event_unpaired_inventory_before", "event_bond_qty_before", "fill_after_first_seen_s")
 
 
-def _mid(c, name: str):
-    """Median to six places; the mean of two amounts of four places is no tie there."""
-    return (F.round(F.median(c), 6) + 0.0).alias(name)
+def counted_ranks(counted, keys: list[str], medians: dict[str, str], p90: dict[str, str]):
+    """Medians, rounded to six places, and the smallest values that nine tenths don't pass, of ``counted`` values (``keys, measure, value, n``).
+
+    ``medians`` and ``p90`` name the results by measure. A key's distinct values of a measure are one window; nothing is gathered.
+    The mean of two amounts of four places is no tie in the sixth.
+    """
+    own = [*keys, "measure"]
+    v = counted.where("value is not null").groupBy(*own, "value").agg(F.sum("n").alias("n"))
+    v = v.withColumns({"_run": F.sum("n").over(O.upto(own, "value")), "_all": F.sum("n").over(Window.partitionBy(*own))})
+
+    def least(measure: str, enough):
+        return F.min(F.when((F.col("measure") == measure) & enough, F.col("value")))
+
+    run, total = F.col("_run"), F.col("_all")
+    mid = {m: (least(m, run * 2 >= total) + least(m, run * 2 > total)) / 2 for m in medians}
+    return v.groupBy(*keys).agg(
+        *((F.round(mid[m], 6) + 0.0).alias(n) for m, n in medians.items()), *(least(m, run * 10 >= total * 9).cast("long").alias(n) for m, n in p90.items())
+    )
 
 
 def _share(part, whole=None):
     return F.round(F.try_divide(part, whole if whole is not None else F.count("*")) * 100, 4)
 
 
-def outlasting(periods, keys: list[str], duration: str = "duration_s", ended: str = "ended"):
+def outlasting(periods, keys: list[str], duration: str = "duration_s", ended: str = "ended", n: str | None = None):
     """For each key the product-limit estimate at each duration at which a period ends: ``duration``, ``at_risk``, ``survival``.
 
-    Periods are counted by duration first, so a key's window holds its distinct durations.
+    Periods are counted by duration first, so a key's window holds its distinct durations. A row stands for ``n`` periods, if named.
     """
-    n = periods.groupBy(*keys, duration).agg(F.count("*").alias("_n"), F.count_if(F.col(ended)).alias("_d"))
-    later = Window.partitionBy(*keys).orderBy(duration).rowsBetween(0, Window.unboundedFollowing)
-    n = n.withColumn("at_risk", F.sum("_n").over(later))
+    each = F.lit(1) if n is None else F.col(n)
+    n = periods.groupBy(*keys, duration).agg(F.sum(each).alias("_n"), F.sum(F.when(F.col(ended), each).otherwise(0)).alias("_d"))
+    n = n.withColumn("at_risk", F.sum("_n").over(O.upto(keys, F.desc(duration))))  # backwards: a frame up to the end is gone through anew for each row
     kept = F.when(F.col("_d") < F.col("at_risk"), F.ln(1 - F.col("_d") / F.col("at_risk"))).otherwise(-1e9)
     return n.withColumn("survival", F.exp(F.sum(kept).over(O.upto(keys, duration)))).where("_d > 0").drop("_n", "_d")
 
@@ -77,43 +92,55 @@ def event_classes(fills, periods, redeemed):
 
 def rule_candidates(spark, sf_dir):
     """Support, stability, concentration and censoring of the triggers A to G, for each wallet."""
-    d = stored(timing.order_timing_dataset(spark, sf_dir))
+    read = ["id", "wallet", "event_id", "condition_id", "event_phase", "fill_ts", "fill_token_side", "role", "order_time_confidence", "unpaired_yes_before", "unpaired_no_before", "bond_delta", "unpaired_delta"]
+    d = stored(timing.order_timing_dataset(spark, sf_dir, valued=False).select(*read, *MEASURES))
     l = ledger(spark, sf_dir)
     ends = l.groupBy("wallet").agg(F.max("ts").alias("_end"))
     periods = M.unpaired_periods(spark, sf_dir).join(ends, "wallet")
-    periods = stored(periods.select("wallet", "condition_id", (F.coalesce("close_ts", "_end") - F.col("open_ts")).alias("duration_s"), F.col("close_ts").isNotNull().alias("ended")))
+    periods = periods.select("wallet", "condition_id", (F.coalesce("close_ts", "_end") - F.col("open_ts")).alias("duration_s"), F.col("close_ts").isNotNull().alias("ended"))
+    periods = stored(periods.groupBy("wallet", "condition_id", "duration_s", "ended").agg(F.count("*").alias("n")))
     redeemed = l.where("event_type = 'REDEEM'").select("wallet", "condition_id", F.lit(1).alias("redeemed")).distinct()
     classes = event_classes(d, periods, redeemed)
     time = d.groupBy("wallet").agg(F.min("fill_ts").alias("_t0"), F.max("fill_ts").alias("_t1"), F.count("*").alias("_all"))
-    rules = F.filter(F.array(*(F.struct(F.lit(k).alias("rule_id"), F.coalesce(p, F.lit(False)).alias("on")) for k, p in triggers().items())), lambda s: s["on"])
+    rules = F.concat(*(F.when(p, k).otherwise("") for k, p in triggers().items()))  # the letters of a fill's rules
+    of_fill = F.explode(F.split("_rules", "")).alias("rule_id")
     part = F.least(F.floor((F.col("fill_ts") - F.col("_t0")) * SLICES / F.greatest(F.col("_t1") - F.col("_t0"), F.lit(1))), F.lit(SLICES - 1))
-    x = d.join(time, "wallet").join(classes, ["wallet", "event_id"], "left").withColumn("_slice", part)
-    x = stored(x.withColumn("_r", F.explode(rules)).withColumn("rule_id", F.col("_r.rule_id")).drop("_r"))
-    closed = F.coalesce(F.col("event_class") == "closed_complete", F.lit(False))
+    # Fills are counted by all that is asked of them before their rules are told apart; what follows reads few rows.
+    x = d.join(time, "wallet").withColumns({"_slice": part, "_rules": rules})
+    bond, gap = F.col("bond_delta") > DUST, F.col("unpaired_delta")
+    cells = x.groupBy("wallet", "_rules", "event_id", "condition_id", "_slice", "_all").agg(F.count("*").alias("n"), F.count_if(bond).alias("_bond"), F.count_if(gap < -DUST).alias("_less"), F.count_if(gap > DUST).alias("_more"))
+    x = cells.select("*", of_fill).where("rule_id != ''").join(classes, ["wallet", "event_id"], "left")
+    x = stored(x.withColumn("_closed", F.coalesce(F.col("event_class") == "closed_complete", F.lit(False))))
+    n, closed = F.sum("n"), F.col("_closed")
     g = x.groupBy(*KEYS).agg(
-        F.count("*").alias("fills_supported"), _share(F.count("*"), F.first("_all")).alias("fills_supported_pct"), F.countDistinct("event_id").alias("events_supported"), F.countDistinct("condition_id").alias("conditions_supported"),
-        *(_mid(c, f"median_{c}") for c in ("fill_price", "fill_size", "fill_notional_usdc", "event_market_count_active_before", "event_unpaired_inventory_before", "event_bond_qty_before", "fill_after_first_seen_s")),
-        _share(F.count_if(F.col("bond_delta") > DUST)).alias("pct_increases_bond"), _share(F.count_if(F.col("unpaired_delta") < -DUST)).alias("pct_reduces_unpaired"), _share(F.count_if(F.col("unpaired_delta") > DUST)).alias("pct_increases_unpaired"),
-        F.countDistinct(F.when(closed, F.col("event_id"))).alias("closed_complete_events_supported"), _share(F.count_if(~closed)).alias("censored_observation_share"), F.countDistinct("_slice").alias("slices_supported"),
+        n.alias("fills_supported"), _share(n, F.first("_all")).alias("fills_supported_pct"), F.countDistinct("event_id").alias("events_supported"), F.countDistinct("condition_id").alias("conditions_supported"),
+        _share(F.sum("_bond"), n).alias("pct_increases_bond"), _share(F.sum("_less"), n).alias("pct_reduces_unpaired"), _share(F.sum("_more"), n).alias("pct_increases_unpaired"),
+        F.countDistinct(F.when(closed, F.col("event_id"))).alias("closed_complete_events_supported"), _share(F.sum(F.when(closed, 0).otherwise(F.col("n"))), n).alias("censored_observation_share"), F.countDistinct("_slice").alias("slices_supported"),
     )
-    by_event = x.where("event_id is not null").groupBy(*KEYS, "event_id").agg(F.count("*").alias("n"))
+    by_event = x.where("event_id is not null").groupBy(*KEYS, "event_id").agg(n.alias("n"))
     top = by_event.groupBy(*KEYS).agg(F.max("n").alias("_top"), F.min_by("event_id", F.struct(-F.col("n"), "event_id")).alias("top_event"))
-    by_slice = x.groupBy(*KEYS, "_slice").agg(F.count("*").alias("n")).groupBy(*KEYS).agg(F.max("n").alias("_top_slice"))
+    by_slice = x.groupBy(*KEYS, "_slice").agg(n.alias("n")).groupBy(*KEYS).agg(F.max("n").alias("_top_slice"))
     markets_of = x.select(*KEYS, "condition_id").distinct()
-    pairs = M.pair_completion(spark, sf_dir).where("pair_id is not null").join(l.select("id", "wallet", "condition_id"), "id")
-    pairs = pairs.withColumn("cost", F.round(1 - F.col("pair_edge"), 4)).join(markets_of, ["wallet", "condition_id"])
-    cost = pairs.groupBy(*KEYS).agg(
-        _mid("cost", "median_complete_set_cost"), *(_share(F.count_if(F.col("cost") < v)).alias(f"pct_complete_set_cost_lt_{n}") for n, v in (("095", 0.95), ("098", 0.98), ("100", 1.0))),
-        _mid("wait_s", "p50_time_to_complement_s"), _p90("wait_s").cast("long").alias("p90_time_to_complement_s"),
-    )
+    pairs = M.next_complements(spark, sf_dir).where("o is not null")
+    cost = F.round(1 - r4(1 - F.col("price") - F.col("o.price"), "pair_edge"), 4)
+    pairs = pairs.groupBy("wallet", "condition_id", cost.alias("cost"), (F.col("o.ts") - F.col("ts")).alias("wait_s")).agg(F.count("*").alias("n"))
+    pairs = stored(pairs.join(markets_of, ["wallet", "condition_id"]).groupBy(*KEYS, "cost", "wait_s").agg(n.alias("n")))
+    below = {name: F.sum(F.when(F.col("cost") < v, F.col("n")).otherwise(0)) for name, v in (("095", 0.95), ("098", 0.98), ("100", 1.0))}
+    costs = pairs.groupBy(*KEYS).agg(*(_share(v, n).alias(f"pct_complete_set_cost_lt_{name}") for name, v in below.items()))
     of_rule = periods.join(markets_of, ["wallet", "condition_id"])
-    over = of_rule.groupBy(*KEYS).agg(
-        F.count("*").alias("unpaired_periods"), F.count_if(~F.col("ended")).alias("censored_periods"), _mid(F.when(F.col("ended"), F.col("duration_s")), "median_unpaired_duration_s"),
-        _p90("CASE WHEN ended THEN duration_s END").cast("long").alias("p90_unpaired_duration_s"),
-    )
-    limit = outlasting(of_rule, KEYS).where(F.round("survival", 9) <= 0.5).groupBy(*KEYS).agg(F.min("duration_s").alias("product_limit_median_s"))
+    over = of_rule.groupBy(*KEYS).agg(n.alias("unpaired_periods"), F.sum(F.when(F.col("ended"), 0).otherwise(F.col("n"))).alias("censored_periods"))
+    limit = outlasting(of_rule, KEYS, n="n").where(F.round("survival", 9) <= 0.5).groupBy(*KEYS).agg(F.min("duration_s").alias("product_limit_median_s"))
+
+    def values(names: tuple[str, ...]):
+        return F.inline(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in names)))
+
+    seen = d.withColumn("_rules", rules).select("wallet", "_rules", values(MEASURES)).where("value is not null").groupBy("wallet", "_rules", "measure", "value").agg(F.count("*").alias("n"))
+    counted = seen.select("wallet", of_fill, "measure", "value", "n").where("rule_id != ''")
+    counted = counted.unionByName(pairs.select(*KEYS, values(("cost", "wait_s")), "n")).unionByName(of_rule.where("ended").select(*KEYS, values(("duration_s",)), "n"))
+    medians = {c: f"median_{c}" for c in MEASURES} | {"cost": "median_complete_set_cost", "wait_s": "p50_time_to_complement_s", "duration_s": "median_unpaired_duration_s"}
+    ranks = counted_ranks(counted, KEYS, medians, {"wait_s": "p90_time_to_complement_s", "duration_s": "p90_unpaired_duration_s"})
     out = g
-    for more in (top, by_slice, cost, over, limit):
+    for more in (ranks, top, by_slice, costs, over, limit):
         out = out.join(more, KEYS, "left")
     share, events = F.round(F.col("_top") / F.col("fills_supported") * 100, 4), F.col("events_supported")
     stability = F.when(events == 0, "no support").when((events >= 10) & (share < 35), "broad").when((events >= 4) & (share < 60), "moderate").otherwise("thin")

@@ -209,14 +209,19 @@ def unpaired_periods(spark, sf_dir):
     return g.where("n_open > 0").select(*keys, "open_ts", "close_ts", r4("max_gap"), F.coalesce("resolved_by", F.lit("OPEN")).alias("resolved_by"))
 
 
-def pair_completion(spark, sf_dir):
-    """For each buy the first later fill of the other token of its condition, and the wait for it."""
+def next_complements(spark, sf_dir):
+    """Buys with the first later fill of the other token of their condition as ``o`` (``id, ts, price``), null if there is none."""
     t = ledger(spark, sf_dir).where("event_type = 'TRADE'")
     after = O.before(["wallet", "condition_id"], F.desc("ts"), F.desc("id"))  # backwards: a frame up to the end is gone through anew for each row
     nxt = {k: F.last(F.when(F.col("outcome_index") == k, F.struct("id", "ts", "price")), ignorenulls=True).over(after) for k in (0, 1)}
     t = t.withColumns({"n0": nxt[0], "n1": nxt[1]}).where("side = 'BUY'")
     other = F.when(F.col("outcome_index") == 0, F.col("n1")).otherwise(F.col("n0"))
-    t = t.withColumn("o", other)
+    return t.withColumn("o", other)
+
+
+def pair_completion(spark, sf_dir):
+    """For each buy the first later fill of the other token of its condition, and the wait for it."""
+    t = next_complements(spark, sf_dir)
     return t.select("id", F.col("o.id").alias("pair_id"), (F.col("o.ts") - F.col("ts")).alias("wait_s"), r4(1 - F.col("price") - F.col("o.price"), "pair_edge"), scalars.time_bucket(F.col("o.ts") - F.col("ts")).alias("bucket"), scalars.cost_bucket(F.round(F.col("price") + F.col("o.price"), 4)).alias("cost_bucket"))
 
 
